@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
-QUERIES = {"op1_mixing": mixing.query}
+QUERIES = {
+    "op1_mixing": mixing.query,
+    "op5_simhash": simhash.query,
+}
 ORACLES = {"op1_mixing": mixing.SQL}
