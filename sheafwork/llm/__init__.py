@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import fingerprint, mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op3_fingerprint": fingerprint.query,
     "op5_simhash": simhash.query,
 }
 ORACLES = {"op1_mixing": mixing.SQL}
