@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, simhash
+from . import fingerprint, mixing, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_fingerprint": fingerprint.query,
     "op5_simhash": simhash.query,
+    "op9_warc": warc.query,
 }
-ORACLES = {"op1_mixing": mixing.SQL}
+ORACLES = {"op1_mixing": mixing.SQL, "op9_warc": warc.SQL}
