@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, simhash, warc
+from . import fingerprint, mixing, pieces, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_fingerprint": fingerprint.query,
     "op5_simhash": simhash.query,
+    "op6_sentencepiece": pieces.query,
     "op9_warc": warc.query,
 }
 ORACLES = {"op1_mixing": mixing.SQL, "op9_warc": warc.SQL}
