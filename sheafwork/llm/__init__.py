@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, pieces, simhash, warc
+from . import fingerprint, mixing, pieces, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_fingerprint": fingerprint.query,
+    "op4_quality": quality.query,
     "op5_simhash": simhash.query,
     "op6_sentencepiece": pieces.query,
     "op9_warc": warc.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLES = {"op1_mixing": mixing.SQL, "op9_warc": warc.SQL}
