@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning.
 
 Only documents are labelled. A document is a bag of sentences; a sentence has a logistic score over its
-words and their beginnings, and the document's score is the noisy-or of its sentences: one minus the
+words, each weighing as much as its most telling feature (itself or a beginning), and the document's score is the noisy-or of its sentences: one minus the
 product of their complements. The weights are trained through the noisy-or, so the sentences that make a
 document toxic are found on the way.
 
 The training sample is bounded (`SAMPLE` labelled rows, smallest hashes first); features are chosen by
-a likelihood-ratio statistic over that sample's documents, and trained by full-batch Adam.
+a likelihood-ratio statistic over that sample's documents. Training starts from their log-odds, with a
+ridge towards these, and goes on by full-batch Adam.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from .common import held_out, read_table
 #: Labelled rows to train on, features to keep, and documents of the toxic class a feature must be in.
 SAMPLE = 12_000
 FEATURES = 3000
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 6
+LEAST_RATIO = 10.0
 PREFIXES = range(4, 9)
 THRESHOLD = 0.5
 PARTS, HELD = 5, 0
-STEPS, RATE, RIDGE = 400, 0.1, 1e-4
+STEPS, RATE, RIDGE = 300, 0.05, 3e-5
 #: Words whose weight a Python worker keeps.
 KEPT = 200_000
 #: Rows in a batch that a Python worker returns.
@@ -50,24 +52,32 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 def features(word: str) -> list[str]:
-    """A lower-case word and its beginnings (marked with *)."""
-    return [word] + [word[:k] + "*" for k in PREFIXES if len(word) >= k]
+    """A lower-case word and its proper beginnings (marked with *)."""
+    return [word] + [word[:k] + "*" for k in PREFIXES if len(word) > k]
+
+
+def telling(word: str, ranks: dict[str, int]) -> int | None:
+    """The best-ranked feature of a word."""
+    return min((ranks[f] for f in features(word) if f in ranks), default=None)
 
 
 @dataclass
 class Model:
-    """Weights of features and the bias of a sentence."""
+    """Weights of features, the most telling first, and the bias of a sentence."""
 
     weights: dict[str, float]
     bias: float
 
     def __post_init__(self):
         self.kept: dict[str, float] = {}
+        self.ranks = {f: i for i, f in enumerate(self.weights)}
+        self.values = list(self.weights.values())
 
     def word(self, word: str) -> float:
         found = self.kept.get(word)
         if found is None:
-            found = sum(self.weights.get(f, 0.0) for f in features(word))
+            known = telling(word, self.ranks)
+            found = 0.0 if known is None else self.values[known]
             if len(self.kept) < KEPT:
                 self.kept[word] = found
         return found
@@ -93,8 +103,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
 
 
-def choose_features(rows: DataFrame, keep: int = FEATURES, least: int = LEAST_DOCUMENTS) -> list[str]:
-    """The features most associated with toxic documents, by the likelihood ratio of their document counts."""
+def choose_features(rows: DataFrame, keep: int = FEATURES, least: int = LEAST_DOCUMENTS) -> dict[str, float]:
+    """The features most associated with toxic documents, by the likelihood ratio of their document counts, with their log-odds."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -109,34 +119,41 @@ def choose_features(rows: DataFrame, keep: int = FEATURES, least: int = LEAST_DO
 
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return []
+        return {}
     n1, n0 = float(sizes[1]), float(sizes[0])
     a, b = F.col("toxic"), F.col("clean")
     share = (a + b) / (n1 + n0)
     part = lambda k, n: k * F.ln(F.greatest(k, F.lit(0.5)) / (n * share)) + (n - k) * F.ln(F.greatest(n - k, F.lit(0.5)) / F.greatest(n * (1 - share), F.lit(0.5)))
     totals = rows.mapInPandas(count, COUNTS).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     best = totals.where((a >= least) & (a / n1 > b / n0)).withColumn("ratio", part(a, F.lit(n1)) + part(b, F.lit(n0)))
-    return [r.feature for r in best.where("ratio > 5").orderBy(F.desc("ratio"), "feature").limit(keep).collect()]
+    odds = F.ln((a + 0.5) / (n1 + 1)) - F.ln((b + 0.5) / (n0 + 1))
+    rows = best.where(F.col("ratio") > LEAST_RATIO).withColumn("odds", odds).orderBy(F.desc("ratio"), "feature").limit(keep).collect()
+    return {r.feature: r.odds for r in sorted(rows, key=lambda r: (-r.odds, -len(r.feature), r.feature))}
+
+
+def bag(text: str | None, ranks: dict[str, int]) -> tuple[int, list[list[int]]]:
+    """The number of a text's sentences, and of those that have a known word the features of its distinct words."""
+    spans = sentences(text)
+    found = ([telling(w, ranks) for w in sorted(set(WORDS.findall(text[a:b].lower())))] for a, b in spans)
+    known = ([i for i in s if i is not None] for s in found)
+    return len(spans), [s for s in known if s]
 
 
 def bags(rows: DataFrame, names: list[str]) -> list:
-    """Per training document: label, number of sentences, and the feature ids of its sentences that have any."""
+    """The bag of each training document with its label."""
     index = {f: i for i, f in enumerate(names)}
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for label, text in zip(batch["label"], batch["text"], strict=True):
-                spans = sentences(text)
-                ids = ([index[f] for w in set(WORDS.findall(text[a:b].lower())) for f in features(w) if f in index] for a, b in spans)
-                out.append((label, len(spans), [x for x in ids if x]))
-            yield pd.DataFrame(out, columns=BAGS.names)
+            yield pd.DataFrame([(y, *bag(t, index)) for y, t in zip(batch["label"], batch["text"], strict=True)], columns=BAGS.names)
 
     return rows.mapInPandas(find, BAGS).collect()
 
 
-def fit(found: list, names: list[str]) -> Model:
-    """Weights by Adam on the mean negative log-likelihood of the document labels, with a ridge."""
+def fit(found: list, odds: dict[str, float]) -> Model:
+    """Weights by Adam on the mean negative log-likelihood of the document labels, with a ridge towards the log-odds."""
+    names = list(odds)
+    start = np.array([*odds.values(), -6.0])
     y = np.array([r.label for r in found])
     sizes = [len(r.ids) for r in found]
     document = np.repeat(np.arange(len(found)), sizes)
@@ -144,8 +161,7 @@ def fit(found: list, names: list[str]) -> Model:
     flat = [x for r in found for x in r.ids]
     sentence = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
     feature = np.fromiter((i for x in flat for i in x), dtype=np.int64)
-    w = np.zeros(len(names) + 1)
-    w[-1] = -6.0
+    w = start.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, STEPS + 1):
@@ -155,7 +171,7 @@ def fit(found: list, names: list[str]) -> Model:
         slope = np.where(y == 1, -1.0 / np.expm1(np.clip(area, 1e-9, 700)), 1.0) / len(found)
         dz = sigmoid(z) * slope[document]
         g = np.append(np.bincount(feature, weights=dz[sentence], minlength=len(names)), dz.sum() + (empty * slope).sum() * sigmoid(bias))
-        g[:-1] += RIDGE * w[:-1]
+        g[:-1] += RIDGE * (w - start)[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({f: float(x) for f, x in zip(names, w, strict=False)}, float(w[-1]))
@@ -164,10 +180,10 @@ def fit(found: list, names: list[str]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from a bounded sample; without labels of both classes it scores 0 everywhere."""
     rows = training_rows(docs, labels, sample)
-    names = choose_features(rows)
-    if not names:
+    odds = choose_features(rows)
+    if not odds:
         return Model({}, -60.0)
-    return fit(bags(rows, names), names)
+    return fit(bags(rows, list(odds)), odds)
 
 
 def scored(model: Model, text: str = "text") -> Column:
