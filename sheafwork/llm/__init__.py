@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, pieces, quality, simhash, toxicity, warc
+from . import fingerprint, language, matroska, mixing, pieces, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_quality": quality.query,
     "op5_simhash": simhash.query,
     "op6_sentencepiece": pieces.query,
+    "op7_matroska": matroska.query,
+    "op8_language": language.query,
     "op9_warc": warc.query,
     "op10_toxicity": toxicity.query,
 }
