@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, matroska, mixing, pieces, quality, simhash, toxicity, warc
+from . import fingerprint, html, language, matroska, mixing, pieces, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_html": html.query,
     "op3_fingerprint": fingerprint.query,
     "op4_quality": quality.query,
     "op5_simhash": simhash.query,
