@@ -1,10 +1,63 @@
-"""The corpus pipeline: documents through filters, dedup, mixing and tokens."""
+"""The corpus pipeline: toxic documents go, then poor ones, then near-duplicates; the rest is mixed and tokenised.
+
+Counted as part of the `llm` subpackage. A stage takes (spark, docs, sf_dir); its result is written as
+Parquet in the shared folder and read again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sheafwork.llm import mixing, pieces, quality, simhash, toxicity
+from sheafwork.llm.common import read_table, shared_dir
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject. It learns from the labels of the documents it gets."""
+    return toxicity.clean(docs, read_table(spark, sf_dir, "labels"))
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality discriminant accepts."""
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    return simhash.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, repeated by epochs; at most one of each source is cut, at its budget's last word."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
+    return pieces.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", of_quality),
+    ("simhash near-dedup", without_copies),
+    ("mixing", mixed),
+    ("sentencepiece", tokenised),
+]
+
+#: Trained models and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if n == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{n}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{n}")
+    return docs
