@@ -64,12 +64,14 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def with_next(docs: DataFrame, parts: int = PARTS) -> DataFrame:
-    """Distinct (doc_id, hash of text) of `docs`, how often they occur, and those of the next one: descending doc_id, nulls last; the first after the last.
+    """Distinct (doc_id, hash of text) of `docs`, how often they occur, the length, and the next one: descending doc_id, nulls last; the first after the last.
 
     Range partitions are numbered and written; the order then needs only rows within a part and the
     first row of every other part.
     """
-    keys = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).agg(F.count("*").alias("_times"))
+    keys = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).agg(
+        F.count("*").alias("_times"), F.max(F.length(F.coalesce("text", F.lit("")))).alias("_n")
+    )
     order = [F.col("doc_id").desc_nulls_last(), F.col("_h")]
     parted = cut(keys.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     me = F.struct("doc_id", "_h")
@@ -78,7 +80,7 @@ def with_next(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     first = F.first("_head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     after = heads.select("_part", F.coalesce(F.lead("_head").over(ring), first).alias("_after"))
     inside = parted.withColumn("_next", F.lead(me).over(Window.partitionBy("_part").orderBy(*order)))
-    return inside.join(after, "_part").select("doc_id", "_h", "_times", F.coalesce("_next", "_after").alias("_next"))
+    return inside.join(after, "_part").select("doc_id", "_h", "_times", "_n", F.coalesce("_next", "_after").alias("_next"))
 
 
 def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, parts: int = PARTS) -> DataFrame:
@@ -90,27 +92,27 @@ def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, parts: int = PARTS)
     document for this order, and each of them is returned. A text without words has the fingerprint
     of the empty set, which is like itself and like no other. No rows give no rows.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     key = ["_row", "_h"]
-    row = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    order = with_next(docs, parts)
+    row = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    ahead = with_next(docs, parts).select(row("doc_id").alias("_row"), "_h", "doc_id", "_times", "_n", row("_next.doc_id").alias("_next_row"), F.col("_next._h").alias("_next_h"))
+    texts = docs.select(row("doc_id").alias("_row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     again = F.lag(F.lit(True)).over(Window.partitionBy(*key).orderBy(*key))
-    own = texts.withColumn("_row", row).withColumn("_again", again).where("_again IS NULL").drop("_again")
-    ahead = order.select(row.alias("_row"), "_h", "_times", F.coalesce(F.col("_next.doc_id").cast("string"), F.lit("none")).alias("_next_row"), F.col("_next._h").alias("_next_h"))
-    behind = ahead.select(F.col("_row").alias("_prev_row"), F.col("_h").alias("_prev_h"), F.col("_next_row").alias("_row"), F.col("_next_h").alias("_h"))
-    given = own.join(behind, key).select(F.col("_prev_row").alias("_row"), F.col("_prev_h").alias("_h"), F.col("text").alias("_given"))
+    own = texts.withColumn("_again", again).where("_again IS NULL").drop("_again")
+    # what each document gives to the one before it, cut to the length needed there
+    behind = ahead.select(F.col("_row").alias("_prev_row"), F.col("_h").alias("_prev_h"), F.floor(F.col("_n") / 3).cast("int").alias("_need"), F.col("_next_row").alias("_row"), F.col("_next_h").alias("_h"))
+    given = own.join(behind, key).select(F.col("_prev_row").alias("_row"), F.col("_prev_h").alias("_h"), F.substring("text", F.lit(1), F.col("_need")).alias("_given"))
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("_given"), F.lit(1), k))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.col("_given"))
     pairs = own.join(given, key).withColumn("_edited", edited)
     both = pairs.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("_which"), "text"), F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("text")))).alias("_t"))
     signed = signatures(both.select(*key, F.col("_t._which").alias("_which"), F.col("_t.text").alias("text")), [*key, "_which"], samples)
     sides = signed.groupBy(*key).agg(*[F.first(F.when(F.col("_which") == w, F.col("_signature")), ignorenulls=True).alias(f"_s{w}") for w in (0, 1)])
-    facts = pairs.select(*key, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
+    facts = pairs.select(*key, F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
     found = cut(facts.join(sides, key))
     nexts = found.select(F.col("_row").alias("_next_row"), F.col("_h").alias("_next_h"), F.col("_s0").alias("_sn"))
     rows = found.join(ahead, key).join(nexts, ["_next_row", "_next_h"])
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("_s0")).alias("fingerprint"), as_text(F.col("_s1")).alias("edited_fingerprint"),
+        "doc_id", F.col("_n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("_s0")).alias("fingerprint"), as_text(F.col("_s1")).alias("edited_fingerprint"),
         likeness(F.col("_s0"), F.col("_s1"), samples).alias("near_edited"), likeness(F.col("_s0"), F.col("_sn"), samples).alias("near_next"),
     )
 
