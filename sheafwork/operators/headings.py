@@ -31,22 +31,30 @@ class Rule:
 
 def heading(text: Column, lines: int = 6) -> Column:
     """The first lines of a text, folded and in upper case, joined by a space and a line feed."""
-    return F.upper(fold(F.concat_ws(" \n", F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, lines))))
+    first = F.substring_index(F.coalesce(text, F.lit("")), "\n", lines)
+    return F.upper(fold(F.replace(first, F.lit("\n"), F.lit(" \n"))))
 
 
 def recognise(head: Column, rules: list[Rule]) -> Column:
-    """The rule that a heading matches best, as a struct (type, score).
+    """The rule that a heading (a column of its own, as every pattern reads it) matches best, as a struct (type, score).
 
     Of a rule the first listed pattern that matches counts, at its first match: the full weight if that
     starts within the first 90 characters, else 0.6 of it. The earliest of equally good rules wins.
     """
-    scored = []
-    for order, rule in enumerate(rules):
-        at = F.coalesce(*[F.nullif(F.regexp_instr(head, F.lit(f"(?m){p}")), F.lit(0)) for p in rule.patterns])
-        score = F.when(at <= NEAR, rule.weight).when(at.isNotNull(), rule.weight * FAR_FACTOR)
-        scored.append(F.when(score.isNotNull(), F.struct(score.alias("score"), F.lit(-order).alias("order"), F.lit(rule.key).alias("type"))))
-    best = F.array_max(F.filter(F.array(*scored), lambda x: x.isNotNull()))
-    return F.struct(F.coalesce(best["type"], F.lit(UNKNOWN)).alias("type"), F.coalesce(best["score"], F.lit(0.0)).alias("score"))
+    starts = F.array(*[F.regexp_instr(head, F.lit(f"(?m){p}")) for r in rules for p in r.patterns])
+
+    def best(found: Column) -> Column:
+        scored, i = [], 0
+        for order, rule in enumerate(rules):
+            at = F.coalesce(*[F.nullif(F.get(found, F.lit(i + k)), F.lit(0)) for k in range(len(rule.patterns))])
+            score = F.when(at <= NEAR, rule.weight).when(at.isNotNull(), rule.weight * FAR_FACTOR)
+            scored.append(F.when(score.isNotNull(), F.struct(score.alias("score"), F.lit(-order).alias("order"), F.lit(rule.key).alias("type"))))
+            i += len(rule.patterns)
+        return F.array_max(F.filter(F.array(*scored), lambda x: x.isNotNull()))
+
+    # an array of one holds the places, so that every pattern is matched once
+    top = F.get(F.transform(F.array(starts), lambda found: F.coalesce(best(found), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("order"), F.lit(UNKNOWN).alias("type")))), F.lit(0))
+    return F.struct(top["type"].alias("type"), top["score"].alias("score"))
 
 
 def continuation(head: Column) -> Column:

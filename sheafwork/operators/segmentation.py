@@ -58,8 +58,8 @@ def cuts(marked: DataFrame) -> DataFrame:
 
 def mark_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """Pages (case_id, doc_id, global_no, text, conf) with what their headings say."""
-    head = heading(F.col("text"))
-    marked = pages.withColumn("_found", recognise(head, rules)).withColumn("_goes", continuation(head))
+    headed = pages.withColumn("_head", heading(F.col("text")))
+    marked = headed.withColumn("_found", recognise(F.col("_head"), rules)).withColumn("_goes", continuation(F.col("_head")))
     return marked.select("case_id", "doc_id", "global_no", "text", F.coalesce("conf", F.lit(0.0)).alias("conf"), "_found.type", "_found.score", "_goes.continues", "_goes.n", "_goes.m")
 
 

@@ -239,21 +239,25 @@ def _recognise_sql(head: str) -> str:
     return f"list_max(list_filter([{', '.join(scored)}], lambda x: x IS NOT NULL))"
 
 
+def headed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents with what their headings say."""
+    head = t.documents(spark, d).select(*columns, headings.heading(F.col("text")).alias("_head"))
+    return head.select(*columns, headings.recognise(F.col("_head"), RULES).alias("_f"))
+
+
 HEAD = upper_sql("array_to_string(list_slice(string_split(text, chr(10)), 1, 6), ' ' || chr(10))")
 
 
 @query("c1_c3_recognise", f"WITH h AS (SELECT doc_id, {HEAD} AS h FROM documents), b AS (SELECT doc_id, {_recognise_sql('h')} AS b FROM h) SELECT doc_id, coalesce(b.type, 'sin_clasificar') AS type, CAST(floor(coalesce(b.score, 0) * 1e6 + 0.5) AS BIGINT) AS score_e6 FROM b")
 def recognise(spark: SparkSession, d: str) -> DataFrame:
-    found = headings.recognise(headings.heading(F.col("text")), RULES)
-    return t.documents(spark, d).select("doc_id", found.alias("_f")).select("doc_id", "_f.type", F.floor(F.col("_f.score") * 1e6 + 0.5).alias("score_e6"))
+    return headed(spark, d, "doc_id").select("doc_id", "_f.type", F.floor(F.col("_f.score") * 1e6 + 0.5).alias("score_e6"))
 
 
 @query("p6_p10_types_by_language", f"""WITH h AS (SELECT lang, {HEAD} AS h FROM documents), b AS (SELECT lang, {_recognise_sql('h')} AS b FROM h), s AS (SELECT lang, coalesce(b.type, 'sin_clasificar') AS type, coalesce(b.score, 0) AS score FROM b)
 SELECT lang, type, CASE type {' '.join(f"WHEN '{r.key}' THEN '{r.label}'" for r in RULES)} ELSE type END AS label, CASE WHEN score >= 0.75 THEN 'alta' WHEN score >= 0.55 THEN 'media' ELSE 'baja' END AS level, count(*) AS n FROM s GROUP BY ALL""")
 def types_by_language(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: headings of all documents recognised by rules, counted by language, type and level."""
-    found = headings.recognise(headings.heading(F.col("text")), RULES)
-    rows = t.documents(spark, d).select("lang", found.alias("_f")).select("lang", "_f.type", tx.level(F.col("_f.score")).alias("level"))
+    rows = headed(spark, d, "lang").select("lang", "_f.type", tx.level(F.col("_f.score")).alias("level"))
     return headings.with_labels(rows.groupBy("lang", "type", "level").agg(F.count("*").alias("n")), RULES).drop("family")
 
 
@@ -276,8 +280,7 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c10_title_lines")
 def title_lines(spark: SparkSession, d: str) -> DataFrame:
-    head = headings.recognise(headings.heading(F.col("text")), RULES)
-    return t.documents(spark, d).select("doc_id", "text", head["type"].alias("_k")).select("doc_id", headings.title_line(F.col("text"), F.col("_k"), RULES).alias("title"))
+    return headed(spark, d, "doc_id", "text").select("doc_id", "text", F.col("_f.type").alias("_k")).select("doc_id", headings.title_line(F.col("text"), F.col("_k"), RULES).alias("title"))
 
 
 @query("u3_coverage", sql("pieces numbered_pages", "SELECT DISTINCT n.case_id, n.global_no FROM numbered_pages n JOIN pieces p ON p.case_id = n.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE p.active AND p.piece_id % 3 = 1"))

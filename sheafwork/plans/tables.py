@@ -20,11 +20,18 @@ RULES = [
 ]
 
 
-def table(name: str):
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(name: str, spread: bool = False):
+    """A reader of a table. With `spread`, one of fewer splits than there are cores is dealt out over all of them."""
 
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
-documents, conversations, events, orders, part, lineitem = map(table, ("documents", "conversations", "events", "orders", "part", "lineitem"))
+    return read
+
+
+documents, conversations = table("documents", spread=True), table("conversations", spread=True)
+events, orders, part, lineitem = map(table, ("events", "orders", "part", "lineitem"))
 
 
 def deliveries(spark: SparkSession, d: str) -> DataFrame:
