@@ -12,8 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of the data directory. A table of fewer splits than there are cores is dealt out over all of them; a large one is read as it is."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
