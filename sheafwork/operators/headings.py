@@ -50,11 +50,11 @@ def recognise(head: Column, rules: list[Rule]) -> Column:
             score = F.when(at <= NEAR, rule.weight).when(at.isNotNull(), rule.weight * FAR_FACTOR)
             scored.append(F.when(score.isNotNull(), F.struct(score.alias("score"), F.lit(-order).alias("order"), F.lit(rule.key).alias("type"))))
             i += len(rule.patterns)
-        return F.array_max(F.filter(F.array(*scored), lambda x: x.isNotNull()))
+        top = F.array_max(F.filter(F.array(*scored), lambda x: x.isNotNull()))
+        return F.struct(F.coalesce(top["type"], F.lit(UNKNOWN)).alias("type"), F.coalesce(top["score"], F.lit(0.0)).alias("score"))
 
     # an array of one holds the places, so that every pattern is matched once
-    top = F.get(F.transform(F.array(starts), lambda found: F.coalesce(best(found), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("order"), F.lit(UNKNOWN).alias("type")))), F.lit(0))
-    return F.struct(top["type"].alias("type"), top["score"].alias("score"))
+    return F.get(F.transform(F.array(starts), best), F.lit(0))
 
 
 def continuation(head: Column) -> Column:
@@ -66,10 +66,13 @@ def continuation(head: Column) -> Column:
 def title_line(text: Column, kind: Column, rules: list[Rule], lines: int = 6) -> Column:
     """The line that made the rule match (else the first one) as a sentence; null if there is none."""
     rows = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, lines)
-    pattern = F.create_map(*[F.lit(x) for r in rules for x in (r.key, "(?m)" + "|".join(f"(?:{p})" for p in r.patterns))])
-    wanted = F.element_at(pattern, kind)
-    found = F.filter(rows, lambda x: F.regexp_instr(F.upper(fold(x)), F.coalesce(wanted, F.lit("$^"))) > 0)
-    line = F.coalesce(F.get(found, F.lit(0)), F.get(rows, F.lit(0)))
+    line = F.lit(None).cast("string")
+    matching = lambda p: lambda x: F.upper(fold(x)).rlike(p)
+    for rule in rules:
+        # the pattern is a literal, so it is compiled once; only the branch of the row's own type is run
+        pattern = "(?m)" + "|".join(f"(?:{p})" for p in rule.patterns)
+        line = F.when(kind == rule.key, F.get(F.filter(rows, matching(pattern)), F.lit(0))).otherwise(line)
+    line = F.coalesce(line, F.get(rows, F.lit(0)))
     return F.nullif(sentence_case(line), F.lit(""))
 
 

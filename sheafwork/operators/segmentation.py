@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import find_date
+from ..plans.graph import cut
 from .headings import Rule, continuation, heading, recognise, title_line
 
 CUT, LONG, TEXT = 0.45, 40, 1200
@@ -73,8 +74,9 @@ def propose(pages: DataFrame, rules: list[Rule], covered: DataFrame | None = Non
     left = pages.where("text IS NOT NULL")
     if covered is not None:
         left = left.join(covered.select("case_id", "global_no"), ["case_id", "global_no"], "left_anti")
-    marked = mark_pages(left, rules)
-    placed = marked.join(cuts(marked), ["case_id", "doc_id", "global_no"])
+    marked = cut(mark_pages(left, rules).drop("text"))
+    keys = ["case_id", "doc_id", "global_no"]
+    placed = left.select(*keys, "text").join(marked.join(cuts(marked), keys), keys)
     first = F.min_by(F.struct("type", "score", "text"), "global_no")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_no", "text"))), lambda x: x["text"]), " ")
     grouped = placed.groupBy("case_id", "doc_id", "piece_no").agg(
