@@ -16,9 +16,9 @@ LINE = StructType([
 ])
 
 
-def page_lines(words: pd.DataFrame, limit: int | None) -> list[tuple]:
+def page_lines(words: list, limit: int | None) -> list[tuple]:
     """The lines of one page. Words are taken by (y0 to a tenth, x0); one joins the open line if its y0 is within 0.7 of the height of the line's last word (4 at least) of the line's first."""
-    rows = words.assign(_y=words["y0"].round(1)).sort_values(["_y", "x0", "ord"], kind="stable")
+    rows = sorted(words, key=lambda w: (round(w.y0, 1), w.x0, w.ord))
     out: list[tuple] = []
     held: list = []
 
@@ -26,7 +26,7 @@ def page_lines(words: pd.DataFrame, limit: int | None) -> list[tuple]:
         line = sorted(held, key=lambda w: w.x0)
         out.append((len(out), " ".join(w.text for w in line), min(w.x0 for w in line), min(w.y0 for w in line), max(w.x1 for w in line), max(w.y1 for w in line)))
 
-    for word in rows.itertuples(index=False):
+    for word in rows:
         if held and abs(word.y0 - held[0].y0) > 0.7 * max(4.0, held[-1].y1 - held[-1].y0):
             close()
             held = []
@@ -39,12 +39,26 @@ def page_lines(words: pd.DataFrame, limit: int | None) -> list[tuple]:
 
 
 def rebuild(words: DataFrame, limit: int | None = HEADER_LINES) -> DataFrame:
-    """Lines of each page from words (case_id, page_id, ord, text, x0, y0, x1, y1). A page's words fit in a group."""
+    """Lines of each page from words (case_id, page_id, ord, text, x0, y0, x1, y1).
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *line) for line in page_lines(rows, limit)], columns=LINE.names)
+    Pages are dealt over partitions and read in one pass that holds the words of one page.
+    """
 
-    return words.groupBy("case_id", "page_id").applyInPandas(run, LINE)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for rows in batches:
+            out: list[tuple] = []
+            for word in rows.itertuples(index=False):
+                if (word.case_id, word.page_id) != key:
+                    out += [(*key, *line) for line in page_lines(held, limit)] if held else []
+                    key, held = (word.case_id, word.page_id), []
+                held.append(word)
+            yield pd.DataFrame(out, columns=LINE.names)
+        if held:
+            yield pd.DataFrame([(*key, *line) for line in page_lines(held, limit)], columns=LINE.names)
+
+    columns = ["case_id", "page_id", "ord", "text", "x0", "y0", "x1", "y1"]
+    return words.select(*columns).repartition("case_id", "page_id").sortWithinPartitions("case_id", "page_id").mapInPandas(run, LINE)
 
 
 def inside(x: Column, y: Column, box: Column, margin: float = 0.0) -> Column:

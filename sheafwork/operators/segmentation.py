@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,40 +23,53 @@ def follows(n: int | None, m: int | None, last: tuple[int, int] | None) -> bool:
     return n is None or last is None or (m == last[1] and n == last[0] + 1)
 
 
-def cut_pages(pages: pd.DataFrame) -> list[int]:
-    """The number of the piece of each page of one document, in page order.
+class Cutter:
+    """Cuts the pages of a document, given one by one in page order.
 
     A page opens a piece if none is open, pages are missing before it, its counter starts anew or does
     not go on, or its heading is strong enough and it does not continue a piece of its own type.
     """
-    out: list[int] = []
-    previous = kind = last = None
-    for page in pages.itertuples(index=False):
-        counter = None if pd.isna(page.n) else (int(page.n), int(page.m))
-        n, m = counter or (None, None)
-        gap = previous is not None and page.global_no != previous + 1
-        goes_on = follows(n, m, last)
-        same = bool(page.continues) and previous is not None and not gap and page.type == kind and goes_on
-        restart = previous is not None and counter is not None and (n == 1 or not goes_on)
-        if previous is None or gap or restart or (page.score >= CUT and not same):
-            out.append(out[-1] + 1 if out else 0)
-            kind, last = page.type, counter
+
+    def __init__(self):
+        self.piece, self.previous, self.kind, self.last = -1, None, None, None
+
+    def step(self, global_no: int, kind: str, score: float, continues: bool, n: float, m: float) -> int:
+        """The number of the page's piece."""
+        counter = None if n is None or n != n else (int(n), int(m))
+        open_ = self.previous is not None
+        gap = open_ and global_no != self.previous + 1
+        goes_on = follows(*(counter or (None, None)), self.last)
+        same = continues and open_ and not gap and kind == self.kind and goes_on
+        restart = open_ and counter is not None and (counter[0] == 1 or not goes_on)
+        if not open_ or gap or restart or (score >= CUT and not same):
+            self.piece += 1
+            self.kind, self.last = kind, counter
         else:
-            out.append(out[-1])
-            last = counter or last
-        previous = page.global_no
-    return out
+            self.last = counter or self.last
+        self.previous = global_no
+        return self.piece
 
 
 def cuts(marked: DataFrame) -> DataFrame:
-    """The piece of each page (case_id, doc_id, global_no, type, score, continues, n, m). Pieces never cross documents, so each document is cut by itself."""
+    """The piece of each page (case_id, doc_id, global_no, type, score, continues, n, m).
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("global_no")
-        return pd.DataFrame({"case_id": rows["case_id"], "doc_id": rows["doc_id"], "global_no": rows["global_no"], "piece_no": cut_pages(rows)})
-
-    slim = marked.select("case_id", "doc_id", "global_no", "type", "score", "continues", "n", "m")
-    return slim.groupBy("case_id", "doc_id").applyInPandas(run, CUTS)
+    Pieces never cross documents: documents are dealt over partitions, sorted by page, and read in one
+    pass that holds no more than the open piece.
+    """
+    columns = ["case_id", "doc_id", "global_no", "type", "score", "continues", "n", "m"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, cutter = None, Cutter()
+        for rows in batches:
+            pieces = []
+            for case, doc, *page in zip(*[rows[c] for c in columns], strict=True):
+                if (case, doc) != key:
+                    key, cutter = (case, doc), Cutter()
+                pieces.append(cutter.step(*page))
+            yield rows[["case_id", "doc_id", "global_no"]].assign(piece_no=pieces)
+
+    dealt = marked.select(*columns).repartition("case_id", "doc_id").sortWithinPartitions("case_id", "doc_id", "global_no")
+    return dealt.mapInPandas(run, CUTS)
 
 
 def mark_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import checklist, decisions, headings, lineage, numbering, persons, registration, report, search, segmentation, similarity
+from ..operators import checklist, decisions, headings, lineage, lines, numbering, persons, registration, report, search, segmentation, similarity
 from . import tables as t
 from .tables import RULES, sql
 
@@ -206,6 +206,57 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return numbering.candidates(words, pages).select("global_no", "ord", "zone", "num")
 
 
+def word_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Words of pages from line items: an order is a page, a line item a word."""
+    x, y = (F.col("l_partkey") % 500).cast("double"), ((F.col("l_suppkey") * 37) % 800).cast("double")
+    return t.lineitem(spark, d).select(F.lit("k").alias("case_id"), F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("w"), "l_partkey").alias("text"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 10).alias("y1"), (F.col("l_discount") * 10).cast("double").alias("conf"))
+
+
+@query("w3_lines")
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.rebuild(word_boxes(spark, d), limit=None)
+
+
+@query("p11_images_to_read", """WITH w AS (SELECT l_orderkey AS p, l_partkey % 500 + 20.0 AS cx, (l_suppkey * 37) % 800 + 5.0 AS cy FROM lineitem),
+i AS (SELECT o_orderkey AS p, o_orderkey % 400 AS x0, o_orderkey % 300 AS y0, least(595.0, o_orderkey % 400 + 300.0) AS x1, least(842.0, o_orderkey % 300 + o_custkey % 500) AS y1 FROM orders WHERE o_orderkey % 3 = 0),
+h AS (SELECT i.p, (x1 - x0) * (y1 - y0) / (595.0 * 842.0) AS share, count(w.p) AS n FROM i LEFT JOIN w ON w.p = i.p AND w.cx BETWEEN x0 AND x1 AND w.cy BETWEEN y0 AND y1 GROUP BY ALL)
+SELECT o_orderkey AS page_id, coalesce((share >= 0.15 AND n < 5) OR share >= 0.5, FALSE) AS needs_reading FROM orders LEFT JOIN h ON h.p = o_orderkey""")
+def images_to_read(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pages = t.orders(spark, d).select(F.lit("k").alias("case_id"), k.alias("page_id"), F.lit(595.0).alias("width_pt"), F.lit(842.0).alias("height_pt"))
+    images = t.orders(spark, d).where(k % 3 == 0).select(F.lit("k").alias("case_id"), k.alias("page_id"), F.lit(0).alias("image_no"), (k % 400).cast("double").alias("x0"), (k % 300).cast("double").alias("y0"), (k % 400 + 300).cast("double").alias("x1"), (k % 300 + F.col("o_custkey") % 500).cast("double").alias("y1"))
+    return lines.images_to_read(images, word_boxes(spark, d), pages).select("page_id", "needs_reading")
+
+
+@query("c13_merged_readings", """WITH w AS (SELECT l_orderkey AS p, l_linenumber AS k, l_partkey % 500 AS x, (l_suppkey * 37) % 800 AS y FROM lineitem), n AS (SELECT * FROM w WHERE k <= 3),
+e AS (SELECT r.p, count(*) AS extra FROM w r WHERE r.k > 2 AND NOT EXISTS (SELECT 1 FROM n WHERE n.p = r.p AND r.x + 20 BETWEEN n.x - 2 AND n.x + 42 AND r.y + 5 BETWEEN n.y - 2 AND n.y + 12) GROUP BY 1), c AS (SELECT p, count(*) AS native FROM n GROUP BY 1)
+SELECT p AS page_id, coalesce(native, 0) + coalesce(extra, 0) AS words FROM c FULL JOIN e USING (p)""")
+def merged_readings(spark: SparkSession, d: str) -> DataFrame:
+    boxes = word_boxes(spark, d)
+    ink = boxes.select("case_id", "page_id", F.lit(0.0).alias("unread_ink")).distinct()
+    words, _ = lines.merge_readings(boxes.where("ord <= 3"), boxes.where("ord > 2"), ink)
+    return words.groupBy("page_id").agg(F.count("*").alias("words"))
+
+
+@query("c14_chosen_readings", """WITH r AS (SELECT l_orderkey AS p, l_linenumber - 1 AS pref, l_partkey % 101 AS c FROM lineitem), b AS (SELECT p, c FROM r WHERE pref = 0), f AS (SELECT r.p, min(pref) AS pref FROM r JOIN b USING (p) WHERE pref > 0 AND r.c > b.c + 12 GROUP BY 1)
+SELECT b.p AS page_id, coalesce(f.pref, 0) AS pref FROM b LEFT JOIN f USING (p)""")
+def chosen_readings(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.lineitem(spark, d).select(F.lit("k").alias("case_id"), F.col("l_orderkey").alias("page_id"), (F.col("l_linenumber") - 1).alias("pref"), F.lit(0).alias("rotation"), (F.col("l_partkey") % 101).cast("double").alias("conf"))
+    return lines.choose_reading(rows, gain=12.0).select("page_id", "pref")
+
+
+@query("c17_read_routes", "SELECT o_orderkey AS page_id, CASE WHEN o_custkey % 3 > 0 AND o_orderkey % 4 <> 0 THEN 'nativo' WHEN o_custkey % 3 > 0 AND o_orderkey % 8 <> 0 THEN 'mixta' ELSE 'ocr' END AS route, o_custkey % 100 < 75 AND o_orderkey % 2 = 0 AS may_turn FROM orders")
+def read_routes(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders(spark, d).select(k.alias("page_id"), lines.route(c % 3, k % 4 == 0, k % 8 == 0).alias("route"), lines.may_turn((c % 100) / 100.0, k % 2 == 0).alias("may_turn"))
+
+
+@query("g9_g10_page_confidence", "SELECT l_orderkey AS page_id, CAST(floor(min(l_discount) * 1e6 + 0.5) AS BIGINT) AS worst_e6, CAST(floor(avg(l_discount) * 1e6 + 0.5) AS BIGINT) AS mean_e6 FROM lineitem GROUP BY 1")
+def page_confidence(spark: SparkSession, d: str) -> DataFrame:
+    e6 = lambda c: F.floor(c * 1e6 + 0.5)
+    return t.lineitem(spark, d).groupBy(F.col("l_orderkey").alias("page_id")).agg(e6(F.min("l_discount").cast("double")).alias("worst_e6"), e6(F.avg(F.col("l_discount").cast("double"))).alias("mean_e6"))
+
+
 @query("w8_discontinuous", sql("pieces numbered_pages", """WITH s AS (SELECT p.case_id, p.piece_id, n.global_no, n.num, n.num - lag(n.num) OVER w AS dn, n.global_no - lag(n.global_no) OVER w AS dp
   FROM pieces p JOIN numbered_pages n ON n.case_id = p.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE n.num IS NOT NULL WINDOW w AS (PARTITION BY p.case_id, p.piece_id ORDER BY n.global_no)),
 f AS (SELECT case_id, piece_id, bool_or(coalesce(dn < 0 OR dn > dp, FALSE)) AS bad FROM s GROUP BY 1, 2) SELECT p.case_id, p.piece_id, coalesce(bad, FALSE) AS discontinuous FROM pieces p LEFT JOIN f USING (case_id, piece_id)"""))
