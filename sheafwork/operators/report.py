@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import date_words, roman
+from ..plans.graph import cut
 from .checklist import included
 from .lineage import tainted
 
@@ -109,7 +110,7 @@ def assemble(view: DataFrame, criterion: str = "manual", headings: bool = True,
     new = F.coalesce(F.lag("_g.key").over(case) != F.col("_g.key"), F.lit(True)) if grouped else F.lit(False)
     rows = rows.withColumn("_new", new).withColumn("_s", F.sum(F.col("_new").cast("int")).over(case.rowsBetween(Window.unboundedPreceding, 0)))
     within = F.row_number().over(Window.partitionBy("case_id", "_s").orderBy("_n")) if grouped and numbering == "por_grupo" else F.col("_n")
-    rows = rows.withColumn("_number", within)
+    rows = cut(rows.withColumn("_number", within))
     place = F.col("_n") * 2
     pieces = rows.select("case_id", place.alias("_at"), F.lit("pieza").alias("kind"), "piece_id", F.lit(None).cast("string").alias("section"), F.concat(F.col("_number").cast("string"), F.lit(".-")).alias("number"), paragraph(template, confirmed).alias("text"))
     heads = rows.where("_new").select("case_id", (place - 1).alias("_at"), F.lit("encabezado").alias("kind"), F.lit(None).cast("long").alias("piece_id"), F.col("_g.key").alias("section"), F.concat(roman(F.col("_s")), F.lit(".-")).alias("number"), F.upper("_g.heading").alias("text"))
@@ -191,6 +192,6 @@ def backup(cases: DataFrame, documents: DataFrame, pieces: DataFrame, log: DataF
     return out.select("case_id", F.to_json(F.struct(*out.columns)).alias("json"))
 
 
-def file_name(file_no: Column, extension: str) -> Column:
-    """`punteo-<number>.<extension>`, slashes as hyphens and without spaces."""
-    return F.concat(F.lit("punteo-"), F.replace(F.replace(file_no, F.lit("/"), F.lit("-")), F.lit(" "), F.lit("")), F.lit(f".{extension}"))
+def file_name(file_no: Column, extension: str, prefix: str = "listado") -> Column:
+    """`<prefix>-<number>.<extension>`, slashes as hyphens and without spaces."""
+    return F.concat(F.lit(f"{prefix}-"), F.replace(F.replace(file_no, F.lit("/"), F.lit("-")), F.lit(" "), F.lit("")), F.lit(f".{extension}"))

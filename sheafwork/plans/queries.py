@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import checklist, decisions, headings, lineage, lines, numbering, persons, registration, report, search, segmentation, similarity
 from . import tables as t
+from .graph import cut
 from .tables import RULES, sql
 
 QUERIES: dict = {}
@@ -684,7 +685,7 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
 def report_view(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d)
     marked = numbering.discontinuous(rows, t.numbered_pages(spark, d)).withColumn("process_type", F.when(F.col("case_id") == "e0", "abreviado").otherwise("remision"))
-    return headings.with_labels(marked, RULES).withColumn("group_heading", F.lit(None).cast("string"))
+    return cut(headings.with_labels(marked, RULES).withColumn("group_heading", F.lit(None).cast("string")))
 
 
 DISC = """disc AS (SELECT case_id, piece_id, bool_or(coalesce(dn < 0 OR dn > dp, FALSE)) AS bad FROM (SELECT p.case_id, p.piece_id, n.num - lag(n.num) OVER w AS dn, n.global_no - lag(n.global_no) OVER w AS dp
@@ -764,7 +765,7 @@ def paragraph_edits(spark: SparkSession, d: str) -> DataFrame:
 @query("s7_report_texts")
 def report_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = report.assemble(report_view(spark, d), "grupos")
-    return report.text_of(rows, rows.select("case_id", F.concat(F.lit("PUNTEO "), "case_id").alias("title")).distinct())
+    return report.text_of(rows, rows.select("case_id", F.concat(F.lit("LISTADO "), "case_id").alias("title")).distinct())
 
 
 @query("s8_backups")
@@ -774,7 +775,7 @@ def backups(spark: SparkSession, d: str) -> DataFrame:
     return report.backup(pieces.select("case_id").distinct(), docs, pieces, t.log(spark, d))
 
 
-@query("s9_file_names", "SELECT p_partkey, concat('punteo-', replace(replace(concat('N/', p_partkey, ' ', p_name), '/', '-'), ' ', ''), '.txt') AS name FROM part")
+@query("s9_file_names", "SELECT p_partkey, concat('listado-', replace(replace(concat('N/', p_partkey, ' ', p_name), '/', '-'), ' ', ''), '.txt') AS name FROM part")
 def file_names(spark: SparkSession, d: str) -> DataFrame:
     return t.part(spark, d).select("p_partkey", report.file_name(F.concat(F.lit("N/"), "p_partkey", F.lit(" "), "p_name"), "txt").alias("name"))
 
