@@ -125,6 +125,16 @@ def may_undo(edges: DataFrame, pieces: DataFrame, roots: DataFrame) -> DataFrame
     return roots.join(busy, ["case_id", "root"], "left").select("case_id", "root", F.col("_busy").isNull().alias("allowed"))
 
 
+def may_restore(edges: DataFrame, pieces: DataFrame, log: DataFrame) -> DataFrame:
+    """Pieces that are off (case_id, piece_id) with whether they may be restored: a person discarded them last, and nothing that came from them is active."""
+    from .lineage import last_switch
+
+    off = pieces.where("NOT active").select("case_id", "piece_id")
+    discarded = last_switch(log).select("case_id", "piece_id", (F.col("field") == "descarte").alias("_discarded"))
+    free = may_undo(edges, pieces, off.select("case_id", F.col("piece_id").alias("root"))).withColumnRenamed("root", "piece_id")
+    return off.join(discarded, ["case_id", "piece_id"], "left").join(free, ["case_id", "piece_id"]).select("case_id", "piece_id", (F.coalesce("_discarded", F.lit(False)) & F.col("allowed")).alias("allowed"))
+
+
 def settings(log: DataFrame) -> DataFrame:
     """The last value of each key: log of seq, case_id, k, v."""
     return log.groupBy("case_id", "k").agg(F.max_by(F.struct("v"), "seq").alias("_l")).select("case_id", "k", "_l.v")

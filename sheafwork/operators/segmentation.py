@@ -127,3 +127,15 @@ def untouched(pieces: DataFrame, log: DataFrame, people: DataFrame, tags: DataFr
     for other in (log, people, tags, pairs):
         free = free.join(other.select("case_id", "piece_id"), ["case_id", "piece_id"], "left_anti")
     return free
+
+
+def retire(free: DataFrame) -> DataFrame:
+    """Log rows that switch untouched proposals off, so that their pages are proposed anew; pieces that anybody touched are not among them."""
+    return free.select("case_id", "piece_id", F.lit("rehacer_deteccion").alias("field"), F.lit("1").alias("old"), F.lit("0").alias("new"))
+
+
+def redo(pieces: DataFrame, pages: DataFrame, rules: list[Rule], free: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Log rows that retire `free` proposals, and new proposals for the pages that no other piece (with `stands`) covers."""
+    kept = pieces.join(free.select("case_id", "piece_id"), ["case_id", "piece_id"], "left_anti")
+    covered = coverage(kept, pages)
+    return retire(free), accept(propose(pages, rules, covered), covered)

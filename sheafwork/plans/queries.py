@@ -357,6 +357,11 @@ def untouched(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.untouched(full_pieces(spark, d), log.where("seq % 2 = 0"), links.where("seq % 5 = 0"), t.tag_log(spark, d).where("seq < 0"), pairs).select("case_id", "piece_id")
 
 
+@query("c12_redo", ORACLES["p8_untouched"].replace("SELECT case_id, piece_id FROM pieces p", "SELECT case_id, piece_id, 'rehacer_deteccion' AS field, '1' AS old, '0' AS new FROM pieces p"))
+def redo(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.retire(untouched(spark, d))
+
+
 # --- similarity and persons -------------------------------------------------------------------------
 
 
@@ -672,6 +677,13 @@ def may_undo(spark: SparkSession, d: str) -> DataFrame:
     return decisions.may_undo(t.edges(spark, d), pieces, pieces.select("case_id", F.col("piece_id").alias("root"))).select("root", "allowed")
 
 
+@query("e10_may_restore", sql("edges order_pieces", UP + ", busy AS (SELECT DISTINCT up.node AS root FROM up JOIN order_pieces p ON p.piece_id = up.root WHERE p.active) SELECT p.piece_id, p.piece_id % 6 = 0 AND b.root IS NULL AS allowed FROM order_pieces p LEFT JOIN busy b ON b.root = p.piece_id WHERE NOT p.active", recursive=True))
+def may_restore(spark: SparkSession, d: str) -> DataFrame:
+    pieces = t.order_pieces(spark, d)
+    log = pieces.select(F.lit(1).alias("seq"), "case_id", "piece_id", F.when(F.col("piece_id") % 6 == 0, "descarte").otherwise("union").alias("field"))
+    return decisions.may_restore(t.edges(spark, d), pieces, log).select("piece_id", "allowed")
+
+
 @query("e1_validated", sql("edges order_pieces", UP + """, bad AS (SELECT DISTINCT root FROM up JOIN order_pieces p ON p.piece_id = up.node WHERE p.state = 'excluida')
 SELECT p.piece_id, CASE WHEN NOT p.active THEN 'inactiva' WHEN p.state = 'incluida' THEN 'sin_cambio' WHEN b.root IS NOT NULL THEN 'procedencia_excluida' ELSE 'aceptada' END AS outcome FROM order_pieces p LEFT JOIN bad b ON b.root = p.piece_id""", recursive=True))
 def validated(spark: SparkSession, d: str) -> DataFrame:

@@ -214,3 +214,13 @@ def test_settle_is_independent_of_partitioning(spark, sf):
     found = numbering.runs(tables.readings(spark, sf))
     a, b = (sorted(map(tuple, numbering.settle(x).collect())) for x in (found, found.repartition(7)))
     assert a == b and isinstance(pd.DataFrame(a), pd.DataFrame)
+
+
+def test_redo_proposes_only_what_nobody_touched(spark):
+    table = pages(spark, ["ACTA uno", "mas", "ACTA dos", "PERICIA"])
+    schema = "case_id string, piece_id long, doc_id long, page_start long, page_end long, stands boolean"
+    pieces = spark.createDataFrame([("c", 1, 0, 1, 2, True), ("c", 2, 0, 3, 3, True), ("c", 3, 0, 4, 4, True)], schema)
+    free = pieces.where("piece_id <> 2").select("case_id", "piece_id")
+    events, fresh = segmentation.redo(pieces, table, RULES, free)
+    assert {r.piece_id for r in events.collect()} == {1, 3}
+    assert sorted((r.page_start, r.page_end) for r in fresh.collect()) == [(1, 2), (4, 4)]
