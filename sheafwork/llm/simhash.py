@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -91,6 +91,13 @@ def grid_links(prints: DataFrame) -> DataFrame:
     return written.join(roots, "word").where("print <> lo").select(F.col("print").alias("a"), F.col("lo").alias("b")).distinct()
 
 
+def _rooted(marked: DataFrame) -> DataFrame:
+    """print, _root, _first for each distinct fingerprint of `marked`: its component's smallest fingerprint, and its own smallest doc_id."""
+    firsts = marked.groupBy("print").agg(F.min("doc_id").alias("_first"))
+    joined = components(grid_links(firsts.select("print")))
+    return firsts.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("_root", F.coalesce("component", "print"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
@@ -99,23 +106,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and is never a component's id unless all of its ids are null. Repeated rows are kept. No rows give none.
     """
     marked = cut(docs.select("doc_id", fingerprints("text").alias("print")))
-    firsts = marked.groupBy("print").agg(F.min("doc_id").alias("_first"))
-    joined = components(grid_links(firsts.select("print")))
-    rooted = firsts.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("_root", F.coalesce("component", "print"))
+    rooted = _rooted(marked)
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = rooted.select("print", "_root").join(least, "_root").select("print", "component_id")
     return marked.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their group of near-duplicates: its smallest doc_id, once.
+    """The rows that stand for their group of near-duplicates, one for each group whatever ids it has.
 
-    Of rows that repeat that id the one with the smallest text stays. A group of null ids keeps one row.
+    The row with the smallest doc_id stays, one without an id only where no row of the group has any; of
+    rows that share that id the one with the smallest digest of the text. Rows equal in both differ in
+    other columns at most and become one before any text is shuffled.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    groups = near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("_keep")).select(key("_keep").alias("_row"))
-    kept = docs.withColumn("_row", key("doc_id")).join(groups, "_row", "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("text"))).where("_nth = 1").select(docs.columns)
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "_digest": F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("none"))}
+    marked = cut(docs.select("doc_id", fingerprints("text").alias("print"), *[c.alias(k) for k, c in keys.items()]))
+    order = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_digest")
+    firsts = marked.groupBy("print").agg(F.min(order).alias("_keep"))
+    groups = firsts.join(_rooted(marked).select("print", "_root"), "print").groupBy("_root").agg(F.min("_keep").alias("_keep"))
+    kept = groups.select(F.coalesce(F.col("_keep.doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("_keep._digest").alias("_digest"))
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.struct(*docs.columns).alias("_row"), rest.alias("_rest"))
+    return rows.groupBy(*keys).agg(F.min_by("_row", "_rest").alias("_row")).join(kept, [*keys], "left_semi").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

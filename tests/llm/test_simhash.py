@@ -87,3 +87,12 @@ def test_one_of_each_keeps_columns_and_one_row(odd):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and 6 not in ids and 3 not in ids and 2 in ids
     assert ids.count(None) == 1  # "no id here" has a group of its own
+
+
+def test_one_of_each_goes_by_groups_and_not_by_ids(spark, odd, docs):
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(odd).collect()]
+    assert (None, "no id here") in kept and (None, None) not in kept and (2, None) in kept
+    a, b, c = ("the first text of all", "quite another matter here", "and a third one that has words")
+    table = docs([(None, a, "en", "s"), (None, a, "en", "s"), (None, b, "en", "s"), (7, b, "en", "s"), (4, c, "en", "s"), (4, "unlike the other text of four", "en", "s"), (9, c, "en", "s")])
+    want = [(None, a), (4, c), (4, "unlike the other text of four"), (7, b)]
+    assert sorted(((r.doc_id, r.text) for r in simhash.one_of_each(table).collect()), key=str) == sorted(want, key=str)
