@@ -136,16 +136,19 @@ def fit(windows: list[bytes], labels: list[int], languages: tuple[str, ...], see
 def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list:
     """(lang, window) of up to `sample` documents of each language that are not held out, smallest hash of the id first.
 
-    The window starts at a place hashed from the id, so it can lie anywhere in the text.
+    The window starts at a place hashed from the id, so it can lie anywhere in the text. Of rows that
+    repeat an id in one language the one with the smallest hash of its text counts, before anything is collected.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out("doc_id", PARTS, HELD) & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample / n)))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long")) + 1
-    chosen = rows.where(drawn < F.element_at(rates, F.col("lang"))).select("lang", F.substring(F.col("text"), start.cast("int"), F.lit(WINDOW)).alias("window"), drawn.alias("_drawn"))
+    window = F.struct(F.xxhash64("text"), F.substring(F.col("text"), start.cast("int"), F.lit(WINDOW)).alias("window"))
+    drawn_rows = rows.where(drawn < F.element_at(rates, F.col("lang"))).select("lang", "doc_id", drawn.alias("_drawn"), window.alias("_window"))
+    chosen = drawn_rows.groupBy("lang", "doc_id").agg(F.min("_drawn").alias("_drawn"), F.min("_window").alias("_window")).select("lang", "_drawn", "_window.window")
     taken: dict[str, list] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r.lang, r._drawn, r.window)):
         if len(taken.setdefault(r.lang, [])) < sample:

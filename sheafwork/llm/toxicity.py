@@ -96,11 +96,14 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(label, text) of at most `sample` labelled documents that are not held out, those with the smallest hash of their id.
 
-    Null labels do not count; of several labels of a document the largest does.
+    Null labels do not count; of several labels of a document the largest does. Of rows that repeat an id
+    the one with the smallest hash of its text counts, so no more than `sample` rows are trained on.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id", PARTS, HELD)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_order", F.struct(F.xxhash64("text"), "text"))
+    one = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("_order").alias("_order")).select("label", "_order.text")
+    return one.repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def choose_features(rows: DataFrame, keep: int = FEATURES, least: int = LEAST_DOCUMENTS) -> dict[str, float]:

@@ -54,3 +54,10 @@ def test_held_out_accuracy_and_odd_rows(spark, odd):
     empty = docs.limit(0)
     assert lang.train(empty) is None and lang.identify(empty).collect() == []
     assert {r.lang_pred for r in lang.identify(docs.withColumn("lang", docs.lang.substr(9, 0)).where("lang IS NULL")).collect()} == set()
+
+
+def test_a_repeated_id_gives_one_window(docs):
+    once = [(i, f"some text number {i}", "en", "s") for i in range(30)]
+    one = sorted(lang.training_windows(docs(once)))
+    many = lang.training_windows(docs(once + [(i, f"some other text {n}", "en", "s") for i in range(30) for n in range(20)]))
+    assert 20 < len(one) == len(many) <= 30

@@ -49,3 +49,12 @@ def test_odd_rows(spark, odd):
     assert {r.score for r in rows if r.doc_id in (2, 3, 4)} == {0.0}
     assert toxicity.clean(odd, labels.limit(0)).count() == odd.count()
     assert toxicity.score_documents(odd.limit(0), labels).collect() == []
+
+
+def test_a_repeated_id_is_one_training_row(docs, spark):
+    ids = [i for i in range(40)]
+    table = docs([(i, f"text {i}", "en", "s") for i in ids] + [(i, f"again {n}", "en", "s") for i in ids for n in range(5)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    known = toxicity.training_rows(table.where("text LIKE 'text%'"), labels).count()
+    assert 20 < known < 40 and toxicity.training_rows(table, labels).count() == known
+    assert toxicity.training_rows(table, labels, sample=7).count() == 7
