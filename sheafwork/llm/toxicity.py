@@ -12,6 +12,7 @@ ridge towards these, and goes on by full-batch Adam.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -107,7 +108,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def choose_features(rows: DataFrame, keep: int = FEATURES, least: int = LEAST_DOCUMENTS) -> dict[str, float]:
-    """The features most associated with toxic documents, by the likelihood ratio of their document counts, with their log-odds."""
+    """The features most associated with toxic documents, by the likelihood ratio of their document counts, with their log-odds.
+
+    Where the sample is too small for any feature to reach both bounds, those count that are in a quarter of the
+    toxic documents (two at least, `least` at most) and have half the best one's ratio or more.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -128,9 +133,16 @@ def choose_features(rows: DataFrame, keep: int = FEATURES, least: int = LEAST_DO
     share = (a + b) / (n1 + n0)
     part = lambda k, n: k * F.ln(F.greatest(k, F.lit(0.5)) / (n * share)) + (n - k) * F.ln(F.greatest(n - k, F.lit(0.5)) / F.greatest(n * (1 - share), F.lit(0.5)))
     totals = rows.mapInPandas(count, COUNTS).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    best = totals.where((a >= least) & (a / n1 > b / n0)).withColumn("ratio", part(a, F.lit(n1)) + part(b, F.lit(n0)))
     odds = F.ln((a + 0.5) / (n1 + 1)) - F.ln((b + 0.5) / (n0 + 1))
-    rows = best.where(F.col("ratio") > LEAST_RATIO).withColumn("odds", odds).orderBy(F.desc("ratio"), "feature").limit(keep).collect()
+
+    def best(bound: int, ratio: float) -> list:
+        told = totals.where((a >= bound) & (a / n1 > b / n0)).withColumn("ratio", part(a, F.lit(n1)) + part(b, F.lit(n0)))
+        return told.where(F.col("ratio") > ratio).withColumn("odds", odds).orderBy(F.desc("ratio"), "feature").limit(keep).collect()
+
+    rows = best(least, LEAST_RATIO)
+    if not rows:
+        rows = best(min(least, max(2, math.ceil(n1 / 4))), 0.0)
+        rows = [r for r in rows if r.ratio >= rows[0].ratio / 2]
     return {r.feature: r.odds for r in sorted(rows, key=lambda r: (-r.odds, -len(r.feature), r.feature))}
 
 
@@ -181,7 +193,7 @@ def fit(found: list, odds: dict[str, float]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from a bounded sample; without labels of both classes it scores 0 everywhere."""
+    """A model from a bounded sample; without labels of both classes, or a feature that two toxic documents share, it scores 0 everywhere."""
     rows = training_rows(docs, labels, sample)
     odds = choose_features(rows)
     if not odds:

@@ -58,3 +58,12 @@ def test_a_repeated_id_is_one_training_row(docs, spark):
     known = toxicity.training_rows(table.where("text LIKE 'text%'"), labels).count()
     assert 20 < known < 40 and toxicity.training_rows(table, labels).count() == known
     assert toxicity.training_rows(table, labels, sample=7).count() == 7
+
+
+def test_few_toxic_labels_still_reject(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [r for r in toxicity.score_documents(docs, labels).collect() if r.doc_id in truth]
+    assert sum(r.predicted for r in rows if truth[r.doc_id] == 1) >= 5
+    assert sum(r.predicted for r in rows if truth[r.doc_id] == 0) <= 1
