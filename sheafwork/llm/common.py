@@ -11,24 +11,47 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A table of fewer bytes than this for each core is dealt out over all cores before Python works on it.
+SMALL_SPLIT = 16 << 20
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle gets whose rows grow afterwards: those of other shuffles, and one for each core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the data directory. A table of fewer splits than there are cores is dealt out over all of them; a large one is read as it is."""
+    """One table of the data directory. A small one (`SMALL_SPLIT` bytes a core, by the plan's own estimate) may have few splits and is dealt out over all cores; others are read as they are."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if plan_bytes(df) < cores * SMALL_SPLIT else df
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The size of a table as the optimiser estimates it, without running anything."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where nothing is set (local tests) a temporary folder becomes the checkpoint folder.
+    Where nothing is set a temporary folder becomes the checkpoint folder, with a local master only:
+    executors elsewhere could not see it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sheafwork-"))
     return named or sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of intermediate results taken away, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder, so that later steps neither recompute it nor depend on executors."""
     shared_dir(df.sparkSession)

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, print string, bucket string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, print string, bucket string, _score string, _row string, _stats string, _id string, point string"
 
 
 @pytest.fixture
@@ -8,7 +8,7 @@ def docs(spark):
     """A maker of document tables with extra columns whose names clash with the operators' own."""
 
     def make(rows):
-        full = [(i, t, lang, src, len(t or ""), "x", "y", "z", "w") for i, t, lang, src in rows]
+        full = [(i, t, lang, src, len(t or ""), *"xyzwabcde") for i, t, lang, src in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make
