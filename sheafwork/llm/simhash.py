@@ -1,14 +1,16 @@
 """SimHash near-duplicates.
 
 A fingerprint has a bit set where over half of the hashes of the text's word shingles have it. The 64
-bits are cut into segments and each fingerprint becomes the vector of its segments' bit counts. The
-Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so
+bits are cut into segments of two and each fingerprint becomes the vector of its segments' bit counts.
+The Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so
 fingerprints at most 2 bits apart lie at most 2 apart on the grid of count vectors and share a grid
-point within 1 of both. The range join therefore puts each fingerprint on its own grid point and the
-points next to it; points with one fingerprint are dropped. What is left is verified exactly: two
-fingerprints differ in at most 2 bits if and only if some 64-bit word is within one bit of both, and all
-such words with the grid point's counts are written out beside it. Fingerprints that share a word are
-linked to the smallest one there, which keeps the number of links linear where a group is dense.
+point within 1 of both. The range join puts each fingerprint on its own grid point and the points next
+to it, joins those that share a point, and verifies every such pair by the number of bits that differ.
+
+A point that many distinct fingerprints share (`DENSE`) is not expanded into pairs. There verification
+goes by words: two fingerprints differ in at most 2 bits if and only if some 64-bit word is within one
+bit of both. The words with the point's counts are written out, and fingerprints that share one are
+linked to the smallest, so the links of a dense point grow with its size and none is lost.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut, read_table
+from .common import cut, partitions, read_table
 from .components import components
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 16
-WIDTH = 64 // SEGMENTS
-#: Bits of a packed count; a segment's count is at most WIDTH.
-PACK = 3
+#: The radius of a link: the grid covers exactly this many bits.
+RADIUS = 2
+#: Segments have two bits: with so many counts hardly any two random fingerprints of billions lie within 2 on the grid.
+SEGMENTS = 32
+LOW_BITS = 0x5555555555555555
+#: Distinct fingerprints on a grid point up to which all of its pairs are compared.
+DENSE = 64
 BLOCK = 1 << 15
 
 
@@ -59,41 +64,59 @@ def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).view(np.int64))
 
 
-def _segment(word: Column, j: int) -> Column:
-    return F.shiftrightunsigned(word, j * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def segment_counts(word: Column) -> Column:
+    """The bit counts of a word's two-bit segments, packed into two bits each."""
+    half = F.shiftrightunsigned(word, 1)
+    one = word.bitwiseXOR(half).bitwiseAND(F.lit(LOW_BITS))
+    two = word.bitwiseAND(half).bitwiseAND(F.lit(LOW_BITS))
+    return one.bitwiseOR(F.shiftleft(two, 1))
 
 
-def grid_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column `print`) at most 2 bits apart.
+def grid_points(prints: DataFrame) -> DataFrame:
+    """print, step, point: every fingerprint (column `print`) on its own grid point (step 0) and on those one count away.
 
-    Not all such pairs, but enough that two fingerprints are joined by links exactly if they are by pairs.
+    Step 1 + 2j raises the count of segment j, step 2 + 2j lowers it.
     """
-    p = F.col("print")
-    counts = [F.bit_count(_segment(p, j)).cast("long") for j in range(SEGMENTS)]
-    own = sum((F.shiftleft(c, PACK * j) for j, c in enumerate(counts)), F.lit(0).cast("long"))
-    points = prints.select(p, own.alias("own")).withColumn(
-        "_step", F.explode(F.array(*[F.lit(s) for s in range(2 * SEGMENTS + 1)]))
-    )
-    # step 0 is the fingerprint's own point; step 1+2j raises segment j's count and step 2+2j lowers it
-    raises = (F.col("_step") % 2) == 1
-    at = F.expr(f"shiftrightunsigned(own, shiftright(_step - 1, 1) * {PACK}) & {(1 << PACK) - 1}")
-    unit = F.expr(f"shiftleft(1L, shiftright(_step - 1, 1) * {PACK})")
-    point = F.when(F.col("_step") == 0, F.col("own")).when(raises & (at < WIDTH), F.col("own") + unit).when(~raises & (at > 0), F.col("own") - unit)
-    points = points.select("print", "_step", point.alias("point")).where("point IS NOT NULL")
-    shared = points.groupBy("point").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi").select("point")
-    near = points.join(shared, "point", "left_semi")
-    # the words within one bit that have the point's counts: only segment j may change, in the direction of the step
-    bit = F.expr(f"transform(sequence(0, {WIDTH - 1}), i -> shiftleft(1L, shiftright(_step - 1, 1) * {WIDTH} + i))")
+    placed = prints.select("print", segment_counts(F.col("print")).alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENTS))).alias("step"))
+    at = "shiftright(step - 1, 1) * 2"
+    count = F.expr(f"shiftrightunsigned(_own, {at}) & 3")
+    # counts 0 and 1 differ in the low bit of the segment, counts 1 and 2 in both
+    below, above = F.expr(f"_own ^ shiftleft(1L, {at})"), F.expr(f"_own ^ shiftleft(3L, {at})")
+    raised, lowered = F.when(count == 0, below).when(count == 1, above), F.when(count == 1, below).when(count == 2, above)
+    point = F.when(F.col("step") == 0, F.col("_own")).when(F.col("step") % 2 == 1, raised).otherwise(lowered)
+    return placed.select("print", "step", point.alias("point")).where("point IS NOT NULL")
+
+
+def _word_links(dense: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints on crowded points (print, step): each to the smallest one that shares a word within one bit of both."""
+    bit = F.expr("transform(sequence(0, 1), i -> shiftleft(1L, shiftright(step - 1, 1) * 2 + i))")
+    p, raises = F.col("print"), (F.col("step") % 2) == 1
     flips = F.filter(bit, lambda m: F.when(raises, p.bitwiseAND(m) == 0).otherwise(p.bitwiseAND(m) != 0))
-    words = F.when(F.col("_step") == 0, F.array(p)).otherwise(F.transform(flips, lambda m: p.bitwiseXOR(m)))
-    written = near.select("print", F.explode(words).alias("word"))
+    words = F.when(F.col("step") == 0, F.array(p)).otherwise(F.transform(flips, lambda m: p.bitwiseXOR(m)))
+    written = dense.select("print", F.explode(words).alias("word"))
     roots = written.groupBy("word").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi").select("word", "lo")
-    return written.join(roots, "word").where("print <> lo").select(F.col("print").alias("a"), F.col("lo").alias("b")).distinct()
+    return written.join(roots, "word").where("print <> lo").select(F.col("print").alias("a"), F.col("lo").alias("b"))
+
+
+def grid_links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column `print`) at most 2 bits apart.
+
+    All such pairs that meet on a grid point of at most `dense` fingerprints, and on the others enough
+    that two fingerprints are joined by links exactly if they are by pairs.
+    """
+    points = grid_points(prints)
+    shared = points.groupBy("point").agg(F.count("*").alias("_n")).where("_n > 1")
+    near = cut(points.join(shared, "point"))
+    few = near.where(F.col("_n") <= dense)
+    one, two = few.select("point", F.col("print").alias("a")), few.select("point", F.col("print").alias("b"))
+    pairs = one.join(two, "point").where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
+    return pairs.union(_word_links(near.where(F.col("_n") > dense))).distinct()
 
 
 def _rooted(marked: DataFrame) -> DataFrame:
     """print, _root, _first for each distinct fingerprint of `marked`: its component's smallest fingerprint, and its own smallest doc_id."""
-    firsts = marked.groupBy("print").agg(F.min("doc_id").alias("_first"))
+    # a stated number of partitions, which adaptive execution keeps: each row becomes some fifty grid points
+    firsts = cut(marked.groupBy("print").agg(F.min("doc_id").alias("_first")).repartition(partitions(marked.sparkSession), "print"))
     joined = components(grid_links(firsts.select("print")))
     return firsts.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("_root", F.coalesce("component", "print"))
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from sheafwork.llm import simhash
 from sheafwork.llm.common import read_table
 
@@ -72,6 +74,38 @@ def test_links_equal_brute_force_on_dense_and_chained_prints(spark, monkeypatch)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_crowded_points_give_the_same_groups(spark):
+    rng = random.Random(11)
+    prints, at = set(), rng.getrandbits(64)
+    for _ in range(150):
+        prints.add(at ^ sum(1 << rng.randrange(12) for _ in range(3)))
+    prints |= {rng.getrandbits(64) for _ in range(50)}
+    from sheafwork.llm.components import components
+
+    rows = list(enumerate(sorted(prints)))
+    want = brute(rows)
+    table = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for _, p in rows], "print long")
+    for dense in (0, 2, 10_000):
+        links = simhash.grid_links(table, dense)
+        assert all(bin((r.a ^ r.b) % 2**64).count("1") <= 2 for r in links.collect())
+        group = {r.node % 2**64: r.component % 2**64 for r in components(links).collect()}
+        mine, theirs = {}, {}
+        for i, p in rows:
+            mine.setdefault(group.get(p, p), set()).add(i)
+            theirs.setdefault(want[(i, p)], set()).add(i)
+        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_manhattan_distance_on_the_grid_is_a_lower_bound(spark):
+    rng = random.Random(2)
+    pairs = [(rng.getrandbits(64) - 2**63, rng.getrandbits(64) - 2**63) for _ in range(200)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", simhash.segment_counts(F.col("a")).alias("x"), simhash.segment_counts(F.col("b")).alias("y")).collect()
+    for r in rows:
+        counts = [[(v >> 2 * j) & 3 for j in range(32)] for v in (r.x, r.y)]
+        assert counts == [[bin((v >> 2 * j) & 3).count("1") for j in range(32)] for v in (r.a, r.b)]
+        assert sum(abs(p - q) for p, q in zip(*counts, strict=True)) <= bin((r.a ^ r.b) % 2**64).count("1")
+
+
 def test_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
