@@ -3,7 +3,9 @@
 A text's UTF-8 bytes are cut into segments. In each, one recurrent layer runs forwards and one
 backwards; a softmax over both states labels every byte with a language, and the document's
 probabilities are the mean over all of its bytes. The network is trained in numpy by backpropagation
-through time, on windows of a bounded sample of documents (`SAMPLE` for each language).
+through time. Training texts are cut whole into segments too, and a bounded sample of these (`SAMPLE`
+for each language) is drawn from all places of all texts; what pads the last segment of a text has no part
+in the loss.
 """
 
 from __future__ import annotations
@@ -13,16 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from .common import held_out, read_table
 
-#: Documents of a language that the training sample holds, and code points of the window taken from each.
-SAMPLE = 500
-WINDOW = 100
-#: States in each direction, bytes in a training window, windows in a step, steps, and learning rate.
+#: Segments of a language that the training sample holds.
+SAMPLE = 1000
+#: States in each direction, bytes in a training segment, segments in a step, steps, and learning rate.
 HIDDEN, STEPS_BACK, BATCH, STEPS, RATE = 8, 64, 128, 400, 0.02
 #: Bytes in a segment, segments run side by side, and bytes gathered from documents at once.
 SEGMENT, ABREAST, GATHERED = 128, 1024, 4 << 20
@@ -75,19 +76,21 @@ def probabilities(net: Network, data: np.ndarray, mask: np.ndarray | None = None
     return logits
 
 
-def gradients(net: Network, data: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean cross-entropy of labels (N) at every position of data (T x N), and its gradients by backpropagation through time."""
+def gradients(net: Network, data: np.ndarray, labels: np.ndarray, mask: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of labels (N) at every position of data (T x N) that `mask` (T x N) has, and its gradients by backpropagation through time."""
     steps, n = data.shape
     h = net.recurrent[0].shape[1]
     kept: tuple[list, list] = ([], [])
-    both = np.concatenate([_run(net.inputs[d], net.recurrent[d], data, None, bool(d), kept[d]) for d in (0, 1)], axis=1)
+    both = np.concatenate([_run(net.inputs[d], net.recurrent[d], data, mask, bool(d), kept[d]) for d in (0, 1)], axis=1)
     logits = np.matmul(net.output, both) + net.bias[:, None]
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits)
     p /= p.sum(axis=1, keepdims=True)
-    loss = float(-np.log(np.maximum(p[:, labels, np.arange(n)], 1e-12)).mean())
+    here = np.ones((steps, n), p.dtype) if mask is None else mask
+    total = here.sum()
+    loss = float((-np.log(np.maximum(p[:, labels, np.arange(n)], 1e-12)) * here).sum() / total)
     p[:, labels, np.arange(n)] -= 1
-    p /= steps * n
+    p *= here[:, None] / total
     output = np.einsum("tcn,thn->ch", p, both, optimize=True)
     down = np.matmul(net.output.T, p)
     grads = []
@@ -95,7 +98,7 @@ def gradients(net: Network, data: np.ndarray, labels: np.ndarray) -> tuple[float
         table, weights, carry = np.zeros_like(net.inputs[d]), np.zeros_like(net.recurrent[d]), np.zeros((h, n), np.float32)
         for t, before, gates, new, candidate in reversed(kept[d]):
             z, r = gates[:h], gates[h:]
-            g = down[t, d * h : (d + 1) * h] + carry
+            g = (down[t, d * h : (d + 1) * h] + carry) * here[t]
             dn = g * (1 - z) * (1 - new * new)
             dz, dr = g * (before - new) * z * (1 - z), dn * candidate * r * (1 - r)
             du = np.concatenate([dz, dr, dn * r])
@@ -109,9 +112,10 @@ def gradients(net: Network, data: np.ndarray, labels: np.ndarray) -> tuple[float
 
 
 def fit(windows: list[bytes], labels: list[int], languages: tuple[str, ...], seed: int = 7) -> Network:
-    """A network trained by Adam on windows of bytes; the order of the windows and the seed fix the result."""
+    """A network trained by Adam on segments of up to STEPS_BACK bytes; the order of the segments and the seed fix the result."""
     rng, h, c = np.random.default_rng(seed), HIDDEN, len(languages)
-    data = np.array([list(w[:STEPS_BACK].ljust(STEPS_BACK, b" ")) for w in windows], dtype=np.int64)
+    data = np.array([list(w.ljust(STEPS_BACK, b"\0")) for w in windows], dtype=np.int64)
+    lengths = np.array([len(w) for w in windows])
     y = np.array(labels)
     draw = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
     values = [draw(3 * h, 256, s=0.3), draw(3 * h, 256, s=0.3), draw(3 * h, h, s=0.3), draw(3 * h, h, s=0.3), draw(c, 2 * h, s=0.3), np.zeros(c, np.float32)]
@@ -122,7 +126,8 @@ def fit(windows: list[bytes], labels: list[int], languages: tuple[str, ...], see
     build = lambda: Network(languages, (values[0], values[1]), (values[2], values[3]), values[4], values[5])
     for step in range(1, STEPS + 1):
         chosen = rng.choice(len(data), size=min(BATCH, len(data)), p=weights)
-        _, grads = gradients(build(), data[chosen].T, y[chosen])
+        mask = (np.arange(STEPS_BACK)[:, None] < lengths[chosen]).astype(np.float32)
+        _, grads = gradients(build(), data[chosen].T, y[chosen], mask)
         size = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for x, g, a, b in zip(values, grads, m, v, strict=True):
@@ -134,26 +139,31 @@ def fit(windows: list[bytes], labels: list[int], languages: tuple[str, ...], see
 
 
 def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list:
-    """(lang, window) of up to `sample` documents of each language that are not held out, smallest hash of the id first.
+    """(lang, segment) of up to `sample` segments of each language, from documents that are not held out.
 
-    The window starts at a place hashed from the id, so it can lie anywhere in the text. Of rows that
-    repeat an id in one language the one with the smallest hash of its text counts, before anything is collected.
+    The whole text of every such document is cut into segments of STEPS_BACK bytes, and all segments of a
+    language are equally likely to be drawn, by a hash of the id and the place. Of rows that repeat an id in
+    one language the one with the smallest hash of its text counts, before anything is collected.
     """
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out("doc_id", PARTS, HELD) & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in rows.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", PARTS, HELD) & F.col("text").rlike(r"\p{L}")).select(
+        "doc_id", "lang", F.col("text").cast("binary").alias("_bytes")
+    )
+    parts = F.ceil(F.octet_length("_bytes") / STEPS_BACK)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(parts).alias("n")).collect()}
     if not counts:
         return []
     rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long")) + 1
-    window = F.struct(F.xxhash64("text"), F.substring(F.col("text"), start.cast("int"), F.lit(WINDOW)).alias("window"))
-    drawn_rows = rows.where(drawn < F.element_at(rates, F.col("lang"))).select("lang", "doc_id", drawn.alias("_drawn"), window.alias("_window"))
-    chosen = drawn_rows.groupBy("lang", "doc_id").agg(F.min("_drawn").alias("_drawn"), F.min("_window").alias("_window")).select("lang", "_drawn", "_window.window")
-    taken: dict[str, list] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r._drawn, r.window)):
-        if len(taken.setdefault(r.lang, [])) < sample:
-            taken[r.lang].append(r.window)
-    return [(lang, w) for lang, ws in taken.items() for w in ws]
+    drawn = lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    places = F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda i: drawn(i) < F.col("_rate"))
+    picked = rows.select("doc_id", "lang", "_bytes", parts.cast("int").alias("_parts"), F.element_at(rates, F.col("lang")).alias("_rate")).select(
+        "doc_id", "lang", "_bytes", places.alias("_places")
+    )
+    segment = lambda i: F.struct(drawn(i).alias("drawn"), F.substring(F.col("_bytes"), i * STEPS_BACK + 1, F.lit(STEPS_BACK)).alias("segment"))
+    found = picked.where(F.size("_places") > 0).select("doc_id", "lang", F.struct(F.xxhash64("_bytes"), F.transform("_places", segment).alias("segments")).alias("_one"))
+    one = found.groupBy("lang", "doc_id").agg(F.min("_one").alias("_one")).select("lang", F.explode("_one.segments").alias("_s")).select("lang", "_s.*")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "segment"))
+    chosen = one.withColumn("_nth", nth).where(F.col("_nth") <= sample).orderBy("lang", "_nth").collect()
+    return [(r.lang, bytes(r.segment)) for r in chosen]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
@@ -162,7 +172,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
         return None
-    return fit([w.encode() for _, w in rows], [languages.index(lang) for lang, _ in rows], languages)
+    return fit([w for _, w in rows], [languages.index(lang) for lang, _ in rows], languages)
 
 
 def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,8 +224,10 @@ def identified(net: Network, text: str = "text") -> Column:
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document.
 
-    A null text, or one without a letter, is `und` with score 0, as is every text when no document has a
-    language to learn. A null doc_id counts as held out. Repeated rows are scored each.
+    A null text, an empty one, or one without a letter is `und` with score 0, as is every text when no
+    document has a language to learn. Of languages with the same probability the first by code point is
+    taken. Long texts are read whole, a group of segments at a time. A null doc_id counts as held out.
+    Repeated rows are scored each; other columns, whatever their names, are not looked at. No rows give none.
     """
     net = net or train(docs)
     held = held_out("doc_id", PARTS, HELD).alias("held_out")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from sheafwork.llm import language as lang
@@ -61,3 +63,64 @@ def test_a_repeated_id_gives_one_window(docs):
     one = sorted(lang.training_windows(docs(once)))
     many = lang.training_windows(docs(once + [(i, f"some other text {n}", "en", "s") for i in range(30) for n in range(20)]))
     assert 20 < len(one) == len(many) <= 30
+
+
+def test_padding_has_no_part_in_the_gradients():
+    rng = np.random.default_rng(4)
+    net = tiny(rng)
+    data, y = rng.integers(0, 256, (9, 4)), rng.integers(0, 3, 4)
+    mask = (np.arange(9)[:, None] < np.array([9, 5, 1, 7])).astype(float)
+    loss, grads = lang.gradients(net, data, y, mask)
+    other = np.where(mask > 0, data, rng.integers(0, 256, data.shape))
+    loss2, grads2 = lang.gradients(net, other, y, mask)
+    assert abs(loss - loss2) < 1e-12 and all(np.allclose(a, b) for a, b in zip(grads, grads2, strict=True))
+    one, alone = lang.gradients(net, data[:5, 1:2], y[1:2]), lang.gradients(net, data[:, 1:2], y[1:2], mask[:, 1:2])
+    assert abs(one[0] - alone[0]) < 1e-6 and all(np.allclose(a, b, atol=1e-6) for a, b in zip(one[1], alone[1], strict=True))
+
+
+def test_training_segments_come_from_all_of_a_text(docs):
+    text = "".join(f"{i:06d} word" for i in range(3000))
+    found = [w for _, w in lang.training_windows(docs([(i, text, "en", "s") for i in range(12)]), sample=200)]
+    places = sorted(int(re.search(rb"\d{6}", w)[0]) for w in found)
+    assert len(found) == 200 and places[0] < 600 and places[-1] > 2400 and all(len(w) <= lang.STEPS_BACK for w in found)
+
+
+def test_labels_of_held_out_rows_and_other_columns_do_not_matter(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    other = docs.withColumns({"lang": F.when(held, "xx").otherwise(F.col("lang")), "source": F.lit("s"), "n_chars": F.lit(0)})
+    a, b = ({r.doc_id: (r.lang_pred, r.score) for r in lang.identify(d).collect()} for d in (docs, other))
+    assert a == b
+
+
+def test_query_equals_a_plain_rewrite(spark, sf):
+    from zlib import crc32
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    net = lang.train(table)
+    got = {r.doc_id: r for r in lang.query(spark, sf).collect()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for r in rows[:20]:
+        total = np.zeros(len(net.languages))
+        data = r.text.encode()
+        for start in range(0, len(data), lang.SEGMENT):
+            part = data[start : start + lang.SEGMENT]
+            states = []
+            for d in (0, 1):
+                h, run = np.zeros(lang.HIDDEN), {}
+                for t in range(len(part))[:: -1 if d else 1]:
+                    x, u = net.inputs[d][:, part[t]], net.recurrent[d] @ h
+                    z, q = sigmoid(x[: lang.HIDDEN] + u[: lang.HIDDEN]), sigmoid(x[lang.HIDDEN : -lang.HIDDEN] + u[lang.HIDDEN : -lang.HIDDEN])
+                    new = np.tanh(x[-lang.HIDDEN :] + q * u[-lang.HIDDEN :])
+                    h = z * h + (1 - z) * new
+                    run[t] = h
+                states.append(run)
+            for t in range(len(part)):
+                e = np.exp(net.output @ np.concatenate([states[0][t], states[1][t]]) + net.bias)
+                total += e / e.sum()
+        want = total / len(data)
+        assert abs(want.max() - got[r.doc_id].score) < 1e-3 and net.languages[want.argmax()] == got[r.doc_id].lang_pred
+        assert got[r.doc_id].held_out == (crc32(str(r.doc_id).encode()) % 4 == 2)
