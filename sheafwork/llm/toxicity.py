@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import held_out, read_table
+from .common import cut, held_out, read_table
 
 #: Labelled rows to train on, features to keep, and documents of the toxic class a feature must be in.
 SAMPLE = 12_000
@@ -194,7 +194,7 @@ def fit(found: list, odds: dict[str, float]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from a bounded sample; without labels of both classes, or a feature that two toxic documents share, it scores 0 everywhere."""
-    rows = training_rows(docs, labels, sample)
+    rows = cut(training_rows(docs, labels, sample))
     odds = choose_features(rows)
     if not odds:
         return Model({}, -60.0)
@@ -216,8 +216,10 @@ def scored(model: Model, text: str = "text") -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
-    Null and empty texts, and texts without a word, score 0. A null doc_id counts as held out. Repeated
-    rows are scored each.
+    Null and empty texts, and texts without a word, score 0. Long texts are scored whole. A null doc_id
+    counts as held out. Repeated rows are scored each. A score at the threshold counts as toxic. Other
+    columns, whatever their names, are not looked at. No rows give none; without labels of both classes
+    every score is 0 or next to it.
     """
     model = train(docs, labels)
     return docs.select("doc_id", held_out("doc_id", PARTS, HELD).alias("held_out"), scored(model).alias("score")).withColumn(
@@ -246,8 +248,8 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = THRESHOLD)
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below the threshold, with their columns."""
-    return docs.withColumn("_score", scored(train(docs, labels))).where(F.col("_score") < THRESHOLD).select(docs.columns)
+    """The documents that score below the threshold, with all their columns, whatever these are called. Nulls, long texts and repeats are as in `score_documents`."""
+    return docs.select(F.struct("*").alias("_row"), scored(train(docs, labels)).alias("_score")).where(F.col("_score") < THRESHOLD).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

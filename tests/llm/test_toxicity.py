@@ -51,6 +51,39 @@ def test_odd_rows(spark, odd):
     assert toxicity.score_documents(odd.limit(0), labels).collect() == []
 
 
+def test_labels_of_held_out_rows_and_other_columns_do_not_matter(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    other = labels.withColumns({"toxic": F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")), "quality": F.lit(0)})
+    blank = docs.withColumns({"lang": F.lit("x"), "source": F.lit(None).cast("string"), "n_chars": F.lit(1)})
+    a, b = ({r.doc_id: r.score for r in toxicity.score_documents(d, x).collect()} for d, x in ((docs, labels), (blank, other)))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_query_equals_a_plain_rewrite_of_the_score(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    order = list(model.weights)
+    got = {r.doc_id: r for r in toxicity.query(spark, sf).collect()}
+    import re
+
+    for r in docs.collect():
+        clean = 1.0
+        for s in re.split(r"(?<=[.!?])(?![.!?])|\n", r.text or ""):
+            words = set(re.findall(r"\w+", s.lower()))
+            if words:
+                known = [[f for f in [w, *(w[:k] + "*" for k in range(4, 9) if len(w) > k)] if f in model.weights] for w in words]
+                clean *= 1 - 1 / (1 + np.exp(-model.bias - sum(model.weights[min(f, key=order.index)] for f in known if f)))
+        assert abs(got[r.doc_id].score - (1 - clean)) < 1e-6 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+
+
+def test_clean_returns_the_callers_columns(odd):
+    labels = odd.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(map(str, toxicity.clean(odd, labels).collect())) == sorted(map(str, odd.collect()))
+
+
 def test_a_repeated_id_is_one_training_row(docs, spark):
     ids = [i for i in range(40)]
     table = docs([(i, f"text {i}", "en", "s") for i in ids] + [(i, f"again {n}", "en", "s") for i in ids for n in range(5)])
