@@ -8,6 +8,7 @@ moments are summed over all labelled rows by Spark; the driver sees only those s
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, held_out, read_table
+from .common import cut, held_out, read_table, shared_dir
 
 #: Shrinkage of a class covariance towards the pooled one, and of that towards the identity.
 TO_POOLED = 0.1
@@ -148,8 +149,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     Null text counts as empty; an empty text gets the posterior of all-zero statistics. A null doc_id
-    counts as held out. Repeated rows are scored each. Without labels of both classes every score is the
-    share of class 1, or 0.5 without any.
+    counts as held out. Long texts are read whole. Repeated rows are scored each, and each counts for
+    training if its id is labelled. A score at the threshold counts as good. Other columns, whatever their
+    names, are not looked at. Without labels of both classes every score is the share of class 1, or 0.5
+    without any. No rows give none.
     """
     marked = cut(docs.select("doc_id", statistics_of("text").alias("_stats")))
     score = posterior(train(marked, labels))
@@ -159,11 +162,16 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score reaches the threshold, with their columns."""
-    marked = cut(docs.select("doc_id", statistics_of("text").alias("_stats")))
-    score = posterior(train(marked, labels), "_stats")
-    scored = docs.withColumn("_stats", statistics_of("text")).withColumn("_score", score)
-    return scored.where(F.col("_score") >= THRESHOLD).select(docs.columns)
+    """The documents whose score reaches the threshold, with all their columns, whatever these are called.
+
+    The rows are written once with their statistics as a table in the shared folder: training reads the
+    statistics only, and scoring does not take them again. Nulls, long texts and repeats are as in `score_documents`.
+    """
+    path = f"{shared_dir(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
+    marked = docs.select("doc_id", F.struct("*").alias("_row"), statistics_of("text").alias("_stats"))
+    marked.write.parquet(path)
+    marked = docs.sparkSession.read.schema(marked.schema).parquet(path)
+    return marked.select("_row", posterior(train(marked, labels)).alias("_score")).where(F.col("_score") >= THRESHOLD).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
