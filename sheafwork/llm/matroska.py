@@ -112,22 +112,30 @@ def read_number(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, i
     return value, length
 
 
+def next_top_level(data: bytes, at: int, end: int) -> int:
+    """Where the first element of the segment's own level starts, from a place inside a cluster on; the end if there is none."""
+    while at < end:
+        name, n = read_number(data, at, keep_marker=True)
+        size, m = read_number(data, at + n)
+        if name in TOP_LEVEL:
+            return at
+        if size < 0:
+            return end
+        at += n + m + size
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, start of the element, start and end of its body) of the elements between two places.
 
     An element of unknown length reaches to the end of its parent, or, for a cluster, to the next element
-    of the segment's own level.
+    of the segment's own level; the headers in it are walked over once to find that.
     """
     while at < end:
         name, n = read_number(data, at, keep_marker=True)
         size, m = read_number(data, at + n)
         body = at + n + m
-        if size < 0:
-            stop = end
-            if name == CLUSTER:
-                stop = next((s for i, s, _, _ in elements(data, body, end) if i in TOP_LEVEL), end)
-        else:
-            stop = body + size
+        stop = body + size if size >= 0 else next_top_level(data, body, end) if name == CLUSTER else end
         if stop > end:
             raise ValueError(f"element {name:#x} at byte {at} is cut off")
         yield name, at, body, stop
@@ -247,7 +255,8 @@ def features(found: File, payload: bytes) -> str:
         x = samples[a : a + (1 << 20)].astype(np.int64) - 128
         total, squares, crossings = total + int(x.sum()), squares + int((x * x).sum()), crossings + int(np.count_nonzero(np.diff(x >= 0)))
     n = len(samples)
-    placed = sum(p in set(found.clusters) for _, _, p in found.cues) if len(found.cues) < 64 else len({p for _, _, p in found.cues} & set(found.clusters))
+    starts = set(found.clusters)
+    placed = sum(p in starts for _, _, p in found.cues)
     kinds = "/".join(str(sum(p[5] == k for p in found.packets)) for k in range(4))
     last = max((p[1] for p in found.packets), default=0)
     return f"packets={len(found.packets)};clusters={len(found.clusters)};cues={placed}/{len(found.cues)};lacing={kinds};last_ns={last};mean={total * 1000 // n};power={squares // n};crossings={crossings}"
@@ -293,7 +302,12 @@ def packets(files: DataFrame, key: str = "doc_id", content: str = "media") -> Da
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and the digest columns of every document's text. Null text counts as empty and is stored as 64 zero bytes. Equal texts have equal values."""
+    """doc_id and the digest columns of every document's text.
+
+    Null text counts as empty and is stored as 64 zero bytes. Long texts are stored whole, in as many
+    clusters as they need. Equal texts have equal values; repeated rows are stored each. Other columns,
+    whatever their names, are not looked at. No rows give none.
+    """
     return docs.select("doc_id", stored_columns("text").alias("_stored")).select("doc_id", "_stored.*")
 
 

@@ -27,6 +27,15 @@ def test_every_lacing_and_unknown_lengths():
         mk.parse(mk.write(b"x" * 640)[:-3])
 
 
+def test_many_clusters_of_unknown_length():
+    import time
+
+    cluster = b"\x1f\x43\xb6\x75\xff" + mk.unsigned(mk.TIMESTAMP, 1) + mk.simple_block(1, 0, [b"ab"])
+    begun = time.perf_counter()
+    found = mk.parse(b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff" + cluster * 10_000)
+    assert len(found.clusters) == len(found.packets) == 10_000 and time.perf_counter() - begun < 5
+
+
 def test_query_against_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in read_table(spark, sf, "documents").collect()}
     rows = mk.query(spark, sf).collect()
