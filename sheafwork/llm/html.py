@@ -1,15 +1,16 @@
 """Main text of web pages.
 
-A page becomes a flat list of text blocks. Each has its number of words and link density, those of its
-neighbours, and a few marks of the elements around it; a decision tree trained on the blocks of small
-labelled pages tells main text from the rest.
+A page becomes a flat list of text blocks. A decision tree, trained on the blocks of small labelled pages,
+tells main text from the rest by the number of words and the link density of a block and of its
+neighbours, and by one mark: what the elements around the block say of it, if they say anything.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 from html import unescape
 
@@ -25,74 +26,119 @@ from .html_samples import PAGES
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 COPYRIGHT = re.compile(r"\s*(©|\(c\)|copyright\b)", re.I)
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 #: Elements that stand inside a line.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br picture source".split())
-#: Elements whose content is not text.
-SKIPPED = frozenset("script style noscript template iframe object svg math head title select textarea button audio video canvas map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark math mfrac mi mn mo mrow ms msub msup msqrt mtext nobr output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr br".split())
+#: Elements whose content is no text of the page, and those of them that hold no markup, so that a missing end takes the rest of the page. They do not end a line.
+SKIPPED = frozenset("script style noscript template iframe object svg head title select textarea button audio video canvas".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 #: Elements whose nesting is followed; ends of others that are not open are passed over.
 CONTAINERS = frozenset("html body nav header footer aside form article main section div ul ol dl table tbody thead tfoot tr td th li blockquote figure menu dialog details fieldset center".split())
-OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
-ROLES_OUTSIDE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-HINTS_OUTSIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription "
-    "signup sidebar side aside widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended recommendations comment comments commentlist "
-    "reply replies respond disqus login search pagination pager copyright legal disclaimer toolbar tags teaser banner topbar bottombar skip".split()
+
+# What is not the article, by element, role, and words of class and id. In the closed ones nothing counts as main, not even an article.
+CLOSED = frozenset("nav footer aside menu dialog".split())
+CLOSED_ROLES = frozenset("navigation complementary contentinfo dialog alertdialog menu menubar toolbar".split())
+OTHER = frozenset("form fieldset".split())
+OTHER_ROLES = frozenset("banner search alert form".split())
+CLOSED_HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter sidebar aside related recommended recommendations comment comments commentlist "
+    "reply replies respond disqus teaser nav navbar navigation menu breadcrumb breadcrumbs".split()
+)
+OTHER_HINTS = frozenset(
+    "notice notification alert popup modal overlay subscribe subscription signup footer header masthead share sharing social login search pagination pager copyright legal disclaimer toolbar tags banner topbar topnav bottombar skip".split()
 )
-HINTS_INSIDE = frozenset("article content post entry story main text maincontent".split())
-FEATURES = ("nearest", "outside", "in_article", "copyright", "heading", "item", "closed", "words", "links", "words_before", "links_before", "words_after", "links_after")
+MAIN_HINTS = frozenset("article content post entry story main text maincontent".split())
+#: Words after these in a name tell what stands beside the element, as in main-with-sidebar.
+BESIDE = frozenset("with without has no".split())
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark")
 
 
 @dataclass
 class Block:
+    """`mark`: 1 inside what the page marks as main, -1 inside what it marks as something else, 0 without a mark. `named`: by an article or main element."""
+
     text: str
     words: int
     linked: int
-    nearest: int
-    outside: int
-    in_article: bool
-    tag: str
+    mark: int
+    named: bool
     label: int | None
 
 
+@dataclass(frozen=True)
+class Place:
+    """An open container, with what it and those around it say."""
+
+    name: str
+    mark: int = 0
+    closed: bool = False
+    named: bool = False
+    label: int | None = None
+
+
 def attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(text)} if text.strip() else {}
 
 
-def marks(tag: str, found: dict[str, str], in_article: bool) -> tuple[int, int, bool, bool]:
-    """What an element says: nearest mark (1 main, -1 other, 0 neither), whether all inside is other, whether it opens an article, whether it is hidden."""
+def hint(name: str) -> tuple[int, bool]:
+    """What one name of a class or id says: mark, and whether it closes. The last telling word decides, but a word of the closed ones always counts."""
+    words = [w for w in re.split(r"[^a-z]+", CAMEL.sub("-", name).lower()) if w]
+    beside = next((i for i, w in enumerate(words) if w in BESIDE), len(words))
+    mark = 0
+    for w in words[:beside]:
+        if w in CLOSED_HINTS:
+            return -1, True
+        mark = -1 if w in OTHER_HINTS else 1 if w in MAIN_HINTS else mark
+    return mark, False
+
+
+def hints(found: dict[str, str]) -> tuple[int, bool]:
+    """What class and id say together; what is not main outweighs what is."""
+    names = (found.get("class", "") + " " + found.get("id", "")).split()
+    said = [hint(n) for n in names]
+    return (min((m for m, _ in said if m), default=0), any(c for _, c in said)) if said else (0, False)
+
+
+def within(place: Place, tag: str, found: dict[str, str]) -> Place:
+    """The place inside an element that opens in another."""
+    label = 1 if "data-main" in found else 0 if "data-other" in found else place.label
+    if place.closed:
+        return Place(tag, -1, True, False, label)
     role = found.get("role", "").lower()
-    if tag == "article" or tag == "main" or role in ("main", "article"):
-        return 1, 0, True, False
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if tag in OUTSIDE or role in ROLES_OUTSIDE or (tag == "header" and not in_article):
-        return -1, 1, False, hidden
-    words = set(re.split(r"[^a-z]+", (found.get("class", "") + " " + found.get("id", "")).lower())) if "class" in found or "id" in found else ()
-    if words and tag not in ("html", "body"):
-        if not HINTS_OUTSIDE.isdisjoint(words):
-            return -1, 0, False, hidden
-        if not HINTS_INSIDE.isdisjoint(words):
-            return 1, 0, False, hidden
-    return 0, 0, False, hidden
+    if tag in ("article", "main") or role in ("main", "article"):
+        return Place(tag, 1, False, True, label)
+    if tag in CLOSED or role in CLOSED_ROLES:
+        return Place(tag, -1, True, False, label)
+    if tag in OTHER or role in OTHER_ROLES or (tag == "header" and not place.named):
+        return Place(tag, -1, False, False, label)
+    mark, closed = (0, False) if tag in ("html", "body") else hints(found)
+    return Place(tag, mark or place.mark, closed, place.named and mark >= 0, label)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order. Comments, scripts, styles, hidden elements and what is cut off inside a tag give none."""
+    """The text blocks of a page in order. Comments, scripts, styles and what is cut off inside a tag give none. Time grows with the page's length, whatever its markup."""
     page = page or ""
     out: list[Block] = []
-    # open containers: name, nearest mark, others around, in an article, hidden, label
-    stack: list[tuple[str, int, int, bool, bool, int | None]] = [("", 0, 0, False, False, None)]
+    stack = [Place("")]
+    open_names: Counter[str] = Counter()
+    unended: set[str] = set()
     parts: list[str] = []
-    linked, in_link, tag = 0, False, ""
+    linked, in_link = 0, False
+    # what an element that is no container, such as a paragraph, says of its own block
+    own: tuple[int, bool] = (0, False)
 
     def close() -> None:
-        nonlocal parts, linked, tag
-        text = " ".join("".join(parts).split())
-        if text and not stack[-1][4]:
-            words = len(text.split())
-            out.append(Block(text, words, min(linked, words), stack[-1][1], stack[-1][2], stack[-1][3], tag, stack[-1][5]))
-        parts, linked, tag = [], 0, ""
+        nonlocal parts, linked, own
+        if parts:
+            text = " ".join("".join(parts).split())
+            if text:
+                place, words = stack[-1], text.count(" ") + 1
+                mark = own[0] if own[0] < 0 or not place.mark else place.mark
+                if mark == 0 and COPYRIGHT.match(text):
+                    mark = -1
+                out.append(Block(text, words, min(linked, words), -1 if place.closed else mark, place.named and mark > 0, place.label))
+        parts, linked, own = [], 0, (0, False)
 
     at, end = 0, len(page)
     while at < end:
@@ -125,11 +171,14 @@ def blocks(page: str | None) -> list[Block]:
         at = found.end()
         closing, name, rest = found[1] == "/", found[2].lower(), found[3]
         if name in SKIPPED:
-            close()
-            if not closing and not rest.endswith("/"):
+            if not closing and not rest.endswith("/") and name not in unended:
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                # what raw elements hold is no markup, so an end that is missing takes the rest with it
-                at = stop.end() if stop else (end if name in RAW else at)
+                if stop:
+                    at = stop.end()
+                elif name in RAW:
+                    at = end
+                else:
+                    unended.add(name)
             continue
         if name in INLINE:
             if name == "a":
@@ -140,35 +189,41 @@ def blocks(page: str | None) -> list[Block]:
         close()
         in_link = False
         if closing:
-            if name in CONTAINERS and any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if open_names[name]:
+                while True:
+                    gone = stack.pop().name
+                    open_names[gone] -= 1
+                    if gone == name:
+                        break
             continue
-        tag = name
-        if name in CONTAINERS and not rest.endswith("/"):
-            if name == "li" and stack[-1][0] == "li":
-                stack.pop()
-            _, nearest, others, article, hidden, label = stack[-1]
-            attrs = attributes(rest)
-            mark, outside, opens, hides = marks(name, attrs, article)
-            label = 1 if "data-main" in attrs else 0 if "data-other" in attrs else label
-            stack.append((name, mark or nearest, others + outside, article or opens, hidden or hides, label))
-        elif "data-main" in rest or "data-other" in rest:
-            # a labelled element that is no container labels what follows in its parent
-            stack[-1] = (*stack[-1][:5], int("data-main" in rest))
+        attrs = attributes(rest)
+        if name in CONTAINERS:
+            if rest.endswith("/"):
+                continue
+            if name == "li" and stack[-1].name == "li":
+                open_names[stack.pop().name] -= 1
+            stack.append(within(stack[-1], name, attrs))
+            open_names[name] += 1
+        else:
+            own = hints(attrs)
+            if "data-main" in attrs or "data-other" in attrs:
+                # a labelled element that is no container labels what follows in its parent
+                stack[-1] = replace(stack[-1], label=int("data-main" in attrs))
     close()
     return out
 
 
 def table(found: list[Block]) -> np.ndarray:
-    """The features of a page's blocks."""
+    """The features of a page's blocks. Where an article or main element holds text, blocks without a mark are outside it."""
     if not found:
         return np.zeros((0, len(FEATURES)))
     words = np.log1p([b.words for b in found])
     links = np.array([b.linked / b.words for b in found])
     before, after = (lambda x: np.concatenate([[0.0], x[:-1]])), (lambda x: np.concatenate([x[1:], [0.0]]))
-    own = [[b.nearest, b.outside, b.in_article, bool(COPYRIGHT.match(b.text)), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag == "li", b.text[-1] in ".!?…\"”»"] for b in found]
-    return np.column_stack([np.array(own, dtype=np.float64), words, links, before(words), before(links), after(words), after(links)])
+    marks = np.array([b.mark for b in found], dtype=np.float64)
+    if any(b.named for b in found):
+        marks[marks == 0] = -1
+    return np.column_stack([words, links, before(words), before(links), after(words), after(links), marks])
 
 
 @dataclass(frozen=True)
@@ -245,7 +300,11 @@ def main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page. Null html counts as empty; a page without main text has an empty one. Repeated rows are extracted each."""
+    """page_id, url, text, n_chars of every page.
+
+    Null html counts as empty; a page without main text has an empty one. Long pages are read whole.
+    Repeated rows are extracted each; other columns, whatever their names, are not looked at. No rows give none.
+    """
     return pages.select("page_id", "url", main_text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -63,4 +63,47 @@ PAGES = (
     """<body><nav data-other><a href="/">Start</a></nav><article data-main><h1>Snow</h1><p>It snowed.</p><p>And then""",
     """<body><div class="menu" data-other><a href="/">Start</a></div><main data-main><p>Ice</p>""",
     """<body><div data-main><p>The lake froze over in the first week of the year, and for the first time in ten years the children could walk to the island.</p><p>Some of them""",
+    # tables as layout and no hints: cells with links or a few words at the edges, long cells as text
+    """<body><table><tr><td data-other>Mill gazette</td><td data-other>Monday</td></tr><tr><td data-other><a href="/n">News</a><br><a href="/s">Sport</a><br><a href="/w">Weather</a></td>
+    <td data-main><p>The old mill at the foot of the hill will grind again from next week on, after nine years in which nobody turned its wheel.</p><p>So it was said.</p>
+    <p>Its new owner has cut the boards himself, and the stones come from the same quarry as those of two hundred years ago.</p></td></tr><tr><td data-other>Printed in the valley</td></tr></table></body>""",
+    """<body><div data-other>Harbour board</div><div data-other><a href="/t">Tides</a> <a href="/b">Boats</a> <a href="/c">Crews</a></div><div data-other>You are here: <a href="/">board</a></div>
+    <div data-main>The tide came in higher than on any other day of the year, and the boats at the outer wall had to be tied up twice.<br>Two of them were lost.</div>
+    <div data-main>By noon the water had gone down far enough for the crews to walk out and look for their nets on the sand.</div><div data-other>Call the board</div></body>""",
+    # lists of links with long titles are no text, even where every one is a sentence
+    """<body><div data-main><h2>Bees in winter</h2><p>Bees do not sleep in winter, they sit close together in the hive and shiver, so that the queen in their middle stays warm.</p>
+    <p>A hive eats some twelve pounds of honey from the first frost to the day when the willows bloom.</p></div>
+    <div data-other><p><a href="/1">How a keeper from the next valley lost all of his hives in a single night of frost</a></p><p><a href="/2">Why the honey of this year is darker than that of the last one and what it has to do with rain</a></p>
+    <p><a href="/3">Ten plants that bees like more than all others, and where to put them</a></p></div></body>""",
+    # a long text with links in it stays, a line with more links than words around them goes
+    """<body><div data-other><a href="/a">A</a> to <a href="/z">Z</a></div><div data-main><p>The word for <a href="/bread">bread</a> is older than that for <a href="/butter">butter</a>, as people baked long before they kept cows, and both were known before anyone wrote.</p>
+    <p>In <a href="/north">the north</a> the two words sound nearly the same today, which has led many a traveller to a dry breakfast.</p></div><div data-other>See <a href="/1">loaf</a>, <a href="/2">crust</a>, <a href="/3">crumb</a></div></body>""",
+    # short lines: between long ones they are text, beside links or at the edge they are not
+    """<body><p data-other>Old roads</p><p data-other><a href="/m">Map of all roads</a></p><div data-main><p>The salt road crosses the pass at its lowest point and then follows the stream down to the lake, where the barges waited.</p><p>Nine days.</p>
+    <p>That was the time a mule took from the sea to the lake with two sacks of salt on its back and a third on its driver's.</p><p>No more, no less.</p>
+    <p>When the tunnel was opened the road fell asleep, and grass has grown over all but a few of its stones since then.</p></div><p data-other><a href="/next">The wine road</a></p><p data-other>Page nine</p></body>""",
+    """<body><div data-other>Weather desk</div><div data-other><a href="/h">Hourly</a></div><div data-main><p>Wind from the west brings rain in the early morning, which turns to snow above the tree line before it stops at about ten.</p><p>Then sun.</p>
+    <p>In the evening the clouds come back, though they stay high, and the night will be the coldest of the week so far.</p></div><div data-other><a href="/d">Daily</a></div><div data-other>Desk open</div></body>""",
+    # one block of text is a whole article
+    """<body><div data-other><a href="/">Inn</a> <a href="/rooms">Rooms</a></div><div data-main>The inn has stood at the crossing since the war of the two dukes, and its sign shows both of them at one table, though it is not known that they ever met.</div><div data-other><a href="/book">Book a room</a></div></body>""",
+    """<body><h1 data-other>Shop</h1><div data-other><a href="/1">Ropes</a></div><div data-other><a href="/2">Hooks</a></div><div data-main>Ropes of hemp have to be dried after every use and hung up in the loft, or they rot from the inside and break without a warning.</div><div data-other><a href="/3">Basket</a></div></body>""",
+    # the whole page in a form, as some servers write it
+    """<body><form data-other><div><a href="/in">Log in</a></div><article data-main><h1>Market day</h1><p>Stalls open at six.</p><p>Whoever comes late finds only cabbage.</p></article><input><div>Send us your opinion of the market, in a few words or in many, by the end of the week.</div></form></body>""",
+    # reader comments as articles, and names that tell what stands beside
+    """<body class="has-comments"><div class="layout-with-sidebar"><div class="post-body"><div class="entry" data-main><p>Chestnuts are ready when they fall.</p><p>Pick them up before the deer do.</p></div></div>
+    <div class="comments" data-other><article><p>The deer in our wood have never touched a chestnut, whatever you say, and I have watched them for years.</p></article><article><p>Mine do.</p></article></div>
+    <p class="advert" data-other>Baskets for chestnuts, apples and nuts, all of them woven by hand.</p></div></body>""",
+    """<body><article data-main><h1>Glass</h1><p>Glass is sand that forgot.</p><p id="cookie-notice" data-other>This page keeps cookies for a year unless you tell it not to.</p><p data-main>It flows, but slowly.</p></article><p data-other>Another page of ours tells how to cut glass with a wheel, with oil, or in a bath of cold water.</p></body>""",
+    # short marked notes between long blocks of the text
+    """<body><div class="post" data-main><p>Snow fell on the upper farms for three days, and the road to the last of them was closed until the plough came up on the fourth.</p><p class="ad" data-other>Shovels, cheap.</p>
+    <p data-main>The cows had to be milked by hand, as the lines were down, and most of the milk was given to the pigs or made into cheese.</p><div class="share" data-other>Tell a friend</div>
+    <p data-main>On the fifth day the sun came out, and by the evening the first of the roofs were bare again and the gutters ran over.</p><p class="notice" data-other>Page moved.</p>
+    <p data-main>Nobody was hurt, though a barn fell in at the crossroads, and an old man spent two nights with his neighbour's sheep.</p><aside data-other>Snow in numbers</aside>
+    <p data-main>The next snow is not far, say the people who have lived there long enough to know it by the smell of the air.</p><div class="advertisement" data-other>Warm boots for all</div>
+    <p data-main>They have stacked more wood this time, and the plough has been moved to the upper village for the rest of the winter.</p><div class="newsletter" data-other>Get our letter</div>
+    <p data-main>Its driver has been given a room at the inn, which he says is warmer than his own house at the lower end of the valley.</p></div></body>""",
+    """<body><div data-main><p>The quarry was left to the birds when the last of the slate had been cut, and within ten years a lake had filled it to the brim.</p></div><div class="promo" data-other>Slate for roofs</div>
+    <div data-main><p>Divers come to it from far away, for the water is so clear that one can see the rails and the carts on the ground from a boat.</p></div><form data-other><p>Ask us anything</p></form>
+    <div data-main><p>There is a crane as well, which still holds a block of slate in its hook, forty feet below the keel of whoever rows across.</p></div><div class="related" data-other>Other lakes</div>
+    <div data-main><p>It has been there since a Friday, the men say, when the whistle blew and they went home to come back on a Monday that never was.</p></div></body>""",
 )
