@@ -8,7 +8,6 @@ go through it as well (path and content).
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 from pyspark.sql.types import BinaryType
 
-from .common import read_table, shared_dir
+from .common import cut, read_table
 
 #: Payloads below this many bytes are always stored.
 LEAST_BYTES = 100
@@ -139,28 +138,33 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def page_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Rows for `write_archives`. Of pages with equal payloads of at least `least_bytes`, the smallest page_id is a response, the others revisit it.
 
-    Null html is an empty payload. Rows that repeat the smallest page_id are responses all. A null page_id
-    revisits the smallest one that is not null; where all are null, all are responses.
+    Null html is an empty payload; long ones are stored whole. Rows that repeat the smallest page_id are
+    responses all. A null page_id revisits the smallest one that is not null; where all are null, all are
+    responses. Other columns, whatever their names, are not looked at. No rows give none.
+
+    Equal payloads are found on digests alone. Bodies are then joined by page and digest, so that a payload
+    that many pages share is spread over all of them.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", body.alias("_body")).withColumns({"payload_bytes": F.octet_length("_body").cast("long"), "payload_digest": F.sha2("_body", 256)})
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    rows = rows.join(first.where("_n > 1").drop("_n"), "payload_digest", "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
-    return rows.select(
-        F.when(again, "revisit").otherwise("response").alias("record_type"), name("page_id").alias("record_id"), "url",
-        F.when(again, name("_first")).alias("refers_to"), F.when(~again, F.col("_body")).alias("payload"), "payload_bytes", "payload_digest",
+    rows = pages.select("page_id", name("page_id").alias("record_id"), "url", body.alias("_body")).withColumns(
+        {"payload_bytes": F.octet_length("_body").cast("long"), "payload_digest": F.sha2("_body", 256)}
+    )
+    slim = rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", "record_id", "payload_digest")
+    first = cut(slim.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL"))
+    again = slim.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("_first"))).select("record_id", "payload_digest", name("_first").alias("refers_to"))
+    joined = rows.join(cut(again.distinct()), ["record_id", "payload_digest"], "left")
+    revisits = F.col("refers_to").isNotNull()
+    return joined.select(
+        F.when(revisits, "revisit").otherwise("response").alias("record_type"), "record_id", "url", "refers_to",
+        F.when(~revisits, F.col("_body")).alias("payload"), "payload_bytes", "payload_digest",
     )
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Pages written as archives to a table in the shared folder and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok."""
-    spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(page_records(pages)).write.parquet(path)
+    """Pages written as archives, cut off in the shared folder, and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok. Odd rows are as in `page_records`."""
     number = lambda c: F.expr(f"try_cast(substr({c}, 10) AS BIGINT)")
-    return read_archives(spark.read.schema(ARCHIVES).parquet(path), payloads=False).select(
+    return read_archives(cut(write_archives(page_records(pages))), payloads=False).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "digest_ok"
     )
 
