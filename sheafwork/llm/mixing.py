@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, read_table
 
-#: Key ranges per source. The key is uniform, so a range holds rows(source) / RANGES rows on average.
-RANGES = 1024
+#: Documents of a source that a key range holds at most, on average: the key is uniform, so a table of n rows is cut into n / RANGE_ROWS ranges.
+RANGE_ROWS = 20_000
+#: Hex digits of the key that ranges are told by.
+DIGITS = 8
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix"
@@ -53,23 +55,28 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     )
 
 
-def mix(docs: DataFrame, *, carry: tuple[str, ...] = (), ranges: int = RANGES, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, carry: tuple[str, ...] = (), ranges: int | None = None, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, and the columns in `carry`.
 
     `taken` is the number of words the mix takes: whole epochs of the document's size, and in the last
     epoch what lies before the cut, so that a source yields exactly floor(target) words and at most one
     of its documents is taken in part.
 
-    Null text has size 0; a null source is a source of its own. Documents without words take 0. Rows
-    with one id keep the order of their sizes, so equal rows are interchangeable. No rows give no rows.
+    Null text has size 0; a null source is a source of its own. Documents without words take 0. Long
+    texts are counted whole. Rows with one id keep the order of their sizes, so equal rows are
+    interchangeable. Other columns, whatever their names, are not looked at. No rows give no rows.
+
+    Sizes are summed by ranges of the key, and the ranges in order; only within a range are rows sorted.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    per_range = (1 << 20) // ranges
     base = docs.select(
         "doc_id", *[F.col(c).alias(f"_carry_{c}") for c in carry], F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"),
         F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("_src"), key.alias("_key"),
-    ).withColumn("_range", (F.conv(F.substring("_key", 1, 5), 16, 10).cast("int") / per_range).cast("int"))
+    )
     slim = cut(base.drop(*[f"_carry_{c}" for c in carry]))
+    ranges = ranges or -(-slim.count() // RANGE_ROWS)
+    ranged = lambda rows: rows.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, DIGITS), 16, 10).cast("long") * ranges / F.lit(16**DIGITS)))
+    base, slim = ranged(base), ranged(slim)
     sums = slim.groupBy("_src", "_range").agg(F.sum("_size").alias("_range_size"))
     earlier = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
@@ -94,7 +101,8 @@ def mix(docs: DataFrame, *, carry: tuple[str, ...] = (), ranges: int = RANGES, s
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a row for each epoch that a document is in, its text cut in the epoch that ends inside it.
 
-    Returns the columns of `docs`. Documents without words, or beyond the cut, are not in the mix.
+    Returns the columns of `docs`, whatever their names. Documents without words, or beyond the cut, are not
+    in the mix. Nulls, long texts, ties and repeated rows are as in `mix`.
     """
     columns = docs.columns
     mixed = mix(docs, carry=tuple(columns))
