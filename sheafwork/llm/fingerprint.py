@@ -6,8 +6,8 @@ t = floor(ln w / r + b), ln y = r (t - b), ln a = ln c - ln y - r. The term with
 signature's position j, as a hash of (term, t). Two texts have the same value there with a probability
 equal to the generalised Jaccard similarity of their weights: sum of minima over sum of maxima.
 
-All of it is Spark SQL. A text is exploded into words in the partition that holds it, so counting and
-the minima need no shuffle of words.
+All of it is Spark SQL. Words are counted within the row that holds their text, and only distinct ones
+are exploded there, so counting and the minima need no shuffle of words.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read_table
+from .common import WORD, cut, partitions, read_table
 
 SAMPLES = 32
 #: Bits of a position in the signature.
 BITS = 24
-#: Range partitions of the order by id.
-PARTS = 64
+#: Range partitions of the order by id: as many at least, and more where they would hold more rows than this.
+PARTS, PART_ROWS = 64, 500_000
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -30,25 +30,41 @@ def _uniform(bits: Column, shift: int) -> Column:
 
 
 def _sample(j: int) -> Column:
-    """Sample j of the row's term as one number: ln a in the high bits, the hash of (term, t) in the low ones."""
-    one, two = F.xxhash64(F.col("_term"), F.lit(2 * j)), F.xxhash64(F.col("_term"), F.lit(2 * j + 1))
-    r = -F.ln(_uniform(one, 0) * _uniform(one, 16))
-    ln_c = F.ln(-F.ln(_uniform(one, 32) * _uniform(one, 48)))
-    b = _uniform(two, 0)
+    """Sample j of the row's term as one number: ln a in the high bits, the hash of (term, t) in the low ones.
+
+    r and c take the four quarters of a hash of their own, b a quarter of one that four samples share.
+    """
+    own, shared = F.xxhash64(F.col("_term"), F.lit(j)), F.xxhash64(F.col("_term"), F.lit(-1 - j // 4))
+    r = -F.ln(_uniform(own, 0) * _uniform(own, 16))
+    ln_c = F.ln(-F.ln(_uniform(own, 32) * _uniform(own, 48)))
+    b = _uniform(shared, 16 * (j % 4))
     t = F.floor(F.col("_ln_weight") / r + b)
     ln_a = ln_c - r * (t - b + F.lit(1.0))
-    value = F.shiftrightunsigned(two, 16).bitwiseXOR(F.lit(0x9E3779B97F4A) * t).bitwiseAND(F.lit((1 << BITS) - 1))
+    value = own.bitwiseXOR(F.shiftrightunsigned(own, 29)).bitwiseXOR(F.lit(0x9E3779) * t).bitwiseAND(F.lit((1 << BITS) - 1))
     return F.floor(ln_a * F.lit(float(1 << 27))) * F.lit(1 << BITS) + value
 
 
+def terms(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, _term (hash of a word), _ln_weight for the distinct words of each row of `texts` (keys, text); nulls for a text without words.
+
+    Words are counted within their row: their sorted hashes fall into runs of equal ones. The steps are kept
+    apart, as Spark would work an array out again for each of its elements.
+    """
+    hashed = texts.select(*keys, F.sort_array(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))).alias("_hashes"))
+    sized = hashed.select(*keys, "_hashes", F.size("_hashes").alias("_n"))
+    first = lambda i: (i == 0) | (F.get("_hashes", i) != F.get("_hashes", i - 1))
+    runs = sized.select(*keys, "_hashes", "_n", F.when(F.col("_n") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), first)).alias("_starts"))
+    counted = lambda a, i: F.struct(F.get("_hashes", a).alias("term"), (F.coalesce(F.get("_starts", i + 1), F.col("_n")) - a).alias("weight"))
+    rows = runs.select(*keys, F.explode_outer(F.transform("_starts", counted)).alias("_t"))
+    return rows.select(*keys, F.col("_t.term").alias("_term"), F.ln(F.col("_t.weight").cast("double")).alias("_ln_weight"))
+
+
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """`keys` and `_signature` (array of long) for each row of `texts` (keys, text); keys name a row and partition the table.
 
     A text without words has the signature of an empty set: -1 at every position.
     """
-    words = texts.select(*keys, F.explode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("_word"))
-    counted = words.groupBy(*keys, F.xxhash64("_word").alias("_term"), F.col("_word").isNull().alias("_none")).agg(F.ln(F.count("*").cast("double")).alias("_ln_weight"))
-    minima = counted.groupBy(*keys).agg(*[F.min(F.when(~F.col("_none"), _sample(j))).alias(f"_m{j}") for j in range(samples)])
+    minima = terms(texts, keys).groupBy(*keys).agg(*[F.min(_sample(j)).alias(f"_m{j}") for j in range(samples)])
     low = [F.coalesce(F.col(f"_m{j}").bitwiseAND(F.lit((1 << BITS) - 1)), F.lit(-1)) for j in range(samples)]
     return minima.select(*keys, F.array(*low).alias("_signature"))
 
@@ -63,15 +79,16 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(samples))
 
 
-def with_next(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Distinct (doc_id, hash of text) of `docs`, how often they occur, the length, and the next one: descending doc_id, nulls last; the first after the last.
 
     Range partitions are numbered and written; the order then needs only rows within a part and the
     first row of every other part.
     """
-    keys = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).agg(
+    keys = cut(docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).agg(
         F.count("*").alias("_times"), F.max(F.length(F.coalesce("text", F.lit("")))).alias("_n")
-    )
+    ))
+    parts = parts or max(PARTS, -(-keys.count() // PART_ROWS))
     order = [F.col("doc_id").desc_nulls_last(), F.col("_h")]
     parted = cut(keys.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     me = F.struct("doc_id", "_h")
@@ -83,27 +100,31 @@ def with_next(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     return inside.join(after, "_part").select("doc_id", "_h", "_times", "_n", F.coalesce("_next", "_after").alias("_next"))
 
 
-def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, parts: int = PARTS) -> DataFrame:
+def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of
     the next document in descending doc_id, nulls last, and after the last the first. Null text counts as
     empty. Rows that share a doc_id are ordered by a hash of their text; rows equal in both are one
     document for this order, and each of them is returned. A text without words has the fingerprint
-    of the empty set, which is like itself and like no other. No rows give no rows.
+    of the empty set, which is like itself and like no other. Long texts are taken whole. Of terms with the
+    same least sample the one with the smaller hash counts. Other columns, whatever their names, are not
+    looked at. No rows give no rows.
     """
     key = ["_row", "_h"]
     row = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     ahead = with_next(docs, parts).select(row("doc_id").alias("_row"), "_h", "doc_id", "_times", "_n", row("_next.doc_id").alias("_next_row"), F.col("_next._h").alias("_next_h"))
-    texts = docs.select(row("doc_id").alias("_row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    # a stated number of partitions, which adaptive execution keeps: the work per byte is large
+    texts = docs.select(row("doc_id").alias("_row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text")).repartition(partitions(docs.sparkSession), *key)
     again = F.lag(F.lit(True)).over(Window.partitionBy(*key).orderBy(*key))
     own = texts.withColumn("_again", again).where("_again IS NULL").drop("_again")
     # what each document gives to the one before it, cut to the length needed there
     behind = ahead.select(F.col("_row").alias("_prev_row"), F.col("_h").alias("_prev_h"), F.floor(F.col("_n") / 3).cast("int").alias("_need"), F.col("_next_row").alias("_row"), F.col("_next_h").alias("_h"))
-    given = own.join(behind, key).select(F.col("_prev_row").alias("_row"), F.col("_prev_h").alias("_h"), F.substring("text", F.lit(1), F.col("_need")).alias("_given"))
+    given = own.join(behind.hint("merge"), key).select(F.col("_prev_row").alias("_row"), F.col("_prev_h").alias("_h"), F.substring("text", F.lit(1), F.col("_need")).alias("_given"))
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.col("_given"))
-    pairs = own.join(given, key).withColumn("_edited", edited)
+    # merged where the texts are dealt out: a broadcast would move the work below to the few partitions of the other side
+    pairs = own.join(given.hint("merge"), key).withColumn("_edited", edited)
     both = pairs.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("_which"), "text"), F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("text")))).alias("_t"))
     signed = signatures(both.select(*key, F.col("_t._which").alias("_which"), F.col("_t.text").alias("text")), [*key, "_which"], samples)
     sides = signed.groupBy(*key).agg(*[F.first(F.when(F.col("_which") == w, F.col("_signature")), ignorenulls=True).alias(f"_s{w}") for w in (0, 1)])
