@@ -28,6 +28,20 @@ def test_whole_text_merging_equals_segments():
         assert p.ids_of(marked) == [i for s in p.segments.findall(marked) for i in p.ids_of(s)]
 
 
+def test_many_at_a_time_equals_one_by_one():
+    p = pieces.pieces(pieces.model_path())
+    rng = random.Random(3)
+    words = sorted({"▁" + "".join(rng.choice("etaoinshrdlçê日\x00") for _ in range(rng.randrange(31))) for _ in range(3000)}, key=len)
+    assert p.lone and [np.frombuffer(x, "<u4").tolist() for x in p.merge_many(words)] == [p.ids_of(w) for w in words]
+
+
+def test_a_difference_from_the_library_is_told():
+    p = pieces.Pieces(pieces.model_path(), checked=True)
+    assert [same for _, same in p.encode_all(HARD)] == [True] * len(HARD)
+    p.check(["▁the", "▁a"], [b"\1\0\0\0", np.array(p.ids_of("▁a"), "<u4").tobytes()])
+    assert [same for _, same in p.encode_all(["of the", "a"])] == [False, True]
+
+
 def test_all_documents_in_batches(spark, sf):
     table = read_table(spark, sf, "documents")
     assert table.select(pieces.compared()("text").alias("c")).where("NOT c.same_ids OR NOT c.same_text").count() == 0
@@ -36,6 +50,7 @@ def test_all_documents_in_batches(spark, sf):
     for r in pieces.query(spark, sf).collect():
         ids = lib.encode(texts[r.doc_id], add_bos=True, add_eos=True)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.same_ids
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
