@@ -15,8 +15,8 @@ OCR_FROM, OCR_TO = "0158", "OISB"
 
 
 def _folds() -> tuple[str, str]:
-    """Letters of the Latin blocks whose decomposition is one base letter with marks, and these base letters."""
-    pairs = [(chr(c), d[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    """Letters of the basic plane whose decomposition is one base letter with marks, and these base letters."""
+    pairs = [(chr(c), d[0]) for c in range(0xC0, 0xD800) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -24,7 +24,7 @@ FOLD_FROM, FOLD_TO = _folds()
 
 
 def fold(text: Column) -> Column:
-    """Text without accents: Latin letters with marks become their base letter, other marks go."""
+    """Text without accents: letters with marks become their base letter, other marks go."""
     return F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"\p{Mn}", "")
 
 
@@ -50,18 +50,19 @@ def title_case(text: Column) -> Column:
 
 
 def slug(number: Column, title: Column) -> Column:
-    """A key for a case from its file number and title: lower-case letters and digits between single hyphens, at most 40 and 80 characters."""
-    clean = lambda c, n: F.regexp_replace(F.left(F.regexp_replace(F.regexp_replace(F.lower(fold(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(n)), "-+$", "")
-    return F.regexp_replace(F.left(F.concat_ws("-", F.nullif(clean(number, 40), F.lit("")), F.nullif(clean(title, 40), F.lit(""))), F.lit(80)), "-+$", "")
+    """A key for a case from its file number and the first 40 characters of its title, lower-case letters and digits between single hyphens; 80 characters at most, `caso` where both are empty."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(fold(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    both = F.concat_ws("-", F.nullif(clean(number), F.lit("")), F.nullif(F.left(clean(title), F.lit(40)), F.lit("")))
+    return F.left(F.coalesce(F.nullif(both, F.lit("")), F.lit("caso")), F.lit(80))
 
 
 def roman(number: Column) -> Column:
-    """A whole number from 1 to 3999 as a Roman numeral; others give an empty string."""
-    digits = []
-    for unit, (one, five, ten) in zip((1000, 100, 10, 1), (("M", "", ""), ("C", "D", "M"), ("X", "L", "C"), ("I", "V", "X")), strict=True):
+    """A whole number from 1 on as a Roman numeral, with an M for every thousand; others give an empty string."""
+    digits = [F.repeat(F.lit("M"), F.floor(number / 1000).cast("int"))]
+    for unit, (one, five, ten) in zip((100, 10, 1), (("C", "D", "M"), ("X", "L", "C"), ("I", "V", "X")), strict=True):
         forms = ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
         digits.append(F.element_at(F.array(*map(F.lit, forms)), (F.floor(number / unit) % 10 + 1).cast("int")))
-    return F.when(number.between(1, 3999), F.concat(*digits)).otherwise("")
+    return F.when(number >= 1, F.concat(*digits)).otherwise("")
 
 
 def date_words(iso: Column) -> Column:
@@ -76,6 +77,7 @@ def find_date(text: Column) -> Column:
     plain = F.lower(fold(F.coalesce(text, F.lit(""))))
     months = {m: i + 1 for i, m in enumerate(MONTHS)} | {"setiembre": 9}
     names = "|".join(months)
+    # fixed values: the two forms of a date
     words = rf"\b(\d{{1,2}})\s+de\s+({names})\s+de\s+(\d{{4}})\b"
     number = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
     part = lambda c, p, i: F.regexp_extract(c, p, i).try_cast("int")
@@ -88,7 +90,7 @@ def find_date(text: Column) -> Column:
     return F.when(d.between(1, 31) & y.between(1900, 2100), iso(y, m, d)).when(nd.between(1, 31) & nm.between(1, 12) & ny.between(1900, 2100), iso(ny, nm, nd))
 
 
-#: A page number at the margin, with what may stand around it and after it.
+# Fixed value: a page number at the margin, with what may stand around it and after it.
 LABEL = r"(?i)^[\-–—.·(\[]*(?:f?s?\.?º?°?\s*)?(\d{1,4})\s*(vta\.?|vlta\.?|bis)?[\-–—.·)\]]*$"
 
 
@@ -120,3 +122,8 @@ def sentence_case(text: Column) -> Column:
 def level(confidence: Column) -> Column:
     """Level of a confidence; a missing one means that a person made the piece."""
     return F.when(confidence.isNull(), "manual").when(confidence >= 0.75, "alta").when(confidence >= 0.55, "media").otherwise("baja")
+
+
+def json_list(text: Column) -> Column:
+    """A JSON array of strings; what is missing, no array or no JSON at all gives an empty one."""
+    return F.coalesce(F.from_json(text, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))

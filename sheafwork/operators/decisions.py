@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import excluded_ancestry
+from .lineage import active_descendants, last_switch, tainted
 
 # The three states, and the fields that a person may set.
 INCLUDED, EXCLUDED, PENDING = "incluida", "excluida", "pendiente"
@@ -34,16 +34,27 @@ def states(pieces: DataFrame, log: DataFrame) -> DataFrame:
 def validate(requests: DataFrame, pieces: DataFrame, edges: DataFrame) -> DataFrame:
     """Requests (case_id, piece_id, new) with their `outcome`: `aceptada`, `sin_cambio`, `inexistente`, `inactiva` or `procedencia_excluida`.
 
-    A piece with excluded ancestors cannot be included.
+    A piece with excluded ancestors cannot be included. With a column `batch`, requests of one batch stand
+    or fall together: one that must not be included refuses all others too (`lote_rechazado`).
     """
     asked = requests.join(pieces.select("case_id", "piece_id", "state", "active"), ["case_id", "piece_id"], "left")
-    bad = excluded_ancestry(edges, pieces, requests.where(F.col("new") == INCLUDED).select("case_id", F.col("piece_id").alias("root")))
-    marked = asked.join(bad.select("case_id", F.col("root").alias("piece_id"), F.lit(True).alias("_bad")).distinct(), ["case_id", "piece_id"], "left")
+    marked = asked.join(tainted(edges, pieces).withColumn("_tainted", F.lit(True)), ["case_id", "piece_id"], "left")
+    bad = F.coalesce((F.col("new") == INCLUDED) & F.col("_tainted"), F.lit(False))
     outcome = (
         F.when(F.col("active").isNull(), "inexistente").when(~F.col("active"), "inactiva").when(F.col("state") == F.col("new"), "sin_cambio")
-        .when((F.col("new") == INCLUDED) & F.col("_bad"), "procedencia_excluida").otherwise("aceptada")
+        .when(bad, "procedencia_excluida").otherwise("aceptada")
     )
-    return marked.select("case_id", "piece_id", "new", outcome.alias("outcome"))
+    if "batch" not in requests.columns:
+        return marked.select("case_id", "piece_id", "new", outcome.alias("outcome"))
+    refused = marked.where(bad).select("case_id", "batch", F.lit(True).alias("_refused")).distinct()
+    whole = marked.join(refused, ["case_id", "batch"], "left")
+    return whole.select("case_id", "batch", "piece_id", "new", F.when(F.col("_refused"), F.when(bad, "procedencia_excluida").otherwise("lote_rechazado")).otherwise(outcome).alias("outcome"))
+
+
+def editable(log: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """Edits without those that give a type outside the rules; a blank type is an edit, as it brings back what was detected."""
+    value = F.coalesce(F.trim("new"), F.lit(""))
+    return log.where((F.col("field") != "type_final") | (value == "") | value.isin(*types))
 
 
 def change_log(log: DataFrame, first: Column | None = None) -> DataFrame:
@@ -88,51 +99,98 @@ def manual_pieces(requests: DataFrame) -> DataFrame:
     return requests.select("case_id", "request", "page_start", end.alias("page_end"), F.trim("description").alias("description"), F.nullif(F.trim("number_start"), F.lit("")).alias("number_start"), outcome.alias("outcome"), F.lit("manual").alias("origin"))
 
 
-def split(pieces: DataFrame, at: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split(pieces: DataFrame, at: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The halves of pieces cut before a page (case_id, piece_id, page), and edges to them (case_id, parent, child_no).
 
-    The page lies after the start and not after the end, and the piece is not excluded; others are
-    passed over. Halves are pending and inherit type, description with a suffix, notes, group, date and confidence.
+    The page lies after the start and not after the end, and the piece is neither excluded nor, by `edges`,
+    descended from an excluded one; others are passed over. Halves are pending and inherit type, description
+    with a suffix, notes, group, date, confidence and order. Their text is cut anew from the pages
+    (`segmentation.range_texts`), and their persons are those of the piece (`inherited_links`).
     """
     good = pieces.join(at, ["case_id", "piece_id"]).where("active AND state <> 'excluida' AND page > page_start AND page <= page_end")
+    if edges is not None:
+        good = good.join(tainted(edges, pieces), ["case_id", "piece_id"], "left_anti")
     half = lambda n, a, b: F.struct(F.lit(n).alias("half"), a.alias("start"), b.alias("end"))
     both = good.withColumn("_h", F.explode(F.array(half(1, F.col("page_start"), F.col("page") - 1), half(2, F.col("page"), F.col("page_end")))))
-    halves = both.select("case_id", F.col("piece_id").alias("parent"), F.col("_h.half").alias("half"), F.col("_h.start").alias("page_start"), F.col("_h.end").alias("page_end"), "type", F.concat("description", F.lit(" ("), F.col("_h.half").cast("string"), F.lit("/2)")).alias("description"), "notes", "group_id", "date", "confidence", F.lit(PENDING).alias("state"))
+    halves = both.select("case_id", F.col("piece_id").alias("parent"), F.col("_h.half").alias("half"), F.col("_h.start").alias("page_start"), F.col("_h.end").alias("page_end"), "type", F.concat("description", F.lit(" ("), F.col("_h.half").cast("string"), F.lit("/2)")).alias("description"), "notes", "group_id", "date", "confidence", "order_out", F.lit(PENDING).alias("state"))
     return halves, halves.select("case_id", "parent", F.col("half").alias("child_no"))
 
 
-def union(pieces: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pieces merged from parts (case_id, union_id, piece_id), two or more active and none excluded.
+def inherited_links(links: DataFrame, made: DataFrame, source: str) -> DataFrame:
+    """Persons of new pieces: for each row of `made` the links (case_id, piece_id, person_id, function) of the piece in its column `source`; what several sources share is one link."""
+    keys = [c for c in made.columns if c != source]
+    return made.join(links.withColumnRenamed("piece_id", source), ["case_id", source]).select(*keys, "person_id", "function").distinct()
+
 
-    The range spans all parts; type, description and group come from the first by page, the date is the
-    first one known, the confidence the least, and differing types give a warning.
+def union(pieces: DataFrame, parts: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Pieces merged from parts (case_id, union_id, piece_id), two or more active, none excluded and none, by `edges`, descended from an excluded one.
+
+    The range spans all parts; type, description, group and order come from the first by page, the date is the
+    first one known, the confidence the least, and differing types give a warning. `union_edges` and
+    `inherited_links` give the merged piece's edges and persons.
     """
     rows = parts.join(pieces, ["case_id", "piece_id"])
+    bad = F.lit(False)
+    if edges is not None:
+        rows, bad = rows.join(tainted(edges, pieces).withColumn("_bad", F.lit(True)), ["case_id", "piece_id"], "left"), F.coalesce("_bad", F.lit(False))
     order = F.struct("page_start", "piece_id")
     grouped = rows.groupBy("case_id", "union_id").agg(
-        F.count("*").alias("parts"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by(F.struct("type", "description", "group_id"), order).alias("_f"),
-        F.min_by("date", F.when(F.col("date").isNotNull(), order)).alias("date"), F.min("confidence").alias("confidence"), F.count_distinct("type").alias("_types"), F.bool_and(F.col("active") & (F.col("state") != EXCLUDED)).alias("_ok"),
+        F.count("*").alias("parts"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by(F.struct("type", "description", "group_id", "order_out"), order).alias("_f"),
+        F.min_by("date", F.when(F.col("date").isNotNull(), order)).alias("date"), F.min("confidence").alias("confidence"), F.count_distinct("type").alias("_types"), F.bool_and(F.col("active") & (F.col("state") != EXCLUDED) & ~bad).alias("_ok"),
     )
     good = grouped.where("parts >= 2 AND _ok")
-    return good.select("case_id", "union_id", "parts", "page_start", "page_end", "_f.type", "_f.description", "_f.group_id", "date", "confidence", F.when(F.col("_types") > 1, F.array(F.lit("tipos_distintos"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    return good.select("case_id", "union_id", "parts", "page_start", "page_end", "_f.type", "_f.description", "_f.group_id", "_f.order_out", "date", "confidence", F.when(F.col("_types") > 1, F.array(F.lit("tipos_distintos"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+
+
+def union_edges(pieces: DataFrame, parts: DataFrame, merged: DataFrame) -> DataFrame:
+    """Edges of merged pieces to their parts by page: case_id, union_id, piece_id, part_no from 0."""
+    rows = parts.join(merged.select("case_id", "union_id"), ["case_id", "union_id"], "left_semi").join(pieces.select("case_id", "piece_id", "page_start"), ["case_id", "piece_id"])
+    order = Window.partitionBy("case_id", "union_id").orderBy("page_start", "piece_id")
+    return rows.select("case_id", "union_id", "piece_id", (F.row_number().over(order) - 1).alias("part_no"))
 
 
 def may_undo(edges: DataFrame, pieces: DataFrame, roots: DataFrame) -> DataFrame:
-    """Roots (case_id, root) with whether their split or merge may be undone or their piece restored: nothing that came from their other children is active."""
-    from .lineage import active_descendants
+    """Roots (case_id, root) with whether the merge or the split that made them may be undone.
 
-    busy = active_descendants(edges, pieces, roots).select("case_id", "root").distinct().withColumn("_busy", F.lit(True))
-    return roots.join(busy, ["case_id", "root"], "left").select("case_id", "root", F.col("_busy").isNull().alias("allowed"))
+    Edges have a `kind`, `union` or `division`. The piece must be active. A merge may be undone if no part
+    of it has an active descendant but the merged piece and the parts themselves; a split if its origin has
+    none but the halves.
+    """
+    made = roots.join(edges.select("case_id", F.col("child").alias("root"), F.col("parent").alias("source"), "kind"), ["case_id", "root"])
+    own = made.join(pieces.where("active").select("case_id", F.col("piece_id").alias("root")), ["case_id", "root"], "left_semi")
+    below = active_descendants(edges, pieces, own.select("case_id", F.col("source").alias("root")).distinct()).select("case_id", F.col("root").alias("source"), "node")
+    halves = edges.where("kind = 'division'").select("case_id", F.col("parent").alias("source"), F.col("child").alias("node"))
+    own_parts = own.where("kind = 'union'").select("case_id", "root", F.explode(F.array("root", "source")).alias("node"))
+    exempt = own_parts.union(own.where("kind = 'division'").join(halves, ["case_id", "source"]).select("case_id", "root", "node")).distinct()
+    busy = own.select("case_id", "root", "source").join(below, ["case_id", "source"]).join(exempt, ["case_id", "root", "node"], "left_anti").select("case_id", "root").distinct()
+    free = own.select("case_id", "root").distinct().join(busy, ["case_id", "root"], "left_anti").withColumn("_free", F.lit(True))
+    return roots.join(free, ["case_id", "root"], "left").select("case_id", "root", F.coalesce("_free", F.lit(False)).alias("allowed"))
+
+
+def undo(edges: DataFrame, pieces: DataFrame, roots: DataFrame) -> DataFrame:
+    """What undoing the allowed ones of some roots (case_id, root) changes: case_id, piece_id, active, field.
+
+    A merged piece goes off and its parts come back; all halves of a split go off and its origin comes back.
+    The event (`deshacer_union` on the merged piece, `deshacer_division` on the origin) is in `field`, null for the others.
+    """
+    allowed = may_undo(edges, pieces, roots).where("allowed").select("case_id", "root")
+    made = allowed.join(edges.select("case_id", F.col("child").alias("root"), F.col("parent").alias("source"), "kind"), ["case_id", "root"])
+    row = lambda df, piece, active, field: df.select("case_id", F.col(piece).alias("piece_id"), F.lit(active).alias("active"), F.lit(field).cast("string").alias("field"))
+    merged, cut_up = made.where("kind = 'union'"), made.where("kind = 'division'")
+    halves = cut_up.join(edges.where("kind = 'division'").select("case_id", F.col("parent").alias("source"), F.col("child").alias("half")), ["case_id", "source"])
+    return (
+        row(merged, "root", False, "deshacer_union").union(row(merged, "source", True, None))
+        .union(row(cut_up, "source", True, "deshacer_division")).union(row(halves, "half", False, None)).distinct()
+    )
 
 
 def may_restore(edges: DataFrame, pieces: DataFrame, log: DataFrame) -> DataFrame:
     """Pieces that are off (case_id, piece_id) with whether they may be restored: a person discarded them last, and nothing that came from them is active."""
-    from .lineage import last_switch
-
     off = pieces.where("NOT active").select("case_id", "piece_id")
-    discarded = last_switch(log).select("case_id", "piece_id", (F.col("field") == "descarte").alias("_discarded"))
-    free = may_undo(edges, pieces, off.select("case_id", F.col("piece_id").alias("root"))).withColumnRenamed("root", "piece_id")
-    return off.join(discarded, ["case_id", "piece_id"], "left").join(free, ["case_id", "piece_id"]).select("case_id", "piece_id", (F.coalesce("_discarded", F.lit(False)) & F.col("allowed")).alias("allowed"))
+    discarded = off.join(last_switch(log).where("field = 'descarte'").select("case_id", "piece_id"), ["case_id", "piece_id"], "left_semi")
+    busy = active_descendants(edges, pieces, discarded.select("case_id", F.col("piece_id").alias("root"))).select("case_id", F.col("root").alias("piece_id")).distinct()
+    free = discarded.join(busy, ["case_id", "piece_id"], "left_anti").withColumn("_free", F.lit(True))
+    return off.join(free, ["case_id", "piece_id"], "left").select("case_id", "piece_id", F.coalesce("_free", F.lit(False)).alias("allowed"))
 
 
 def settings(log: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import closure
+from ..plans.graph import closure, reached
 
-#: Events that switch a piece off; the last one tells why it is off.
-SWITCHES = ("activa", "union", "division", "descarte", "deshacer", "rehacer_deteccion")
+# The events that switch a piece off or on. The last one tells why it is off.
+SWITCHES = ("descarte", "restauracion", "union", "division", "deshacer_union", "deshacer_division")
 
 
 def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -29,21 +29,20 @@ def excluded_ancestry(edges: DataFrame, pieces: DataFrame, roots: DataFrame) ->
 
 def tainted(edges: DataFrame, pieces: DataFrame) -> DataFrame:
     """The same from the other end: pieces (case_id, piece_id) that descend from an excluded one. Kept apart from `excluded_ancestry`, so that one checks the other."""
-    roots = pieces.where("state = 'excluida'").select("case_id", F.col("piece_id").alias("root"))
-    return descendants(edges, roots).select("case_id", F.col("node").alias("piece_id")).distinct()
+    sources = pieces.where("state = 'excluida'").select("case_id", F.col("piece_id").alias("node"))
+    return reached(edges.select("case_id", F.col("parent").alias("a"), F.col("child").alias("b")), sources).select("case_id", F.col("node").alias("piece_id"))
 
 
 def tainted_sql(spark, edges: DataFrame, pieces: DataFrame, depth: int = 90) -> DataFrame:
-    """`tainted` by a recursive query over at most `depth` levels; for shallow lineage without cycles."""
-    edges.createOrReplaceTempView("_lineage_edges")
-    pieces.createOrReplaceTempView("_lineage_pieces")
+    """`tainted` by a recursive query, for lineage of fewer than `depth` levels without cycles; where that depth is reached the query fails."""
     return spark.sql(
         f"""WITH RECURSIVE down(case_id, piece_id, level) AS (
-              SELECT case_id, piece_id, 0 FROM _lineage_pieces WHERE state = 'excluida'
+              SELECT case_id, piece_id, 0 FROM {{pieces}} WHERE state = 'excluida'
               UNION ALL
-              SELECT e.case_id, e.child, d.level + 1 FROM down d JOIN _lineage_edges e ON e.case_id = d.case_id AND e.parent = d.piece_id WHERE d.level < {depth})
-            SELECT DISTINCT case_id, piece_id FROM down WHERE level > 0"""
-    )
+              SELECT e.case_id, e.child, d.level + 1 FROM down d JOIN {{edges}} e ON e.case_id = d.case_id AND e.parent = d.piece_id WHERE d.level < {depth})
+            SELECT DISTINCT case_id, piece_id FROM down WHERE level > 0 AND CASE WHEN level < {depth} THEN true ELSE CAST(raise_error('lineage of {depth} levels or more') AS BOOLEAN) END""",
+        edges=edges, pieces=pieces,
+    )
 
 
 def active_descendants(edges: DataFrame, pieces: DataFrame, roots: DataFrame, but: DataFrame | None = None) -> DataFrame:
@@ -60,10 +59,10 @@ def last_switch(log: DataFrame) -> DataFrame:
 
 
 def standing(pieces: DataFrame, edges: DataFrame, log: DataFrame) -> DataFrame:
-    """Pieces with `stands`: whether they stand for their pages, being active, discarded by a person, or with a descendant that is one of these."""
+    """Pieces with `stands`: whether they stand for their pages, being active, discarded by a person, or with a descendant that is one of these. What an undo or a new detection switched off stands for nothing."""
     off = last_switch(log).where("field = 'descarte'").select("case_id", "piece_id", F.lit(True).alias("_discarded"))
     own = pieces.join(off, ["case_id", "piece_id"], "left").withColumn("_own", F.col("active") | F.coalesce("_discarded", F.lit(False)))
-    below = descendants(edges, own.where("NOT _own").select("case_id", F.col("piece_id").alias("root")))
     good = own.where("_own").select("case_id", F.col("piece_id").alias("node"))
-    by_child = below.join(good, ["case_id", "node"], "left_semi").select("case_id", F.col("root").alias("piece_id"), F.lit(True).alias("_below")).distinct()
+    above = reached(edges.select("case_id", F.col("child").alias("a"), F.col("parent").alias("b")), good)
+    by_child = above.select("case_id", F.col("node").alias("piece_id"), F.lit(True).alias("_below"))
     return own.join(by_child, ["case_id", "piece_id"], "left").withColumn("stands", F.col("_own") | F.coalesce("_below", F.lit(False))).drop("_discarded", "_own", "_below")

@@ -35,21 +35,25 @@ def likeness(a: Column, b: Column) -> Column:
 def merge_proposals(people: DataFrame, decided: DataFrame | None = None) -> DataFrame:
     """Pairs (case_id, a, b, score, reason) of persons (person_id, name, document) that may be one.
 
-    Only persons that share a word, an initial of a word, or a document can reach the threshold, so
-    only these meet. Decided pairs are left out.
+    The threshold needs a shared document, one equal word as the whole of both names, or two matches of
+    words or initials, so only persons that share one of these meet; a common word alone brings nobody
+    together. Decided pairs are left out.
     """
     rows = people.select("case_id", "person_id", "document", F.array_distinct(F.filter(F.split(name_key(F.col("name")), " "), lambda w: w != "")).alias("w"))
-    words = rows.select("case_id", "person_id", F.explode("w").alias("word"))
-    initial = F.array(F.concat(F.lit("="), F.col("word")), F.concat(F.substring("word", 1, 1), F.when(F.length("word") == 1, "<").otherwise(">")))
-    blocks = words.select("case_id", "person_id", F.explode(initial).alias("block"))
-    same = blocks.where("block LIKE '=%'")
-    short = blocks.where("block LIKE '%<' AND block NOT LIKE '=%'").select("case_id", F.left("block", F.lit(1)).alias("block"), F.col("person_id").alias("p"))
-    long = blocks.where("block LIKE '%>' AND block NOT LIKE '=%'").select("case_id", F.left("block", F.lit(1)).alias("block"), F.col("person_id").alias("q"))
-    by_word = same.select("case_id", "block", F.col("person_id").alias("p")).join(same.select("case_id", "block", F.col("person_id").alias("q")), ["case_id", "block"]).select("case_id", "p", "q")
-    by_initial = short.join(long, ["case_id", "block"]).select("case_id", "p", "q")
+    # a word may match as it is, or as an initial (s) with a longer word of that initial (l)
+    forms = lambda w, turned: F.array(F.concat(F.lit("="), w), F.concat(F.when(F.length(w) == 1, "l" if turned else "s").otherwise("s" if turned else "l"), F.left(w, F.lit(1))))
+    both = lambda x, y: F.transform(x, lambda a: F.transform(y, lambda b: F.concat(F.least(a, b), F.lit(" "), F.greatest(a, b))))
+
+    def two(turned: bool) -> Column:
+        later = lambda i: F.filter(F.transform("w", lambda v, j: F.when(j > i, v)), lambda v: v.isNotNull())
+        pairs = F.flatten(F.transform("w", lambda u, i: F.flatten(F.transform(later(i), lambda v: F.flatten(both(forms(u, turned), forms(v, turned)))))))
+        return F.when(F.size("w") == 1, F.transform("w", lambda u: F.concat(F.lit("only "), u))).otherwise(pairs)
+
+    side_of = lambda turned, name: rows.select("case_id", F.col("person_id").alias(name), F.explode(F.array_distinct(two(turned))).alias("block"))
+    by_words = side_of(False, "p").join(side_of(True, "q"), ["case_id", "block"]).where("p < q").select("case_id", "p", "q")
     papers = rows.where("document IS NOT NULL AND document <> ''").select("case_id", "document", "person_id")
-    by_paper = papers.withColumnRenamed("person_id", "p").join(papers.withColumnRenamed("person_id", "q"), ["case_id", "document"]).select("case_id", "p", "q")
-    met = by_word.union(by_initial).union(by_paper).where("p <> q").select("case_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    by_paper = papers.withColumnRenamed("person_id", "p").join(papers.withColumnRenamed("person_id", "q"), ["case_id", "document"]).where("p < q").select("case_id", "p", "q")
+    met = by_words.union(by_paper).select("case_id", F.col("p").alias("a"), F.col("q").alias("b")).distinct()
     if decided is not None:
         met = met.join(decided.select("case_id", "a", "b"), ["case_id", "a", "b"], "left_anti")
     side = lambda x: rows.select("case_id", F.col("person_id").alias(x), F.col("w").alias(f"w_{x}"), F.col("document").alias(f"document_{x}"))

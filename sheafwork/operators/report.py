@@ -21,6 +21,10 @@ class Barred(RuntimeError):
     """Something that is not included, or descends from what is excluded, was about to be published."""
 
 
+class Empty(RuntimeError):
+    """A report without a single piece."""
+
+
 class Stale(RuntimeError):
     """A report no longer says what its pieces say."""
 
@@ -125,7 +129,9 @@ def barred(paragraphs: DataFrame, pieces: DataFrame, edges: DataFrame) -> DataFr
 
 
 def publish(paragraphs: DataFrame, pieces: DataFrame, edges: DataFrame, path: str) -> None:
-    """Writes a report to a new place, but nothing if a piece of it is barred."""
+    """Writes a report to a new place, but nothing if it holds no piece or a piece of it is barred."""
+    if paragraphs.where("kind = 'pieza'").isEmpty():
+        raise Empty("nothing is included")
     found = barred(paragraphs, pieces, edges).limit(5).collect()
     if found:
         raise Barred(f"not to be published: {[(r.case_id, r.piece_id) for r in found]}")
@@ -142,6 +148,13 @@ def carry_edits(old: DataFrame, new: DataFrame) -> DataFrame:
     return numbered.join(edits, met, "left").drop(*[f"_{k}" for k in keys], "_nth", "_mth")
 
 
+def edit_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Per case how many edits of an old report were moved to the new one (`carry_edits` gives these paragraphs) and how many stayed behind."""
+    there = old.where("edited IS NOT NULL AND (kind = 'pieza' OR section IS NOT NULL)").groupBy("case_id").agg(F.count("*").alias("_all"))
+    moved = new.groupBy("case_id").agg(F.count("edited").alias("moved"))
+    return there.join(moved, "case_id", "left").select("case_id", F.coalesce("moved", F.lit(0)).alias("moved"), (F.col("_all") - F.coalesce("moved", F.lit(0))).alias("left_behind"))
+
+
 def last_edits(paragraphs: DataFrame, log: DataFrame) -> DataFrame:
     """Paragraphs with the last edit of their text (log of seq, case_id, ord, new); a blank one brings the generated text back."""
     last = log.groupBy("case_id", "ord").agg(F.max_by(F.struct("new"), "seq").alias("_l")).select("case_id", "ord", F.nullif(F.trim(F.col("_l.new")), F.lit("")).alias("edited"))
@@ -182,8 +195,17 @@ def text_of(paragraphs: DataFrame, titles: DataFrame, refuse: DataFrame | None =
     return titles.join(body, "case_id").select("case_id", F.concat("title", F.lit("\n\n"), "_body", F.lit("\n")).alias("text"))
 
 
+def backup_records(**parts: DataFrame) -> DataFrame:
+    """A backup as rows: case_id, part, json. Each table (with a case_id) gives a JSON line for each of its rows, so no case is gathered anywhere; `sources.files.write_records` saves them by case and part."""
+    out = None
+    for name, df in parts.items():
+        one = df.select("case_id", F.lit(name).alias("part"), F.to_json(F.struct(*[c for c in df.columns if c != "case_id"])).alias("json"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def backup(cases: DataFrame, documents: DataFrame, pieces: DataFrame, log: DataFrame) -> DataFrame:
-    """A JSON document for each case: the case, its documents, all active pieces whatever their state, and the log. Not held back by staleness."""
+    """A JSON document for each case: the case, its documents, all active pieces whatever their state, and the log. Not held back by staleness. For cases that fit a row; `backup_records` has no such bound."""
     listed = lambda df, name, *cs: df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*cs))).alias(name))
     parts = [listed(documents, "documentos", "doc_id", "sha256"), listed(pieces.where("active"), "piezas", "piece_id", "state", "description"), listed(log, "revisiones", "seq", "piece_id", "field", "new")]
     out = cases

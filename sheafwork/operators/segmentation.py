@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -84,6 +84,26 @@ def confidence(score: Column, read: Column, pages: Column) -> Column:
     return F.round(F.least(F.lit(1.0), (0.55 * score + 0.45 * F.least(F.lit(1.0), read)) * F.when(pages > LONG, 0.75).otherwise(1.0)), 3)
 
 
+def first_text(rows: DataFrame, keys: list[str], limit: int = TEXT) -> DataFrame:
+    """`keys` and source_text: the texts of rows (keys, global_no, text) in page order with spaces between, cut to `limit` characters.
+
+    Pages are cut before they meet, and those that begin beyond the limit are left out, so that no group
+    holds more than `limit` pages or characters.
+    """
+    order = Window.partitionBy(*keys).orderBy("global_no")
+    short = rows.select(*keys, "global_no", F.left(F.coalesce("text", F.lit("")), F.lit(limit)).alias("_text"))
+    before = F.coalesce(F.sum(F.length("_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = short.withColumn("_before", before).where(F.col("_before") < limit)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_no", "_text"))), lambda x: x["_text"]), " ")
+    return kept.groupBy(*keys).agg(F.left(joined, F.lit(limit)).alias("source_text"))
+
+
+def range_texts(ranges: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys` (case_id among them) and source_text of page ranges (keys, page_start, page_end), from pages (case_id, global_no, text)."""
+    spread = ranges.select(*keys, F.explode(F.sequence("page_start", "page_end")).alias("global_no"))
+    return first_text(spread.join(pages.select("case_id", "global_no", "text"), ["case_id", "global_no"]), keys)
+
+
 def propose(pages: DataFrame, rules: list[Rule], covered: DataFrame | None = None) -> DataFrame:
     """Pieces of the pages that have text and are not in `covered` (case_id, global_no)."""
     left = pages.where("text IS NOT NULL")
@@ -92,11 +112,10 @@ def propose(pages: DataFrame, rules: list[Rule], covered: DataFrame | None = Non
     marked = cut(mark_pages(left, rules).drop("text"))
     keys = ["case_id", "doc_id", "global_no"]
     placed = left.select(*keys, "text").join(marked.join(cuts(marked), keys), keys)
+    piece = ["case_id", "doc_id", "piece_no"]
     first = F.min_by(F.struct("type", "score", "text"), "global_no")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_no", "text"))), lambda x: x["text"]), " ")
-    grouped = placed.groupBy("case_id", "doc_id", "piece_no").agg(
-        F.min("global_no").alias("page_start"), F.max("global_no").alias("page_end"), first.alias("_first"), F.min("conf").alias("read_conf"), F.left(text, F.lit(TEXT)).alias("source_text")
-    )
+    heads = placed.groupBy(*piece).agg(F.min("global_no").alias("page_start"), F.max("global_no").alias("page_end"), first.alias("_first"), F.min("conf").alias("read_conf"))
+    grouped = heads.join(first_text(placed, piece), piece)
     n = F.col("page_end") - F.col("page_start") + 1
     named = F.coalesce(title_line(F.col("_first.text"), F.col("_first.type"), rules), F.concat(F.lit("Pieza sin título legible (pág. "), F.col("page_start").cast("string"), F.lit(")")))
     warn = lambda test, name: F.when(test, F.lit(name))

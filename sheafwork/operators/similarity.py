@@ -30,14 +30,15 @@ def jaccard(a: Column, b: Column) -> Column:
 def meet(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs a < b of rows (piece_id, page, and others) with equal keys and pages at most 400 apart; page 0 is near every page.
 
-    Pages are cut into bands of 400, so that a value that many pieces share is joined band by band.
+    Pages are cut into bands of 400, so that a value that many pieces share is joined band by band. Every
+    pair is met in both directions, as bands are; the one with a < b counts.
     """
     left = rows.select(*[F.col(c).alias(f"{c}_a") if c not in keys else F.col(c) for c in rows.columns]).withColumn("_band", F.floor(F.col("page_a") / WINDOW))
     right = rows.select(*[F.col(c).alias(f"{c}_b") if c not in keys else F.col(c) for c in rows.columns]).withColumn("_at", F.floor(F.col("page_b") / WINDOW))
-    paged = left.where("page_a <> 0").join(right.where("page_b <> 0").withColumn("_band", F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1))).drop("_at"), [*keys, "_band"])
+    paged = left.where("page_a <> 0").join(right.where("page_b <> 0").withColumn("_band", F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1))).drop("_at"), [*keys, "_band"]).where("piece_id_a < piece_id_b")
     loose = left.where("page_a = 0").drop("_band").join(right.drop("_at"), keys).unionByName(left.where("page_a <> 0").drop("_band").join(right.where("page_b = 0").drop("_at"), keys))
     near = paged.drop("_band").where(F.abs(F.col("page_a") - F.col("page_b")) <= WINDOW).unionByName(loose)
-    return near.where("piece_id_a <> piece_id_b").withColumns({"a": F.least("piece_id_a", "piece_id_b"), "b": F.greatest("piece_id_a", "piece_id_b")})
+    return near.where("piece_id_a < piece_id_b").withColumns({"a": F.col("piece_id_a"), "b": F.col("piece_id_b")})
 
 
 def candidate_pairs(sets: DataFrame, share: float = LEAST_SHARE) -> DataFrame:

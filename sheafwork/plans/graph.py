@@ -11,30 +11,45 @@ MAX_ROUNDS = 200
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder (spark.checkpoint.dir; a temporary one only where none is set)."""
+    """`df` written to the checkpoint folder: spark.checkpoint.dir, or a temporary one where none is set and the master is local."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sheafwork-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sheafwork-"))
     return df.checkpoint(eager=True)
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(case_id, root, node) for all nodes that edges (case_id, a, b) lead to from each root (case_id, root), the root itself excluded.
-
-    Works on all roots at once, a step for each level; what was seen is not followed again, so cycles end.
-    """
-    links = cut(edges.select("case_id", F.col("a").alias("node"), F.col("b").alias("_next")).distinct())
-    frontier = cut(roots.select("case_id", "root", F.col("root").alias("node")).distinct())
+def _levels(links: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows (keys, node) that links (case_id, node, _next) lead to from a frontier, that one included. Each level is written once; what was seen is not followed again, so cycles end."""
     seen = frontier
     for _ in range(MAX_ROUNDS):
-        reached = frontier.join(links, ["case_id", "node"]).select("case_id", "root", F.col("_next").alias("node")).distinct()
-        frontier = cut(reached.join(seen, ["case_id", "root", "node"], "left_anti"))
+        reached = frontier.join(links, ["case_id", "node"]).select(*keys, F.col("_next").alias("node")).distinct()
+        frontier = cut(reached.join(seen, [*keys, "node"], "left_anti"))
         if frontier.isEmpty():
-            return seen.where("root <> node")
-        seen = cut(seen.unionByName(frontier))
+            return seen
+        seen = seen.unionByName(frontier)
     raise RuntimeError(f"no end of the lineage after {MAX_ROUNDS} levels")
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    return cut(edges.select("case_id", F.col("a").alias("node"), F.col("b").alias("_next")).distinct())
+
+
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(case_id, root, node) for all nodes that edges (case_id, a, b) lead to from each root (case_id, root), the root itself excluded. Works on all roots at once, a step for each level."""
+    frontier = cut(roots.select("case_id", "root", F.col("root").alias("node")).distinct())
+    return _levels(_links(edges), frontier, ["case_id", "root"]).where("root <> node")
+
+
+def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(case_id, node) of the nodes that edges (case_id, a, b) lead to from any of the sources (case_id, node) in a step or more. Holds nodes, and no pairs of source and node."""
+    links = _links(edges)
+    first = cut(sources.join(links, ["case_id", "node"]).select("case_id", F.col("_next").alias("node")).distinct())
+    return _levels(links, first, ["case_id"])
+
+
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(case_id, node, root): the smallest node of each connected group of edges (case_id, a, b). Labels fall to neighbours' and jump to their labels' labels."""
     both = cut(edges.where("a <> b").select("case_id", F.col("a").alias("node"), F.col("b").alias("_other")).union(edges.where("a <> b").select("case_id", F.col("b"), F.col("a"))).distinct())

@@ -44,12 +44,12 @@ def first_line(x: str = "text") -> str:
 # --- scalar functions -------------------------------------------------------------------------------
 
 
-@query("x1_x6_text_keys", f"""SELECT doc_id, {fold_sql(first_line())} AS folded, {norm_sql(first_line())} AS normal,
-  regexp_replace(translate({upper_sql(first_line())}, '0158', 'OISB'), '[^A-Z0-9]+', '', 'g') AS ocr,
-  array_to_string(list_sort(string_split({norm_sql(first_line())}, ' ')), ' ') AS name_key FROM documents""")
+@query("x1_x6_text_keys", f"""SELECT doc_id, {fold_sql("text")} AS folded, {norm_sql("text")} AS normal,
+  regexp_replace(translate({upper_sql("text")}, '0158', 'OISB'), '[^A-Z0-9]+', '', 'g') AS ocr,
+  array_to_string(list_sort(string_split({norm_sql("text")}, ' ')), ' ') AS name_key FROM documents""")
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
-    line = F.element_at(F.split("text", "\n"), 1)
-    return t.documents(spark, d).select("doc_id", tx.fold(line).alias("folded"), tx.normalise(line).alias("normal"), tx.ocr_key(line).alias("ocr"), tx.name_key(line).alias("name_key"))
+    text = F.col("text")
+    return t.documents(spark, d).select("doc_id", tx.fold(text).alias("folded"), tx.normalise(text).alias("normal"), tx.ocr_key(text).alias("ocr"), tx.name_key(text).alias("name_key"))
 
 
 @query("x5_title_case", f"""WITH w AS (SELECT p_partkey, {norm_sql("concat(p_name, ' y ', p_name)")} AS n FROM part)
@@ -59,24 +59,35 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roman_sql(n: str) -> str:
-    out = []
-    for unit, (a, b, c) in ((1000, ("M", "", "")), (100, ("C", "D", "M")), (10, ("X", "L", "C")), (1, ("I", "V", "X"))):
+    out = [f"repeat('M', cast({n} // 1000 AS INT))"]
+    for unit, (a, b, c) in ((100, ("C", "D", "M")), (10, ("X", "L", "C")), (1, ("I", "V", "X"))):
         forms = ["", a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c]
         out.append("['" + "', '".join(forms) + f"'][cast({n} // {unit} % 10 + 1 AS INT)]")
-    return f"CASE WHEN {n} BETWEEN 1 AND 3999 THEN concat({', '.join(out)}) ELSE '' END"
+    return f"CASE WHEN {n} >= 1 THEN concat({', '.join(out)}) ELSE '' END"
 
 
-@query("x7_x8_numerals_dates", f"""SELECT o_orderkey, {_roman_sql('(o_orderkey % 4200)')} AS numeral,
+@query("x7_x8_numerals_dates", f"""SELECT o_orderkey, {_roman_sql('(o_orderkey % 9200)')} AS numeral,
   concat(day(o_orderdate), ' de ', ['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'][cast(month(o_orderdate) AS INT)], ' de ', year(o_orderdate)) AS words FROM orders""")
 def numerals(spark: SparkSession, d: str) -> DataFrame:
-    return t.orders(spark, d).select("o_orderkey", tx.roman(F.col("o_orderkey") % 4200).alias("numeral"), tx.date_words(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("words"))
+    return t.orders(spark, d).select("o_orderkey", tx.roman(F.col("o_orderkey") % 9200).alias("numeral"), tx.date_words(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("words"))
 
 
-@query("c9_dates", """WITH f AS (SELECT doc_id, regexp_extract(text, '\\b(\\d{1,2})[/.-](\\d{1,2})[/.-](\\d{2,4})\\b', ['d', 'm', 'y']) AS g FROM documents),
+_MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"
+
+
+# texts get a date in words in front, of every month and of days and years on both sides of what counts
+@query("c9_dates", f"""WITH dated AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(doc_id % 35, ' de ', upper(string_split('{_MONTHS} setiembre', ' ')[doc_id % 13 + 1]), ' de ', 1890 + doc_id % 230, ' ', text) ELSE text END AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract(lower(strip_accents(text)), '\\b(\\d{{1,2}})\\s+de\\s+({_MONTHS.replace(' ', '|')}|setiembre)\\s+de\\s+(\\d{{4}})\\b', ['d', 'm', 'y']) AS g FROM dated),
+v AS (SELECT doc_id, try_cast(g.d AS INT) AS d, list_position(string_split('{_MONTHS}', ' '), replace(g.m, 'setiembre', 'septiembre')) AS m, try_cast(g.y AS INT) AS y FROM w),
+f AS (SELECT doc_id, regexp_extract(text, '\\b(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-](\\d{{2,4}})\\b', ['d', 'm', 'y']) AS g FROM dated),
 n AS (SELECT doc_id, try_cast(g.d AS INT) AS d, try_cast(g.m AS INT) AS m, try_cast(g.y AS INT) AS y0 FROM f), z AS (SELECT doc_id, d, m, CASE WHEN y0 < 70 THEN y0 + 2000 WHEN y0 < 100 THEN y0 + 1900 ELSE y0 END AS y FROM n)
-SELECT doc_id, CASE WHEN d BETWEEN 1 AND 31 AND m BETWEEN 1 AND 12 AND y BETWEEN 1900 AND 2100 THEN concat(lpad(cast(y AS VARCHAR), 4, '0'), '-', lpad(cast(m AS VARCHAR), 2, '0'), '-', lpad(cast(d AS VARCHAR), 2, '0')) END AS iso FROM z""")
+SELECT doc_id, CASE WHEN v.d BETWEEN 1 AND 31 AND v.y BETWEEN 1900 AND 2100 THEN concat(v.y, '-', lpad(cast(v.m AS VARCHAR), 2, '0'), '-', lpad(cast(v.d AS VARCHAR), 2, '0'))
+  WHEN z.d BETWEEN 1 AND 31 AND z.m BETWEEN 1 AND 12 AND z.y BETWEEN 1900 AND 2100 THEN concat(lpad(cast(z.y AS VARCHAR), 4, '0'), '-', lpad(cast(z.m AS VARCHAR), 2, '0'), '-', lpad(cast(z.d AS VARCHAR), 2, '0')) END AS iso FROM z JOIN v USING (doc_id)""")
 def dates(spark: SparkSession, d: str) -> DataFrame:
-    return t.documents(spark, d).select("doc_id", tx.find_date(F.col("text")).alias("iso"))
+    i = F.col("doc_id")
+    month = F.element_at(F.split(F.lit(f"{_MONTHS} setiembre"), " "), (i % 13 + 1).cast("int"))
+    dated = F.concat(i % 35, F.lit(" de "), F.upper(month), F.lit(" de "), 1890 + i % 230, F.lit(" "), "text")
+    return t.documents(spark, d).select("doc_id", tx.find_date(F.when(i % 2 == 0, dated).otherwise(F.col("text"))).alias("iso"))
 
 
 @query("c16_number_labels", """WITH k AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN concat('fs. ', l_partkey, 'vta.') WHEN 1 THEN cast(l_partkey AS VARCHAR) WHEN 2 THEN concat('-', l_partkey % 10000, ' bis-') ELSE concat('x', l_partkey) END AS token,
@@ -89,6 +100,14 @@ def number_labels(spark: SparkSession, d: str) -> DataFrame:
     return t.lineitem(spark, d).select("l_orderkey", "l_linenumber", tx.label_text(number, suffix).alias("label"))
 
 
+@query("x10_json_lists", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN event_id % 4 = 0 THEN event_type END AS first FROM events""")
+def json_lists(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id") % 4
+    raw = F.when(e == 0, F.to_json(F.array("event_type", "props"))).when(e == 1, F.col("props")).when(e == 2, F.concat(F.lit("["), "event_type"))
+    found = tx.json_list(raw)
+    return t.events(spark, d).select("event_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"))
+
+
 # --- registration -----------------------------------------------------------------------------------
 
 
@@ -142,10 +161,10 @@ def renumber(spark: SparkSession, d: str) -> DataFrame:
     return registration.renumber(pieces, old, new).select("case_id", "piece_id", "page_start", "page_end", "new_page_start", "new_page_end")
 
 
-@query("u5_order_guard", sql("chat_documents", "SELECT case_id, count(*) FILTER (doc_id % 7 = 0) AS left_out, 0::BIGINT AS added FROM chat_documents GROUP BY case_id"))
+@query("u5_order_guard", sql("chat_documents", "SELECT case_id, count(*) FILTER (doc_id % 7 = 0) AS left_out, count(*) FILTER (doc_id % 3 = 0) AS added FROM chat_documents GROUP BY case_id"))
 def order_guard(spark: SparkSession, d: str) -> DataFrame:
     docs = t.chat_documents(spark, d)
-    return registration.same_documents(docs, docs.where("doc_id % 7 <> 0"))
+    return registration.same_documents(docs, docs.where("doc_id % 7 <> 0").union(docs.where("doc_id % 3 = 0").withColumn("doc_id", -1 - F.col("doc_id"))))
 
 
 @query("g11_read_progress", sql("chat_pages", "SELECT case_id, doc_id, count(*) AS pages, count(*) FILTER (page_no % 3 <> 0) AS read FROM chat_pages GROUP BY case_id, doc_id"))
@@ -161,10 +180,14 @@ def case_summary(spark: SparkSession, d: str) -> DataFrame:
     return registration.case_summary(pieces.select("case_id").distinct(), docs, t.numbered_pages(spark, d), pieces)
 
 
-@query("e14_case_keys", f"""WITH b AS (SELECT p_partkey AS arrival, regexp_replace(regexp_replace(lower(strip_accents(concat('N/', p_partkey % 40, '-', p_name))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM part),
+@query("e14_case_keys", """WITH k AS (SELECT p_partkey AS arrival, CASE WHEN p_partkey % 7 > 0 THEN concat('N/', repeat(cast(p_partkey % 40 AS VARCHAR), cast(1 + p_partkey % 50 AS INT))) END AS f, CASE WHEN p_partkey % 3 > 0 THEN concat(p_name, ' ', p_name, ' ', p_name, ' ', p_name) END AS n FROM part),
+c AS (SELECT arrival, nullif(regexp_replace(regexp_replace(lower(f), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS f, nullif(left(regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '') AS n FROM k),
+b AS (SELECT arrival, left(coalesce(nullif(concat_ws('-', f, n), ''), 'caso'), 80) AS base FROM c),
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY arrival) AS nth FROM b) SELECT arrival, CASE WHEN nth = 1 THEN base ELSE concat(base, '-', nth) END AS slug FROM n""")
 def case_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.part(spark, d).select(F.concat(F.lit("N/"), F.col("p_partkey") % 40).alias("file_no"), F.col("p_name").alias("title"), F.col("p_partkey").alias("arrival"))
+    k = F.col("p_partkey")
+    number = F.when(k % 7 > 0, F.concat(F.lit("N/"), F.repeat((k % 40).cast("string"), (1 + k % 50).cast("int"))))
+    rows = t.part(spark, d).select(number.alias("file_no"), F.when(k % 3 > 0, F.concat_ws(" ", *["p_name"] * 4)).alias("title"), k.alias("arrival"))
     return registration.case_keys(rows).select("arrival", "slug")
 
 
@@ -265,9 +288,12 @@ def discontinuous(spark: SparkSession, d: str) -> DataFrame:
     return numbering.discontinuous(t.raw_pieces(spark, d), t.numbered_pages(spark, d)).select("case_id", "piece_id", "discontinuous")
 
 
-@query("g6_number_summary", sql("numbered_pages", "SELECT case_id, count(num) AS numbered, count(*) FILTER (reading = 'interpolada') AS interpolated, count(*) FILTER (num IS NULL) AS without, 0::BIGINT AS runs FROM numbered_pages GROUP BY case_id"))
+@query("g6_number_summary", sql("readings", RUNS + """, n AS (SELECT case_id, count(*) AS runs FROM runs GROUP BY 1), p AS (SELECT concat('k', o_orderkey // 1000) AS case_id, count(*) FILTER (o_orderkey % 7 <> 0) AS numbered,
+  count(*) FILTER (o_orderkey % 4 = 0) AS interpolated, count(*) FILTER (o_orderkey % 7 = 0) AS without FROM orders GROUP BY 1) SELECT case_id, numbered, interpolated, without, coalesce(runs, 0) AS runs FROM p LEFT JOIN n USING (case_id)"""))
 def number_summary(spark: SparkSession, d: str) -> DataFrame:
-    return numbering.summary(t.numbered_pages(spark, d), numbering.runs(t.readings(spark, d)))
+    k = F.col("o_orderkey")
+    pages = t.orders(spark, d).select(F.concat(F.lit("k"), F.floor(k / 1000).cast("string")).alias("case_id"), F.when(k % 7 != 0, k + 399).alias("num"), F.when(k % 4 == 0, "interpolada").otherwise("leida").alias("reading"))
+    return numbering.summary(pages, numbering.runs(t.readings(spark, d)))
 
 
 @query("e11_typed_numbers", """WITH l AS (SELECT event_id AS seq, user_id AS p, event_id % 7 AS k, event_id % 3000 AS n FROM events),
@@ -335,44 +361,36 @@ def title_lines(spark: SparkSession, d: str) -> DataFrame:
     return headed(spark, d, "doc_id", "text").select("doc_id", "text", F.col("_f.type").alias("_k")).select("doc_id", headings.title_line(F.col("text"), F.col("_k"), RULES).alias("title"))
 
 
-@query("u3_coverage", sql("pieces numbered_pages", "SELECT DISTINCT n.case_id, n.global_no FROM numbered_pages n JOIN pieces p ON p.case_id = n.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE p.active AND p.piece_id % 3 = 1"))
+@query("u3_coverage", sql("pieces numbered_pages", "SELECT DISTINCT n.case_id, n.global_no FROM numbered_pages n JOIN pieces p ON p.case_id = n.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE p.active"))
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    pieces = t.raw_pieces(spark, d).where("piece_id % 3 = 1").select("case_id", F.lit(None).cast("long").alias("doc_id"), "page_start", "page_end", F.col("active").alias("stands"))
+    pieces = t.raw_pieces(spark, d).select("case_id", F.lit(None).cast("long").alias("doc_id"), "page_start", "page_end", F.col("active").alias("stands"))
     return segmentation.coverage(pieces, t.numbered_pages(spark, d).select("case_id", "global_no", F.lit(0).cast("long").alias("doc_id")))
 
 
 @query("u4_accepted_proposals", sql("pieces", """WITH c AS (SELECT DISTINCT case_id, page_start AS g FROM pieces WHERE piece_id % 9 = 0)
-SELECT DISTINCT p.case_id, p.page_start, p.page_end FROM pieces p WHERE p.piece_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM pieces q, c WHERE q.case_id = p.case_id AND q.page_start = p.page_start AND q.piece_id % 2 = 0 AND c.case_id = p.case_id AND c.g BETWEEN q.page_start AND q.page_end)"""))
+SELECT DISTINCT p.case_id, p.page_start, p.page_end FROM pieces p WHERE NOT EXISTS (SELECT 1 FROM pieces q, c WHERE q.case_id = p.case_id AND q.page_start = p.page_start AND c.case_id = p.case_id AND c.g BETWEEN q.page_start AND q.page_end)"""))
 def accepted(spark: SparkSession, d: str) -> DataFrame:
     pieces = t.raw_pieces(spark, d)
     covered = pieces.where("piece_id % 9 = 0").select("case_id", F.col("page_start").alias("global_no")).distinct()
-    return segmentation.accept(pieces.where("piece_id % 2 = 0").select("case_id", "page_start", "page_end").distinct(), covered)
-
-
-@query("p8_untouched", sql("pieces log link_log tag_log", """SELECT case_id, piece_id FROM pieces p WHERE origin = 'automatica' AND active AND state = 'pendiente' AND type_final IS NULL AND group_id IS NULL
-AND NOT EXISTS (SELECT 1 FROM log l WHERE l.case_id = p.case_id AND l.piece_id = p.piece_id AND l.seq % 2 = 0) AND NOT EXISTS (SELECT 1 FROM link_log l WHERE l.case_id = p.case_id AND l.piece_id = p.piece_id AND l.seq % 5 = 0) AND piece_id % 6 <> 0"""))
-def untouched(spark: SparkSession, d: str) -> DataFrame:
-    log, links = t.log(spark, d), t.link_log(spark, d)
-    pairs = t.raw_pieces(spark, d).where("piece_id % 6 = 0").select("case_id", F.col("piece_id").alias("a"), F.col("piece_id").alias("b"))
-    return segmentation.untouched(full_pieces(spark, d), log.where("seq % 2 = 0"), links.where("seq % 5 = 0"), t.tag_log(spark, d).where("seq < 0"), pairs).select("case_id", "piece_id")
-
-
-@query("c12_redo", ORACLES["p8_untouched"].replace("SELECT case_id, piece_id FROM pieces p", "SELECT case_id, piece_id, 'rehacer_deteccion' AS field, '1' AS old, '0' AS new FROM pieces p"))
-def redo(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.retire(untouched(spark, d))
+    return segmentation.accept(pieces.select("case_id", "page_start", "page_end").distinct(), covered)
 
 
 # --- similarity and persons -------------------------------------------------------------------------
 
 
-@query("d1_d3_near_duplicates", f"""WITH p AS (SELECT source AS case_id, doc_id, lang, doc_id + 1 AS page, {norm_sql(first_line())} AS d, {norm_sql('left(text, 1200)')} AS t, regexp_replace(translate({upper_sql(first_line())}, '0158', 'OISB'), '[^A-Z0-9]+', '', 'g') AS k FROM documents),
+def pairs_sql(case: str, page: str, description: str) -> str:
+    """Near-duplicate pieces of documents as common table expressions that end in `f` (case_id, a, b, score)."""
+    return f"""p AS (SELECT {case} AS case_id, doc_id, lang, {page} AS page, {norm_sql(description)} AS d, {norm_sql('left(text, 1200)')} AS t, regexp_replace(translate({upper_sql(description)}, '0158', 'OISB'), '[^A-Z0-9]+', '', 'g') AS k FROM documents),
 w AS (SELECT *, list_filter(string_split(d, ' '), lambda x: x <> '') AS dw, list_filter(string_split(t, ' '), lambda x: x <> '') AS tw FROM p),
 s AS (SELECT case_id, doc_id, lang, page, k, list_distinct(CASE WHEN len(dw) < 3 THEN dw ELSE list_transform(range(1, len(dw) - 1), lambda i: array_to_string(list_slice(dw, i, i + 2), ' ')) END) AS ds,
   list_distinct(CASE WHEN len(tw) < 3 THEN tw ELSE list_transform(range(1, len(tw) - 1), lambda i: array_to_string(list_slice(tw, i, i + 2), ' ')) END) AS ts FROM w),
 c AS (SELECT a.case_id, a.doc_id AS a, b.doc_id AS b, a.lang = b.lang AS same, a.k = b.k AND a.k <> '' AS key, len(list_intersect(a.ds, b.ds)) AS di, len(a.ds) + len(b.ds) AS dn, len(list_intersect(a.ts, b.ts)) AS ti, len(a.ts) + len(b.ts) AS tn
   FROM s a JOIN s b ON a.case_id = b.case_id AND a.doc_id < b.doc_id WHERE abs(a.page - b.page) <= 400 AND (list_has_any(a.ds, b.ds) OR a.k = b.k)),
 j AS (SELECT *, CASE WHEN same THEN 0.15 ELSE 0.0 END + (0.5 * CASE WHEN di = 0 THEN 0.0::DOUBLE ELSE di::DOUBLE / (dn - di) END + 0.35 * CASE WHEN ti = 0 THEN 0.0::DOUBLE ELSE ti::DOUBLE / (tn - ti) END) AS s0 FROM c),
-f AS (SELECT *, CASE WHEN key THEN greatest(s0, 0.9) ELSE s0 END AS score FROM j) SELECT case_id, a, b, CAST(floor(score * 1e6) AS BIGINT) AS score_e6 FROM f WHERE score >= 0.62""")
+f AS (SELECT *, CASE WHEN key THEN greatest(s0, 0.9) ELSE s0 END AS score FROM j)"""
+
+
+@query("d1_d3_near_duplicates", f"WITH {pairs_sql('source', 'doc_id + 1', first_line())} SELECT case_id, a, b, CAST(floor(score * 1e6) AS BIGINT) AS score_e6 FROM f WHERE score >= 0.62")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     first = F.element_at(F.split("text", "\n"), 1)
     pieces = t.documents(spark, d).select(F.col("source").alias("case_id"), F.col("doc_id").alias("piece_id"), F.col("lang").alias("type"), (F.col("doc_id") + 1).alias("page_start"), first.alias("description"), F.left("text", F.lit(1200)).alias("source_text"))
@@ -380,20 +398,35 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours in the checklist as open pairs."""
-    return t.raw_pieces(spark, d).where("piece_id % 8 = 0").select("case_id", F.col("piece_id").alias("a"), (F.col("piece_id") + 5).alias("b"), F.lit(0.9).alias("score"))
+    """Near-duplicates among the checklist's pieces."""
+    return cut(similarity.near_duplicates(t.raw_pieces(spark, d)))
+
+
+PAIRS = pairs_sql("concat('e', doc_id % 5)", "doc_id // 5 + 1", f"left({first_line()}, 80)") + ", pairs AS (SELECT case_id, a, b FROM f WHERE score >= 0.62)"
 
 
-@query("d4_open_pairs", sql("pieces", "SELECT a.case_id, a.piece_id AS a, b.piece_id AS b, a.description AS description_a, b.description AS description_b FROM pieces a JOIN pieces b ON b.case_id = a.case_id AND b.piece_id = a.piece_id + 5 WHERE a.piece_id % 8 = 0 AND a.active AND b.active"))
+@query("d4_open_pairs", sql("pieces", f"WITH {PAIRS} SELECT x.case_id, x.a, x.b, y.description AS description_a, z.description AS description_b FROM pairs x JOIN pieces y ON y.case_id = x.case_id AND y.piece_id = x.a JOIN pieces z ON z.case_id = x.case_id AND z.piece_id = x.b WHERE y.active AND z.active"))
 def open_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.open_pairs(copies(spark, d), t.raw_pieces(spark, d)).select("case_id", "a", "b", "description_a", "description_b")
 
 
-@query("d6_partners", sql("raw_pieces", "SELECT case_id, piece_id, piece_id + 5 AS other_id FROM raw_pieces WHERE piece_id % 8 = 0 UNION ALL SELECT case_id, piece_id + 5, piece_id FROM raw_pieces WHERE piece_id % 8 = 0"))
+@query("d6_partners", f"WITH {PAIRS} SELECT case_id, a AS piece_id, b AS other_id FROM pairs UNION ALL SELECT case_id, b, a FROM pairs")
 def partners(spark: SparkSession, d: str) -> DataFrame:
     return similarity.partners(copies(spark, d)).select("case_id", "piece_id", "other_id")
 
 
+@query("p8_untouched", sql("pieces log link_log tag_log", f"""WITH {PAIRS} SELECT case_id, piece_id FROM pieces p WHERE origin = 'automatica' AND active AND state = 'pendiente' AND type_final IS NULL AND group_id IS NULL
+AND NOT EXISTS (SELECT 1 FROM log l WHERE l.case_id = p.case_id AND l.piece_id = p.piece_id) AND NOT EXISTS (SELECT 1 FROM link_log l WHERE l.case_id = p.case_id AND l.piece_id = p.piece_id)
+AND NOT EXISTS (SELECT 1 FROM tag_log l WHERE l.case_id = p.case_id AND l.piece_id = p.piece_id) AND NOT EXISTS (SELECT 1 FROM pairs x WHERE x.case_id = p.case_id AND p.piece_id IN (x.a, x.b))"""))
+def untouched(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.untouched(full_pieces(spark, d), t.log(spark, d), t.link_log(spark, d), t.tag_log(spark, d), copies(spark, d)).select("case_id", "piece_id")
+
+
+@query("c12_redo", ORACLES["p8_untouched"].replace("SELECT case_id, piece_id FROM pieces p", "SELECT case_id, piece_id, 'rehacer_deteccion' AS field, '1' AS old, '0' AS new FROM pieces p"))
+def redo(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.retire(untouched(spark, d))
+
+
 @query("d8_person_keys", sql("names", f"WITH k AS (SELECT *, array_to_string(list_sort(string_split({norm_sql('name')}, ' ')), ' ') AS key FROM names) SELECT case_id, person_id, key, min(person_id) OVER (PARTITION BY case_id, key) AS kept_id FROM k"))
 def person_keys(spark: SparkSession, d: str) -> DataFrame:
     return persons.with_keys(t.names(spark, d)).select("case_id", "person_id", "key", "kept_id")
@@ -502,6 +535,32 @@ def unions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("case_id", "union_id", "parts", "page_start", "page_end", "type", "confidence", (F.size("warnings") > 0).alias("mixed"))
 
 
+@query("e7_split_persons", sql("pieces link_log intro", """WITH g AS (SELECT case_id, piece_id FROM pieces WHERE active AND state <> 'excluida' AND page_end > page_start),
+k AS (SELECT case_id, piece_id, person_id, 'introductor' AS function FROM intro UNION ALL SELECT case_id, piece_id, person_id, function FROM link_log WHERE function <> 'introductor' GROUP BY ALL HAVING arg_max(op, seq) = 'add')
+SELECT case_id, piece_id AS parent, h.half, person_id, function FROM g JOIN k USING (case_id, piece_id), (SELECT unnest([1, 2]) AS half) h"""))
+def split_persons(spark: SparkSession, d: str) -> DataFrame:
+    pieces = full_pieces(spark, d)
+    halves, _ = decisions.split(pieces, pieces.select("case_id", "piece_id", (F.col("page_start") + 1).alias("page")))
+    return decisions.inherited_links(links(spark, d), halves.select("case_id", "parent", "half", F.col("parent").alias("from_id")), "from_id").select("case_id", "parent", "half", "person_id", "function")
+
+
+@query("e7_split_texts", sql("pieces numbered_pages", """WITH g AS (SELECT case_id, piece_id, page_start, page_end FROM pieces WHERE active AND state <> 'excluida' AND page_end > page_start),
+h AS (SELECT case_id, piece_id AS parent, 1 AS half, page_start AS a, page_start AS b FROM g UNION ALL SELECT case_id, piece_id, 2, page_start + 1, page_end FROM g)
+SELECT h.case_id, parent, half, left(string_agg(n.text, ' ' ORDER BY n.global_no), 1200) AS source_text FROM h JOIN numbered_pages n ON n.case_id = h.case_id AND n.global_no BETWEEN a AND b GROUP BY 1, 2, 3"""))
+def split_texts(spark: SparkSession, d: str) -> DataFrame:
+    pieces = full_pieces(spark, d)
+    halves, _ = decisions.split(pieces, pieces.select("case_id", "piece_id", (F.col("page_start") + 1).alias("page")))
+    return segmentation.range_texts(halves, t.numbered_pages(spark, d), ["case_id", "parent", "half"])
+
+
+@query("e8_union_parts", sql("pieces", """WITH g AS (SELECT case_id, piece_id // 20 AS union_id FROM pieces GROUP BY 1, 2 HAVING count(*) >= 2 AND bool_and(active AND state <> 'excluida'))
+SELECT case_id, piece_id // 20 AS union_id, piece_id, row_number() OVER (PARTITION BY case_id, piece_id // 20 ORDER BY page_start, piece_id) - 1 AS part_no FROM pieces JOIN g ON g.case_id = pieces.case_id AND g.union_id = piece_id // 20""".replace("SELECT case_id, piece_id // 20 AS union_id, piece_id", "SELECT pieces.case_id, piece_id // 20 AS union_id, piece_id").replace("PARTITION BY case_id", "PARTITION BY pieces.case_id")))
+def union_parts(spark: SparkSession, d: str) -> DataFrame:
+    pieces = full_pieces(spark, d).withColumn("date", F.col("date_detected"))
+    parts = pieces.select("case_id", F.floor(F.col("piece_id") / 20).alias("union_id"), "piece_id")
+    return decisions.union_edges(pieces, parts, decisions.union(pieces, parts))
+
+
 @query("g8_next_ordinals", sql("log raw_pieces", """WITH m AS (SELECT seq, case_id, cast(new AS BIGINT) AS group_id, piece_id FROM log WHERE field = 'group_id'), x AS (SELECT case_id, piece_id % 6 AS group_id, max(order_in_group) AS top FROM raw_pieces GROUP BY 1, 2)
 SELECT m.seq, coalesce(top, 0) + row_number() OVER (PARTITION BY m.case_id, m.group_id ORDER BY seq) AS order_in_group FROM m LEFT JOIN x USING (case_id, group_id)"""))
 def ordinals(spark: SparkSession, d: str) -> DataFrame:
@@ -510,9 +569,9 @@ def ordinals(spark: SparkSession, d: str) -> DataFrame:
     return decisions.append_order(moved, there).select("seq", "order_in_group")
 
 
-@query("w11_last_switch", sql("log", "SELECT case_id, piece_id, arg_max(CASE new WHEN 'excluida' THEN 'descarte' ELSE 'union' END, seq) AS field FROM log WHERE new IN ('excluida', 'incluida') GROUP BY ALL"))
+@query("w11_last_switch", sql("made_last", "SELECT piece_id, field FROM made_last"))
 def last_switch(spark: SparkSession, d: str) -> DataFrame:
-    return lineage.last_switch(t.log(spark, d).where("new IN ('excluida', 'incluida')").withColumn("field", F.when(F.col("new") == "excluida", "descarte").otherwise("union")))
+    return lineage.last_switch(t.made_log(spark, d)).select("piece_id", "field")
 
 
 @query("w12_history", sql("log", "SELECT *, row_number() OVER (PARTITION BY case_id, piece_id ORDER BY seq DESC) AS place FROM log"))
@@ -536,11 +595,11 @@ def included(spark: SparkSession, d: str) -> DataFrame:
 _FILTER_SQL = {
     "todas": "TRUE", "incluidas": "state = 'incluida'", "excluidas": "state = 'excluida'", "pendientes": "state = 'pendiente'", "sin_testigo": "introducer_id IS NULL", "sin_foja": "number_start IS NULL",
     "foja_sin_confirmar": "number_start IS NOT NULL AND NOT firm", "foja_interpolada": "interpolated", "baja_confianza": "confidence < 0.55", "modificadas": "modified", "manuales": "origin = 'manual'",
-    "duplicados": "piece_id % 8 = 0 OR (piece_id >= 5 AND (piece_id - 5) % 8 = 0)",
+    "duplicados": "EXISTS (SELECT 1 FROM pairs x WHERE x.case_id = view.case_id AND view.piece_id IN (x.a, x.b))",
 }
 
 
-@query("p3_filters", sql("view", " UNION ALL ".join(f"SELECT '{n}' AS filter, case_id, piece_id FROM view WHERE active AND ({c})" for n, c in _FILTER_SQL.items())))
+@query("p3_filters", sql("view", f"WITH {PAIRS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter, case_id, piece_id FROM view WHERE active AND ({c})" for n, c in _FILTER_SQL.items())))
 def filters(spark: SparkSession, d: str) -> DataFrame:
     rows, pairs = view(spark, d), copies(spark, d)
     tests = F.filter(F.array(*[F.when(f(), F.lit(n)) for n, f in checklist.FILTERS.items()]), lambda x: x.isNotNull())
@@ -663,25 +722,50 @@ def active_descendants(spark: SparkSession, d: str) -> DataFrame:
     return lineage.active_descendants(t.edges(spark, d), pieces, pieces.where("piece_id % 10 = 0").select("case_id", F.col("piece_id").alias("root"))).select("root", "node")
 
 
-@query("a4_standing", sql("edges order_pieces", UP + """, own AS (SELECT piece_id, active OR piece_id % 6 = 0 AS own FROM order_pieces), low AS (SELECT DISTINCT up.node AS piece_id FROM up JOIN own ON own.piece_id = up.root WHERE own.own)
-SELECT piece_id, own OR low.piece_id IS NOT NULL AS stands FROM own LEFT JOIN low USING (piece_id)""", recursive=True))
+MADE_UP = "WITH up AS (SELECT child AS root, parent AS node FROM made_edges UNION ALL SELECT up.root, e.parent FROM up JOIN made_edges e ON e.child = up.node)"
+
+
+@query("a4_standing", sql("made_edges made_pieces made_last", MADE_UP + """, own AS (SELECT p.piece_id, p.active OR coalesce(l.field = 'descarte', FALSE) AS own FROM made_pieces p LEFT JOIN made_last l USING (piece_id)),
+low AS (SELECT DISTINCT up.node AS piece_id FROM up JOIN own ON own.piece_id = up.root WHERE own.own) SELECT piece_id, own OR low.piece_id IS NOT NULL AS stands FROM own LEFT JOIN low USING (piece_id)""", recursive=True))
 def standing(spark: SparkSession, d: str) -> DataFrame:
-    pieces = t.order_pieces(spark, d)
-    log = pieces.where("piece_id % 6 = 0").select(F.lit(1).alias("seq"), "case_id", "piece_id", F.lit("descarte").alias("field"))
-    return lineage.standing(pieces, t.edges(spark, d), log).select("piece_id", "stands")
+    return lineage.standing(t.made_pieces(spark, d), t.made_edges(spark, d), t.made_log(spark, d)).select("piece_id", "stands")
+
+
+_UNDO = """, made AS (SELECT e.child AS root, e.parent AS source, e.kind FROM made_edges e JOIN made_pieces p ON p.piece_id = e.child WHERE p.active),
+exempt AS (SELECT root, root AS node FROM made WHERE kind = 'union' UNION SELECT root, source FROM made WHERE kind = 'union' UNION SELECT m.root, e.child FROM made m JOIN made_edges e ON e.parent = m.source AND e.kind = 'division' WHERE m.kind = 'division'),
+busy AS (SELECT DISTINCT m.root FROM made m JOIN up ON up.node = m.source JOIN made_pieces p ON p.piece_id = up.root AND p.active WHERE NOT EXISTS (SELECT 1 FROM exempt x WHERE x.root = m.root AND x.node = up.root)),
+free AS (SELECT DISTINCT root FROM made WHERE root NOT IN (SELECT root FROM busy))"""
 
 
-@query("e9_e10_may_undo", sql("edges order_pieces", UP + ", busy AS (SELECT DISTINCT up.node AS root FROM up JOIN order_pieces p ON p.piece_id = up.root WHERE p.active) SELECT p.piece_id AS root, b.root IS NULL AS allowed FROM order_pieces p LEFT JOIN busy b ON b.root = p.piece_id", recursive=True))
+@query("e9_e10_may_undo", sql("made_edges made_pieces", MADE_UP + _UNDO + " SELECT p.piece_id AS root, f.root IS NOT NULL AS allowed FROM made_pieces p LEFT JOIN free f ON f.root = p.piece_id", recursive=True))
 def may_undo(spark: SparkSession, d: str) -> DataFrame:
-    pieces = t.order_pieces(spark, d)
-    return decisions.may_undo(t.edges(spark, d), pieces, pieces.select("case_id", F.col("piece_id").alias("root"))).select("root", "allowed")
+    pieces = t.made_pieces(spark, d)
+    return decisions.may_undo(t.made_edges(spark, d), pieces, pieces.select("case_id", F.col("piece_id").alias("root"))).select("root", "allowed")
+
 
+@query("e9_undone", sql("made_edges made_pieces", MADE_UP + _UNDO + """, m AS (SELECT made.* FROM made JOIN free USING (root)) SELECT root AS piece_id, FALSE AS active, 'deshacer_union' AS field FROM m WHERE kind = 'union'
+UNION SELECT source, TRUE, NULL FROM m WHERE kind = 'union' UNION SELECT source, TRUE, 'deshacer_division' FROM m WHERE kind = 'division' UNION SELECT e.child, FALSE, NULL FROM m JOIN made_edges e ON e.parent = m.source AND e.kind = 'division' WHERE m.kind = 'division'""", recursive=True))
+def undone(spark: SparkSession, d: str) -> DataFrame:
+    pieces = t.made_pieces(spark, d)
+    return decisions.undo(t.made_edges(spark, d), pieces, pieces.select("case_id", F.col("piece_id").alias("root"))).select("piece_id", "active", "field")
 
-@query("e10_may_restore", sql("edges order_pieces", UP + ", busy AS (SELECT DISTINCT up.node AS root FROM up JOIN order_pieces p ON p.piece_id = up.root WHERE p.active) SELECT p.piece_id, p.piece_id % 6 = 0 AND b.root IS NULL AS allowed FROM order_pieces p LEFT JOIN busy b ON b.root = p.piece_id WHERE NOT p.active", recursive=True))
+
+@query("e10_may_restore", sql("made_edges made_pieces made_last", MADE_UP + """, busy AS (SELECT DISTINCT up.node AS root FROM up JOIN made_pieces p ON p.piece_id = up.root WHERE p.active)
+SELECT p.piece_id, coalesce(l.field = 'descarte', FALSE) AND b.root IS NULL AS allowed FROM made_pieces p LEFT JOIN made_last l USING (piece_id) LEFT JOIN busy b ON b.root = p.piece_id WHERE NOT p.active""", recursive=True))
 def may_restore(spark: SparkSession, d: str) -> DataFrame:
+    return decisions.may_restore(t.made_edges(spark, d), t.made_pieces(spark, d), t.made_log(spark, d)).select("piece_id", "allowed")
+
+
+@query("e1_batches", sql("edges order_pieces", UP + """, bad AS (SELECT DISTINCT root FROM up JOIN order_pieces p ON p.piece_id = up.node WHERE p.state = 'excluida'), m AS (SELECT p.*, p.piece_id // 20 AS batch, b.root IS NOT NULL AS bad FROM order_pieces p LEFT JOIN bad b ON b.root = p.piece_id),
+r AS (SELECT batch, bool_or(bad) AS refused FROM m GROUP BY 1) SELECT piece_id, CASE WHEN refused THEN CASE WHEN bad THEN 'procedencia_excluida' ELSE 'lote_rechazado' END WHEN NOT active THEN 'inactiva' WHEN state = 'incluida' THEN 'sin_cambio' ELSE 'aceptada' END AS outcome FROM m JOIN r USING (batch)""", recursive=True))
+def batches(spark: SparkSession, d: str) -> DataFrame:
     pieces = t.order_pieces(spark, d)
-    log = pieces.select(F.lit(1).alias("seq"), "case_id", "piece_id", F.when(F.col("piece_id") % 6 == 0, "descarte").otherwise("union").alias("field"))
-    return decisions.may_restore(t.edges(spark, d), pieces, log).select("piece_id", "allowed")
+    return decisions.validate(pieces.select("case_id", "piece_id", F.floor(F.col("piece_id") / 20).alias("batch"), F.lit("incluida").alias("new")), pieces, t.edges(spark, d)).select("piece_id", "outcome")
+
+
+@query("e2_editable", sql("log", "SELECT seq FROM log WHERE field <> 'type_final' OR new IN ('', 'fr', 'en')"))
+def editable(spark: SparkSession, d: str) -> DataFrame:
+    return decisions.editable(t.log(spark, d), ("fr", "en")).select("seq")
 
 
 @query("e1_validated", sql("edges order_pieces", UP + """, bad AS (SELECT DISTINCT root FROM up JOIN order_pieces p ON p.piece_id = up.node WHERE p.state = 'excluida')
@@ -716,6 +800,13 @@ def preflight(spark: SparkSession, d: str) -> DataFrame:
 CITE = """CASE WHEN number_start IS NULL THEN 'fs. [FOJA PENDIENTE]' WHEN number_end IS NULL AND page_end > page_start THEN concat('fs. ', number_start, '/[FOJA PENDIENTE]') WHEN number_end IS NULL OR number_end = number_start THEN concat('fs. ', number_start) ELSE concat('fs. ', number_start, '/', number_end) END"""
 
 
+@query("a5_ready", sql("view numbered_pages", f"""WITH {DISC}, i AS (SELECT *, number_start IS NULL OR (number_end IS NULL AND page_end > page_start) OR (introducer IS NULL AND process_type = 'remision') AS stop FROM rv WHERE state = 'incluida' AND active)
+SELECT c.case_id, count(i.piece_id) AS included, count(i.piece_id) > 0 AND NOT coalesce(bool_or(stop), FALSE) AS ready FROM (SELECT DISTINCT case_id FROM view) c LEFT JOIN i USING (case_id) GROUP BY 1"""))
+def ready(spark: SparkSession, d: str) -> DataFrame:
+    rows = report_view(spark, d)
+    return report.ready(rows.select("case_id").distinct(), rows)
+
+
 @query("a6_citations", sql("view", f"SELECT case_id, piece_id, {CITE} AS cite FROM view"))
 def citations(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d).select("case_id", "piece_id", report.citation().alias("cite"))
@@ -756,11 +847,16 @@ def carried(spark: SparkSession, d: str) -> DataFrame:
     return report.carry_edits(saved_report(spark, d), report.assemble(report_view(spark, d))).select("case_id", "piece_id", "edited")
 
 
-@query("a10_staleness", sql("view", "SELECT case_id, 'falta' AS problem, piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 = 0 UNION ALL SELECT case_id, 'cambio_texto', piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 <> 0 AND piece_id % 5 = 0"))
+@query("a9_edit_counts", sql("view", "SELECT case_id, count(*) FILTER (piece_id % 5 <> 0) AS moved, count(*) FILTER (piece_id % 5 = 0) AS left_behind FROM view WHERE state = 'incluida' AND active AND piece_id % 3 = 0 AND piece_id % 7 <> 0 GROUP BY 1"))
+def edit_counts(spark: SparkSession, d: str) -> DataFrame:
+    old = saved_report(spark, d)
+    return report.edit_counts(old, report.carry_edits(old, report.assemble(report_view(spark, d))))
+
+
+@query("a10_staleness", sql("view piece_edges", "SELECT e.case_id, 'procedencia_excluida' AS problem, e.child AS piece_id FROM piece_edges e JOIN view x ON x.case_id = e.case_id AND x.piece_id = e.parent AND x.state = 'excluida' JOIN view v ON v.case_id = e.case_id AND v.piece_id = e.child WHERE v.state = 'incluida' AND v.active AND v.piece_id % 7 <> 0 UNION ALL SELECT case_id, 'falta' AS problem, piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 = 0 UNION ALL SELECT case_id, 'cambio_texto', piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 <> 0 AND piece_id % 5 = 0"))
 def staleness(spark: SparkSession, d: str) -> DataFrame:
     pieces = decisions.states(t.raw_pieces(spark, d), t.log(spark, d))
-    none = t.edges(spark, d).where("child < 0")
-    return report.staleness(saved_report(spark, d), report.assemble(report_view(spark, d)), pieces, none)
+    return report.staleness(saved_report(spark, d), report.assemble(report_view(spark, d)), pieces, t.piece_edges(spark, d))
 
 
 @query("a12_read_report", sql("view", "SELECT case_id, piece_id, piece_id % 3 = 0 AS is_edited, state FROM view WHERE state = 'incluida' AND active AND piece_id % 7 <> 0"))
@@ -787,6 +883,16 @@ def backups(spark: SparkSession, d: str) -> DataFrame:
     return report.backup(pieces.select("case_id").distinct(), docs, pieces, t.log(spark, d))
 
 
+@query("s8_backup_records", sql("pieces log numbered_pages groups people", """SELECT case_id, 'evidencias' AS part, count(*) AS n FROM pieces WHERE active GROUP BY 1 UNION ALL SELECT case_id, 'revisiones', count(*) FROM log GROUP BY 1 UNION ALL SELECT case_id, 'fojas', count(*) FROM numbered_pages GROUP BY 1
+UNION ALL SELECT case_id, 'grupos', count(*) FROM groups GROUP BY 1 UNION ALL SELECT case_id, 'personas', count(*) FROM people GROUP BY 1 UNION ALL SELECT concat('e', doc_id % 5), 'documentos', count(*) FROM documents GROUP BY 1
+UNION ALL SELECT case_id, 'punteo', count(*) FROM pieces WHERE active AND state = 'incluida' GROUP BY 1"""))
+def backup_records(spark: SparkSession, d: str) -> DataFrame:
+    docs = t.documents(spark, d).select(F.concat(F.lit("e"), F.col("doc_id") % 5).alias("case_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    pages = t.numbered_pages(spark, d).select("case_id", "global_no", "num", "suffix", "origin")
+    records = report.backup_records(documentos=docs, fojas=pages, grupos=t.groups(spark, d), personas=t.people(spark, d), evidencias=full_pieces(spark, d).where("active"), revisiones=t.log(spark, d), punteo=report.assemble(report_view(spark, d)))
+    return records.groupBy("case_id", "part").agg(F.count("json").alias("n"))
+
+
 @query("s9_file_names", "SELECT p_partkey, concat('listado-', replace(replace(concat('N/', p_partkey, ' ', p_name), '/', '-'), ' ', ''), '.txt') AS name FROM part")
 def file_names(spark: SparkSession, d: str) -> DataFrame:
     return t.part(spark, d).select("p_partkey", report.file_name(F.concat(F.lit("N/"), "p_partkey", F.lit(" "), "p_name"), "txt").alias("name"))

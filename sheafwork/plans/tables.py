@@ -20,12 +20,17 @@ RULES = [
 ]
 
 
+#: A table of fewer bytes than this for each core may have too few splits for them.
+SMALL_SPLIT = 16 << 20
+
+
 def table(name: str, spread: bool = False):
-    """A reader of a table. With `spread`, one of fewer splits than there are cores is dealt out over all of them."""
+    """A reader of a table. With `spread`, a small one (`SMALL_SPLIT` bytes a core, by the plan's own estimate) is dealt out over all cores."""
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if spread else 0
+        return df.repartition(cores) if spread and size < cores * SMALL_SPLIT else df
 
     return read
 
@@ -119,6 +124,42 @@ def order_pieces(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select(F.lit("l").alias("case_id"), k.cast("long").alias("piece_id"), F.when(k % 50 == 7, "excluida").when(k % 2 == 0, "incluida").otherwise("pendiente").alias("state"), (F.col("o_orderstatus") != "F").alias("active"))
 
 
+def piece_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Lineage of the checklist's pieces: every third one came from the fifth before it, which is in its case."""
+    i = F.col("doc_id")
+    return documents(spark, d).where((i >= 5) & (i % 3 == 0)).select(F.concat(F.lit("e"), i % 5).alias("case_id"), (i - 5).alias("parent"), i.alias("child"))
+
+
+#: Where the ids of merged pieces begin, and of those merged from these.
+MERGED, AGAIN = 10**9, 2 * 10**9
+
+
+def made_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Splits and merges in every ten order keys: 1 and 2 are merged, and these again by twos; 3 is split into 4 and 5, and 4 into 6 and 7."""
+    k = F.col("o_orderkey").cast("long")
+    ten, one = F.floor(k / 10), k % 10
+    keys = orders(spark, d)
+    edge = lambda test, parent, child, kind: keys.where(test).select(F.lit("l").alias("case_id"), parent.cast("long").alias("parent"), child.cast("long").alias("child"), F.lit(kind).alias("kind"))
+    return (
+        edge(one.isin(1, 2), k, ten + MERGED, "union").unionByName(edge(one == 1, ten + MERGED, F.floor(ten / 2) + AGAIN, "union"))
+        .unionByName(edge(one.isin(4, 5), k - one + 3, k, "division")).unionByName(edge(one.isin(6, 7), k - one + 4, k, "division"))
+    )
+
+
+def made_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The order keys and the merged pieces, some of them active."""
+    made = made_edges(spark, d).where("kind = 'union'").select("case_id", F.col("child").alias("piece_id")).distinct()
+    own = orders(spark, d).select(F.lit("l").alias("case_id"), F.col("o_orderkey").cast("long").alias("piece_id")).union(made)
+    return own.withColumns({"active": F.col("piece_id") % 1000003 * 7919 % 5 < 2, "state": F.when(F.col("piece_id") * 31 % 11 == 0, "excluida").otherwise("pendiente")})
+
+
+def made_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events that switch these pieces off and on, in a mixed order."""
+    kinds = ("descarte", "restauracion", "union", "division", "deshacer_union", "deshacer_division", "rehacer_deteccion", "alta")
+    rows = made_pieces(spark, d).select("case_id", "piece_id", F.posexplode(F.array(*map(F.lit, kinds))).alias("_e", "field")).where((F.col("piece_id") * 13 + F.col("_e")) % 3 == 0)
+    return rows.select(((F.col("piece_id") * 17 + F.col("_e") * 5) % 7 * 10 + F.col("_e")).alias("seq"), "case_id", "piece_id", "field")
+
+
 def names(spark: SparkSession, d: str) -> DataFrame:
     """Persons from part names, a hundred to a case: as written, turned round, or with an initial."""
     k = F.col("p_partkey")
@@ -154,6 +195,15 @@ SQL = {
         CASE WHEN doc_id % 7 = 0 THEN 'desconocida' WHEN doc_id % 4 = 0 THEN 'interpolada' ELSE 'leida' END AS reading, text FROM documents""",
     "edges": "SELECT 'l' AS case_id, o_orderkey // 2 AS parent, o_orderkey AS child FROM orders WHERE o_orderkey > 1",
     "order_pieces": "SELECT 'l' AS case_id, o_orderkey AS piece_id, CASE WHEN o_orderkey % 50 = 7 THEN 'excluida' WHEN o_orderkey % 2 = 0 THEN 'incluida' ELSE 'pendiente' END AS state, o_orderstatus <> 'F' AS active FROM orders",
+    "piece_edges": "SELECT concat('e', doc_id % 5) AS case_id, doc_id - 5 AS parent, doc_id AS child FROM documents WHERE doc_id >= 5 AND doc_id % 3 = 0",
+    "made_edges": f"""SELECT o_orderkey AS parent, o_orderkey // 10 + {MERGED} AS child, 'union' AS kind FROM orders WHERE o_orderkey % 10 IN (1, 2)
+        UNION ALL SELECT o_orderkey // 10 + {MERGED}, o_orderkey // 20 + {AGAIN}, 'union' FROM orders WHERE o_orderkey % 10 = 1
+        UNION ALL SELECT o_orderkey - o_orderkey % 10 + 3, o_orderkey, 'division' FROM orders WHERE o_orderkey % 10 IN (4, 5)
+        UNION ALL SELECT o_orderkey - o_orderkey % 10 + 4, o_orderkey, 'division' FROM orders WHERE o_orderkey % 10 IN (6, 7)""",
+    "made_pieces": "SELECT piece_id, piece_id % 1000003 * 7919 % 5 < 2 AS active FROM (SELECT cast(o_orderkey AS BIGINT) AS piece_id FROM orders UNION SELECT child FROM made_edges WHERE kind = 'union')",
+    "made_log": """SELECT (piece_id * 17 + e * 5) % 7 * 10 + e AS seq, piece_id, ['descarte', 'restauracion', 'union', 'division', 'deshacer_union', 'deshacer_division', 'rehacer_deteccion', 'alta'][e + 1] AS field
+        FROM made_pieces, (SELECT unnest(range(8)) AS e) WHERE (piece_id * 13 + e) % 3 = 0""",
+    "made_last": "SELECT piece_id, arg_max(field, seq) AS field FROM made_log WHERE field NOT IN ('rehacer_deteccion', 'alta') GROUP BY piece_id",
     "names": """SELECT concat('p', p_partkey // 100) AS case_id, p_partkey AS person_id, CASE p_partkey % 3 WHEN 1 THEN concat(split_part(p_name, ' ', 2), ', ', split_part(p_name, ' ', 1))
         WHEN 2 THEN concat(split_part(p_name, ' ', 1), ' ', left(split_part(p_name, ' ', 2), 1), '.') ELSE p_name END AS name, CASE WHEN p_partkey % 25 = 0 THEN concat('D', p_partkey % 4) END AS document FROM part""",
     # folds of the log, and the checklist's view
@@ -174,6 +224,7 @@ SQL = {
         LEFT JOIN intro i ON i.case_id = p.case_id AND i.piece_id = p.piece_id""",
 }
 NEEDS = {
+    "made_pieces": ["made_edges"], "made_log": ["made_pieces"], "made_last": ["made_log"],
     "chat_documents": ["chat_pages"], "tag_log": ["link_log"], "people": ["link_log"], "groups": ["log"], "last_state": ["log"], "last_type": ["log"], "last_group": ["log"], "intro": ["link_log", "people"],
     "pieces": ["raw_pieces", "last_state", "last_type", "last_group", "groups"], "view": ["pieces", "numbered_pages", "intro"],
 }

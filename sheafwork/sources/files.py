@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 def load_folder(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a folder and its subfolders as deliveries (case_id, arrival, name, content): the case is the folder of a file, arrival its place by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -2).alias("case_id"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return named.withColumn("arrival", F.row_number().over(Window.partitionBy("case_id").orderBy("path")).cast("long")).select("case_id", "arrival", "name", "content")
+    parts = F.split("path", "/")
+    named = files.select("path", F.element_at(parts, -2).alias("case_id"), F.element_at(parts, -1).alias("name"))
+    # paths are numbered without their contents, which meet their numbers afterwards
+    numbered = named.withColumn("arrival", F.row_number().over(Window.partitionBy("case_id").orderBy("path")).cast("long"))
+    return numbered.join(files.select("path", "content"), "path").select("case_id", "arrival", "name", "content")
 
 
 def append_exceptions(rejects: DataFrame, path: str) -> None:
@@ -31,3 +34,8 @@ def write_backups(backups: DataFrame, path: str) -> None:
 def overwrite_readings(readings: DataFrame, path: str) -> None:
     """Readings written over those of the same cases only."""
     readings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(path)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Rows of a backup (case_id, part, json) as JSON lines in folders by case and part."""
+    records.select("case_id", "part", F.col("json").alias("value")).write.partitionBy("case_id", "part").text(path)

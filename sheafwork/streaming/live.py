@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.checklist import counters
 from ..operators.segmentation import accept, propose
 
 
@@ -27,11 +28,39 @@ def live_counters(log: DataFrame) -> DataFrame:
     return log.groupBy("case_id", "field", "new").agg(F.count("*").alias("n"))
 
 
+def _keep(batch: DataFrame, number: int, path: str) -> DataFrame:
+    """All rows of a stream so far, this batch included. A batch that is run again writes to its own place."""
+    batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
+def checklist_counters(log: DataFrame, view_of: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """A stream that keeps the checklist's counters of each case up to date: `view_of` makes the view from the log so far, and its counters are written to a folder for each batch."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = view_of(_keep(batch, number, f"{checkpoint}-log"))
+        counters(rows.select("case_id").distinct(), rows).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return log.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def proposals(pages: DataFrame, rules: list, covered: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """A stream that appends proposals for new pages which no piece covers; `covered` is read anew for each batch, and a batch that is run again writes to its own place."""
+    """A stream that writes proposals for new pages which no piece covers; `covered` is read anew for each batch, and a batch that is run again writes to its own place.
+
+    A document whose pages come in several batches is proposed anew as a whole with each of them, from the
+    pages kept beside the checkpoint; `latest` reads its last proposals.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         done = covered()
-        accept(propose(batch, rules, done), done).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        touched = batch.select("case_id", "doc_id").distinct()
+        whole = _keep(batch, number, f"{checkpoint}-pages").join(touched, ["case_id", "doc_id"], "left_semi")
+        accept(propose(whole, rules, done), done).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(proposed: DataFrame) -> DataFrame:
+    """Of proposals by batch those of the last batch of each document."""
+    last = proposed.groupBy("case_id", "doc_id").agg(F.max("batch").alias("batch"))
+    return proposed.join(last, ["case_id", "doc_id", "batch"], "left_semi").drop("batch")

@@ -183,6 +183,66 @@ def test_lineage_with_cycles_and_three_ways(spark):
     assert found == {("c", 4): "procedencia_excluida", ("c", 3): "aceptada", ("c", 2): "inactiva", ("d", 9): "inexistente", ("d", 4): "aceptada"}
 
 
+def test_a_lineage_beyond_the_depth_is_told(spark):
+    edges = spark.createDataFrame([("c", i, i + 1) for i in range(6)], "case_id string, parent long, child long")
+    pieces = spark.createDataFrame([("c", 0, "excluida", True)], "case_id string, piece_id long, state string, active boolean")
+    assert lineage.tainted_sql(spark, edges, pieces, 7).count() == lineage.tainted(edges, pieces).count() == 6
+    with pytest.raises(Exception, match="levels or more"):
+        lineage.tainted_sql(spark, edges, pieces, 3).collect()
+
+
+def test_undo_of_splits_and_merges(spark):
+    edges = spark.createDataFrame([("c", 1, 2, "division"), ("c", 1, 3, "division"), ("c", 4, 6, "union"), ("c", 5, 6, "union"), ("c", 10, 11, "division"), ("c", 10, 12, "division"), ("c", 11, 14, "union"), ("c", 13, 14, "union")], "case_id string, parent long, child long, kind string")
+    on = {2, 3, 6, 12, 14}
+    pieces = spark.createDataFrame([("c", i, "pendiente", i in on) for i in (*range(1, 7), *range(10, 15))], "case_id string, piece_id long, state string, active boolean")
+    roots = pieces.select("case_id", F.col("piece_id").alias("root"))
+    got = {r.root for r in decisions.may_undo(edges, pieces, roots).where("allowed").collect()}
+    assert got == {2, 3, 6, 14}  # 12 is a half whose sister lives on in 14
+    changes = {(r.piece_id, r.active, r.field) for r in decisions.undo(edges, pieces, roots.where("root IN (3, 6, 12)")).collect()}
+    assert changes == {(2, False, None), (3, False, None), (1, True, "deshacer_division"), (6, False, "deshacer_union"), (4, True, None), (5, True, None)}
+
+
+def test_pieces_stand_for_their_pages_by_the_last_switch(spark):
+    edges = spark.createDataFrame([("c", 4, 5), ("c", 6, 7)], "case_id string, parent long, child long")
+    pieces = spark.createDataFrame([("c", i, i in (3,)) for i in range(1, 8)], "case_id string, piece_id long, active boolean")
+    events = [(1, 1, "descarte"), (1, 2, "descarte"), (2, 2, "restauracion"), (3, 2, "deshacer_union"), (1, 5, "descarte"), (1, 4, "union"), (9, 7, "deshacer_division"), (2, 7, "descarte"), (1, 6, "rehacer_deteccion")]
+    log = spark.createDataFrame([(s, "c", i, f) for s, i, f in events], "seq long, case_id string, piece_id long, field string")
+    assert {r.piece_id for r in lineage.standing(pieces, edges, log).where("stands").collect()} == {1, 3, 4, 5}
+    assert {r.piece_id: r.field for r in lineage.last_switch(log).collect()} == {1: "descarte", 2: "deshacer_union", 4: "union", 5: "descarte", 7: "deshacer_division"}
+    assert {r.piece_id for r in decisions.may_restore(edges, pieces, log).where("allowed").collect()} == {1, 5}
+
+
+def test_names_meet_as_all_pairs_do(spark):
+    from itertools import combinations
+
+    from sheafwork.operators import persons
+
+    rng, words = random.Random(6), ["ana", "a", "perez", "p", "juan", "j", "maria", "jose", "lopez"]
+    rows = [("c", i, " ".join(rng.choices(words, k=rng.randrange(1, 5))), None) for i in range(120)]
+    people = spark.createDataFrame(rows, "case_id string, person_id long, name string, document string")
+
+    def score(a, b):
+        x, y = set(a.split()), set(b.split())
+        short = lambda p, q: {w for w in p - q if len(w) == 1 and any(len(v) > 1 and v.startswith(w) for v in q - p)}
+        n = len((x & y) | short(x, y) | short(y, x))
+        share = n / len(x | y)
+        return 0.0 if n == 0 else max(share, 0.75 + 0.25 * share) if n >= min(len(x), len(y)) and n >= 2 else share
+
+    want = {(p[1], q[1]) for p, q in combinations(rows, 2) if round(score(p[2], q[2]), 3) >= 0.72}
+    assert {(r.a, r.b) for r in persons.merge_proposals(people).collect()} == want and len(want) > 100
+
+
+def test_keys_and_numerals_beyond_the_usual(spark):
+    row = spark.range(1).select(tx.slug(F.lit("9" * 60), F.lit(None).cast("string")).alias("a"), tx.slug(F.lit("--"), F.lit("")).alias("b"), tx.roman(F.lit(4004)).alias("c"), tx.fold(F.lit("άй Ấ")).alias("d"), tx.slug(F.lit(""), F.lit("x" * 90)).alias("e")).first()
+    assert tuple(row) == ("9" * 60, "caso", "MMMMIV", "αи A", "x" * 40)
+
+
+def test_an_empty_report_is_not_published(spark, sf, tmp_path):
+    view = queries.report_view(spark, sf)
+    with pytest.raises(report.Empty):
+        report.publish(report.assemble(view.withColumn("state", F.lit("pendiente"))), view, spark.createDataFrame([], "case_id string, parent long, child long"), str(tmp_path / "none"))
+
+
 def test_nothing_excluded_is_published(spark, sf, tmp_path):
     view = queries.report_view(spark, sf)
     pieces = decisions.states(tables.raw_pieces(spark, sf), tables.log(spark, sf))

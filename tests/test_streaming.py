@@ -55,6 +55,32 @@ def test_streamed_proposals_equal_batch(spark, sf, stream, tmp_path):
     assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
 
 
+def test_a_document_in_several_batches_is_proposed_as_a_whole(spark, sf, tmp_path):
+    pages = queries.chat_numbered(spark, sf)
+    for part in (0, 1, 2):
+        pages.where(F.col("page_no") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
+    none = pages.limit(0).select("case_id", "global_no")
+    live.proposals(source, tables.RULES, lambda: none, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got, want = live.latest(spark.read.parquet(str(tmp_path / "out"))), segmentation.propose(pages, tables.RULES, none)
+    assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def test_streamed_counters_equal_batch(spark, sf, stream, tmp_path):
+    from sheafwork.operators import checklist
+
+    def view_of(log):
+        pieces = decisions.states(tables.raw_pieces(spark, sf), log)
+        grouped = pieces.join(decisions.groups_of(pieces, log, tables.groups(spark, sf)), ["case_id", "piece_id"])
+        return checklist.effective(grouped, decisions.finals(log), tables.numbered_pages(spark, sf), tables.groups(spark, sf), queries.links(spark, sf), tables.people(spark, sf))
+
+    live.checklist_counters(stream(tables.log(spark, sf), "log3"), view_of, str(tmp_path / "counts"), str(tmp_path / "mark")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "counts"))
+    last = got.where(F.col("batch") == got.agg(F.max("batch")).first()[0]).drop("batch")
+    want = queries.counters(spark, sf)
+    assert last.count() == want.count() and last.select(want.columns).exceptAll(want).isEmpty()
+
+
 def test_sinks_and_folder_load(spark, sf, tmp_path):
     for case in ("a", "b"):
         (tmp_path / "in" / case).mkdir(parents=True)
