@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, read_table
 
-#: Documents of a source that a key range holds at most, on average: the key is uniform, so a table of n rows is cut into n / RANGE_ROWS ranges.
-RANGE_ROWS = 20_000
+#: Key ranges of a source: as many at least, and more where they would hold more rows than this. The key is uniform, so rows fall evenly into ranges.
+RANGES, RANGE_ROWS = 1024, 20_000
 #: Hex digits of the key that ranges are told by.
 DIGITS = 8
 WEIGHTS = (1, 2, 3)
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, *, carry: tuple[str, ...] = (), ranges: int | None = No
         F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("_src"), key.alias("_key"),
     )
     slim = cut(base.drop(*[f"_carry_{c}" for c in carry]))
-    ranges = ranges or -(-slim.count() // RANGE_ROWS)
+    ranges = ranges or max(RANGES, -(-slim.count() // RANGE_ROWS))
     ranged = lambda rows: rows.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, DIGITS), 16, 10).cast("long") * ranges / F.lit(16**DIGITS)))
     base, slim = ranged(base), ranged(slim)
     sums = slim.groupBy("_src", "_range").agg(F.sum("_size").alias("_range_size"))
