@@ -885,11 +885,11 @@ def backups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s8_backup_records", sql("pieces log numbered_pages groups people", """SELECT case_id, 'evidencias' AS part, count(*) AS n FROM pieces WHERE active GROUP BY 1 UNION ALL SELECT case_id, 'revisiones', count(*) FROM log GROUP BY 1 UNION ALL SELECT case_id, 'fojas', count(*) FROM numbered_pages GROUP BY 1
 UNION ALL SELECT case_id, 'grupos', count(*) FROM groups GROUP BY 1 UNION ALL SELECT case_id, 'personas', count(*) FROM people GROUP BY 1 UNION ALL SELECT concat('e', doc_id % 5), 'documentos', count(*) FROM documents GROUP BY 1
-UNION ALL SELECT case_id, 'punteo', count(*) FROM pieces WHERE active AND state = 'incluida' GROUP BY 1"""))
+UNION ALL SELECT case_id, 'informe', count(*) FROM pieces WHERE active AND state = 'incluida' GROUP BY 1"""))
 def backup_records(spark: SparkSession, d: str) -> DataFrame:
     docs = t.documents(spark, d).select(F.concat(F.lit("e"), F.col("doc_id") % 5).alias("case_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     pages = t.numbered_pages(spark, d).select("case_id", "global_no", "num", "suffix", "origin")
-    records = report.backup_records(documentos=docs, fojas=pages, grupos=t.groups(spark, d), personas=t.people(spark, d), evidencias=full_pieces(spark, d).where("active"), revisiones=t.log(spark, d), punteo=report.assemble(report_view(spark, d)))
+    records = report.backup_records(documentos=docs, fojas=pages, grupos=t.groups(spark, d), personas=t.people(spark, d), evidencias=full_pieces(spark, d).where("active"), revisiones=t.log(spark, d), informe=report.assemble(report_view(spark, d)))
     return records.groupBy("case_id", "part").agg(F.count("json").alias("n"))
 
 
