@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,21 +58,29 @@ def runs(readings: DataFrame, least: int = LEAST_READINGS, gap: int = LARGEST_GA
 def settle(found: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
     """The runs that stay: by readings, then confidence, then zone and start; a run that overlaps a chosen one goes whole.
 
-    A case has few runs, so each case's are settled in one group.
+    Runs of a case that overlap, directly or by way of others, are settled in one group; runs apart from
+    them cannot change what stays. Columns and rows are those of `found`; no runs give none.
     """
-    rank = {z: i for i, z in enumerate(zones)}
+    rank, columns = {z: i for i, z in enumerate(zones)}, found.columns
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         order = rows.assign(_zone=rows["zone"].map(lambda z: rank.get(z, len(rank)))).sort_values(["readings", "confidence", "_zone", "zone", "from_page"], ascending=[False, False, True, True, True])
-        kept: list[tuple[int, int]] = []
+        starts: list[int] = []
+        ends: list[int] = []
         chosen = []
         for i, a, b in zip(order.index, order["from_page"], order["to_page"], strict=True):
-            if all(b < x or a > y for x, y in kept):
-                kept.append((a, b))
+            # chosen runs are apart and sorted, so only the last that starts at or before b can overlap
+            at = bisect_right(starts, b)
+            if at == 0 or ends[at - 1] < a:
+                starts.insert(at, a)
+                ends.insert(at, b)
                 chosen.append(i)
-        return rows.loc[chosen]
+        return rows.loc[chosen, columns]
 
-    return found.groupBy("case_id").applyInPandas(choose, found.schema)
+    before = Window.partitionBy("case_id").orderBy("from_page", "to_page", "zone").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("case_id").orderBy("from_page", "to_page", "zone")
+    apart = found.withColumn("_apart", F.coalesce(F.col("from_page") > F.max("to_page").over(before), F.lit(True)).cast("int"))
+    return apart.withColumn("_chain", F.sum("_apart").over(upto)).groupBy("case_id", "_chain").applyInPandas(choose, found.schema)
 
 
 def label_pages(chosen: DataFrame, readings: DataFrame, suffixed: DataFrame | None = None, fixed: DataFrame | None = None) -> DataFrame:

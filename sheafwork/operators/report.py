@@ -185,13 +185,33 @@ def staleness(saved: DataFrame, rebuilt: DataFrame, pieces: DataFrame, edges: Da
     return found.union(only_moved.select("case_id", "problem", "piece_id")).distinct()
 
 
-def text_of(paragraphs: DataFrame, titles: DataFrame, refuse: DataFrame | None = None) -> DataFrame:
-    """One text for each case: title, then paragraphs, with blank lines round headings and a line feed at the end. Stale cases (in `refuse`) raise."""
+def _up_to_date(refuse: DataFrame | None) -> None:
     if refuse is not None and (found := refuse.limit(3).collect()):
         raise Stale(f"out of date: {[(r.case_id, r.problem) for r in found]}")
+
+
+def _line(paragraphs: DataFrame) -> Column:
+    """A paragraph as it stands in the text: number, then edited over generated text, and blank lines round headings."""
     line = F.concat_ws(" ", "number", F.coalesce("edited", "text") if "edited" in paragraphs.columns else F.col("text"))
-    spaced = F.when(F.col("kind") == "encabezado", F.concat(F.lit("\n"), line, F.lit("\n"))).otherwise(line)
-    body = paragraphs.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", spaced.alias("line")))), lambda x: x["line"]), "\n").alias("_body"))
+    return F.when(F.col("kind") == "encabezado", F.concat(F.lit("\n"), line, F.lit("\n"))).otherwise(line)
+
+
+def lines_of(paragraphs: DataFrame, titles: DataFrame, refuse: DataFrame | None = None) -> DataFrame:
+    """The texts of reports as rows, so that no case is gathered anywhere: case_id, ord, line.
+
+    The title with a blank line after it has place 0; the lines of a case by `ord`, each ended by a line
+    feed, are its `text_of`. A case without paragraphs has no row. Stale cases (in `refuse`) raise.
+    """
+    _up_to_date(refuse)
+    body = paragraphs.select("case_id", "ord", _line(paragraphs).alias("line")).join(titles.select("case_id"), "case_id", "left_semi")
+    heads = titles.join(paragraphs.select("case_id"), "case_id", "left_semi")
+    return body.unionByName(heads.select("case_id", F.lit(0).alias("ord"), F.concat("title", F.lit("\n")).alias("line")))
+
+
+def text_of(paragraphs: DataFrame, titles: DataFrame, refuse: DataFrame | None = None) -> DataFrame:
+    """One text for each case: title, then paragraphs, with blank lines round headings and a line feed at the end. Stale cases (in `refuse`) raise. For cases that fit a row; `lines_of` has no such bound."""
+    _up_to_date(refuse)
+    body = paragraphs.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", _line(paragraphs).alias("line")))), lambda x: x["line"]), "\n").alias("_body"))
     return titles.join(body, "case_id").select("case_id", F.concat("title", F.lit("\n\n"), "_body", F.lit("\n")).alias("text"))
 
 

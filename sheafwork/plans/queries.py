@@ -207,12 +207,26 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     return numbering.runs(t.readings(spark, d)).withColumn("confidence_e5", F.floor(F.floor(exact * 1e6 + 0.5) / 10)).drop("confidence")
 
 
-@query("w6_settled_runs")
+SETTLED = RUNS.removeprefix("WITH ") + """, t AS (SELECT *, to_page - from_page + 1 AS long FROM runs),
+m AS (SELECT case_id, zone, from_page, to_page, shift, readings, long - readings AS interpolated, round(0.35 + 0.35 * readings / long + 0.30 * least(1.0, readings / 12.0), 3)::DOUBLE AS confidence FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY readings DESC, confidence DESC, list_position(['sup_der', 'sup_cen', 'inf_der', 'inf_cen'], zone), zone, from_page) AS n FROM m),
+f AS (SELECT case_id, n, [{'a': from_page, 'b': to_page}] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.case_id, o.n, CASE WHEN len(list_filter(f.kept, lambda k: o.from_page <= k.b AND o.to_page >= k.a)) = 0 THEN list_append(f.kept, {'a': o.from_page, 'b': o.to_page}) ELSE f.kept END FROM f JOIN o ON o.case_id = f.case_id AND o.n = f.n + 1),
+settled AS (SELECT o.* FROM o JOIN f ON f.case_id = o.case_id AND f.n = o.n WHERE f.kept[-1].a = o.from_page AND f.kept[-1].b = o.to_page AND len(f.kept) > coalesce((SELECT len(g.kept) FROM f g WHERE g.case_id = o.case_id AND g.n = o.n - 1), 0))"""
+
+
+@query("w6_settled_runs", sql("readings", f"WITH {SETTLED} SELECT case_id, zone, from_page, to_page, shift, readings, interpolated, confidence FROM settled", recursive=True))
 def settled(spark: SparkSession, d: str) -> DataFrame:
     return numbering.settle(numbering.runs(t.readings(spark, d)))
 
 
-@query("w7_page_labels")
+@query("w7_page_labels", sql("readings", f"""WITH {SETTLED},
+spread AS (SELECT case_id, zone, shift, confidence, unnest(range(from_page, to_page + 1)) AS global_no FROM settled),
+labels AS (SELECT s.case_id, s.global_no, s.global_no + s.shift AS num, '' AS suffix, CASE WHEN r.num IS NULL THEN 'interpolada' ELSE 'leida' END AS reading, CASE WHEN r.num IS NULL THEN round(s.confidence * 0.7, 3) ELSE s.confidence END AS conf, 0 AS pick
+  FROM spread s LEFT JOIN readings r ON r.case_id = s.case_id AND r.zone = s.zone AND r.global_no = s.global_no AND r.num = s.global_no + s.shift
+  UNION ALL SELECT case_id, global_no, num, 'vta', 'leida', 0.82, 1 FROM readings WHERE zone = 'sup_der' AND global_no % 89 = 0)
+SELECT case_id, global_no, num, suffix, reading, conf FROM labels WHERE (case_id, global_no) NOT IN (SELECT (case_id, global_no) FROM readings WHERE global_no % 97 = 0)
+QUALIFY row_number() OVER (PARTITION BY case_id, global_no ORDER BY pick DESC, num) = 1""", recursive=True))
 def page_labels(spark: SparkSession, d: str) -> DataFrame:
     found = t.readings(spark, d)
     fixed = found.where("global_no % 97 = 0").select("case_id", "global_no")
@@ -827,7 +841,15 @@ def report_by_section(spark: SparkSession, d: str) -> DataFrame:
     return report.assemble(report_view(spark, d), "grupos", numbering="por_grupo").drop("section")
 
 
-@query("o4_report_orders")
+_ORDERS = {
+    "manual": "order_out, page_start, piece_id", "cronologico": "date NULLS LAST, page_start, piece_id",
+    "grupos": "coalesce(group_ord, 9999), lpad(cast(coalesce(group_id, 0) AS VARCHAR), 19, '0'), order_in_group, order_out, page_start, piece_id",
+    "tipo": "family, order_in_group, order_out, page_start, piece_id", "testigo": "introducer IS NULL, coalesce(introducer, ''), order_in_group, order_out, page_start, piece_id",
+}
+_FAMILY = "CASE type " + " ".join(f"WHEN '{r.key}' THEN '{r.family}'" for r in RULES) + f" ELSE '{headings.OTHER_FAMILY}' END"
+
+
+@query("o4_report_orders", sql("view", f"WITH i AS (SELECT *, {_FAMILY} AS family FROM view WHERE state = 'incluida' AND active) " + " UNION ALL ".join(f"SELECT '{k}' AS criterion, case_id, row_number() OVER (PARTITION BY case_id ORDER BY {o}) AS ord, piece_id FROM i" for k, o in _ORDERS.items())))
 def report_orders(spark: SparkSession, d: str) -> DataFrame:
     rows, out = report_view(spark, d), None
     for criterion in ("manual", "cronologico", "grupos", "tipo", "testigo"):
@@ -870,10 +892,27 @@ def paragraph_edits(spark: SparkSession, d: str) -> DataFrame:
     return report.last_edits(log.select("case_id", "ord").distinct(), log).select("case_id", "ord", "edited")
 
 
-@query("s7_report_texts")
-def report_texts(spark: SparkSession, d: str) -> DataFrame:
+REPORT_LINES = f"""{DISC}, i AS (SELECT *, coalesce(group_ord, 9999) AS go, lpad(cast(coalesce(group_id, 0) AS VARCHAR), 19, '0') AS gk FROM rv WHERE state = 'incluida' AND active),
+n AS (SELECT *, row_number() OVER w AS n, CASE WHEN gk = lag(gk) OVER w THEN 0 ELSE 1 END AS fresh FROM i WINDOW w AS (PARTITION BY case_id ORDER BY go, gk, order_in_group, order_out, page_start, piece_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY case_id ORDER BY n) AS s FROM n),
+u AS (SELECT case_id, 2 * n AS place, concat(n, '.- ', {PARAGRAPH}) AS line FROM s UNION ALL SELECT case_id, 2 * n - 1, concat(chr(10), {_roman_sql('s')}, '.- ', upper(coalesce(group_name, 'Sin agrupar')), chr(10)) FROM s WHERE fresh = 1),
+lines AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY place) AS ord, line FROM u)"""
+
+
+def grouped_report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A report by groups, and the titles of its cases."""
     rows = report.assemble(report_view(spark, d), "grupos")
-    return report.text_of(rows, rows.select("case_id", F.concat(F.lit("LISTADO "), "case_id").alias("title")).distinct())
+    return rows, rows.select("case_id", F.concat(F.lit("LISTADO "), "case_id").alias("title")).distinct()
+
+
+@query("s7_report_texts", sql("view numbered_pages", f"WITH {REPORT_LINES} SELECT case_id, concat('LISTADO ', case_id, chr(10), chr(10), string_agg(line, chr(10) ORDER BY ord), chr(10)) AS text FROM lines GROUP BY case_id"))
+def report_texts(spark: SparkSession, d: str) -> DataFrame:
+    return report.text_of(*grouped_report(spark, d))
+
+
+@query("s7_report_lines", sql("view numbered_pages", f"WITH {REPORT_LINES} SELECT case_id, ord, line FROM lines UNION ALL SELECT DISTINCT case_id, 0, concat('LISTADO ', case_id, chr(10)) FROM lines"))
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    return report.lines_of(*grouped_report(spark, d))
 
 
 @query("s8_backups")

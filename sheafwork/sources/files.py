@@ -26,6 +26,12 @@ def write_texts(texts: DataFrame, path: str) -> None:
     texts.select("case_id", "text").repartition("case_id").write.partitionBy("case_id").option("lineSep", "\n").text(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines of texts (case_id, ord, line) in folders by case, as many files as a case needs: by name, then by line, they read in order."""
+    placed = lines.select("case_id", "ord", F.col("line").alias("value"))
+    placed.repartitionByRange("case_id", "ord").sortWithinPartitions("case_id", "ord").drop("ord").write.partitionBy("case_id").text(path)
+
+
 def write_backups(backups: DataFrame, path: str) -> None:
     """JSON documents by case."""
     backups.select("case_id", F.col("json").alias("value")).repartition("case_id").write.partitionBy("case_id").text(path)

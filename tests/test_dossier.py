@@ -10,6 +10,7 @@ from sheafwork.functions import text as tx
 from sheafwork.operators import decisions, headings, lineage, lines, numbering, report, segmentation, similarity
 from sheafwork.operators.headings import Rule
 from sheafwork.plans import queries, tables
+from sheafwork.sources import files
 
 RULES = [Rule("acta", "Acta", "documental", 0.9, (r"^ACTA\b",)), Rule("pericia", "Pericia", "pericial", 0.7, (r"\bPERICIA\b",))]
 
@@ -284,3 +285,32 @@ def test_redo_proposes_only_what_nobody_touched(spark):
     events, fresh = segmentation.redo(pieces, table, RULES, free)
     assert {r.piece_id for r in events.collect()} == {1, 3}
     assert sorted((r.page_start, r.page_end) for r in fresh.collect()) == [(1, 2), (4, 4)]
+
+
+def test_settled_runs_equal_the_greedy_loop(spark):
+    rng, rows = random.Random(9), []
+    for case in range(25):
+        starts = sorted(rng.sample(range(400), rng.randrange(1, 30)))
+        rows += [(f"c{case}", rng.choice([*numbering.ZONES, "otra"]), a, a + rng.randrange(0, 40), 0, rng.randrange(4, 9), 0, rng.choice([0.7, 0.8])) for a in starts]
+    found = spark.createDataFrame(rows, "case_id string, zone string, from_page long, to_page long, shift long, readings long, interpolated long, confidence double")
+    rank, want = {z: i for i, z in enumerate(numbering.ZONES)}, []
+    for r in sorted(rows, key=lambda r: (-r[5], -r[7], rank.get(r[1], 9), r[1], r[2])):
+        if all(k[0] != r[0] or r[3] < k[2] or r[2] > k[3] for k in want):
+            want.append(r)
+    assert sorted(map(tuple, numbering.settle(found).collect())) == sorted(want)
+    assert numbering.settle(found.limit(0)).isEmpty()
+
+
+def test_report_lines_are_the_text(spark, tmp_path):
+    rows = [("c", 1, "encabezado", "I.-", "UNO", None), ("c", 2, "pieza", "1.-", "a", "b"), ("c", 3, "pieza", None, "z", None), ("d", 1, "pieza", "1.-", None, None), ("e", 1, "pieza", "1.-", "x", None)]
+    paragraphs = spark.createDataFrame(rows, "case_id string, ord int, kind string, number string, text string, edited string")
+    titles = spark.createDataFrame([("c", "C"), ("d", "D"), ("none", "N")], "case_id string, title string")
+    lines = report.lines_of(paragraphs, titles)
+    texts = {r.case_id: r.text for r in report.text_of(paragraphs, titles).collect()}
+    joined: dict = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.case_id, r.ord)):
+        joined[r.case_id] = joined.get(r.case_id, "") + r.line + "\n"
+    assert joined == texts and texts["c"] == "C\n\n\nI.- UNO\n\n1.- b\nz\n" and set(texts) == {"c", "d"}
+    files.write_lines(lines, str(tmp_path / "out"))
+    for case, text in texts.items():
+        assert "".join(f.read_text() for f in sorted((tmp_path / "out" / f"case_id={case}").glob("part-*"))) == text
