@@ -365,12 +365,40 @@ def chat_numbered(spark: SparkSession, d: str) -> DataFrame:
     return registration.number_pages(t.chat_pages(spark, d), t.chat_documents(spark, d))
 
 
+_GOES_ON = "|".join(headings.GOES_ON)
+#: The cutting fold, page by page of each document.
+PIECES = GLOBAL.format(ord="ord").partition("\nSELECT")[0] + f""",
+p AS (SELECT case_id, doc_id, CAST(page_offset + page_no AS BIGINT) AS g, text, conf, {HEAD} AS h FROM chat_pages JOIN o USING (case_id, doc_id) WHERE text IS NOT NULL),
+b AS (SELECT *, {_recognise_sql('h')} AS b, try_cast(nullif(regexp_extract(h, '{headings.COUNTER}', 1), '') AS INT) AS n, try_cast(nullif(regexp_extract(h, '{headings.COUNTER}', 2), '') AS INT) AS m FROM p),
+q AS (SELECT case_id, doc_id, g, text, conf, n, m, coalesce(b.type, 'sin_clasificar') AS type, coalesce(b.score, 0)::DOUBLE AS score, CASE WHEN n IS NULL THEN regexp_matches(h, '{_GOES_ON}') ELSE n >= 2 END AS continues, row_number() OVER (PARTITION BY case_id, doc_id ORDER BY g) AS i FROM b),
+f AS (SELECT case_id, doc_id, i, g, 0 AS piece, type AS kind, n AS ln, m AS lm FROM q WHERE i = 1
+  UNION ALL SELECT case_id, doc_id, i, g, CASE WHEN opens THEN piece + 1 ELSE piece END, CASE WHEN opens THEN type ELSE kind END, CASE WHEN opens THEN n ELSE coalesce(n, ln) END, CASE WHEN opens THEN m ELSE coalesce(m, lm) END FROM (
+    SELECT *, gap OR (n IS NOT NULL AND (n = 1 OR NOT goes_on)) OR (score >= 0.45 AND NOT (continues AND type = kind AND goes_on)) AS opens FROM (
+      SELECT q.*, f.piece, f.kind, f.ln, f.lm, q.g <> f.g + 1 AS gap, q.n IS NULL OR f.ln IS NULL OR (q.m = f.lm AND q.n = f.ln + 1) AS goes_on FROM f JOIN q ON q.case_id = f.case_id AND q.doc_id = f.doc_id AND q.i = f.i + 1))),
+pieces AS (SELECT case_id, doc_id, min(g) AS page_start, max(g) AS page_end, arg_min(q.type, g) AS type, arg_min(q.score, g) AS score, min(q.conf) AS read, left(string_agg(left(q.text, 1200), ' ' ORDER BY g), 1200) AS source_text FROM f JOIN q USING (case_id, doc_id, g) GROUP BY case_id, doc_id, piece)"""
+
+
+@query("c6_c8_pieces", sql("chat_pages chat_documents", f"""{PIECES} SELECT case_id, doc_id, page_start, page_end, type, source_text, round(least(1.0, (0.55 * score + 0.45 * least(1.0, read)) * CASE WHEN page_end - page_start + 1 > 40 THEN 0.75 ELSE 1.0 END), 3)::DOUBLE AS confidence,
+  concat_ws(',', CASE WHEN score = 0 THEN 'sin_titulo' END, CASE WHEN read < 0.55 THEN 'ocr_pobre' END, CASE WHEN page_end - page_start + 1 > 40 THEN 'pieza_larga' END) AS warnings FROM pieces""", recursive=True))
+def piece_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all chat pages without what is read out of their texts."""
+    return proposals(spark, d).select("case_id", "doc_id", "page_start", "page_end", "type", "source_text", "confidence", F.array_join("warnings", ",").alias("warnings"))
+
+
 @query("c6_c8_proposals")
 def proposals(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.propose(chat_numbered(spark, d), RULES)
 
 
-@query("c10_title_lines")
+_ROWS = "list_slice(string_split(text, chr(10)), 1, 6)"
+_LINE = "CASE type " + " ".join(f"WHEN '{r.key}' THEN list_filter({_ROWS}, lambda x: regexp_matches({upper_sql('x')}, '(?m){'|'.join(f'(?:{p})' for p in r.patterns)}'))[1]" for r in RULES) + " END"
+_KEPT = ", ".join(f"'{a}'" for a in tx.ACRONYMS)
+
+
+@query("c10_title_lines", f"""WITH h AS (SELECT doc_id, text, {HEAD} AS h FROM documents), b AS (SELECT doc_id, text, {_recognise_sql('h')} AS b FROM h), k AS (SELECT doc_id, text, coalesce(b.type, 'sin_clasificar') AS type FROM b),
+t AS (SELECT doc_id, trim(coalesce({_LINE}, {_ROWS}[1], '')) AS line FROM k),
+c AS (SELECT *, len(regexp_extract_all(line, '\\p{{L}}')) AS letters, len(regexp_extract_all(line, '\\p{{Lu}}')) AS capitals, regexp_replace(array_to_string(list_transform(regexp_extract_all(line, '\\s+|\\S+'), lambda w: CASE WHEN upper(w) IN ({_KEPT}) OR regexp_matches(w, '\\p{{Nd}}') THEN w ELSE lower(w) END), ''), '^[ .:\\-—·]+|[ .:\\-—·]+$', '', 'g') AS low FROM t)
+SELECT doc_id, nullif(CASE WHEN letters = 0 OR capitals < letters * 0.7 OR low = '' THEN line ELSE concat(upper(low[1]), low[2:]) END, '') AS title FROM c""")
 def title_lines(spark: SparkSession, d: str) -> DataFrame:
     return headed(spark, d, "doc_id", "text").select("doc_id", "text", F.col("_f.type").alias("_k")).select("doc_id", headings.title_line(F.col("text"), F.col("_k"), RULES).alias("title"))
 
