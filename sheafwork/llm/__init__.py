@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html, language, matroska, mixing, pieces, quality, simhash, toxicity, warc
+from . import collocation, fingerprint, html, language, matroska, mixing, pieces, quality, simhash, toxicity, urls, vector_codes, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_language": language.query,
     "op9_warc": warc.query,
     "op10_toxicity": toxicity.query,
+    "op11_urls": urls.query,
+    "op12_collocation": collocation.query,
+    "op13_vector_codes": vector_codes.query,
 }
-ORACLES = {"op1_mixing": mixing.SQL, "op9_warc": warc.SQL}
+ORACLES = {"op1_mixing": mixing.SQL, "op9_warc": warc.SQL, "op12_collocation": collocation.SQL, "op13_vector_codes": vector_codes.SQL}
