@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import read_table
-from .html_samples import PAGES
+from .html_samples import PAGES, articles
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -43,12 +43,20 @@ OTHER = frozenset("form fieldset".split())
 OTHER_ROLES = frozenset("banner search alert form".split())
 CLOSED_HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter sidebar aside related recommended recommendations comment comments commentlist "
-    "reply replies respond disqus teaser nav navbar navigation menu breadcrumb breadcrumbs".split()
+    "reply replies respond disqus teaser nav navbar navigation menu breadcrumb breadcrumbs toc".split()
 )
 OTHER_HINTS = frozenset(
     "notice notification alert popup modal overlay subscribe subscription signup footer header masthead share sharing social login search pagination pager copyright legal disclaimer toolbar tags banner topbar topnav bottombar skip".split()
 )
 MAIN_HINTS = frozenset("article content post entry story main text maincontent".split())
+#: Inside an article a name counts as a whole: it tells something only if all its words are among these or the hints. Of the hints, a header is the article's own there, and the weak ones hold for few words or many links.
+FILLERS = frozenset(
+    "box list bar section area container wrapper wrap widget block links link form left right top bottom site page inner outer item items title heading buttons button posts articles stories body slot unit label thread count "
+    "reader readers user users global primary secondary latest recent google inline mobile desktop wide small large first last row col column group panel card view zone holder feed letter policy message info icon icons".split()
+)
+OWN_HINTS = frozenset("header masthead".split())
+WEAK_HINTS = frozenset("legal disclaimer copyright search share sharing social tags pagination pager footer toolbar".split())
+WEAK, WEAK_WORDS, WEAK_LINKS = -0.5, 12, 0.3
 #: Words after these in a name tell what stands beside the element, as in main-with-sidebar.
 BESIDE = frozenset("with without has no".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark")
@@ -56,14 +64,15 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 
 @dataclass
 class Block:
-    """`mark`: 1 inside what the page marks as main, -1 inside what it marks as something else, 0 without a mark. `named`: by an article or main element."""
+    """`mark`: 1 inside what the page marks as main, -1 inside what it marks as something else, 0 without a mark. `named`: by an article or main element. `weak`: the number of the element whose name weighs little."""
 
     text: str
     words: int
     linked: int
-    mark: int
+    mark: float
     named: bool
     label: int | None
+    weak: int = 0
 
 
 @dataclass(frozen=True)
@@ -71,37 +80,47 @@ class Place:
     """An open container, with what it and those around it say."""
 
     name: str
-    mark: int = 0
+    mark: float = 0
     closed: bool = False
     named: bool = False
     label: int | None = None
+    weak: int = 0
 
 
 def attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(text)} if text.strip() else {}
 
 
-def hint(name: str) -> tuple[int, bool]:
-    """What one name of a class or id says: mark, and whether it closes. The last telling word decides, but a word of the closed ones always counts."""
+def hint(name: str, named: bool) -> tuple[float, bool]:
+    """What one name of a class or id says: mark, and whether it closes.
+
+    The last telling word decides, but a word of the closed ones always counts. Inside an article (`named`)
+    a name with a word of any other kind says nothing, as related-work or ad-free-reading.
+    """
     words = [w for w in re.split(r"[^a-z]+", CAMEL.sub("-", name).lower()) if w]
     beside = next((i for i, w in enumerate(words) if w in BESIDE), len(words))
-    mark = 0
-    for w in words[:beside]:
+    words = words[:beside]
+    if named:
+        if not all(w in CLOSED_HINTS or w in OTHER_HINTS or w in MAIN_HINTS or w in FILLERS or len(w) == 1 for w in words):
+            return 0, False
+        words = [w for w in words if w not in OWN_HINTS]
+    mark: float = 0
+    for w in words:
         if w in CLOSED_HINTS:
             return -1, True
-        mark = -1 if w in OTHER_HINTS else 1 if w in MAIN_HINTS else mark
+        mark = (WEAK if named and w in WEAK_HINTS else -1) if w in OTHER_HINTS else 1 if w in MAIN_HINTS else mark
     return mark, False
 
 
-def hints(found: dict[str, str]) -> tuple[int, bool]:
+def hints(found: dict[str, str], named: bool) -> tuple[float, bool]:
     """What class and id say together; what is not main outweighs what is."""
     names = (found.get("class", "") + " " + found.get("id", "")).split()
-    said = [hint(n) for n in names]
+    said = [hint(n, named) for n in names]
     return (min((m for m, _ in said if m), default=0), any(c for _, c in said)) if said else (0, False)
 
 
-def within(place: Place, tag: str, found: dict[str, str]) -> Place:
-    """The place inside an element that opens in another."""
+def within(place: Place, tag: str, found: dict[str, str], number: int) -> Place:
+    """The place inside an element, the page's `number`th, that opens in another."""
     label = 1 if "data-main" in found else 0 if "data-other" in found else place.label
     if place.closed:
         return Place(tag, -1, True, False, label)
@@ -112,8 +131,21 @@ def within(place: Place, tag: str, found: dict[str, str]) -> Place:
         return Place(tag, -1, True, False, label)
     if tag in OTHER or role in OTHER_ROLES or (tag == "header" and not place.named):
         return Place(tag, -1, False, False, label)
-    mark, closed = (0, False) if tag in ("html", "body") else hints(found)
-    return Place(tag, mark or place.mark, closed, place.named and mark >= 0, label)
+    mark, closed = (0, False) if tag in ("html", "body") else hints(found, place.named)
+    if mark == WEAK:
+        return Place(tag, place.mark, False, True, label, place.weak or number)
+    return Place(tag, mark or place.mark, closed, place.named and mark >= 0, label, place.weak)
+
+
+def weighed(found: list[Block]) -> list[Block]:
+    """Blocks of elements whose names weigh little: these are something else only with few words, or with many in links."""
+    words: Counter[int] = Counter()
+    linked: Counter[int] = Counter()
+    for b in found:
+        words[b.weak] += b.words
+        linked[b.weak] += b.linked
+    small = {n for n in words if n and (words[n] < WEAK_WORDS or linked[n] > WEAK_LINKS * words[n])}
+    return [replace(b, mark=-1, named=False) if b.weak in small else b for b in found] if small else found
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -126,7 +158,8 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked, in_link = 0, False
     # what an element that is no container, such as a paragraph, says of its own block
-    own: tuple[int, bool] = (0, False)
+    own: tuple[float, bool] = (0, False)
+    number = 0
 
     def close() -> None:
         nonlocal parts, linked, own
@@ -134,10 +167,11 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 place, words = stack[-1], text.count(" ") + 1
-                mark = own[0] if own[0] < 0 or not place.mark else place.mark
+                mark = own[0] if own[0] == -1 or not place.mark else place.mark
+                weak = place.weak or (number if own[0] == WEAK else 0)
                 if mark == 0 and COPYRIGHT.match(text):
                     mark = -1
-                out.append(Block(text, words, min(linked, words), -1 if place.closed else mark, place.named and mark > 0, place.label))
+                out.append(Block(text, words, min(linked, words), -1 if place.closed else mark, place.named and mark > 0, place.label, weak))
         parts, linked, own = [], 0, (0, False)
 
     at, end = 0, len(page)
@@ -197,27 +231,28 @@ def blocks(page: str | None) -> list[Block]:
                         break
             continue
         attrs = attributes(rest)
+        number += 1
         if name in CONTAINERS:
             if rest.endswith("/"):
                 continue
             if name == "li" and stack[-1].name == "li":
                 open_names[stack.pop().name] -= 1
-            stack.append(within(stack[-1], name, attrs))
+            stack.append(within(stack[-1], name, attrs, number))
             open_names[name] += 1
         else:
-            own = hints(attrs)
+            own = hints(attrs, stack[-1].named)
             if "data-main" in attrs or "data-other" in attrs:
                 # a labelled element that is no container labels what follows in its parent
                 stack[-1] = replace(stack[-1], label=int("data-main" in attrs))
     close()
-    return out
+    return weighed(out)
 
 
-def table(found: list[Block]) -> np.ndarray:
-    """The features of a page's blocks. Where an article or main element holds text, blocks without a mark are outside it."""
+def table(found: list[Block], length: float = 1.0) -> np.ndarray:
+    """The features of a page's blocks, `length` times as long. Where an article or main element holds text, blocks without a mark are outside it."""
     if not found:
         return np.zeros((0, len(FEATURES)))
-    words = np.log1p([b.words for b in found])
+    words = np.log1p([b.words * length for b in found])
     links = np.array([b.linked / b.words for b in found])
     before, after = (lambda x: np.concatenate([[0.0], x[:-1]])), (lambda x: np.concatenate([x[1:], [0.0]]))
     marks = np.array([b.mark for b in found], dtype=np.float64)
@@ -237,7 +272,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 16, least: int = 3) -> Node:
     """A tree by Gini impurity; of equally good splits the first feature's lowest value."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -269,12 +304,16 @@ def shares(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Every labelled page counts as it is, and with blocks of so many times the words.
+LENGTHS = (1.0, 0.9, 0.95, 1.05, 1.1)
+
+
 @cache
 def tree() -> Node:
-    """The tree trained on the labelled pages."""
-    found = [blocks(p) for p in PAGES]
-    x = np.concatenate([table(b) for b in found])
-    y = np.array([-1 if b.label is None else b.label for page in found for b in page])
+    """The tree trained on the labelled pages and on articles of all neighbourhoods. A leaf holds three blocks at least."""
+    found = [blocks(p) for p in (*PAGES, *articles())]
+    x = np.concatenate([table(b, n) for n in LENGTHS for b in found])
+    y = np.array([-1 if b.label is None else b.label for _ in LENGTHS for page in found for b in page])
     return grow(x[y >= 0], y[y >= 0].astype(np.float64))
 
 

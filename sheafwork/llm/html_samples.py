@@ -107,3 +107,21 @@ PAGES = (
     <div data-main><p>There is a crane as well, which still holds a block of slate in its hook, forty feet below the keel of whoever rows across.</p></div><div class="related" data-other>Other lakes</div>
     <div data-main><p>It has been there since a Friday, the men say, when the whistle blew and they went home to come back on a Monday that never was.</p></div></body>""",
 )
+
+
+def articles() -> list[str]:
+    """Labelled articles whose blocks have every neighbourhood: titles, bylines, short lines, long paragraphs and lines of links, each before and after each other; and plain pages of links and text."""
+    words = ("stone mill road water field north winter bread house light river evening market letter garden cloud bridge summer valley harvest " * 3).split()
+    line = lambda n: " ".join(words[:n])
+    kinds = [line(1), line(3), line(8), line(20), line(60), f'<a href="/x">{line(2)}</a>', f'<a href="/x">{line(12)}</a>', f'{line(4)} <a href="/x">{line(4)}</a>']
+    out = []
+    for i, first in enumerate(kinds):
+        for second in kinds:
+            third = kinds[(i * 3 + kinds.index(second)) % len(kinds)]
+            body = "".join(f"<p>{x}</p>" for x in (first, second, third))
+            out.append(f'<body><nav data-other><p>{second}</p></nav><article data-main>{body}</article><footer data-other><p>{first}</p></footer></body>')
+    # without marks, a short line between lines of links goes and one between lines of text as long stays
+    for n in (12, 18, 25, 40):
+        linked = f"<p><a href='/y'>{line(n)}</a></p><p>{line(3)}</p>" * 3
+        out.append(f"<body><div data-other>{linked}<p><a href='/z'>{line(n)}</a></p></div><div data-main>{f'<p>{line(n)}</p><p>{line(3)}</p>' * 3}<p>{line(n)}</p></div></body>")
+    return out

@@ -72,3 +72,46 @@ def test_odd_rows(spark):
     got = [(r.page_id, r.n_chars) for r in html.extract(pages).collect()]
     assert sorted(got, key=str) == sorted([(1, 0), (None, 0), (2, 5999), (2, 5999), (3, 4)], key=str)
     assert html.extract(pages.limit(0)).collect() == []
+
+
+TWENTY = "The old road runs along the river for a day and then climbs to the pass where the wind never rests"
+
+
+def test_first_blocks_and_bylines_before_links_stay():
+    article = lambda *blocks: f"<nav><a href='/'>Home</a></nav><article>{''.join(blocks)}</article><footer>Foot</footer>"
+    link = "<p><a href='/r'>Read the report here</a></p>"
+    assert html.main_texts([article(f"<p>{TWENTY}</p>", link, f"<p>{TWENTY}</p>")]) == [f"{TWENTY}\nRead the report here\n{TWENTY}"]
+    assert html.main_texts([article("<h1>Bridge</h1>", "<p><a href='/j'>Jane Roe</a></p>", f"<p>{TWENTY}</p>")]) == [f"Bridge\nJane Roe\n{TWENTY}"]
+    assert html.main_texts([article(f"<p>{TWENTY}</p>", "<p>See:</p>", link)]) == [f"{TWENTY}\nSee:\nRead the report here"]
+    kinds = ["Word", "Two words", TWENTY, f"{TWENTY} {TWENTY} {TWENTY}", "<a href='/x'>Link</a>", f"<a href='/x'>{TWENTY}</a>", f"{TWENTY} <a href='/y'>{TWENTY}</a>"]
+    for a in kinds:
+        for b in kinds:
+            for c in kinds:
+                text = html.main_texts([article(f"<p>{a}</p>", f"<p>{b}</p>", f"<p>{c}</p>")])[0]
+                assert text.count("\n") == 2 and "Home" not in text and "Foot" not in text
+
+
+def test_names_inside_an_article_are_read_whole():
+    for opening, close in (("<div class='ad-free-reading'>", "</div>"), ("<section id='related-work'>", "</section>"), ("<section id='legal'>", "</section>"), ("<blockquote class='reply-quote'>", "</blockquote>"), ("<div class='search-results-analysis'>", "</div>")):
+        for outer in ("article", "main"):
+            page = f"<{outer}><h1>Roads</h1>{opening}<h2>Part</h2><p>{TWENTY}</p>{close}<p>End</p></{outer}>"
+            assert html.main_texts([page]) == [f"Roads\nPart\n{TWENTY}\nEnd"], opening
+    assert html.main_texts([f"<article><p class='content-header'>In short</p><p>{TWENTY}</p></article>"]) == [f"In short\n{TWENTY}"]
+    for name in ("ad", "ad-slot", "related", "related-posts", "cookie-notice", "comments", "user-comments", "newsletter-box", "toc", "share-buttons", "post-tags", "site-nav", "subscribe", "pagination", "notice", "replyList"):
+        page = f"<main><p>{TWENTY}</p><div class='{name}'><p><a href='/x'>One</a> two</p></div><p>End</p></main>"
+        assert html.main_texts([page]) == [f"{TWENTY}\nEnd"], name
+    long = f"<div class='share'><p>{' '.join(f'<a href=x>{w}</a>' for w in TWENTY.split())}</p></div>"
+    assert html.main_texts([f"<article><p>{TWENTY}</p>{long}<p>End</p></article>"]) == [f"{TWENTY}\nEnd"]
+
+
+def test_leaves_hold_several_blocks():
+    found = [html.blocks(p) for p in (*PAGES, *html.articles())]
+    x = np.concatenate([html.table(b, n) for n in html.LENGTHS for b in found])
+
+    def sizes(node, rows):
+        if node.low is None:
+            return [len(rows)]
+        low = rows[:, node.feature] <= node.at
+        return sizes(node.low, rows[low]) + sizes(node.high, rows[~low])
+
+    assert min(sizes(html.tree(), x)) >= 3
