@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within its source, documents are ordered by that key, the
-running sum of their sizes is taken in two levels (sums of key ranges first, then within a range), and
-the source is cut at its budget. A budget above the size of a source repeats it in whole epochs and
-cuts the last one.
+Every document gets a hash-random key of its id and text. Within its source, documents are ordered by that
+key, the running sum of their sizes is taken in two levels (sums of key ranges first, then within a range),
+and the source is cut at its budget. Ranges before the cut are taken whole and those behind it not at all,
+so only the range that holds the cut is sorted. A budget above the size of a source repeats it in whole
+epochs and cuts the last one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ RANGES, RANGE_ROWS = 1024, 20_000
 DIGITS = 8
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
+#: The plan of sources and ranges is broadcast up to so many rows, and else joined by a shuffle.
+PLAN_ROWS = 100_000
 SEED = "mix"
 
 
@@ -63,12 +66,14 @@ def mix(docs: DataFrame, *, carry: tuple[str, ...] = (), ranges: int | None = No
     of its documents is taken in part.
 
     Null text has size 0; a null source is a source of its own. Documents without words take 0. Long
-    texts are counted whole. Rows with one id keep the order of their sizes, so equal rows are
-    interchangeable. Other columns, whatever their names, are not looked at. No rows give no rows.
+    texts are counted whole. Rows without an id, or with one id, are spread by their texts; those with equal
+    texts too are interchangeable and share a range. Other columns, whatever their names, are not looked at.
+    No rows give no rows.
 
-    Sizes are summed by ranges of the key, and the ranges in order; only within a range are rows sorted.
+    Sizes are summed by ranges of the key, and the ranges in order; only in the range that holds a source's
+    cut are rows sorted.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
     base = docs.select(
         "doc_id", *[F.col(c).alias(f"_carry_{c}") for c in carry], F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"),
         F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("_src"), key.alias("_key"),
@@ -85,13 +90,16 @@ def mix(docs: DataFrame, *, carry: tuple[str, ...] = (), ranges: int | None = No
         .withColumn("_budget", F.floor("_target"))
         .withColumn("_epochs", F.when(F.col("_source_size") > 0, F.floor(F.col("_budget") / F.col("_source_size"))).otherwise(F.lit(0)))
         .withColumn("_cut", F.col("_budget") - F.col("_epochs") * F.col("_source_size") - F.col("_before"))
-        .drop("_range_size", "_before", "_budget")
+        .drop("_before", "_budget")
     )
+    plan = cut(plan)
     within = Window.partitionBy("_src", "_range").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (base if carry else slim).join(plan, ["_src", "_range"])
+    rows = (base if carry else slim).join(F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan, ["_src", "_range"])
+    holds_cut = (F.col("_cut") > 0) & (F.col("_cut") < F.col("_range_size"))
     start = F.coalesce(F.sum("_size").over(within), F.lit(0))
-    part = F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_cut") - start))
-    return rows.withColumn("_part", part).select(
+    cut_up = rows.where(holds_cut).withColumn("_part", F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_cut") - start)))
+    whole = rows.where(~holds_cut).withColumn("_part", F.when(F.col("_cut") > 0, F.col("_size")).otherwise(0))
+    return whole.unionByName(cut_up).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_epochs") * F.col("_size") + F.col("_part")).cast("long").alias("taken"), F.col("_source").alias("source"),
         F.col("_epochs").cast("int").alias("epochs"), F.col("_part").cast("long").alias("part"), *[F.col(f"_carry_{c}") for c in carry],
@@ -123,7 +131,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, (source IS NULL)::INT AS s0, coalesce(source, '') AS s1, md5(concat('mix', coalesce(cast(doc_id AS VARCHAR), ''))) AS k,
+  SELECT doc_id, source, (source IS NULL)::INT AS s0, coalesce(source, '') AS s1, md5(concat('mix', coalesce(cast(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))) AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
 src AS (SELECT s0, s1, sum(size) AS source_size FROM sized GROUP BY s0, s1),

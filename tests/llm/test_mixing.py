@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from sheafwork.llm import mixing
 from sheafwork.llm.common import read_table
 
@@ -56,3 +58,22 @@ def test_mixed_documents_hold_the_words_taken(docs):
 
 def test_empty_table(docs):
     assert mixing.mix(docs([])).collect() == [] and mixing.mixed_documents(docs([])).collect() == []
+
+
+def test_rows_without_id_spread_over_ranges(spark, docs):
+    table = docs([(None if i % 3 else 7, f"text {i} of some", "en", "s") for i in range(3000)])
+    key = F.md5(F.concat(F.lit(mixing.SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text").cast("binary"))
+    most = table.groupBy(F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * 1024 / 16**8)).count().agg(F.max("count")).first()[0]
+    assert most < 20
+    rows = mixing.mix(table).collect()
+    assert len(rows) == 3000 and sum(r.taken for r in rows) == 3000 * 4
+    two = table.union(docs([(i, "w " * 40, "en", "t") for i in range(50)]))
+    a, b = (sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(t, ranges=n).collect()) for t, n in ((two, 1024), (two.repartition(9), 16)))
+    assert a == b and sum(r[2] for r in a) <= 3000 * 4 + 2000
+
+
+def test_a_large_plan_is_shuffled(docs, monkeypatch):
+    table = docs([(i, "w " * (i % 9), "en", f"s{i % 5}") for i in range(200)])
+    want = sorted((r.doc_id, r.taken) for r in mixing.mix(table).collect())
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 1)
+    assert want == sorted((r.doc_id, r.taken) for r in mixing.mix(table).collect())
