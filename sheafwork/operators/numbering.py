@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_text, page_label
+from ..plans.graph import cut
+from ..plans.ranges import inside
 
 LEAST_READINGS = 4
 LARGEST_GAP = 12
@@ -58,29 +57,33 @@ def runs(readings: DataFrame, least: int = LEAST_READINGS, gap: int = LARGEST_GA
 def settle(found: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
     """The runs that stay: by readings, then confidence, then zone and start; a run that overlaps a chosen one goes whole.
 
-    Runs of a case that overlap, directly or by way of others, are settled in one group; runs apart from
-    them cannot change what stays. Columns and rows are those of `found`; no runs give none.
+    Works on all cases at once: in each round every run that comes before all that it overlaps stays, and
+    those that it overlaps go, until none is left. A run that overlaps none stays without a round. Equal
+    rows are one run. Columns and rows are those of `found`; no runs give none.
     """
-    rank, columns = {z: i for i, z in enumerate(zones)}, found.columns
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        order = rows.assign(_zone=rows["zone"].map(lambda z: rank.get(z, len(rank)))).sort_values(["readings", "confidence", "_zone", "zone", "from_page"], ascending=[False, False, True, True, True])
-        starts: list[int] = []
-        ends: list[int] = []
-        chosen = []
-        for i, a, b in zip(order.index, order["from_page"], order["to_page"], strict=True):
-            # chosen runs are apart and sorted, so only the last that starts at or before b can overlap
-            at = bisect_right(starts, b)
-            if at == 0 or ends[at - 1] < a:
-                starts.insert(at, a)
-                ends.insert(at, b)
-                chosen.append(i)
-        return rows.loc[chosen, columns]
-
-    before = Window.partitionBy("case_id").orderBy("from_page", "to_page", "zone").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("case_id").orderBy("from_page", "to_page", "zone")
-    apart = found.withColumn("_apart", F.coalesce(F.col("from_page") > F.max("to_page").over(before), F.lit(True)).cast("int"))
-    return apart.withColumn("_chain", F.sum("_apart").over(upto)).groupBy("case_id", "_chain").applyInPandas(choose, found.schema)
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, zones)), F.col("zone")), F.lit(0))
+    place = F.when(rank == 0, len(zones) + 1).otherwise(rank)
+    rest = [c for c in found.columns if c not in ("case_id", "readings", "confidence", "zone", "from_page", "to_page")]
+    runs_ = cut(found.distinct().withColumn("_p", F.struct((-F.col("readings")).alias("r"), (-F.col("confidence")).alias("c"), place.alias("z"), F.col("zone"), F.col("from_page"), F.col("to_page"), *rest)))
+    # of two runs that overlap one holds the other's start
+    a = runs_.select("case_id", F.col("_p").alias("_a"), F.col("from_page").alias("_from"), F.col("to_page").alias("_to"))
+    b = runs_.select("case_id", F.col("_p").alias("_b"), F.col("from_page").alias("_at"))
+    held = inside(a, b, ["case_id"], "_from", "_to", "_at").where("_a <> _b")
+    pairs = cut(held.select("case_id", F.least("_a", "_b").alias("_first"), F.greatest("_a", "_b").alias("_later")).distinct())
+    alone = runs_.join(pairs.select("case_id", F.explode(F.array("_first", "_later")).alias("_p")).distinct(), ["case_id", "_p"], "left_anti")
+    stays = [alone]
+    open_ = cut(runs_.join(alone.select("case_id", "_p"), ["case_id", "_p"], "left_anti"))
+    while not open_.isEmpty():
+        best = cut(open_.join(pairs.select("case_id", F.col("_later").alias("_p")).distinct(), ["case_id", "_p"], "left_anti"))
+        gone = best.select("case_id", F.col("_p").alias("_first")).join(pairs, ["case_id", "_first"]).select("case_id", F.col("_later").alias("_p"))
+        done = gone.union(best.select("case_id", "_p")).distinct()
+        open_ = cut(open_.join(done, ["case_id", "_p"], "left_anti"))
+        pairs = cut(pairs.join(done.withColumnRenamed("_p", "_first"), ["case_id", "_first"], "left_anti").join(done.withColumnRenamed("_p", "_later"), ["case_id", "_later"], "left_anti"))
+        stays.append(best)
+    out = stays[0]
+    for one in stays[1:]:
+        out = out.unionByName(one)
+    return out.select(*found.columns)
 
 
 def label_pages(chosen: DataFrame, readings: DataFrame, suffixed: DataFrame | None = None, fixed: DataFrame | None = None) -> DataFrame:
@@ -105,31 +108,70 @@ def label_pages(chosen: DataFrame, readings: DataFrame, suffixed: DataFrame | No
 
 
 def summary(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Per case: pages with a number, interpolated ones, pages without, and runs."""
-    counts = pages.groupBy("case_id").agg(F.count("num").alias("numbered"), F.count_if(F.col("reading") == "interpolada").alias("interpolated"), F.count_if(F.col("num").isNull()).alias("without"))
+    """Per case: pages, pages by the origin of their number, those whose number was not read but follows from a run, and runs."""
+    of = lambda o: F.count_if(F.col("origin") == o)
+    counts = pages.groupBy("case_id").agg(
+        F.count("*").alias("pages"), of("desconocida").alias("unknown"), of("detectada").alias("detected"), of("confirmada").alias("confirmed"), of("manual").alias("typed"), F.count_if(F.col("reading") == "interpolada").alias("interpolated")
+    )
     return counts.join(chosen.groupBy("case_id").agg(F.count("*").alias("runs")), "case_id", "left").fillna(0, ["runs"])
 
 
+def bad_steps(pages: DataFrame) -> DataFrame:
+    """Pages (case_id, global_no) whose number falls, or rises by more than the pages since the numbered page before them, `previous`.
+
+    Pages are dealt over partitions by ranges, and each partition's first page meets the last one before it.
+    """
+    spark = pages.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    numbered = pages.where("num IS NOT NULL").select("case_id", "global_no", "num")
+    dealt = cut(numbered.repartitionByRange(parts, "case_id", "global_no").withColumn("_part", F.spark_partition_id()))
+    ends = dealt.groupBy("case_id", "_part").agg(F.max_by(F.struct("global_no", "num"), "global_no").alias("_end"))
+    ends = ends.select("case_id", "_part", F.lag("_end").over(Window.partitionBy("case_id").orderBy("_part")).alias("_end"))
+    order = Window.partitionBy("case_id", "_part").orderBy("global_no")
+    before = dealt.withColumn("_own", F.lag(F.struct("global_no", "num")).over(order)).join(ends, ["case_id", "_part"]).withColumn("_b", F.coalesce("_own", "_end"))
+    step = F.col("num") - F.col("_b.num")
+    return before.where((step < 0) | (step > F.col("global_no") - F.col("_b.global_no"))).select("case_id", "global_no", F.col("_b.global_no").alias("previous"))
+
+
 def discontinuous(pieces: DataFrame, pages: DataFrame) -> DataFrame:
     """Pieces (case_id, piece_id, page_start, page_end) with `discontinuous`: between two numbered pages a number falls, or rises by more than the pages between.
 
-    The range is spread over pages, so pieces meet pages by equality.
+    A piece is not looked at where a person typed both ends (columns `origin_start`, `origin_end`, if there),
+    nor where it has no end page. Only the pages where the series breaks meet pieces, by interval bins.
     """
-    spread = pieces.select("case_id", "piece_id", F.explode(F.sequence("page_start", "page_end")).alias("global_no"))
-    inside = spread.join(pages.select("case_id", "global_no", "num").where("num IS NOT NULL"), ["case_id", "global_no"])
-    order = Window.partitionBy("case_id", "piece_id").orderBy("global_no")
-    step = F.col("num") - F.lag("num").over(order)
-    bad = (step < 0) | (step > F.col("global_no") - F.lag("global_no").over(order))
-    found = inside.withColumn("_bad", F.coalesce(bad, F.lit(False))).groupBy("case_id", "piece_id").agg(F.bool_or("_bad").alias("discontinuous"))
+    asked = pieces.where("page_end > page_start")
+    if {"origin_start", "origin_end"} <= set(pieces.columns):
+        asked = asked.where("NOT (origin_start <=> 'manual' AND origin_end <=> 'manual')")
+    ranges = asked.select("case_id", "piece_id", F.col("page_start").alias("_first"), F.col("page_end").alias("_last"))
+    hit = inside(ranges, bad_steps(pages), ["case_id"], "_first", "_last", "global_no").where("previous >= _first")
+    found = hit.select("case_id", "piece_id", F.lit(True).alias("discontinuous")).distinct()
     return pieces.join(found, ["case_id", "piece_id"], "left").fillna(False, ["discontinuous"])
 
 
-def typed_numbers(log: DataFrame) -> DataFrame:
-    """The last word on each page from typed numbers and confirmed ranges: log of seq, case_id, from_page, to_page, kind (`fijar` or `confirmar`), label.
+def refused_numbers(log: DataFrame) -> DataFrame:
+    """Typed numbers that are refused: not blank, and no page number."""
+    number, _ = page_label(F.col("label"))
+    return log.where((F.col("kind") == "fijar") & (F.trim(F.coalesce("label", F.lit(""))) != "") & number.isNull())
+
 
-    A typed number wins over a confirmation, whichever came last; an empty label makes the number unknown.
+def typed_numbers(pages: DataFrame, log: DataFrame) -> DataFrame:
+    """Pages (case_id, global_no, num, suffix, origin, reading, conf) after what people typed and confirmed: log of seq, case_id, from_page, to_page, kind (`fijar` or `confirmar`), label.
+
+    The last typed number of a page holds: it is `manual` with confidence 1, and a blank one makes the number
+    unknown; one that is no number is refused (`refused_numbers`) and changes nothing. A confirmation makes
+    a detected number `confirmada` with confidence 1 and touches no other. After a typed number nothing is
+    detected, so a confirmation before or after it changes nothing. Ranges meet pages by interval bins.
     """
     number, suffix = page_label(F.col("label"))
-    spread = log.select("case_id", "seq", "kind", number.alias("num"), suffix.alias("suffix"), F.explode(F.sequence("from_page", "to_page")).alias("global_no"))
-    last = spread.groupBy("case_id", "global_no").agg(F.max_by(F.struct("kind", "num", "suffix"), F.struct(F.col("kind") == "fijar", "seq")).alias("_last"))
-    return last.select("case_id", "global_no", F.when(F.col("_last.kind") == "fijar", "manual").otherwise("confirmada").alias("origin"), "_last.num", "_last.suffix")
+    typed = log.where("kind = 'fijar'").join(refused_numbers(log).select("case_id", "seq"), ["case_id", "seq"], "left_anti").withColumns({"_num": number, "_suffix": F.coalesce(suffix, F.lit(""))})
+    keys = pages.select("case_id", "global_no")
+    last = inside(typed.select("case_id", "seq", "from_page", "to_page", "_num", "_suffix"), keys, ["case_id"], "from_page", "to_page", "global_no").groupBy("case_id", "global_no").agg(F.max_by(F.struct("_num", "_suffix"), "seq").alias("_typed"))
+    confirmed = inside(log.where("kind = 'confirmar'").select("case_id", "from_page", "to_page"), keys, ["case_id"], "from_page", "to_page", "global_no", "left_semi").withColumn("_confirmed", F.lit(True))
+    rows = pages.join(last, ["case_id", "global_no"], "left").join(confirmed, ["case_id", "global_no"], "left")
+    there, known = F.col("_typed").isNotNull(), F.col("_typed._num").isNotNull()
+    firm = F.coalesce(F.col("_confirmed") & (F.col("origin") == "detectada"), F.lit(False))
+    return rows.select(
+        "case_id", "global_no", F.when(there, F.col("_typed._num")).otherwise(F.col("num")).alias("num"), F.when(there, F.col("_typed._suffix")).otherwise(F.col("suffix")).alias("suffix"),
+        F.when(there & known, "manual").when(there, "desconocida").when(firm, "confirmada").otherwise(F.col("origin")).alias("origin"),
+        F.when(~there, F.col("reading")).alias("reading"), F.when(there & known, 1.0).when(there, None).when(firm, 1.0).otherwise(F.col("conf")).alias("conf"),
+    )

@@ -21,33 +21,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _levels(links: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows (keys, node) that links (case_id, node, _next) lead to from a frontier, that one included. Each level is written once; what was seen is not followed again, so cycles end."""
-    seen = frontier
-    for _ in range(MAX_ROUNDS):
-        reached = frontier.join(links, ["case_id", "node"]).select(*keys, F.col("_next").alias("node")).distinct()
-        frontier = cut(reached.join(seen, [*keys, "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"no end of the lineage after {MAX_ROUNDS} levels")
-
-
 def _links(edges: DataFrame) -> DataFrame:
     return cut(edges.select("case_id", F.col("a").alias("node"), F.col("b").alias("_next")).distinct())
 
 
+def _doubled(links: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows (keys, node) that links (case_id, node, _next) lead to from `seen`, which holds what lies within a step.
+
+    In round k `seen` holds what lies within 2**k steps, and paths of just 2**k steps lead on from it, so a
+    chain of 10,000 links takes 14 rounds. A round that finds nothing new is the last, so cycles end.
+    """
+    parts, jumps = [seen], links
+    while True:
+        known = parts[0]
+        for one in parts[1:]:
+            known = known.unionByName(one)
+        reached = known.join(jumps, ["case_id", "node"]).select(*keys, F.col("_next").alias("node")).distinct()
+        fresh = cut(reached.join(known, [*keys, "node"], "left_anti"))
+        if fresh.isEmpty():
+            return known
+        parts.append(fresh)
+        onward = jumps.select("case_id", F.col("node").alias("_next"), F.col("_next").alias("_far"))
+        jumps = cut(jumps.join(onward, ["case_id", "_next"]).select("case_id", "node", F.col("_far").alias("_next")).distinct())
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(case_id, root, node) for all nodes that edges (case_id, a, b) lead to from each root (case_id, root), the root itself excluded. Works on all roots at once, a step for each level."""
-    frontier = cut(roots.select("case_id", "root", F.col("root").alias("node")).distinct())
-    return _levels(_links(edges), frontier, ["case_id", "root"]).where("root <> node")
+    """(case_id, root, node) for all nodes that edges (case_id, a, b) lead to from each root (case_id, root), the root itself excluded. Works on all roots at once, in rounds that double the steps."""
+    links = _links(edges)
+    first = cut(roots.select("case_id", "root", F.col("root").alias("node")).distinct().join(links, ["case_id", "node"]).select("case_id", "root", F.col("_next").alias("node")).distinct())
+    return _doubled(links, first, ["case_id", "root"]).where("root <> node")
 
 
 def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(case_id, node) of the nodes that edges (case_id, a, b) lead to from any of the sources (case_id, node) in a step or more. Holds nodes, and no pairs of source and node."""
     links = _links(edges)
-    first = cut(sources.join(links, ["case_id", "node"]).select("case_id", F.col("_next").alias("node")).distinct())
-    return _levels(links, first, ["case_id"])
+    first = cut(sources.select("case_id", "node").join(links, ["case_id", "node"]).select("case_id", F.col("_next").alias("node")).distinct())
+    return _doubled(links, first, ["case_id"])
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
