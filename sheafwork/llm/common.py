@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, in the shared folder; `sweep` takes it away."""
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Takes away the intermediate tables made so far. For callers that have written down all that reads them."""
+    while _scratch:
+        remove(spark, _scratch.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """A folder of intermediate results taken away, wherever it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

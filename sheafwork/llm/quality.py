@@ -8,7 +8,6 @@ moments are summed over all labelled rows by Spark; the driver sees only those s
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, held_out, read_table, shared_dir
+from .common import cut, held_out, read_table, scratch
 
 #: Shrinkage of a class covariance towards the pooled one, and of that towards the identity.
 TO_POOLED = 0.1
@@ -167,7 +166,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The rows are written once with their statistics as a table in the shared folder: training reads the
     statistics only, and scoring does not take them again. Nulls, long texts and repeats are as in `score_documents`.
     """
-    path = f"{shared_dir(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
+    path = scratch(docs.sparkSession, "quality")
     marked = docs.select("doc_id", F.struct("*").alias("_row"), statistics_of("text").alias("_stats"))
     marked.write.parquet(path)
     marked = docs.sparkSession.read.schema(marked.schema).parquet(path)
