@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafwork.llm import mixing, pieces, quality, simhash, toxicity
-from sheafwork.llm.common import read_table, remove, shared_dir
+from sheafwork.llm.common import read_table, remove, shared_dir, sweep
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,13 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`. What a stage wrote goes once the next one's result is written; the last written table stays, as the result reads it."""
+    """All stages over `documents`. What a stage wrote, and what it held in between, goes once the next one's result is written; the last written table stays, as the result reads it."""
     docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if n == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{n}")
+        sweep(spark)
         if n:
             remove(spark, f"{folder}/{n - 1}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{n}")
