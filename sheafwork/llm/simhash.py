@@ -126,7 +126,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Fingerprints at most 2 bits apart are linked; the component is the smallest doc_id that links reach.
     Null and wordless texts have fingerprint zero, which links like any other. A null doc_id takes part
-    and is never a component's id unless all of its ids are null. Repeated rows are kept. No rows give none.
+    and is never a component's id unless all of its ids are null. Repeated rows are kept. Long texts are read
+    whole. Columns other than doc_id and text, whatever their names, are not looked at. No rows give none.
     """
     marked = cut(docs.select("doc_id", fingerprints("text").alias("print")))
     rooted = _rooted(marked)
@@ -140,17 +141,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     The row with the smallest doc_id stays, one without an id only where no row of the group has any; of
     rows that share that id the one with the smallest digest of the text. Rows equal in both differ in
-    other columns at most and become one before any text is shuffled.
+    other columns at most and become one before they are shuffled; others are only looked up by id and digest,
+    so that no text is held by a group.
+
+    Null and wordless texts are one group. Long texts are read whole. Columns may have any names; of rows that
+    are equal in id and text the one whose other columns come first as JSON stays. No rows give none.
     """
     keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "_digest": F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("none"))}
     marked = cut(docs.select("doc_id", fingerprints("text").alias("print"), *[c.alias(k) for k, c in keys.items()]))
     order = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_digest")
     firsts = marked.groupBy("print").agg(F.min(order).alias("_keep"))
     groups = firsts.join(_rooted(marked).select("print", "_root"), "print").groupBy("_root").agg(F.min("_keep").alias("_keep"))
-    kept = groups.select(F.coalesce(F.col("_keep.doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("_keep._digest").alias("_digest"))
-    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
-    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.struct(*docs.columns).alias("_row"), rest.alias("_rest"))
-    return rows.groupBy(*keys).agg(F.min_by("_row", "_rest").alias("_row")).join(kept, [*keys], "left_semi").select("_row.*")
+    kept = cut(groups.select(F.coalesce(F.col("_keep.doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("_keep._digest").alias("_digest")))
+    repeated = cut(marked.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").join(kept, [*keys], "left_semi").select(*keys))
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.struct(*docs.columns).alias("_row"))
+    once = rows.join(kept.join(repeated, [*keys], "left_anti"), [*keys], "left_semi")
+    if repeated.isEmpty():
+        return once.select("_row.*")
+    rest = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "text"]))
+    many = rows.join(repeated, [*keys], "left_semi").withColumn("_rest", rest).groupBy(*keys).agg(F.min_by("_row", "_rest").alias("_row"))
+    return once.select("_row.*").unionByName(many.select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
