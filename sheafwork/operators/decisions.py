@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import label_text
 from .lineage import active_descendants, last_switch, tainted
 
-# The three states, and the fields that a person may set.
+# The three states, the fields that a person may set, what halves and bulk changes are called, and the warning of a merge.
 INCLUDED, EXCLUDED, PENDING = "incluida", "excluida", "pendiente"
+STATES = (INCLUDED, EXCLUDED, PENDING)
 FIELDS = ("type_final", "subtype_final", "description_final", "number_start_final", "number_end_final", "date", "notes")
+HALVES, BULK, MIXED = ("(primera parte)", "(segunda parte)"), "cambio en lote", "union_de_tipos_distintos"
 
 
 def last(log: DataFrame, field: str, keys: tuple[str, ...] = ("case_id", "piece_id")) -> DataFrame:
@@ -32,17 +35,17 @@ def states(pieces: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def validate(requests: DataFrame, pieces: DataFrame, edges: DataFrame) -> DataFrame:
-    """Requests (case_id, piece_id, new) with their `outcome`: `aceptada`, `sin_cambio`, `inexistente`, `inactiva` or `procedencia_excluida`.
+    """Requests (case_id, piece_id, new) with their `outcome`: `aceptada`, `sin_cambio`, `inexistente`, `inactiva`, `procedencia_excluida` or `estado_desconocido`.
 
-    A piece with excluded ancestors cannot be included. With a column `batch`, requests of one batch stand
+    A piece with excluded ancestors cannot be included, not even if it is already. With a column `batch`, requests of one batch stand
     or fall together: one that must not be included refuses all others too (`lote_rechazado`).
     """
     asked = requests.join(pieces.select("case_id", "piece_id", "state", "active"), ["case_id", "piece_id"], "left")
     marked = asked.join(tainted(edges, pieces).withColumn("_tainted", F.lit(True)), ["case_id", "piece_id"], "left")
     bad = F.coalesce((F.col("new") == INCLUDED) & F.col("_tainted"), F.lit(False))
     outcome = (
-        F.when(F.col("active").isNull(), "inexistente").when(~F.col("active"), "inactiva").when(F.col("state") == F.col("new"), "sin_cambio")
-        .when(bad, "procedencia_excluida").otherwise("aceptada")
+        F.when(F.col("new").isNull() | ~F.col("new").isin(*STATES), "estado_desconocido").when(F.col("active").isNull(), "inexistente").when(~F.col("active"), "inactiva")
+        .when(bad, "procedencia_excluida").when(F.col("state") == F.col("new"), "sin_cambio").otherwise("aceptada")
     )
     if "batch" not in requests.columns:
         return marked.select("case_id", "piece_id", "new", outcome.alias("outcome"))
@@ -51,18 +54,20 @@ def validate(requests: DataFrame, pieces: DataFrame, edges: DataFrame) -> DataFr
     return whole.select("case_id", "batch", "piece_id", "new", F.when(F.col("_refused"), F.when(bad, "procedencia_excluida").otherwise("lote_rechazado")).otherwise(outcome).alias("outcome"))
 
 
-def editable(log: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """Edits without those that give a type outside the rules; a blank type is an edit, as it brings back what was detected."""
+def editable(log: DataFrame, types: tuple[str, ...], pieces: DataFrame) -> DataFrame:
+    """Edits of active pieces, without those that give a type outside the rules; a blank type is an edit, as it brings back what was detected."""
     value = F.coalesce(F.trim("new"), F.lit(""))
-    return log.where((F.col("field") != "type_final") | (value == "") | value.isin(*types))
+    good = log.where((F.col("field") != "type_final") | (value == "") | value.isin(*types))
+    return good.join(pieces.where("active").select("case_id", "piece_id"), ["case_id", "piece_id"], "left_semi")
 
 
 def change_log(log: DataFrame, first: Column | None = None) -> DataFrame:
-    """The log with `old`, the value before each change; changes that change nothing are left out."""
+    """The log with `old`, the value before each change; changes that change nothing are left out. With a column `batch`, null for single changes, `detail` tells changes of many pieces at once."""
     order = Window.partitionBy("case_id", "piece_id", "field").orderBy("seq")
     old = F.lag(F.struct("new")).over(order)["new"]
     before = F.when(F.row_number().over(order) == 1, first if first is not None else F.lit(None).cast("string")).otherwise(old)
-    return log.withColumn("old", before).where(~F.col("old").eqNullSafe(F.col("new")))
+    out = log.withColumn("old", before).where(~F.col("old").eqNullSafe(F.col("new")))
+    return out.withColumn("detail", F.when(F.col("batch").isNotNull(), BULK)).drop("batch") if "batch" in log.columns else out
 
 
 def groups_of(pieces: DataFrame, log: DataFrame, groups: DataFrame) -> DataFrame:
@@ -99,21 +104,37 @@ def manual_pieces(requests: DataFrame) -> DataFrame:
     return requests.select("case_id", "request", "page_start", end.alias("page_end"), F.trim("description").alias("description"), F.nullif(F.trim("number_start"), F.lit("")).alias("number_start"), outcome.alias("outcome"), F.lit("manual").alias("origin"))
 
 
-def split(pieces: DataFrame, at: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _effective(pieces: DataFrame, name: str) -> Column:
+    final = f"{name}_final"
+    return F.coalesce(final, name) if final in pieces.columns else F.col(name)
+
+
+def labelled(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Ranges (case_id, page_start, page_end) with the printed numbers of their first and last page, `number_start` and `number_end`, null where a page has none."""
+    label = lambda c, n: pages.select("case_id", F.col("global_no").alias(c), label_text(F.col("num"), F.col("suffix")).alias(n))
+    return ranges.join(label("page_start", "number_start"), ["case_id", "page_start"], "left").join(label("page_end", "number_end"), ["case_id", "page_end"], "left")
+
+
+def split(pieces: DataFrame, at: DataFrame, pages: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The halves of pieces cut before a page (case_id, piece_id, page), and edges to them (case_id, parent, child_no).
 
     The page lies after the start and not after the end, and the piece is neither excluded nor, by `edges`,
-    descended from an excluded one; others are passed over. Halves are pending and inherit type, description
-    with a suffix, notes, group, date, confidence and order. Their text is cut anew from the pages
+    descended from an excluded one; others are passed over. Halves are pending and have the document, the
+    present type, the present description with their part, notes, warnings, group, date, confidence and
+    order of the piece, and the printed numbers of their own ends. Their text is cut anew from the pages
     (`segmentation.range_texts`), and their persons are those of the piece (`inherited_links`).
     """
     good = pieces.join(at, ["case_id", "piece_id"]).where("active AND state <> 'excluida' AND page > page_start AND page <= page_end")
     if edges is not None:
         good = good.join(tainted(edges, pieces), ["case_id", "piece_id"], "left_anti")
-    half = lambda n, a, b: F.struct(F.lit(n).alias("half"), a.alias("start"), b.alias("end"))
+    half = lambda n, a, b: F.struct(F.lit(n).alias("half"), F.lit(HALVES[n - 1]).alias("name"), a.alias("start"), b.alias("end"))
     both = good.withColumn("_h", F.explode(F.array(half(1, F.col("page_start"), F.col("page") - 1), half(2, F.col("page"), F.col("page_end")))))
-    halves = both.select("case_id", F.col("piece_id").alias("parent"), F.col("_h.half").alias("half"), F.col("_h.start").alias("page_start"), F.col("_h.end").alias("page_end"), "type", F.concat("description", F.lit(" ("), F.col("_h.half").cast("string"), F.lit("/2)")).alias("description"), "notes", "group_id", "date", "confidence", "order_out", F.lit(PENDING).alias("state"))
-    return halves, halves.select("case_id", "parent", F.col("half").alias("child_no"))
+    halves = both.select(
+        "case_id", F.col("piece_id").alias("parent"), F.col("_h.half").alias("half"), F.col("_h.start").alias("page_start"), F.col("_h.end").alias("page_end"), "doc_id", _effective(pieces, "type").alias("type"),
+        F.trim(F.concat(F.coalesce(_effective(pieces, "description"), F.lit("")), F.lit(" "), F.col("_h.name"))).alias("description"), "notes", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
+        "group_id", "date", "confidence", "order_out", F.lit(PENDING).alias("state"), F.lit("division").alias("origin"),
+    )
+    return labelled(halves, pages), halves.select("case_id", "parent", F.col("half").alias("child_no"))
 
 
 def inherited_links(links: DataFrame, made: DataFrame, source: str) -> DataFrame:
@@ -122,24 +143,29 @@ def inherited_links(links: DataFrame, made: DataFrame, source: str) -> DataFrame
     return made.join(links.withColumnRenamed("piece_id", source), ["case_id", source]).select(*keys, "person_id", "function").distinct()
 
 
-def union(pieces: DataFrame, parts: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """Pieces merged from parts (case_id, union_id, piece_id), two or more active, none excluded and none, by `edges`, descended from an excluded one.
+def union(pieces: DataFrame, parts: DataFrame, pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Pieces merged from parts (case_id, union_id, piece_id): two or more, all there, active and with a first page, none excluded and none, by `edges`, descended from an excluded one.
 
-    The range spans all parts; type, description, group and order come from the first by page, the date is the
-    first one known, the confidence the least, and differing types give a warning. `union_edges` and
-    `inherited_links` give the merged piece's edges and persons.
+    The range spans all parts; document, present type and description, group and order come from the first
+    by page, the date is the first one known, the confidence the least, and differing types give a warning.
+    Printed numbers are those of the range's ends. `segmentation.range_texts` gives the text, `union_edges`
+    and `inherited_links` the merged piece's edges and persons.
     """
-    rows = parts.join(pieces, ["case_id", "piece_id"])
+    own = pieces.select("case_id", "piece_id", "page_start", F.coalesce("page_end", "page_start").alias("page_end"), "doc_id", _effective(pieces, "type").alias("type"), _effective(pieces, "description").alias("description"), "group_id", "order_out", "date", "confidence", "active", "state")
+    rows = parts.join(own, ["case_id", "piece_id"], "left")
     bad = F.lit(False)
     if edges is not None:
         rows, bad = rows.join(tainted(edges, pieces).withColumn("_bad", F.lit(True)), ["case_id", "piece_id"], "left"), F.coalesce("_bad", F.lit(False))
     order = F.struct("page_start", "piece_id")
+    fit = F.coalesce(F.col("active") & (F.col("state") != EXCLUDED) & F.col("page_start").isNotNull() & ~bad, F.lit(False))
     grouped = rows.groupBy("case_id", "union_id").agg(
-        F.count("*").alias("parts"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by(F.struct("type", "description", "group_id", "order_out"), order).alias("_f"),
-        F.min_by("date", F.when(F.col("date").isNotNull(), order)).alias("date"), F.min("confidence").alias("confidence"), F.count_distinct("type").alias("_types"), F.bool_and(F.col("active") & (F.col("state") != EXCLUDED) & ~bad).alias("_ok"),
+        F.count("*").alias("parts"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by(F.struct("doc_id", "type", "description", "group_id", "order_out"), order).alias("_f"),
+        F.min_by("date", F.when(F.col("date").isNotNull(), order)).alias("date"), F.min("confidence").alias("confidence"), F.count_distinct(F.struct("type")).alias("_types"), F.bool_and(fit).alias("_ok"),
     )
     good = grouped.where("parts >= 2 AND _ok")
-    return good.select("case_id", "union_id", "parts", "page_start", "page_end", "_f.type", "_f.description", "_f.group_id", "_f.order_out", "date", "confidence", F.when(F.col("_types") > 1, F.array(F.lit("tipos_distintos"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    warned = F.when(F.col("_types") > 1, F.array(F.lit(MIXED))).otherwise(F.array().cast("array<string>"))
+    out = good.select("case_id", "union_id", "parts", "page_start", "page_end", "_f.doc_id", "_f.type", "_f.description", "_f.group_id", "_f.order_out", "date", "confidence", warned.alias("warnings"), F.lit(PENDING).alias("state"), F.lit("union").alias("origin"))
+    return labelled(out, pages)
 
 
 def union_edges(pieces: DataFrame, parts: DataFrame, merged: DataFrame) -> DataFrame:

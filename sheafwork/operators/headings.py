@@ -35,13 +35,54 @@ def heading(text: Column, lines: int = 6) -> Column:
     return F.upper(fold(F.replace(first, F.lit("\n"), F.lit(" \n"))))
 
 
+def needed(pattern: str) -> tuple[str, ...]:
+    """Texts of which a match of the pattern holds one at least; none where that is not known. Of the parts that every match has, that with the longest text counts."""
+    from re import _constants as kind
+    from re import _parser as parser
+
+    def of(tokens) -> tuple[str, ...]:
+        found, run = [], ""
+        for op, value in tokens:
+            if op is kind.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append((run,))
+            run = ""
+            if op is kind.SUBPATTERN and not value[1] & parser.SRE_FLAG_IGNORECASE:
+                found.append(of(value[3]))
+            elif op is kind.BRANCH:
+                each = [of(x) for x in value[1]]
+                found.append(tuple(w for x in each for w in x) if all(each) else ())
+            elif op in (kind.MAX_REPEAT, kind.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+        if run:
+            found.append((run,))
+        return max((f for f in found if f), key=lambda f: min(map(len, f)), default=())
+
+    tree = parser.parse(pattern)
+    return () if tree.state.flags & parser.SRE_FLAG_IGNORECASE else of(tree)
+
+
+def _place(head: Column, pattern: str) -> Column:
+    """Where a pattern first matches, 0 where it does not. It is only run where a text that it needs is there, so that of some hundred patterns few are."""
+    at = F.regexp_instr(head, F.lit(f"(?m){pattern}"))
+    texts = needed(pattern)
+    if not texts:
+        return at
+    there = F.contains(head, F.lit(texts[0]))
+    for text in texts[1:]:
+        there = there | F.contains(head, F.lit(text))
+    return F.when(there, at).otherwise(0)
+
+
 def recognise(head: Column, rules: list[Rule]) -> Column:
     """The rule that a heading (a column of its own, as every pattern reads it) matches best, as a struct (type, score).
 
     Of a rule the first listed pattern that matches counts, at its first match: the full weight if that
     starts within the first 90 characters, else 0.6 of it. The earliest of equally good rules wins.
     """
-    starts = F.array(*[F.regexp_instr(head, F.lit(f"(?m){p}")) for r in rules for p in r.patterns])
+    starts = F.array(*[_place(head, p) for r in rules for p in r.patterns])
 
     def best(found: Column) -> Column:
         scored, i = [], 0

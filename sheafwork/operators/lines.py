@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -83,10 +83,11 @@ def images_to_read(images: DataFrame, words: DataFrame, pages: DataFrame, covera
 
 
 def merge_readings(native: DataFrame, read: DataFrame, ink: DataFrame, margin: float = 2.0, unread: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """Native words kept, with read words whose centre lies in no native box; and the confidence of each page's mixture.
+    """Native words (with `ord`, their place) kept, with read words whose centre lies in no native box; and the confidence of each page's mixture.
 
-    The confidence is null where nothing was added, 0 where reading found nothing or left more than
-    `unread` of the ink (column `unread_ink`), else the mean of the words added.
+    Where words were added a page's words are placed anew by height, to a tenth, and then from the left, else
+    the native ones keep their places. Confidence is null where nothing was added, 0 where reading found
+    nothing or left more than `unread` of the ink (column `unread_ink`), else the mean of the words added.
     """
     keys = ["case_id", "page_id"]
     boxes = native.select(*keys, F.struct("x0", "y0", "x1", "y1").alias("_box"))
@@ -94,7 +95,10 @@ def merge_readings(native: DataFrame, read: DataFrame, ink: DataFrame, margin: f
     there = [points[k] == boxes[k] for k in keys]
     extra = points.join(boxes, [*there, inside(F.col("_cx"), F.col("_cy"), F.col("_box"), margin)], "left_anti").drop("_cx", "_cy")
     columns = [*keys, "text", "x0", "y0", "x1", "y1", "conf"]
-    words = native.select(*columns, F.lit("nativa").alias("origin")).unionByName(extra.select(*columns, F.lit("leida").alias("origin")))
+    both = native.select(*columns, "ord", F.lit("nativa").alias("origin")).unionByName(extra.select(*columns, "ord", F.lit("leida").alias("origin")))
+    added = F.max(F.col("origin") == "leida").over(Window.partitionBy(*keys))
+    order = Window.partitionBy(*keys).orderBy(F.round("y0", 1), "x0", F.desc("origin"), "ord")
+    words = both.withColumn("_added", added).withColumn("ord", F.when(F.col("_added"), F.row_number().over(order) - 1).otherwise(F.col("ord"))).drop("_added")
     found = read.groupBy(*keys).agg(F.count("*").alias("_read")).join(extra.groupBy(*keys).agg(F.avg("conf").alias("_mean")), keys, "left")
     pages = ink.join(found, keys, "left")
     conf = F.when(F.col("_read").isNull() | (F.col("unread_ink") > unread), F.lit(0.0)).otherwise(F.col("_mean"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import date_words, roman
 from ..plans.graph import cut
+from ..plans.order import placed
 from .checklist import included
 from .lineage import tainted
 
@@ -106,19 +107,23 @@ def report_order(criterion: str) -> list[Column]:
 def assemble(view: DataFrame, criterion: str = "manual", headings: bool = True, numbering: str = "continua", template: str | None = None, confirmed: bool = True) -> DataFrame:
     """The paragraphs of each case's report: case_id, ord, kind, piece_id, section, number, text.
 
-    Sections have Roman numbers, pieces Arabic ones, over the case or (`por_grupo`) within the section.
+    Sections have Roman numbers, pieces Arabic ones, over the case or (`por_grupo`) within the section. Pieces
+    are placed over range partitions, and sections by their first piece, so no case sits in one task.
     """
-    case = Window.partitionBy("case_id").orderBy(*report_order(criterion))
-    rows = included(view).withColumn("_g", group_key(criterion)).withColumn("_n", F.row_number().over(case))
+    rows = cut(placed(included(view).withColumn("_g", group_key(criterion)), ["case_id"], report_order(criterion), "_n"))
     grouped = headings and criterion in GROUPING
-    new = F.coalesce(F.lag("_g.key").over(case) != F.col("_g.key"), F.lit(True)) if grouped else F.lit(False)
-    rows = rows.withColumn("_new", new).withColumn("_s", F.sum(F.col("_new").cast("int")).over(case.rowsBetween(Window.unboundedPreceding, 0)))
-    within = F.row_number().over(Window.partitionBy("case_id", "_s").orderBy("_n")) if grouped and numbering == "por_grupo" else F.col("_n")
-    rows = cut(rows.withColumn("_number", within))
-    place = F.col("_n") * 2
-    pieces = rows.select("case_id", place.alias("_at"), F.lit("pieza").alias("kind"), "piece_id", F.lit(None).cast("string").alias("section"), F.concat(F.col("_number").cast("string"), F.lit(".-")).alias("number"), paragraph(template, confirmed).alias("text"))
-    heads = rows.where("_new").select("case_id", (place - 1).alias("_at"), F.lit("encabezado").alias("kind"), F.lit(None).cast("long").alias("piece_id"), F.col("_g.key").alias("section"), F.concat(roman(F.col("_s")), F.lit(".-")).alias("number"), F.upper("_g.heading").alias("text"))
-    return pieces.unionByName(heads).withColumn("ord", F.row_number().over(Window.partitionBy("case_id").orderBy("_at"))).select("case_id", "ord", "kind", "piece_id", "section", "number", "text")
+    if grouped:
+        parts = rows.groupBy("case_id", "_g").agg(F.min("_n").alias("_first"))
+        parts = parts.withColumn("_s", F.row_number().over(Window.partitionBy("case_id").orderBy("_first")))
+        rows = rows.join(parts, ["case_id", "_g"])
+    else:
+        rows = rows.withColumns({"_first": F.lit(1).cast("long"), "_s": F.lit(0)})
+    number = F.col("_n") - F.col("_first") + 1 if grouped and numbering == "por_grupo" else F.col("_n")
+    pieces = rows.select("case_id", (F.col("_n") + F.col("_s")).alias("ord"), F.lit("pieza").alias("kind"), "piece_id", F.lit(None).cast("string").alias("section"), F.concat(number.cast("string"), F.lit(".-")).alias("number"), paragraph(template, confirmed).alias("text"))
+    if grouped:
+        heads = parts.select("case_id", (F.col("_first") + F.col("_s") - 1).alias("ord"), F.lit("encabezado").alias("kind"), F.lit(None).cast("long").alias("piece_id"), F.col("_g.key").alias("section"), F.concat(roman(F.col("_s")), F.lit(".-")).alias("number"), F.upper("_g.heading").alias("text"))
+        pieces = pieces.unionByName(heads)
+    return pieces.withColumn("ord", F.col("ord").cast("int"))
 
 
 def barred(paragraphs: DataFrame, pieces: DataFrame, edges: DataFrame) -> DataFrame:
@@ -196,23 +201,34 @@ def _line(paragraphs: DataFrame) -> Column:
     return F.when(F.col("kind") == "encabezado", F.concat(F.lit("\n"), line, F.lit("\n"))).otherwise(line)
 
 
-def lines_of(paragraphs: DataFrame, titles: DataFrame, refuse: DataFrame | None = None) -> DataFrame:
-    """The texts of reports as rows, so that no case is gathered anywhere: case_id, ord, line.
+# Fixed value: the second line of every text.
+OFFERED = "PRUEBA OFRECIDA"
 
-    The title with a blank line after it has place 0; the lines of a case by `ord`, each ended by a line
-    feed, are its `text_of`. A case without paragraphs has no row. Stale cases (in `refuse`) raise.
+
+def heading_line(file_no: Column, title: Column) -> Column:
+    """The first line of a case's text, without dashes at its ends."""
+    return F.regexp_replace(F.concat(F.lit("Legajo "), F.coalesce(file_no, F.lit("")), F.lit(" — "), F.coalesce(title, F.lit(""))), r"^[ —]+|[ —]+$", "")
+
+
+def lines_of(paragraphs: DataFrame, cases: DataFrame, refuse: DataFrame | None = None) -> DataFrame:
+    """The texts of reports as rows, so that no case is gathered anywhere: case_id, ord, line. `cases` has case_id, file_no, title.
+
+    The heading has place -1, and the fixed second line, with a blank line after it, place 0; the lines of a
+    case by `ord`, each ended by a line feed, are its `text_of`. A case without paragraphs has no row. Stale
+    cases (in `refuse`) raise.
     """
     _up_to_date(refuse)
-    body = paragraphs.select("case_id", "ord", _line(paragraphs).alias("line")).join(titles.select("case_id"), "case_id", "left_semi")
-    heads = titles.join(paragraphs.select("case_id"), "case_id", "left_semi")
-    return body.unionByName(heads.select("case_id", F.lit(0).alias("ord"), F.concat("title", F.lit("\n")).alias("line")))
+    body = paragraphs.select("case_id", "ord", _line(paragraphs).alias("line")).join(cases.select("case_id"), "case_id", "left_semi")
+    there = cases.join(paragraphs.select("case_id"), "case_id", "left_semi")
+    heads = there.select("case_id", F.inline(F.array(F.struct(F.lit(-1).alias("ord"), heading_line(F.col("file_no"), F.col("title")).alias("line")), F.struct(F.lit(0).alias("ord"), F.lit(f"{OFFERED}\n").alias("line")))))
+    return body.unionByName(heads)
 
 
-def text_of(paragraphs: DataFrame, titles: DataFrame, refuse: DataFrame | None = None) -> DataFrame:
-    """One text for each case: title, then paragraphs, with blank lines round headings and a line feed at the end. Stale cases (in `refuse`) raise. For cases that fit a row; `lines_of` has no such bound."""
-    _up_to_date(refuse)
-    body = paragraphs.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", _line(paragraphs).alias("line")))), lambda x: x["line"]), "\n").alias("_body"))
-    return titles.join(body, "case_id").select("case_id", F.concat("title", F.lit("\n\n"), "_body", F.lit("\n")).alias("text"))
+def text_of(paragraphs: DataFrame, cases: DataFrame, refuse: DataFrame | None = None) -> DataFrame:
+    """One text for each case: the lines of `lines_of`, white space at its ends off, and a line feed at the end. Stale cases (in `refuse`) raise. For cases that fit a row; `lines_of` has no such bound."""
+    rows = lines_of(paragraphs, cases, refuse)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("case_id").agg(F.concat(F.regexp_replace(joined, r"^\s+|\s+$", ""), F.lit("\n")).alias("text"))
 
 
 def backup_records(**parts: DataFrame) -> DataFrame:

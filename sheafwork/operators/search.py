@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, label_text
+from ..plans.order import top
 
 LIMIT, CONTEXT = 200, 90
 K1, B = 1.2, 0.75
@@ -49,33 +50,84 @@ def parse(query: str) -> list[Clause]:
     return out
 
 
-def match(index: DataFrame, clause: Clause) -> DataFrame:
-    """Pages that a clause is found on, with how often: case_id, page_id, tf, length."""
-    found = None
-    for i, word in enumerate(clause.words):
-        test = F.col("term").startswith(word) if clause.prefix and i == len(clause.words) - 1 else F.col("term") == word
-        rows = index.where(test).select("case_id", "page_id", "length", F.explode("positions").alias("_p")).withColumn("_p", F.col("_p") - i).distinct()
-        found = rows if found is None else found.join(rows, ["case_id", "page_id", "length", "_p"])
-    return found.groupBy("case_id", "page_id", "length").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """Postings (case_id, term, page_id, positions, length) and the pages they are of (case_id, page_id, length)."""
 
+    postings: DataFrame
+    pages: DataFrame
 
-def search_pages(index: DataFrame, query: str, limit: int | None = LIMIT) -> DataFrame:
-    """Pages that hold all clauses of a query, the best first: case_id, page_id, score (BM25 within the case)."""
-    clauses = parse(query)
-    pages = index.groupBy("case_id", "page_id").agg(F.max("length").alias("length"))
-    stats = pages.groupBy("case_id").agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    hits = None
+
+def index_of(pages: DataFrame) -> Index:
+    """An index of page texts that is not written down."""
+    found = postings(pages)
+    return Index(found, found.select("case_id", "page_id", "length").distinct())
+
+
+def write_index(pages: DataFrame, path: str, part: int = 0) -> None:
+    """Adds pages (case_id, page_id, text) to a stored index as a part of their own; nothing of other parts is read or written.
+
+    Postings are dealt by ranges of terms and sorted, so a file holds a range of the dictionary and a word or
+    a beginning reads few row groups. A page that is in several parts counts by the largest of these, so a
+    part can replace pages of earlier ones; a text without words takes a page away. A part that is written
+    again replaces itself.
+    """
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.sparkSession.sparkContext.defaultParallelism)
+    found = postings(pages).repartitionByRange(parts, "term", "case_id", "page_id").sortWithinPartitions("term", "case_id", "page_id")
+    found.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings/part={part}")
+    pages.select("case_id", "page_id", F.size(terms(F.col("text"))).alias("length")).write.mode("overwrite").parquet(f"{path}/pages/part={part}")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A stored index. Neither opening nor searching it reads a text."""
+    every = spark.read.parquet(f"{path}/pages")
+    last = every.groupBy("case_id", "page_id").agg(F.max_by(F.struct("part", "length"), "part").alias("_l")).select("case_id", "page_id", "_l.*").where("length > 0")
+    held = spark.read.parquet(f"{path}/postings").join(last.select("case_id", "page_id", "part"), ["case_id", "page_id", "part"], "left_semi")
+    return Index(held.drop("part"), last.drop("part"))
+
+
+def match(index: Index, clauses: list[Clause]) -> DataFrame:
+    """Pages that each clause is found on, with how often: case_id, page_id, length, clause, tf. The postings are read once for all words."""
+    wanted = []
     for i, clause in enumerate(clauses):
-        one = match(index, clause).withColumn("_clause", F.lit(i))
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        return pages.limit(0).select("case_id", "page_id", F.lit(0.0).alias("score"))
-    df = hits.groupBy("case_id", "_clause").agg(F.count("*").alias("_df"))
-    rows = hits.join(df, ["case_id", "_clause"]).join(stats, "case_id")
-    idf = F.greatest(F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    out = rows.withColumn("_part", part).groupBy("case_id", "page_id").agg(F.sum("_part").alias("score"), F.count("*").alias("_found")).where(F.col("_found") == len(clauses)).drop("_found")
-    return out if limit is None else out.orderBy(F.desc("score"), "case_id", "page_id").limit(limit)
+        for j, word in enumerate(clause.words):
+            begins = clause.prefix and j == len(clause.words) - 1
+            wanted.append((i, j, F.col("term").startswith(word) if begins else F.col("term") == word))
+    any_ = wanted[0][2]
+    for *_, test in wanted[1:]:
+        any_ = any_ | test
+    places = F.filter(F.array(*[F.when(test, F.struct(F.lit(i).alias("clause"), F.lit(j).alias("at"))) for i, j, test in wanted]), lambda x: x.isNotNull())
+    sizes = F.element_at(F.array(*[F.lit(len(c.words)) for c in clauses]), F.col("clause") + 1)
+    rows = index.postings.where(any_).select("case_id", "page_id", "length", "positions", F.inline(places)).select("case_id", "page_id", "length", "clause", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("_start"))
+    # a place holds one word, so a clause stands where as many of its words fit as it has
+    whole = rows.groupBy("case_id", "page_id", "length", "clause", "_start").agg(F.count("*").alias("_n")).where(F.col("_n") == sizes)
+    return whole.groupBy("case_id", "page_id", "length", "clause").agg(F.count("*").alias("tf"))
+
+
+def search_pages(index: Index, query: str, limit: int = LIMIT, pages: DataFrame | None = None) -> DataFrame:
+    """The best pages of each case that hold all clauses of a query, `limit` of a case at most: case_id, page_id, score (BM25 within the case), place.
+
+    With `pages` (case_id, page_id, global_no, num, suffix, origin, text) also global_no, the printed number
+    `label` with its origin, and a `snippet`; only pages found are looked up. Equal scores to six places go
+    by page. A query without words finds nothing.
+    """
+    clauses = parse(query)
+    empty = index.pages.limit(0).select("case_id", "page_id", F.lit(0.0).alias("score"), F.lit(0).alias("place"))
+    if clauses:
+        stats = index.pages.groupBy("case_id").agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
+        hits = match(index, clauses)
+        df = hits.groupBy("case_id", "clause").agg(F.count("*").alias("_df"))
+        rows = hits.join(df, ["case_id", "clause"]).join(stats, "case_id")
+        idf = F.greatest(F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
+        scored = rows.withColumn("_part", part).groupBy("case_id", "page_id").agg(F.round(F.sum("_part"), 6).alias("score"), F.count("*").alias("_found")).where(F.col("_found") == len(clauses)).drop("_found")
+        found = top(scored, ["case_id"], [F.desc("score"), F.col("page_id")], limit)
+    else:
+        found = empty
+    if pages is None:
+        return found
+    shown = pages.select("case_id", "page_id", "global_no", label_text(F.col("num"), F.col("suffix")).alias("label"), "origin", snippet(F.col("text"), query).alias("snippet"))
+    return found.join(shown, ["case_id", "page_id"])
 
 
 def snippet(text: Column, query: str) -> Column:
@@ -88,16 +140,16 @@ def snippet(text: Column, query: str) -> Column:
     return F.when(at > 0, cut).otherwise(head)
 
 
-def search_pieces(view: DataFrame, query: str, limit: int | None = LIMIT, folded: bool = False) -> DataFrame:
-    """Active pieces with a text in description, source text or introducer, by page. Accents count unless `folded`."""
+def search_pieces(view: DataFrame, query: str, limit: int = LIMIT, folded: bool = False) -> DataFrame:
+    """Active pieces of each case with a text in description, source text or introducer, by page and then id, `limit` of a case at most, with their `place`. Spaces round the text do not count, and a blank one finds nothing. Accents count unless `folded`."""
+    wanted = query.strip()
     side = (lambda c: F.lower(fold(c))) if folded else F.lower
     found = F.lit(False)
     for c in ("description", "source_text", "introducer"):
-        found = found | F.coalesce(F.contains(side(F.col(c)), side(F.lit(query))), F.lit(False))
-    out = view.where("active").where(found)
-    return out if limit is None else out.orderBy(F.col("page_start").asc_nulls_last(), "piece_id").limit(limit)
+        found = found | F.coalesce(F.contains(side(F.col(c)), side(F.lit(wanted))), F.lit(False))
+    return top(view.where("active").where(found if wanted else F.lit(False)), ["case_id"], [F.col("page_start").asc_nulls_first(), F.col("piece_id")], limit)
 
 
-def search(index: DataFrame, view: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
+def search(index: Index, view: DataFrame, query: str, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages and pieces for a query."""
-    return search_pages(index, query), search_pieces(view, query)
+    return search_pages(index, query, pages=pages), search_pieces(view, query)

@@ -11,10 +11,15 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from ..functions.text import find_date
 from ..plans.graph import cut
+from ..plans.order import placed
+from ..plans.ranges import inside
+from .decisions import labelled
 from .headings import Rule, continuation, heading, recognise, title_line
 
 CUT, LONG, TEXT = 0.45, 40, 1200
 POOR = 0.55
+# Fixed value: why a detection made nothing.
+COVERED = "todas las páginas leídas ya tienen una pieza que las cubre"
 CUTS = StructType([StructField("case_id", StringType()), StructField("doc_id", LongType()), StructField("global_no", LongType()), StructField("piece_no", IntegerType())])
 
 
@@ -72,11 +77,11 @@ def cuts(marked: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, CUTS)
 
 
-def mark_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Pages (case_id, doc_id, global_no, text, conf) with what their headings say."""
+def mark_pages(pages: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
+    """Pages (case_id, doc_id, global_no, text, conf, and `more` columns) with what their headings say."""
     headed = pages.withColumn("_head", heading(F.col("text")))
     marked = headed.withColumn("_found", recognise(F.col("_head"), rules)).withColumn("_goes", continuation(F.col("_head")))
-    return marked.select("case_id", "doc_id", "global_no", "text", F.coalesce("conf", F.lit(0.0)).alias("conf"), "_found.type", "_found.score", "_goes.continues", "_goes.n", "_goes.m")
+    return marked.select("case_id", "doc_id", *more, "global_no", "text", F.coalesce("conf", F.lit(0.0)).alias("conf"), "_found.type", "_found.score", "_goes.continues", "_goes.n", "_goes.m")
 
 
 def confidence(score: Column, read: Column, pages: Column) -> Column:
@@ -100,8 +105,25 @@ def first_text(rows: DataFrame, keys: list[str], limit: int = TEXT) -> DataFrame
 
 def range_texts(ranges: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """`keys` (case_id among them) and source_text of page ranges (keys, page_start, page_end), from pages (case_id, global_no, text)."""
-    spread = ranges.select(*keys, F.explode(F.sequence("page_start", "page_end")).alias("global_no"))
-    return first_text(spread.join(pages.select("case_id", "global_no", "text"), ["case_id", "global_no"]), keys)
+    slim = ranges.select(*keys, F.col("page_start").alias("_first"), F.col("page_end").alias("_last"))
+    return first_text(inside(slim, pages.select("case_id", "global_no", "text"), ["case_id"], "_first", "_last", "global_no"), keys)
+
+
+def titled(text: Column, kind: Column, rules: list[Rule]) -> Column:
+    """The title line that a page gives to a piece that begins on it, null where nothing is legible."""
+    return title_line(text, kind, rules)
+
+
+def finished(grouped: DataFrame) -> DataFrame:
+    """Proposals from pieces (case_id, doc_id, page_start, page_end, type, score, title, read_conf, source_text) with description, confidence, date and warnings."""
+    n = F.col("page_end") - F.col("page_start") + 1
+    named = F.coalesce("title", F.concat(F.lit("Pieza sin título legible (pág. "), F.col("page_start").cast("string"), F.lit(")")))
+    warn = lambda test, name: F.when(test, F.lit(name))
+    warnings = F.filter(F.array(warn(F.col("score") == 0, "sin_titulo"), warn(F.col("read_conf") < POOR, "ocr_pobre"), warn(n > LONG, "pieza_larga")), lambda x: x.isNotNull())
+    return grouped.select(
+        "case_id", "doc_id", "page_start", "page_end", "type", named.alias("description"), confidence(F.col("score"), F.col("read_conf"), n).alias("confidence"),
+        find_date(F.col("source_text")).alias("date"), "source_text", warnings.alias("warnings"),
+    )
 
 
 def propose(pages: DataFrame, rules: list[Rule], covered: DataFrame | None = None) -> DataFrame:
@@ -111,32 +133,46 @@ def propose(pages: DataFrame, rules: list[Rule], covered: DataFrame | None = Non
         left = left.join(covered.select("case_id", "global_no"), ["case_id", "global_no"], "left_anti")
     marked = cut(mark_pages(left, rules).drop("text"))
     keys = ["case_id", "doc_id", "global_no"]
-    placed = left.select(*keys, "text").join(marked.join(cuts(marked), keys), keys)
+    placed_ = left.select(*keys, "text").join(marked.join(cuts(marked), keys), keys)
     piece = ["case_id", "doc_id", "piece_no"]
     first = F.min_by(F.struct("type", "score", "text"), "global_no")
-    heads = placed.groupBy(*piece).agg(F.min("global_no").alias("page_start"), F.max("global_no").alias("page_end"), first.alias("_first"), F.min("conf").alias("read_conf"))
-    grouped = heads.join(first_text(placed, piece), piece)
-    n = F.col("page_end") - F.col("page_start") + 1
-    named = F.coalesce(title_line(F.col("_first.text"), F.col("_first.type"), rules), F.concat(F.lit("Pieza sin título legible (pág. "), F.col("page_start").cast("string"), F.lit(")")))
-    warn = lambda test, name: F.when(test, F.lit(name))
-    warnings = F.filter(F.array(warn(F.col("_first.score") == 0, "sin_titulo"), warn(F.col("read_conf") < POOR, "ocr_pobre"), warn(n > LONG, "pieza_larga")), lambda x: x.isNotNull())
-    return grouped.select(
-        "case_id", "doc_id", "page_start", "page_end", F.col("_first.type").alias("type"), named.alias("description"), confidence(F.col("_first.score"), F.col("read_conf"), n).alias("confidence"),
-        find_date(F.col("source_text")).alias("date"), "source_text", warnings.alias("warnings"),
-    )
+    heads = placed_.groupBy(*piece).agg(F.min("global_no").alias("page_start"), F.max("global_no").alias("page_end"), first.alias("_first"), F.min("conf").alias("read_conf"))
+    grouped = heads.join(first_text(placed_, piece), piece)
+    return finished(grouped.select("*", "_first.type", "_first.score", titled(F.col("_first.text"), F.col("_first.type"), rules).alias("title")))
 
 
 def coverage(pieces: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that a piece standing for its pages (`stands`) covers: those of its own document within its range, or of any for a piece without document."""
-    spread = pieces.where("stands AND page_start IS NOT NULL").select("case_id", F.col("doc_id").alias("_doc"), F.explode(F.sequence("page_start", F.coalesce("page_end", "page_start"))).alias("global_no"))
-    return pages.join(spread, ["case_id", "global_no"]).where("_doc IS NULL OR _doc = doc_id").select("case_id", "global_no").distinct()
+    ranges = pieces.where("stands").select("case_id", F.col("doc_id").alias("_doc"), F.col("page_start").alias("_first"), F.coalesce("page_end", "page_start").alias("_last"))
+    met = inside(ranges, pages.select("case_id", "global_no", "doc_id"), ["case_id"], "_first", "_last", "global_no")
+    return met.where("_doc IS NULL OR _doc = doc_id").select("case_id", "global_no").distinct()
 
 
 def accept(proposals: DataFrame, covered: DataFrame) -> DataFrame:
     """Proposals none of whose pages is covered; one that touches a covered page goes whole."""
-    spread = proposals.select("case_id", "page_start", F.explode(F.sequence("page_start", "page_end")).alias("global_no"))
-    bad = spread.join(covered, ["case_id", "global_no"], "left_semi").select("case_id", "page_start").distinct()
-    return proposals.join(bad, ["case_id", "page_start"], "left_anti")
+    ranges = proposals.select("case_id", F.col("page_start").alias("_first"), F.col("page_end").alias("_last"))
+    bad = inside(ranges, covered.select("case_id", "global_no").distinct(), ["case_id"], "_first", "_last", "global_no").select("case_id", "_first", "_last").distinct()
+    met = [proposals["case_id"] == bad["case_id"], proposals["page_start"] == bad["_first"], proposals["page_end"] == bad["_last"]]
+    return proposals.join(bad, met, "left_anti")
+
+
+def save(proposals: DataFrame, covered: DataFrame, pieces: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new pieces that proposals make, and what became of these in each case.
+
+    Pieces are the accepted proposals, pending and automatic, with the printed numbers of their ends and an
+    order that goes on, page by page, from the largest of the case. The report has case_id, `created`,
+    `existing` (automatic pieces that are active), `discarded`, and a `reason` where nothing is made though
+    there are pieces. Coverage and pieces are those at the time of saving, not of proposing.
+    """
+    good = cut(accept(proposals, covered))
+    top_order = pieces.groupBy("case_id").agg(F.max("order_out").alias("_top"))
+    rows = placed(good, ["case_id"], [F.col("page_start"), F.col("page_end")], "_nth").join(top_order, "case_id", "left")
+    made = labelled(rows.withColumn("order_out", F.coalesce("_top", F.lit(0)) + F.col("_nth")).drop("_top", "_nth"), pages).withColumns({"state": F.lit("pendiente"), "origin": F.lit("automatica"), "active": F.lit(True)})
+    count = lambda df, n: df.groupBy("case_id").agg(F.count("*").alias(n))
+    asked = count(proposals, "_all").join(count(good, "created"), "case_id", "left")
+    every = asked.join(count(pieces.where("origin = 'automatica' AND active"), "existing"), "case_id", "full").fillna(0)
+    reason = F.when((F.col("created") == 0) & (F.col("existing") > 0), COVERED)
+    return made, every.select("case_id", "created", "existing", (F.col("_all") - F.col("created")).alias("discarded"), reason.alias("reason"))
 
 
 def untouched(pieces: DataFrame, log: DataFrame, people: DataFrame, tags: DataFrame, settled_pairs: DataFrame) -> DataFrame:

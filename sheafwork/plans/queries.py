@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -250,9 +250,12 @@ def word_boxes(spark: SparkSession, d: str) -> DataFrame:
     return t.lineitem(spark, d).select(F.lit("k").alias("case_id"), F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("w"), "l_partkey").alias("text"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 10).alias("y1"), (F.col("l_discount") * 10).cast("double").alias("conf"))
 
 
-@query("w3_lines")
+@query("w3_lines", f"""WITH RECURSIVE w AS (SELECT l_orderkey AS page_id, concat('w', l_partkey) AS text, (l_partkey % 500)::DOUBLE AS x, ((l_suppkey * 37) % 800)::DOUBLE AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_suppkey * 37) % 800, l_partkey % 500, l_linenumber) AS i FROM lineitem),
+r AS (SELECT page_id, text, x, y, i, 0 AS line_no, y AS top FROM w WHERE i = 1
+  UNION ALL SELECT w.page_id, w.text, w.x, w.y, w.i, CASE WHEN abs(w.y - r.top) > 7 THEN r.line_no + 1 ELSE r.line_no END, CASE WHEN abs(w.y - r.top) > 7 THEN w.y ELSE r.top END FROM r JOIN w ON w.page_id = r.page_id AND w.i = r.i + 1)
+SELECT 'k' AS case_id, page_id, line_no, string_agg(text, ' ' ORDER BY x, i) AS text, min(x) AS x0, min(y) AS y0, max(x) + 40 AS x1, max(y) + 10 AS y1 FROM r WHERE line_no < {lines.HEADER_LINES} GROUP BY page_id, line_no""")
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.rebuild(word_boxes(spark, d), limit=None)
+    return lines.rebuild(word_boxes(spark, d))
 
 
 @query("p11_images_to_read", """WITH w AS (SELECT l_orderkey AS p, l_partkey % 500 + 20.0 AS cx, (l_suppkey * 37) % 800 + 5.0 AS cy FROM lineitem),
@@ -266,14 +269,27 @@ def images_to_read(spark: SparkSession, d: str) -> DataFrame:
     return lines.images_to_read(images, word_boxes(spark, d), pages).select("page_id", "needs_reading")
 
 
-@query("c13_merged_readings", """WITH w AS (SELECT l_orderkey AS p, l_linenumber AS k, l_partkey % 500 AS x, (l_suppkey * 37) % 800 AS y FROM lineitem), n AS (SELECT * FROM w WHERE k <= 3),
-e AS (SELECT r.p, count(*) AS extra FROM w r WHERE r.k > 2 AND NOT EXISTS (SELECT 1 FROM n WHERE n.p = r.p AND r.x + 20 BETWEEN n.x - 2 AND n.x + 42 AND r.y + 5 BETWEEN n.y - 2 AND n.y + 12) GROUP BY 1), c AS (SELECT p, count(*) AS native FROM n GROUP BY 1)
-SELECT p AS page_id, coalesce(native, 0) + coalesce(extra, 0) AS words FROM c FULL JOIN e USING (p)""")
-def merged_readings(spark: SparkSession, d: str) -> DataFrame:
+# native words are in the order of their numbers; a page keeps these where nothing is added
+_MERGE = """WITH w AS (SELECT l_orderkey AS p, l_linenumber AS k, concat('w', l_partkey) AS text, (l_partkey % 500)::DOUBLE AS x, ((l_suppkey * 37) % 800)::DOUBLE AS y, (l_discount * 10)::DOUBLE AS conf FROM lineitem), n AS (SELECT * FROM w WHERE k <= 3),
+e AS (SELECT * FROM w r WHERE k > 2 AND NOT EXISTS (SELECT 1 FROM n WHERE n.p = r.p AND r.x + 20 BETWEEN n.x - 2 AND n.x + 42 AND r.y + 5 BETWEEN n.y - 2 AND n.y + 12))"""
+
+
+def readings_merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     boxes = word_boxes(spark, d)
-    ink = boxes.select("case_id", "page_id", F.lit(0.0).alias("unread_ink")).distinct()
-    words, _ = lines.merge_readings(boxes.where("ord <= 3"), boxes.where("ord > 2"), ink)
-    return words.groupBy("page_id").agg(F.count("*").alias("words"))
+    ink = boxes.groupBy("case_id", "page_id").agg(F.lit(0.0).alias("_")).select("case_id", "page_id", F.when(F.col("page_id") % 11 == 0, 0.05).otherwise(0.0).alias("unread_ink"))
+    return lines.merge_readings(boxes.where("ord <= 3"), boxes.where("ord > 2"), ink)
+
+
+@query("c13_merged_readings", _MERGE + """, b AS (SELECT *, 'nativa' AS origin FROM n UNION ALL SELECT *, 'leida' FROM e), m AS (SELECT *, bool_or(origin = 'leida') OVER (PARTITION BY p) AS more, row_number() OVER (PARTITION BY p ORDER BY y, x, origin DESC, k) - 1 AS place FROM b)
+SELECT p AS page_id, text, origin, CASE WHEN more THEN place ELSE k END AS ord FROM m""")
+def merged_readings(spark: SparkSession, d: str) -> DataFrame:
+    return readings_merged(spark, d)[0].select("page_id", "text", "origin", F.col("ord").cast("long").alias("ord"))
+
+
+@query("c13_mixture_confidence", _MERGE + """, f AS (SELECT p, count(*) FILTER (k > 2) AS n FROM w GROUP BY 1), a AS (SELECT p, avg(conf) AS mean FROM e GROUP BY 1)
+SELECT p AS page_id, CAST(floor(CASE WHEN n = 0 OR p % 11 = 0 THEN 0.0 ELSE mean END * 1e6 + 0.5) AS BIGINT) AS conf_e6 FROM f LEFT JOIN a USING (p)""")
+def mixture_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return readings_merged(spark, d)[1].select("page_id", F.floor(F.col("conf") * 1e6 + 0.5).alias("conf_e6"))
 
 
 @query("c14_chosen_readings", """WITH r AS (SELECT l_orderkey AS p, l_linenumber - 1 AS pref, l_partkey % 101 AS c FROM lineitem), b AS (SELECT p, c FROM r WHERE pref = 0), f AS (SELECT r.p, min(pref) AS pref FROM r JOIN b USING (p) WHERE pref > 0 AND r.c > b.c + 12 GROUP BY 1)
@@ -295,29 +311,48 @@ def page_confidence(spark: SparkSession, d: str) -> DataFrame:
     return t.lineitem(spark, d).groupBy(F.col("l_orderkey").alias("page_id")).agg(e6(F.min("l_discount").cast("double")).alias("worst_e6"), e6(F.avg(F.col("l_discount").cast("double"))).alias("mean_e6"))
 
 
-@query("w8_discontinuous", sql("pieces numbered_pages", """WITH s AS (SELECT p.case_id, p.piece_id, n.global_no, n.num, n.num - lag(n.num) OVER w AS dn, n.global_no - lag(n.global_no) OVER w AS dp
-  FROM pieces p JOIN numbered_pages n ON n.case_id = p.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE n.num IS NOT NULL WINDOW w AS (PARTITION BY p.case_id, p.piece_id ORDER BY n.global_no)),
-f AS (SELECT case_id, piece_id, bool_or(coalesce(dn < 0 OR dn > dp, FALSE)) AS bad FROM s GROUP BY 1, 2) SELECT p.case_id, p.piece_id, coalesce(bad, FALSE) AS discontinuous FROM pieces p LEFT JOIN f USING (case_id, piece_id)"""))
+_BREAKS = """WITH steps AS (SELECT p.case_id, p.piece_id, n.num - lag(n.num) OVER w AS dn, n.global_no - lag(n.global_no) OVER w AS dp
+  FROM view p JOIN numbered_pages n ON n.case_id = p.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE n.num IS NOT NULL AND NOT (origin_start = 'manual' AND origin_end = 'manual') WINDOW w AS (PARTITION BY p.case_id, p.piece_id ORDER BY n.global_no)),
+disc AS (SELECT case_id, piece_id, bool_or(coalesce(dn < 0 OR dn > dp, FALSE)) AS bad FROM steps GROUP BY 1, 2)"""
+
+
+@query("w8_discontinuous", sql("view numbered_pages", _BREAKS + " SELECT p.case_id, p.piece_id, coalesce(bad, FALSE) AS discontinuous FROM view p LEFT JOIN disc USING (case_id, piece_id)"))
 def discontinuous(spark: SparkSession, d: str) -> DataFrame:
-    return numbering.discontinuous(t.raw_pieces(spark, d), t.numbered_pages(spark, d)).select("case_id", "piece_id", "discontinuous")
+    return numbering.discontinuous(view(spark, d), t.numbered_pages(spark, d)).select("case_id", "piece_id", "discontinuous")
 
 
-@query("g6_number_summary", sql("readings", RUNS + """, n AS (SELECT case_id, count(*) AS runs FROM runs GROUP BY 1), p AS (SELECT concat('k', o_orderkey // 1000) AS case_id, count(*) FILTER (o_orderkey % 7 <> 0) AS numbered,
-  count(*) FILTER (o_orderkey % 4 = 0) AS interpolated, count(*) FILTER (o_orderkey % 7 = 0) AS without FROM orders GROUP BY 1) SELECT case_id, numbered, interpolated, without, coalesce(runs, 0) AS runs FROM p LEFT JOIN n USING (case_id)"""))
+@query("g6_number_summary", sql("readings numbered_pages", RUNS + """, n AS (SELECT case_id, count(*) AS runs FROM runs GROUP BY 1), p AS (SELECT replace(case_id, 'e', 'k') AS case_id, count(*) AS pages, count(*) FILTER (origin = 'desconocida') AS unknown,
+  count(*) FILTER (origin = 'detectada') AS detected, count(*) FILTER (origin = 'confirmada') AS confirmed, count(*) FILTER (origin = 'manual') AS typed, count(*) FILTER (reading = 'interpolada') AS interpolated FROM numbered_pages GROUP BY 1)
+SELECT case_id, pages, unknown, detected, confirmed, typed, interpolated, coalesce(runs, 0) AS runs FROM p LEFT JOIN n USING (case_id)"""))
 def number_summary(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    pages = t.orders(spark, d).select(F.concat(F.lit("k"), F.floor(k / 1000).cast("string")).alias("case_id"), F.when(k % 7 != 0, k + 399).alias("num"), F.when(k % 4 == 0, "interpolada").otherwise("leida").alias("reading"))
+    pages = t.numbered_pages(spark, d).withColumn("case_id", F.replace("case_id", F.lit("e"), F.lit("k")))
     return numbering.summary(pages, numbering.runs(t.readings(spark, d)))
 
 
-@query("e11_typed_numbers", """WITH l AS (SELECT event_id AS seq, user_id AS p, event_id % 7 AS k, event_id % 3000 AS n FROM events),
-s AS (SELECT seq, p + i AS global_no, k = 0 AS typed, n FROM l, (SELECT unnest(range(3)) AS i) r),
-b AS (SELECT global_no, bool_or(typed) AS typed, max(seq) FILTER (typed) AS last_typed, max(seq) AS last FROM s GROUP BY 1)
-SELECT b.global_no, CASE WHEN b.typed THEN 'manual' ELSE 'confirmada' END AS origin, CASE WHEN b.typed AND s.n > 0 THEN s.n END AS num FROM b JOIN s ON s.global_no = b.global_no AND s.seq = coalesce(b.last_typed, b.last)""")
+def typing_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each order key, with detected, confirmed and unknown numbers."""
+    k = F.col("o_orderkey").cast("long")
+    origin = F.when(k % 5 == 0, "desconocida").when(k % 5 == 1, "confirmada").otherwise("detectada")
+    return t.orders(spark, d).select(F.lit("k").alias("case_id"), k.alias("global_no"), F.when(k % 5 != 0, k + 399).alias("num"), F.lit("").alias("suffix"), origin.alias("origin"), F.when(k % 5 != 0, "leida").alias("reading"), F.when(k % 5 != 0, 0.8).alias("conf"))
+
+
+def typing_log(spark: SparkSession, d: str) -> DataFrame:
+    """Typed numbers, blank ones and ones that are none, and confirmations of some pages up to a few thousand."""
+    e, u = F.col("event_id"), F.col("user_id")
+    typed = e % 7 < 4
+    label = F.when(e % 7 == 0, " ").when(e % 7 == 1, "abc").when(typed, F.concat(F.lit("fs. "), e % 3000, F.when(e % 7 == 3, " bis").otherwise("")))
+    first = u * 37 % 9000
+    return t.events(spark, d).select(e.alias("seq"), F.lit("k").alias("case_id"), first.alias("from_page"), F.when(typed, first).otherwise(first + e % 700).alias("to_page"), F.when(typed, "fijar").otherwise("confirmar").alias("kind"), label.alias("label"))
+
+
+@query("e11_typed_numbers", """WITH l AS (SELECT event_id AS seq, user_id * 37 % 9000 AS a, event_id % 7 AS k, event_id % 3000 AS n, event_id % 700 AS len FROM events),
+y AS (SELECT a AS g, arg_max(k, seq) AS k, arg_max(n, seq) AS n FROM l WHERE k IN (0, 2, 3) AND (k = 0 OR n > 0) GROUP BY 1),
+c AS (SELECT DISTINCT g FROM (SELECT unnest(range(a, a + len + 1)) AS g FROM l WHERE k > 3)), p AS (SELECT o_orderkey AS g, o_orderkey % 5 AS m FROM orders)
+SELECT g AS global_no, CASE WHEN y.k IS NOT NULL THEN CASE WHEN y.k > 0 THEN y.n END WHEN m <> 0 THEN g + 399 END AS num, CASE WHEN y.k = 3 THEN 'bis' ELSE '' END AS suffix,
+  CASE WHEN y.k = 0 THEN 'desconocida' WHEN y.k > 0 THEN 'manual' WHEN m = 0 THEN 'desconocida' WHEN m = 1 OR c.g IS NOT NULL THEN 'confirmada' ELSE 'detectada' END AS origin, CASE WHEN y.k IS NULL AND m <> 0 THEN 'leida' END AS reading,
+  CASE WHEN y.k = 0 THEN NULL WHEN y.k > 0 OR (m > 1 AND c.g IS NOT NULL) THEN 1.0::DOUBLE WHEN m <> 0 THEN 0.8::DOUBLE END AS conf FROM p LEFT JOIN y USING (g) LEFT JOIN c USING (g)""")
 def typed(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    log = t.events(spark, d).select(e.alias("seq"), F.lit("k").alias("case_id"), F.col("user_id").alias("from_page"), (F.col("user_id") + 2).alias("to_page"), F.when(e % 7 == 0, "fijar").otherwise("confirmar").alias("kind"), F.when(e % 7 == 0, (e % 3000).cast("string")).alias("label"))
-    return numbering.typed_numbers(log).select("global_no", "origin", "num")
+    return numbering.typed_numbers(typing_pages(spark, d), typing_log(spark, d)).drop("case_id")
 
 
 # --- headings and pieces ----------------------------------------------------------------------------
@@ -403,18 +438,39 @@ def title_lines(spark: SparkSession, d: str) -> DataFrame:
     return headed(spark, d, "doc_id", "text").select("doc_id", "text", F.col("_f.type").alias("_k")).select("doc_id", headings.title_line(F.col("text"), F.col("_k"), RULES).alias("title"))
 
 
-@query("u3_coverage", sql("pieces numbered_pages", "SELECT DISTINCT n.case_id, n.global_no FROM numbered_pages n JOIN pieces p ON p.case_id = n.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE p.active"))
+@query("u3_coverage", sql("pieces numbered_pages", "SELECT DISTINCT n.case_id, n.global_no FROM numbered_pages n JOIN pieces p ON p.case_id = n.case_id AND n.global_no BETWEEN p.page_start AND coalesce(p.page_end, p.page_start) WHERE p.active"))
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     pieces = t.raw_pieces(spark, d).select("case_id", F.lit(None).cast("long").alias("doc_id"), "page_start", "page_end", F.col("active").alias("stands"))
     return segmentation.coverage(pieces, t.numbered_pages(spark, d).select("case_id", "global_no", F.lit(0).cast("long").alias("doc_id")))
 
 
-@query("u4_accepted_proposals", sql("pieces", """WITH c AS (SELECT DISTINCT case_id, page_start AS g FROM pieces WHERE piece_id % 9 = 0)
-SELECT DISTINCT p.case_id, p.page_start, p.page_end FROM pieces p WHERE NOT EXISTS (SELECT 1 FROM pieces q, c WHERE q.case_id = p.case_id AND q.page_start = p.page_start AND c.case_id = p.case_id AND c.g BETWEEN q.page_start AND q.page_end)"""))
-def accepted(spark: SparkSession, d: str) -> DataFrame:
+_ACCEPTED = """WITH c AS (SELECT DISTINCT case_id, page_start AS g FROM pieces WHERE piece_id % 9 = 0), q AS (SELECT DISTINCT case_id, page_start, page_end FROM pieces WHERE page_end IS NOT NULL),
+good AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.case_id = q.case_id AND c.g BETWEEN q.page_start AND q.page_end))"""
+
+
+def offered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Page ranges as proposals, and covered pages."""
     pieces = t.raw_pieces(spark, d)
     covered = pieces.where("piece_id % 9 = 0").select("case_id", F.col("page_start").alias("global_no")).distinct()
-    return segmentation.accept(pieces.select("case_id", "page_start", "page_end").distinct(), covered)
+    return pieces.where("page_end IS NOT NULL").select("case_id", "page_start", "page_end").distinct(), covered
+
+
+@query("u4_accepted_proposals", sql("pieces", _ACCEPTED + " SELECT case_id, page_start, page_end FROM good"))
+def accepted(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.accept(*offered(spark, d))
+
+
+@query("c11_saved_pieces", sql("pieces numbered_pages", _ACCEPTED + """, m AS (SELECT case_id, max(order_out) AS top FROM pieces GROUP BY 1)
+SELECT g.case_id, g.page_start, g.page_end, coalesce(top, 0) + row_number() OVER (PARTITION BY g.case_id ORDER BY g.page_start, g.page_end) AS order_out, cast(a.num AS VARCHAR) AS number_start, cast(b.num AS VARCHAR) AS number_end, 'pendiente' AS state, 'automatica' AS origin, TRUE AS active
+FROM good g LEFT JOIN m USING (case_id) LEFT JOIN numbered_pages a ON a.case_id = g.case_id AND a.global_no = g.page_start LEFT JOIN numbered_pages b ON b.case_id = g.case_id AND b.global_no = g.page_end"""))
+def saved_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.save(*offered(spark, d), t.raw_pieces(spark, d), t.numbered_pages(spark, d))[0]
+
+
+@query("c11_save_report", sql("pieces", _ACCEPTED + """, a AS (SELECT case_id, count(*) AS n FROM q GROUP BY 1), k AS (SELECT case_id, count(*) AS created FROM good GROUP BY 1), x AS (SELECT case_id, count(*) AS existing FROM pieces WHERE origin = 'automatica' AND active GROUP BY 1)
+SELECT case_id, coalesce(created, 0) AS created, coalesce(existing, 0) AS existing, coalesce(n, 0) - coalesce(created, 0) AS discarded, CASE WHEN coalesce(created, 0) = 0 AND existing > 0 THEN 'todas las páginas leídas ya tienen una pieza que las cubre' END AS reason FROM a LEFT JOIN k USING (case_id) FULL JOIN x USING (case_id)"""))
+def save_report(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.save(*offered(spark, d), t.raw_pieces(spark, d), t.numbered_pages(spark, d))[1]
 
 
 # --- similarity and persons -------------------------------------------------------------------------
@@ -503,8 +559,8 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 def full_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces with state, group and final values."""
     pieces = decisions.states(t.raw_pieces(spark, d), t.log(spark, d))
-    grouped = pieces.join(decisions.groups_of(pieces, t.log(spark, d), t.groups(spark, d)), ["case_id", "piece_id"])
-    return grouped.join(decisions.finals(t.log(spark, d), tuple(f for f in decisions.FIELDS if f != "notes")), ["case_id", "piece_id"], "left")
+    grouped = pieces.withColumn("date", F.col("date_detected")).join(decisions.groups_of(pieces, t.log(spark, d), t.groups(spark, d)), ["case_id", "piece_id"])
+    return grouped.join(decisions.finals(t.log(spark, d), tuple(f for f in decisions.FIELDS if f not in ("notes", "date"))), ["case_id", "piece_id"], "left")
 
 
 def view(spark: SparkSession, d: str) -> DataFrame:
@@ -514,14 +570,21 @@ def view(spark: SparkSession, d: str) -> DataFrame:
     return checklist.effective(grouped, decisions.finals(log), t.numbered_pages(spark, d), t.groups(spark, d), links(spark, d), t.people(spark, d))
 
 
+def start_view(spark: SparkSession, d: str) -> DataFrame:
+    """The view before any decision."""
+    pieces = t.raw_pieces(spark, d).withColumns({"state": F.lit("pendiente"), "group_id": F.lit(None).cast("long")})
+    none = decisions.finals(t.log(spark, d).limit(0))
+    return checklist.effective(pieces, none, t.numbered_pages(spark, d), t.groups(spark, d), links(spark, d), t.people(spark, d))
+
+
 @query("e1_states", sql("raw_pieces last_state", "SELECT case_id, piece_id, coalesce(state, 'pendiente') AS state FROM raw_pieces LEFT JOIN last_state USING (case_id, piece_id)"))
 def states(spark: SparkSession, d: str) -> DataFrame:
     return decisions.states(t.raw_pieces(spark, d), t.log(spark, d)).select("case_id", "piece_id", "state")
 
 
-@query("e2_finals", sql("last_type", "SELECT * FROM last_type"))
+@query("e2_finals", sql("log", "SELECT case_id, piece_id, nullif(trim(arg_max(new, seq) FILTER (field = 'type_final')), '') AS type_final, nullif(trim(arg_max(new, seq) FILTER (field = 'number_start_final')), '') AS number_start_final, nullif(trim(arg_max(new, seq) FILTER (field = 'number_end_final')), '') AS number_end_final FROM log GROUP BY ALL HAVING count(*) FILTER (field IN ('type_final', 'number_start_final', 'number_end_final')) > 0"))
 def finals(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.finals(t.log(spark, d), ("type_final",)).select("case_id", "piece_id", "type_final")
+    return decisions.finals(t.log(spark, d)).select("case_id", "piece_id", "type_final", "number_start_final", "number_end_final")
 
 
 @query("e3_groups", sql("pieces", "SELECT case_id, piece_id, group_id FROM pieces"))
@@ -539,9 +602,10 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
     return links(spark, d).select("case_id", "piece_id", "person_id", "function")
 
 
-@query("e15_change_log", sql("log", "WITH o AS (SELECT *, lag(new) OVER (PARTITION BY case_id, piece_id, field ORDER BY seq) AS old FROM log) SELECT seq, case_id, piece_id, field, old, new FROM o WHERE old IS DISTINCT FROM new"))
+@query("e15_change_log", sql("log", "WITH o AS (SELECT *, lag(new) OVER (PARTITION BY case_id, piece_id, field ORDER BY seq) AS old FROM log) SELECT seq, case_id, piece_id, field, old, new, CASE WHEN seq % 9 = 0 THEN 'cambio en lote' END AS detail FROM o WHERE old IS DISTINCT FROM new"))
 def change_log(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.change_log(t.log(spark, d)).select("seq", "case_id", "piece_id", "field", "old", "new")
+    rows = t.log(spark, d).withColumn("batch", F.when(F.col("seq") % 9 == 0, F.floor(F.col("seq") / 90)))
+    return decisions.change_log(rows).select("seq", "case_id", "piece_id", "field", "old", "new", "detail")
 
 
 @query("e16_settings", sql("log", "SELECT case_id, field AS k, arg_max(new, seq) AS v FROM log GROUP BY ALL"))
@@ -561,46 +625,61 @@ def manual(spark: SparkSession, d: str) -> DataFrame:
     return decisions.manual_pieces(rows).select("request", "outcome")
 
 
-@query("e7_splits", sql("pieces", """WITH g AS (SELECT case_id, piece_id, page_start, page_end, description FROM pieces WHERE active AND state <> 'excluida' AND page_end > page_start)
-SELECT case_id, piece_id AS parent, 1 AS half, page_start, page_start AS page_end, concat(description, ' (1/2)') AS description FROM g UNION ALL SELECT case_id, piece_id, 2, page_start + 1, page_end, concat(description, ' (2/2)') FROM g"""))
+# pieces are cut before their second page or their third
+_CUT = """WITH bad AS (SELECT e.case_id, e.child FROM piece_edges e JOIN pieces p ON p.case_id = e.case_id AND p.piece_id = e.parent AND p.state = 'excluida'),
+g AS (SELECT *, page_start + 1 + piece_id % 2 AS second FROM pieces WHERE active AND state <> 'excluida' AND (case_id, piece_id) NOT IN (SELECT (case_id, child) FROM bad)),
+h AS (SELECT * EXCLUDE (page_start, page_end), half, CASE half WHEN 1 THEN page_start ELSE second END AS page_start, CASE half WHEN 1 THEN second - 1 ELSE page_end END AS page_end FROM (SELECT *, unnest([1, 2]) AS half FROM g WHERE second <= page_end))"""
+
+
+def cut_pieces(spark: SparkSession, d: str) -> DataFrame:
+    pieces = full_pieces(spark, d)
+    return decisions.split(pieces, pieces.select("case_id", "piece_id", (F.col("page_start") + 1 + F.col("piece_id") % 2).alias("page")), t.numbered_pages(spark, d), t.piece_edges(spark, d))[0]
+
+
+@query("e7_splits", sql("pieces piece_edges numbered_pages", _CUT + """ SELECT h.case_id, piece_id AS parent, half, page_start, page_end, doc_id, coalesce(type_final, type) AS type, trim(concat(description, ' ', CASE half WHEN 1 THEN '(primera parte)' ELSE '(segunda parte)' END)) AS description, date_detected AS date, confidence, order_out, group_id,
+  'pendiente' AS state, 'division' AS origin, 0 AS n_warnings, cast(a.num AS VARCHAR) AS number_start, cast(b.num AS VARCHAR) AS number_end FROM h LEFT JOIN numbered_pages a ON a.case_id = h.case_id AND a.global_no = page_start LEFT JOIN numbered_pages b ON b.case_id = h.case_id AND b.global_no = page_end"""))
 def splits(spark: SparkSession, d: str) -> DataFrame:
+    return cut_pieces(spark, d).withColumn("n_warnings", F.size("warnings")).drop("warnings", "notes")
+
+
+_MERGED = """WITH bad AS (SELECT e.case_id, e.child FROM piece_edges e JOIN pieces p ON p.case_id = e.case_id AND p.piece_id = e.parent AND p.state = 'excluida'),
+q AS (SELECT *, coalesce(type_final, type) AS kind, coalesce(page_end, page_start) AS last, piece_id // 20 AS union_id, active AND state <> 'excluida' AND (case_id, piece_id) NOT IN (SELECT (case_id, child) FROM bad) AS ok, page_start * 1000000 + piece_id AS o FROM pieces),
+u AS (SELECT case_id, union_id, count(*) AS parts, min(page_start) AS page_start, max(last) AS page_end, arg_min(doc_id, o) AS doc_id, arg_min(kind, o) AS type, arg_min(description, o) AS description, arg_min_null(group_id, o) AS group_id, arg_min(order_out, o) AS order_out, arg_min(date_detected, o) AS date, min(confidence) AS confidence,
+  CASE WHEN count(DISTINCT kind) > 1 THEN 'union_de_tipos_distintos' ELSE '' END AS warnings FROM q GROUP BY 1, 2 HAVING count(*) >= 2 AND bool_and(ok))"""
+
+
+def merged_pieces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces, parts of every twenty ids of a case, and what they merge to."""
     pieces = full_pieces(spark, d)
-    halves, _ = decisions.split(pieces, pieces.select("case_id", "piece_id", (F.col("page_start") + 1).alias("page")))
-    return halves.select("case_id", "parent", "half", "page_start", "page_end", "description")
+    parts = pieces.select("case_id", F.floor(F.col("piece_id") / 20).alias("union_id"), "piece_id")
+    return pieces, parts, decisions.union(pieces, parts, t.numbered_pages(spark, d), t.piece_edges(spark, d))
 
 
-@query("e8_unions", sql("pieces", """SELECT case_id, piece_id // 20 AS union_id, count(*) AS parts, min(page_start) AS page_start, max(page_end) AS page_end, arg_min(type, page_start * 1000000 + piece_id) AS type, min(confidence) AS confidence, count(DISTINCT type) > 1 AS mixed
-FROM pieces GROUP BY 1, 2 HAVING count(*) >= 2 AND bool_and(active AND state <> 'excluida')"""))
+@query("e8_unions", sql("pieces piece_edges numbered_pages", _MERGED + """ SELECT u.*, 'pendiente' AS state, 'union' AS origin, cast(a.num AS VARCHAR) AS number_start, cast(b.num AS VARCHAR) AS number_end
+FROM u LEFT JOIN numbered_pages a ON a.case_id = u.case_id AND a.global_no = page_start LEFT JOIN numbered_pages b ON b.case_id = u.case_id AND b.global_no = page_end"""))
 def unions(spark: SparkSession, d: str) -> DataFrame:
-    pieces = full_pieces(spark, d).withColumn("date", F.col("date_detected"))
-    out = decisions.union(pieces, pieces.select("case_id", F.floor(F.col("piece_id") / 20).alias("union_id"), "piece_id"))
-    return out.select("case_id", "union_id", "parts", "page_start", "page_end", "type", "confidence", (F.size("warnings") > 0).alias("mixed"))
+    return merged_pieces(spark, d)[2].withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("e8_union_texts", sql("pieces piece_edges numbered_pages", _MERGED + " SELECT u.case_id, union_id, left(string_agg(n.text, ' ' ORDER BY n.global_no), 1200) AS source_text FROM u JOIN numbered_pages n ON n.case_id = u.case_id AND n.global_no BETWEEN page_start AND page_end GROUP BY 1, 2"))
+def union_texts(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.range_texts(merged_pieces(spark, d)[2], t.numbered_pages(spark, d), ["case_id", "union_id"])
 
 
-@query("e7_split_persons", sql("pieces link_log intro", """WITH g AS (SELECT case_id, piece_id FROM pieces WHERE active AND state <> 'excluida' AND page_end > page_start),
-k AS (SELECT case_id, piece_id, person_id, 'introductor' AS function FROM intro UNION ALL SELECT case_id, piece_id, person_id, function FROM link_log WHERE function <> 'introductor' GROUP BY ALL HAVING arg_max(op, seq) = 'add')
-SELECT case_id, piece_id AS parent, h.half, person_id, function FROM g JOIN k USING (case_id, piece_id), (SELECT unnest([1, 2]) AS half) h"""))
+@query("e7_split_persons", sql("pieces piece_edges link_log intro", _CUT + """, k AS (SELECT case_id, piece_id, person_id, 'introductor' AS function FROM intro UNION ALL SELECT case_id, piece_id, person_id, function FROM link_log WHERE function <> 'introductor' GROUP BY ALL HAVING arg_max(op, seq) = 'add')
+SELECT case_id, piece_id AS parent, half, person_id, function FROM h JOIN k USING (case_id, piece_id)"""))
 def split_persons(spark: SparkSession, d: str) -> DataFrame:
-    pieces = full_pieces(spark, d)
-    halves, _ = decisions.split(pieces, pieces.select("case_id", "piece_id", (F.col("page_start") + 1).alias("page")))
-    return decisions.inherited_links(links(spark, d), halves.select("case_id", "parent", "half", F.col("parent").alias("from_id")), "from_id").select("case_id", "parent", "half", "person_id", "function")
+    return decisions.inherited_links(links(spark, d), cut_pieces(spark, d).select("case_id", "parent", "half", F.col("parent").alias("from_id")), "from_id").select("case_id", "parent", "half", "person_id", "function")
 
 
-@query("e7_split_texts", sql("pieces numbered_pages", """WITH g AS (SELECT case_id, piece_id, page_start, page_end FROM pieces WHERE active AND state <> 'excluida' AND page_end > page_start),
-h AS (SELECT case_id, piece_id AS parent, 1 AS half, page_start AS a, page_start AS b FROM g UNION ALL SELECT case_id, piece_id, 2, page_start + 1, page_end FROM g)
-SELECT h.case_id, parent, half, left(string_agg(n.text, ' ' ORDER BY n.global_no), 1200) AS source_text FROM h JOIN numbered_pages n ON n.case_id = h.case_id AND n.global_no BETWEEN a AND b GROUP BY 1, 2, 3"""))
+@query("e7_split_texts", sql("pieces piece_edges numbered_pages", _CUT + " SELECT h.case_id, piece_id AS parent, half, left(string_agg(n.text, ' ' ORDER BY n.global_no), 1200) AS source_text FROM h JOIN numbered_pages n ON n.case_id = h.case_id AND n.global_no BETWEEN page_start AND page_end GROUP BY 1, 2, 3"))
 def split_texts(spark: SparkSession, d: str) -> DataFrame:
-    pieces = full_pieces(spark, d)
-    halves, _ = decisions.split(pieces, pieces.select("case_id", "piece_id", (F.col("page_start") + 1).alias("page")))
-    return segmentation.range_texts(halves, t.numbered_pages(spark, d), ["case_id", "parent", "half"])
+    return segmentation.range_texts(cut_pieces(spark, d), t.numbered_pages(spark, d), ["case_id", "parent", "half"])
 
 
-@query("e8_union_parts", sql("pieces", """WITH g AS (SELECT case_id, piece_id // 20 AS union_id FROM pieces GROUP BY 1, 2 HAVING count(*) >= 2 AND bool_and(active AND state <> 'excluida'))
-SELECT case_id, piece_id // 20 AS union_id, piece_id, row_number() OVER (PARTITION BY case_id, piece_id // 20 ORDER BY page_start, piece_id) - 1 AS part_no FROM pieces JOIN g ON g.case_id = pieces.case_id AND g.union_id = piece_id // 20""".replace("SELECT case_id, piece_id // 20 AS union_id, piece_id", "SELECT pieces.case_id, piece_id // 20 AS union_id, piece_id").replace("PARTITION BY case_id", "PARTITION BY pieces.case_id")))
+@query("e8_union_parts", sql("pieces piece_edges", _MERGED + " SELECT q.case_id, q.union_id, piece_id, row_number() OVER (PARTITION BY q.case_id, q.union_id ORDER BY q.page_start, piece_id) - 1 AS part_no FROM q JOIN u USING (case_id, union_id)"))
 def union_parts(spark: SparkSession, d: str) -> DataFrame:
-    pieces = full_pieces(spark, d).withColumn("date", F.col("date_detected"))
-    parts = pieces.select("case_id", F.floor(F.col("piece_id") / 20).alias("union_id"), "piece_id")
-    return decisions.union_edges(pieces, parts, decisions.union(pieces, parts))
+    return decisions.union_edges(*merged_pieces(spark, d))
 
 
 @query("g8_next_ordinals", sql("log raw_pieces", """WITH m AS (SELECT seq, case_id, cast(new AS BIGINT) AS group_id, piece_id FROM log WHERE field = 'group_id'), x AS (SELECT case_id, piece_id % 6 AS group_id, max(order_in_group) AS top FROM raw_pieces GROUP BY 1, 2)
@@ -636,7 +715,7 @@ def included(spark: SparkSession, d: str) -> DataFrame:
 
 _FILTER_SQL = {
     "todas": "TRUE", "incluidas": "state = 'incluida'", "excluidas": "state = 'excluida'", "pendientes": "state = 'pendiente'", "sin_testigo": "introducer_id IS NULL", "sin_foja": "number_start IS NULL",
-    "foja_sin_confirmar": "number_start IS NOT NULL AND NOT firm", "foja_interpolada": "interpolated", "baja_confianza": "confidence < 0.55", "modificadas": "modified", "manuales": "origin = 'manual'",
+    "foja_sin_confirmar": "NOT firm", "foja_interpolada": "interpolated", "baja_confianza": "confidence < 0.55", "modificadas": "modified", "manuales": "origin = 'manual'",
     "duplicados": "EXISTS (SELECT 1 FROM pairs x WHERE x.case_id = view.case_id AND view.piece_id IN (x.a, x.b))",
 }
 
@@ -649,25 +728,25 @@ def filters(spark: SparkSession, d: str) -> DataFrame:
     return plain.unionByName(checklist.filtered(rows, "duplicados", pairs).select(F.lit("duplicados").alias("filter"), "case_id", "piece_id"))
 
 
-@query("p4_narrowed", sql("view", "SELECT case_id, piece_id FROM view WHERE group_id IS NULL AND type = 'en' AND (contains(lower(description), 'th') OR contains(lower(source_text), 'th') OR contains(lower(introducer), 'th'))"))
+@query("p4_narrowed", sql("view", "SELECT case_id, piece_id FROM view WHERE active AND group_id IS NULL AND type = 'en' AND (contains(lower(description), 'th') OR contains(lower(source_text), 'th') OR contains(lower(introducer), 'th'))"))
 def narrowed(spark: SparkSession, d: str) -> DataFrame:
     return checklist.narrowed(view(spark, d), group=0, kind="en", text="TH").select("case_id", "piece_id")
 
 
-@query("p5_covering", sql("view numbered_pages", "SELECT n.case_id, n.global_no AS page, v.piece_id FROM numbered_pages n JOIN view v ON v.case_id = n.case_id AND n.global_no BETWEEN v.page_start AND v.page_end WHERE v.active"))
+@query("p5_covering", sql("view numbered_pages", "SELECT n.case_id, n.global_no AS page, v.piece_id FROM numbered_pages n JOIN view v ON v.case_id = n.case_id AND n.global_no BETWEEN v.page_start AND coalesce(v.page_end, v.page_start) WHERE v.active"))
 def covering(spark: SparkSession, d: str) -> DataFrame:
     return checklist.covering(t.raw_pieces(spark, d), t.numbered_pages(spark, d).select("case_id", F.col("global_no").alias("page")))
 
 
-@query("p7_warnings", sql("view", """SELECT case_id, piece_id, page_end - page_start + 1 AS n_pages, array_to_string(list_filter([CASE WHEN number_start IS NOT NULL AND NOT firm THEN 'foja_sin_confirmar' END, CASE WHEN interpolated THEN 'foja_interpolada' END,
+@query("p7_warnings", sql("view", """SELECT case_id, piece_id, coalesce(page_end, page_start) - page_start + 1 AS n_pages, array_to_string(list_filter([CASE WHEN number_start IS NOT NULL AND NOT firm THEN 'foja_sin_confirmar' END, CASE WHEN interpolated THEN 'foja_interpolada' END,
   CASE WHEN number_start IS NULL THEN 'sin_foja' END, CASE WHEN number_start IS NOT NULL AND number_end IS NULL AND page_end > page_start THEN 'sin_foja_final' END], lambda x: x IS NOT NULL), ',') AS warnings FROM view"""))
 def warnings(spark: SparkSession, d: str) -> DataFrame:
     return checklist.warnings(view(spark, d)).select("case_id", "piece_id", "n_pages", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("p9_page_list", sql("numbered_pages", "SELECT case_id, global_no, text IS NOT NULL AS read FROM numbered_pages WHERE global_no >= 7 ORDER BY global_no, case_id LIMIT 500"))
+@query("p9_page_list", sql("numbered_pages", "SELECT case_id, global_no, text IS NOT NULL AS read FROM numbered_pages WHERE global_no >= 7 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY global_no) <= 90"))
 def page_list(spark: SparkSession, d: str) -> DataFrame:
-    return checklist.page_list(t.numbered_pages(spark, d), 7)
+    return checklist.page_list(t.numbered_pages(spark, d), 7, 90)
 
 
 _ORDER_SQL = {n: ", ".join(f"{c} ASC NULLS LAST" for c in cs) + ", piece_id" for n, cs in checklist.ORDERS.items()}
@@ -682,15 +761,15 @@ def all_orders(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("o2_page_of_list", sql("view", f"SELECT case_id, piece_id FROM view WHERE active ORDER BY {_ORDER_SQL['cronologico']} LIMIT 200 OFFSET 40"))
+@query("o2_page_of_list", sql("view", f"SELECT case_id, piece_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY case_id) AS total FROM view WHERE active WINDOW w AS (PARTITION BY case_id ORDER BY {_ORDER_SQL['cronologico']}) QUALIFY place BETWEEN 41 AND 100"))
 def page_of_list(spark: SparkSession, d: str) -> DataFrame:
-    return checklist.page_of(checklist.filtered(view(spark, d), "todas"), "cronologico", 40, 200).select("case_id", "piece_id")
+    return checklist.page_of(checklist.filtered(view(spark, d), "todas"), "cronologico", 40, 60).select("case_id", "piece_id", F.col("place").cast("long").alias("place"), "total")
 
 
-@query("o3_missing_ids", sql("view", f"SELECT case_id, piece_id FROM (SELECT case_id, piece_id, row_number() OVER (ORDER BY {_ORDER_SQL['manual']}) AS n FROM view) WHERE n > 300"))
+@query("o3_missing_ids", sql("view", f"SELECT case_id, piece_id FROM view QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {_ORDER_SQL['manual']}) > 70"))
 def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d)
-    return checklist.missing(rows, checklist.page_of(rows, "manual", 0, 300))
+    return checklist.missing(rows, checklist.page_of(rows, "manual", 0, 70))
 
 
 @query("o5_reorder", sql("raw_pieces", """WITH w AS (SELECT case_id, list(piece_id ORDER BY piece_id) AS ids FROM raw_pieces GROUP BY 1), p AS (SELECT case_id, unnest(ids) AS piece_id, unnest(range(1, len(ids) + 1)) AS new FROM w)
@@ -700,7 +779,10 @@ def reorder(spark: SparkSession, d: str) -> DataFrame:
     return checklist.reorder(rows, rows.groupBy("case_id").agg(F.array_sort(F.collect_list("piece_id")).alias("ids")))
 
 
-@query("g1_counters", sql("view", f"SELECT case_id, count(*) FILTER (active) AS total, {', '.join(f'count(*) FILTER (active AND ({c})) AS {n}' for n, c in _FILTER_SQL.items() if n not in ('todas', 'duplicados'))} FROM view GROUP BY case_id"))
+_COUNTS = {n: _FILTER_SQL[n] for n in ("incluidas", "excluidas", "pendientes", "sin_testigo", "sin_foja", "foja_sin_confirmar", "foja_interpolada", "baja_confianza", "modificadas")} | {"incluidas_sin_testigo": "state = 'incluida' AND introducer_id IS NULL", "incluidas_sin_foja_firme": "state = 'incluida' AND NOT firm"}
+
+
+@query("g1_counters", sql("view", f"SELECT case_id, count(*) FILTER (active) AS detectadas, {', '.join(f'count(*) FILTER (active AND ({c})) AS {n}' for n, c in _COUNTS.items())} FROM view GROUP BY case_id"))
 def counters(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d)
     return checklist.counters(rows.select("case_id").distinct(), rows)
@@ -730,10 +812,13 @@ def by_introducer(spark: SparkSession, d: str) -> DataFrame:
     return out.select("case_id", "person_id", F.size("pieces").cast("long").alias("n"), F.array_join(F.col("pieces").cast("array<string>"), ",").alias("pieces"))
 
 
-@query("w13_page_strip", sql("view", """WITH s AS (SELECT case_id, unnest(range(page_start, page_end + 1)) AS page, CASE state WHEN 'incluida' THEN 2 WHEN 'pendiente' THEN 1 ELSE 0 END AS r FROM view WHERE active), e AS (SELECT case_id, greatest(1, cast(ceil(max(page_end) / 300.0) AS BIGINT)) AS w FROM view WHERE active GROUP BY 1)
-SELECT case_id, (page - 1) // w AS mark, ['excluida', 'pendiente', 'incluida'][max(r) + 1] AS state FROM s JOIN e USING (case_id) GROUP BY 1, 2"""))
+@query("w13_page_strip", sql("view numbered_pages", """WITH e AS (SELECT case_id, max(global_no) AS n FROM numbered_pages GROUP BY 1), s AS (SELECT v.case_id, unnest(range(page_start, coalesce(page_end, page_start) + 1)) AS page, state, order_out, page_start, piece_id FROM view v WHERE active),
+p AS (SELECT case_id, page, CASE WHEN bool_or(state = 'incluida') THEN 'incluida' ELSE last(state ORDER BY order_out NULLS LAST, page_start NULLS LAST, piece_id) END AS state FROM s GROUP BY 1, 2),
+m AS (SELECT case_id, (page - 1) // greatest(1, cast(ceil(n / 40.0) AS BIGINT)) AS mark, max(CASE state WHEN 'incluida' THEN 3 WHEN 'pendiente' THEN 2 ELSE 1 END) AS r FROM p JOIN e USING (case_id) WHERE page <= n GROUP BY 1, 2)
+SELECT case_id, mark, ['excluida', 'pendiente', 'incluida'][r] AS state FROM m"""))
 def page_strip(spark: SparkSession, d: str) -> DataFrame:
-    return checklist.page_strip(decisions.states(t.raw_pieces(spark, d), t.log(spark, d)))
+    pieces = decisions.states(t.raw_pieces(spark, d), t.log(spark, d))
+    return checklist.page_strip(pieces, t.numbered_pages(spark, d), marks=40)
 
 
 # --- lineage ----------------------------------------------------------------------------------------
@@ -758,10 +843,10 @@ def tainted(spark: SparkSession, d: str) -> DataFrame:
     return lineage.tainted(t.edges(spark, d), t.order_pieces(spark, d)).select("piece_id")
 
 
-@query("l3_active_descendants", sql("edges order_pieces", UP + " SELECT node AS root, root AS node FROM up JOIN order_pieces p ON p.piece_id = up.root WHERE p.active AND up.node % 10 = 0", recursive=True))
+@query("l3_active_descendants", sql("edges order_pieces", UP + " SELECT node AS root, root AS node FROM up JOIN order_pieces p ON p.piece_id = up.root WHERE p.active", recursive=True))
 def active_descendants(spark: SparkSession, d: str) -> DataFrame:
     pieces = t.order_pieces(spark, d)
-    return lineage.active_descendants(t.edges(spark, d), pieces, pieces.where("piece_id % 10 = 0").select("case_id", F.col("piece_id").alias("root"))).select("root", "node")
+    return lineage.active_descendants(t.edges(spark, d), pieces, pieces.select("case_id", F.col("piece_id").alias("root"))).select("root", "node")
 
 
 MADE_UP = "WITH up AS (SELECT child AS root, parent AS node FROM made_edges UNION ALL SELECT up.root, e.parent FROM up JOIN made_edges e ON e.child = up.node)"
@@ -798,36 +883,43 @@ def may_restore(spark: SparkSession, d: str) -> DataFrame:
     return decisions.may_restore(t.made_edges(spark, d), t.made_pieces(spark, d), t.made_log(spark, d)).select("piece_id", "allowed")
 
 
-@query("e1_batches", sql("edges order_pieces", UP + """, bad AS (SELECT DISTINCT root FROM up JOIN order_pieces p ON p.piece_id = up.node WHERE p.state = 'excluida'), m AS (SELECT p.*, p.piece_id // 20 AS batch, b.root IS NOT NULL AS bad FROM order_pieces p LEFT JOIN bad b ON b.root = p.piece_id),
-r AS (SELECT batch, bool_or(bad) AS refused FROM m GROUP BY 1) SELECT piece_id, CASE WHEN refused THEN CASE WHEN bad THEN 'procedencia_excluida' ELSE 'lote_rechazado' END WHEN NOT active THEN 'inactiva' WHEN state = 'incluida' THEN 'sin_cambio' ELSE 'aceptada' END AS outcome FROM m JOIN r USING (batch)""", recursive=True))
+# states asked for: some are none
+_ASKED = "CASE WHEN piece_id % 13 = 0 THEN 'bogus' WHEN piece_id % 4 = 1 THEN 'excluida' ELSE 'incluida' END"
+
+
+def asked(key: Column) -> Column:
+    return F.when(key % 13 == 0, "bogus").when(key % 4 == 1, "excluida").otherwise("incluida")
+
+
+@query("e1_batches", sql("edges order_pieces", UP + f""", bad AS (SELECT DISTINCT root FROM up JOIN order_pieces p ON p.piece_id = up.node WHERE p.state = 'excluida'), m AS (SELECT p.*, {_ASKED} AS new, p.piece_id // 3 AS batch, b.root IS NOT NULL AND {_ASKED} = 'incluida' AS bad FROM order_pieces p LEFT JOIN bad b ON b.root = p.piece_id),
+r AS (SELECT batch, bool_or(bad) AS refused FROM m GROUP BY 1) SELECT piece_id, CASE WHEN refused THEN CASE WHEN bad THEN 'procedencia_excluida' ELSE 'lote_rechazado' END WHEN new = 'bogus' THEN 'estado_desconocido' WHEN NOT active THEN 'inactiva' WHEN state = new THEN 'sin_cambio' ELSE 'aceptada' END AS outcome FROM m JOIN r USING (batch)""", recursive=True))
 def batches(spark: SparkSession, d: str) -> DataFrame:
     pieces = t.order_pieces(spark, d)
-    return decisions.validate(pieces.select("case_id", "piece_id", F.floor(F.col("piece_id") / 20).alias("batch"), F.lit("incluida").alias("new")), pieces, t.edges(spark, d)).select("piece_id", "outcome")
+    return decisions.validate(pieces.select("case_id", "piece_id", F.floor(F.col("piece_id") / 3).alias("batch"), asked(F.col("piece_id")).alias("new")), pieces, t.edges(spark, d)).select("piece_id", "outcome")
 
 
-@query("e2_editable", sql("log", "SELECT seq FROM log WHERE field <> 'type_final' OR new IN ('', 'fr', 'en')"))
+@query("e2_editable", sql("log raw_pieces", "SELECT seq FROM log JOIN raw_pieces USING (case_id, piece_id) WHERE active AND (field <> 'type_final' OR new IN ('', 'fr', 'en'))"))
 def editable(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.editable(t.log(spark, d), ("fr", "en")).select("seq")
+    return decisions.editable(t.log(spark, d), ("fr", "en"), t.raw_pieces(spark, d)).select("seq")
 
 
-@query("e1_validated", sql("edges order_pieces", UP + """, bad AS (SELECT DISTINCT root FROM up JOIN order_pieces p ON p.piece_id = up.node WHERE p.state = 'excluida')
-SELECT p.piece_id, CASE WHEN NOT p.active THEN 'inactiva' WHEN p.state = 'incluida' THEN 'sin_cambio' WHEN b.root IS NOT NULL THEN 'procedencia_excluida' ELSE 'aceptada' END AS outcome FROM order_pieces p LEFT JOIN bad b ON b.root = p.piece_id""", recursive=True))
+@query("e1_validated", sql("edges order_pieces", UP + f""", bad AS (SELECT DISTINCT root FROM up JOIN order_pieces p ON p.piece_id = up.node WHERE p.state = 'excluida'), m AS (SELECT *, {_ASKED} AS new FROM order_pieces)
+SELECT p.piece_id, CASE WHEN new = 'bogus' THEN 'estado_desconocido' WHEN NOT p.active THEN 'inactiva' WHEN b.root IS NOT NULL AND new = 'incluida' THEN 'procedencia_excluida' WHEN p.state = new THEN 'sin_cambio' ELSE 'aceptada' END AS outcome FROM m p LEFT JOIN bad b ON b.root = p.piece_id""", recursive=True))
 def validated(spark: SparkSession, d: str) -> DataFrame:
     pieces = t.order_pieces(spark, d)
-    return decisions.validate(pieces.select("case_id", "piece_id", F.lit("incluida").alias("new")), pieces, t.edges(spark, d)).select("piece_id", "outcome")
+    return decisions.validate(pieces.select("case_id", "piece_id", asked(F.col("piece_id")).alias("new")), pieces, t.edges(spark, d)).select("piece_id", "outcome")
 
 
 # --- reports ----------------------------------------------------------------------------------------
 
 
 def report_view(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d)
+    rows = cut(view(spark, d))
     marked = numbering.discontinuous(rows, t.numbered_pages(spark, d)).withColumn("process_type", F.when(F.col("case_id") == "e0", "abreviado").otherwise("remision"))
     return cut(headings.with_labels(marked, RULES).withColumn("group_heading", F.lit(None).cast("string")))
 
 
-DISC = """disc AS (SELECT case_id, piece_id, bool_or(coalesce(dn < 0 OR dn > dp, FALSE)) AS bad FROM (SELECT p.case_id, p.piece_id, n.num - lag(n.num) OVER w AS dn, n.global_no - lag(n.global_no) OVER w AS dp
-  FROM pieces p JOIN numbered_pages n ON n.case_id = p.case_id AND n.global_no BETWEEN p.page_start AND p.page_end WHERE n.num IS NOT NULL WINDOW w AS (PARTITION BY p.case_id, p.piece_id ORDER BY n.global_no)) GROUP BY 1, 2),
+DISC = _BREAKS.removeprefix("WITH ") + """,
 rv AS (SELECT v.*, coalesce(bad, FALSE) AS discontinuous, CASE WHEN v.case_id = 'e0' THEN 'abreviado' ELSE 'remision' END AS process_type FROM view v LEFT JOIN disc USING (case_id, piece_id))"""
 
 
@@ -914,7 +1006,7 @@ def read_report(spark: SparkSession, d: str) -> DataFrame:
     return report.read(saved_report(spark, d), decisions.states(t.raw_pieces(spark, d), t.log(spark, d))).select("case_id", "piece_id", "is_edited", "state")
 
 
-@query("e12_paragraph_edits", sql("log", "SELECT case_id, piece_id AS ord, nullif(arg_max(new, seq), '') AS edited FROM log GROUP BY 1, 2"))
+@query("e12_paragraph_edits", sql("log", "SELECT case_id, piece_id AS ord, nullif(trim(arg_max(new, seq)), '') AS edited FROM log GROUP BY 1, 2"))
 def paragraph_edits(spark: SparkSession, d: str) -> DataFrame:
     log = t.log(spark, d).withColumnRenamed("piece_id", "ord")
     return report.last_edits(log.select("case_id", "ord").distinct(), log).select("case_id", "ord", "edited")
@@ -928,17 +1020,20 @@ lines AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY place
 
 
 def grouped_report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A report by groups, and the titles of its cases."""
+    """A report by groups, and its cases; one of them has no title."""
     rows = report.assemble(report_view(spark, d), "grupos")
-    return rows, rows.select("case_id", F.concat(F.lit("LISTADO "), "case_id").alias("title")).distinct()
+    return rows, rows.select("case_id", F.concat(F.lit("N/"), "case_id").alias("file_no"), F.when(F.col("case_id") != "e2", F.concat(F.lit("Causa "), "case_id")).alias("title")).distinct()
+
 
+_HEAD = "concat('Legajo N/', case_id, CASE WHEN case_id <> 'e2' THEN concat(' — Causa ', case_id) ELSE '' END)"
 
-@query("s7_report_texts", sql("view numbered_pages", f"WITH {REPORT_LINES} SELECT case_id, concat('LISTADO ', case_id, chr(10), chr(10), string_agg(line, chr(10) ORDER BY ord), chr(10)) AS text FROM lines GROUP BY case_id"))
+
+@query("s7_report_texts", sql("view numbered_pages", f"WITH {REPORT_LINES} SELECT case_id, concat({_HEAD}, chr(10), 'PRUEBA OFRECIDA', chr(10), chr(10), string_agg(line, chr(10) ORDER BY ord), chr(10)) AS text FROM lines GROUP BY case_id"))
 def report_texts(spark: SparkSession, d: str) -> DataFrame:
     return report.text_of(*grouped_report(spark, d))
 
 
-@query("s7_report_lines", sql("view numbered_pages", f"WITH {REPORT_LINES} SELECT case_id, ord, line FROM lines UNION ALL SELECT DISTINCT case_id, 0, concat('LISTADO ', case_id, chr(10)) FROM lines"))
+@query("s7_report_lines", sql("view numbered_pages", f"WITH {REPORT_LINES} SELECT case_id, ord, line FROM lines UNION ALL SELECT DISTINCT case_id, 0, concat('PRUEBA OFRECIDA', chr(10)) FROM lines UNION ALL SELECT DISTINCT case_id, -1, {_HEAD} FROM lines"))
 def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return report.lines_of(*grouped_report(spark, d))
 
@@ -950,14 +1045,20 @@ def backups(spark: SparkSession, d: str) -> DataFrame:
     return report.backup(pieces.select("case_id").distinct(), docs, pieces, t.log(spark, d))
 
 
-@query("s8_backup_records", sql("pieces log numbered_pages groups people", """SELECT case_id, 'evidencias' AS part, count(*) AS n FROM pieces WHERE active GROUP BY 1 UNION ALL SELECT case_id, 'revisiones', count(*) FROM log GROUP BY 1 UNION ALL SELECT case_id, 'fojas', count(*) FROM numbered_pages GROUP BY 1
-UNION ALL SELECT case_id, 'grupos', count(*) FROM groups GROUP BY 1 UNION ALL SELECT case_id, 'personas', count(*) FROM people GROUP BY 1 UNION ALL SELECT concat('e', doc_id % 5), 'documentos', count(*) FROM documents GROUP BY 1
-UNION ALL SELECT case_id, 'informe', count(*) FROM pieces WHERE active AND state = 'incluida' GROUP BY 1"""))
+@query("s8_backup_records", sql("pieces log numbered_pages groups people", """SELECT case_id, 'evidencias' AS part, piece_id AS id, concat(state, '|', description) AS value FROM pieces WHERE active UNION ALL SELECT case_id, 'revisiones', seq, concat(field, '|', new) FROM log
+UNION ALL SELECT case_id, 'fojas', global_no, concat(origin, '|', coalesce(cast(num AS VARCHAR), '')) FROM numbered_pages UNION ALL SELECT case_id, 'grupos', group_id, name FROM groups UNION ALL SELECT case_id, 'personas', person_id, name FROM people
+UNION ALL SELECT concat('e', doc_id % 5), 'documentos', doc_id, sha256(text) FROM documents UNION ALL SELECT case_id, 'informe', piece_id, concat(row_number() OVER (PARTITION BY case_id ORDER BY order_out, page_start, piece_id), '.-') FROM pieces WHERE active AND state = 'incluida'"""))
 def backup_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of a backup, read back from their JSON."""
     docs = t.documents(spark, d).select(F.concat(F.lit("e"), F.col("doc_id") % 5).alias("case_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     pages = t.numbered_pages(spark, d).select("case_id", "global_no", "num", "suffix", "origin")
-    records = report.backup_records(documentos=docs, fojas=pages, grupos=t.groups(spark, d), personas=t.people(spark, d), evidencias=full_pieces(spark, d).where("active"), revisiones=t.log(spark, d), informe=report.assemble(report_view(spark, d)))
-    return records.groupBy("case_id", "part").agg(F.count("json").alias("n"))
+    pieces = full_pieces(spark, d).where("active").drop("doc_id")
+    records = report.backup_records(documentos=docs, fojas=pages, grupos=t.groups(spark, d), personas=t.people(spark, d), evidencias=pieces, revisiones=t.log(spark, d), informe=report.assemble(report_view(spark, d)))
+    of = lambda *names: F.coalesce(*[F.get_json_object("json", f"$.{n}") for n in names])
+    two = lambda a, b: F.concat(of(a), F.lit("|"), F.coalesce(of(b), F.lit("")))
+    ids = {"evidencias": ("piece_id", two("state", "description")), "revisiones": ("seq", two("field", "new")), "fojas": ("global_no", two("origin", "num")), "grupos": ("group_id", of("name")), "personas": ("person_id", of("name")), "documentos": ("doc_id", of("sha256")), "informe": ("piece_id", of("number"))}
+    pick = lambda k: F.coalesce(*[F.when(F.col("part") == n, of(v[0]) if k == 0 else v[1]) for n, v in ids.items()])
+    return records.select("case_id", "part", pick(0).cast("long").alias("id"), pick(1).alias("value"))
 
 
 @query("s9_file_names", "SELECT p_partkey, concat('listado-', replace(replace(concat('N/', p_partkey, ' ', p_name), '/', '-'), ' ', ''), '.txt') AS name FROM part")
@@ -981,15 +1082,36 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(text_pages(spark, d)).select("case_id", "term", "page_id", F.col("length").cast("long").alias("length"), F.col("tf").cast("long").alias("tf"), F.element_at("positions", 1).alias("first_pos"))
 
 
-@query("f2_f3_page_search", f"""WITH {POSTINGS}, n AS (SELECT case_id, count(*) AS n, avg(len(w)) AS av FROM p WHERE len(w) > 0 GROUP BY 1),
-c0 AS (SELECT a.case_id, a.page_id, a.length, count(DISTINCT a.pos) AS tf FROM q a JOIN q b ON b.case_id = a.case_id AND b.page_id = a.page_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1, 2, 3),
-c1 AS (SELECT case_id, page_id, length, count(DISTINCT pos) AS tf FROM q WHERE starts_with(term, 'tion') GROUP BY 1, 2, 3),
-h AS (SELECT 0 AS c, * FROM c0 UNION ALL SELECT 1, * FROM c1), df AS (SELECT case_id, c, count(*) AS df FROM h GROUP BY 1, 2),
-s AS (SELECT h.case_id, h.page_id, greatest(ln((n.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.length / n.av)) AS part FROM h JOIN df USING (case_id, c) JOIN n USING (case_id))
-SELECT case_id, page_id, CAST(floor(sum(part) * 1e4 + 0.5) AS BIGINT) AS score_e4 FROM s GROUP BY 1, 2 HAVING count(*) = 2""")
+def found_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with what a search shows of them."""
+    i = F.col("doc_id")
+    return t.documents(spark, d).select(F.col("source").alias("case_id"), i.alias("page_id"), (i + 1).alias("global_no"), F.when(i % 7 != 0, i + 400).alias("num"), F.when(i % 7 != 0, "").alias("suffix"), F.when(i % 7 == 0, "desconocida").otherwise("detectada").alias("origin"), "text")
+
+
+_SCORED = f"""WITH {POSTINGS}, n AS (SELECT case_id, count(*) AS n, avg(len(w)) AS av FROM p WHERE len(w) > 0 GROUP BY 1), {{hits}},
+df AS (SELECT case_id, c, count(*) AS df FROM h GROUP BY 1, 2),
+s AS (SELECT h.case_id, h.page_id, greatest(ln((n.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.length / n.av)) AS part FROM h JOIN df USING (case_id, c) JOIN n USING (case_id)),
+best AS (SELECT case_id, page_id, round(sum(part), 6) AS score, count(*) AS k FROM s GROUP BY 1, 2)"""
+
+
+@query("f2_f3_page_search", _SCORED.replace('{hits}', """c0 AS (SELECT a.case_id, a.page_id, a.length, count(DISTINCT a.pos) AS tf FROM q a JOIN q b ON b.case_id = a.case_id AND b.page_id = a.page_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1, 2, 3),
+c1 AS (SELECT case_id, page_id, length, count(DISTINCT pos) AS tf FROM q WHERE starts_with(term, 'tion') GROUP BY 1, 2, 3), h AS (SELECT 0 AS c, * FROM c0 UNION ALL SELECT 1, * FROM c1)""") + """
+SELECT case_id, page_id, CAST(floor(score * 1e4 + 0.5) AS BIGINT) AS score_e4, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_id) AS place FROM best WHERE k = 2 QUALIFY place <= 200""")
 def page_search(spark: SparkSession, d: str) -> DataFrame:
-    found = search.search_pages(search.postings(text_pages(spark, d)), '"of the" tion', limit=None)
-    return found.select("case_id", "page_id", F.floor(F.col("score") * 1e4 + 0.5).alias("score_e4"))
+    found = search.search_pages(search.index_of(text_pages(spark, d)), '"of the" tion')
+    return found.select("case_id", "page_id", F.floor(F.col("score") * 1e4 + 0.5).alias("score_e4"), F.col("place").cast("long").alias("place"))
+
+
+_SNIPPET = """CASE WHEN spot > 0 THEN concat(CASE WHEN greatest(spot - 90, 1) > 1 THEN '…' ELSE '' END, trim(substring(text, greatest(spot - 90, 1), least(spot + 92, length(text)) - greatest(spot - 90, 1) + 1)), CASE WHEN least(spot + 92, length(text)) < length(text) THEN '…' ELSE '' END)
+  ELSE concat(trim(substring(text, 1, 180)), CASE WHEN length(text) > 180 THEN '…' ELSE '' END) END"""
+
+
+@query("o6_best_pages", _SCORED.replace('{hits}', "h AS (SELECT 0 AS c, case_id, page_id, length, count(DISTINCT pos) AS tf FROM q WHERE starts_with(term, 'the') GROUP BY 2, 3, 4)") + f""",
+top AS (SELECT case_id, page_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_id) AS place FROM best QUALIFY place <= 30), t AS (SELECT top.*, d.text, strpos(lower(d.text), 'the') AS spot FROM top JOIN documents d ON d.doc_id = top.page_id)
+SELECT case_id, page_id, place, page_id + 1 AS global_no, CASE WHEN page_id % 7 <> 0 THEN cast(page_id + 400 AS VARCHAR) END AS label, CASE WHEN page_id % 7 = 0 THEN 'desconocida' ELSE 'detectada' END AS origin, {_SNIPPET} AS snippet FROM t""")
+def best_pages(spark: SparkSession, d: str) -> DataFrame:
+    found = search.search_pages(search.index_of(text_pages(spark, d)), "the", 30, found_pages(spark, d))
+    return found.drop("score").withColumn("place", F.col("place").cast("long"))
 
 
 @query("f4_snippets", """WITH a AS (SELECT doc_id, text, strpos(lower(text), 'the') AS p, length(text) AS n FROM documents), b AS (SELECT *, greatest(p - 90, 1) AS s, least(p + 92, n) AS e FROM a)
@@ -998,6 +1120,22 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return t.documents(spark, d).select("doc_id", search.snippet(F.col("text"), '"the" of').alias("snippet"))
 
 
-@query("f5_piece_search", sql("view", "SELECT case_id, piece_id FROM view WHERE active AND (contains(lower(description), 'thes') OR contains(lower(source_text), 'thes') OR contains(lower(introducer), 'thes'))"))
+_PIECES_FOUND = "SELECT case_id, piece_id, row_number() OVER (PARTITION BY case_id ORDER BY page_start NULLS FIRST, piece_id) AS place FROM view WHERE active AND (contains(lower(description), '{0}') OR contains(lower(source_text), '{0}') OR contains(lower(introducer), '{0}')) QUALIFY place <= {1}"
+
+
+@query("f5_piece_search", sql("view", _PIECES_FOUND.format("thes", 25)))
 def piece_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_pieces(view(spark, d), "THES", limit=None).select("case_id", "piece_id")
+    return search.search_pieces(view(spark, d), "  THES ", 25).select("case_id", "piece_id", F.col("place").cast("long").alias("place"))
+
+
+@query("f5_blank_search", "SELECT source AS case_id, doc_id AS piece_id FROM documents WHERE false")
+def blank_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_pieces(view(spark, d), "  ").select("case_id", "piece_id")
+
+
+@query("f6_search", sql("view", _SCORED.replace('{hits}', "h AS (SELECT 0 AS c, case_id, page_id, length, count(DISTINCT pos) AS tf FROM q WHERE starts_with(term, 'thes') GROUP BY 2, 3, 4)") + f", v AS ({_PIECES_FOUND.format('thes', 200)})" + """
+SELECT 'page' AS kind, case_id, page_id AS id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_id) AS place FROM best QUALIFY place <= 200 UNION ALL SELECT 'piece', case_id, piece_id, place FROM v"""))
+def both_searches(spark: SparkSession, d: str) -> DataFrame:
+    pages, pieces = search.search(search.index_of(text_pages(spark, d)), view(spark, d), "thes")
+    row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), "case_id", F.col(key).alias("id"), F.col("place").cast("long").alias("place"))
+    return row(pages, "page", "page_id").unionByName(row(pieces, "piece", "piece_id"))

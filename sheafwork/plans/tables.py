@@ -63,14 +63,14 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.col("event_type")
-    kinds = (F.col("event_id") % 4).cast("int")
-    field = F.when(kind == "click", "group_id").when(kind == "view", "type_final").otherwise("state")
+    kind, e = F.col("event_type"), F.col("event_id")
+    typed = (kind == "signup") & (e % 3 < 2)
+    field = F.when(kind == "click", "group_id").when(kind == "view", "type_final").when(typed & (e % 3 == 0), "number_start_final").when(typed, "number_end_final").otherwise("state")
     new = (
-        F.when(kind == "click", (F.col("event_id") % 6).cast("string")).when(kind == "view", F.element_at(F.array(*map(F.lit, ("", "fr", "de", "en"))), kinds + 1))
+        F.when(kind == "click", (e % 6).cast("string")).when(kind == "view", F.element_at(F.array(*map(F.lit, ("", "fr", "de", "en"))), (e % 4).cast("int") + 1)).when(typed & (e % 7 == 0), " ").when(typed, (e % 900).cast("string"))
         .when(kind == "purchase", "incluida").when(kind == "error", "excluida").otherwise("pendiente")
     )
-    return events(spark, d).select(F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("user_id") % 5).alias("case_id"), F.col("user_id").alias("piece_id"), field.alias("field"), new.alias("new"))
+    return events(spark, d).select(e.alias("seq"), F.concat(F.lit("e"), F.col("user_id") % 5).alias("case_id"), F.col("user_id").alias("piece_id"), field.alias("field"), new.alias("new"))
 
 
 def link_log(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def raw_pieces(spark: SparkSession, d: str) -> DataFrame:
     manual = i % 11 == 0
     date = F.concat(F.lit("2024-"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"))
     return documents(spark, d).select(
-        F.concat(F.lit("e"), i % 5).alias("case_id"), i.alias("piece_id"), start.alias("page_start"), (start + i % 3).alias("page_end"), F.col("lang").alias("type"),
+        F.concat(F.lit("e"), i % 5).alias("case_id"), i.alias("piece_id"), (i % 3).alias("doc_id"), start.alias("page_start"), F.when(i % 23 != 5, start + i % 3).alias("page_end"), F.col("lang").alias("type"),
         F.left(first, F.lit(80)).alias("description"), F.left("text", F.lit(1200)).alias("source_text"), (i % 17 != 3).alias("active"), F.when(manual, "manual").otherwise("automatica").alias("origin"),
         F.when(~manual, (F.col("n_chars") % 100) / 100.0).alias("confidence"), (i * 7919 % 10007).alias("order_out"), (i % 13).alias("order_in_group"), F.when(i % 4 != 0, date).alias("date_detected"),
         F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("notes"),
@@ -109,7 +109,7 @@ def raw_pieces(spark: SparkSession, d: str) -> DataFrame:
 def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     page = F.floor(i / 5) + 1
-    return documents(spark, d).select(
+    return documents(spark, d).where(i % 29 != 11).select(
         F.concat(F.lit("e"), i % 5).alias("case_id"), page.alias("global_no"), F.when(i % 7 != 0, page + 399 + F.when(i % 50 > 40, 5).otherwise(0)).alias("num"), F.when(i % 7 != 0, "").alias("suffix"),
         F.when(i % 7 == 0, "desconocida").when(i % 3 == 0, "confirmada").otherwise("detectada").alias("origin"), F.when(i % 7 == 0, "desconocida").when(i % 4 == 0, "interpolada").otherwise("leida").alias("reading"), "text",
     )
@@ -178,21 +178,22 @@ SQL = {
         UNION ALL SELECT 'sup_cen', o_orderkey, o_orderkey + 5 FROM orders WHERE o_orderkey % 13 = 0
         UNION ALL SELECT 'inf_der', o_orderkey, o_orderkey + 1 FROM orders WHERE o_orderkey % 1000 BETWEEN 500 AND 560)""",
     "log": """SELECT event_id AS seq, concat('e', user_id % 5) AS case_id, user_id AS piece_id,
-        CASE event_type WHEN 'click' THEN 'group_id' WHEN 'view' THEN 'type_final' ELSE 'state' END AS field,
-        CASE event_type WHEN 'click' THEN cast(event_id % 6 AS VARCHAR) WHEN 'view' THEN CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'en' END
-          WHEN 'purchase' THEN 'incluida' WHEN 'error' THEN 'excluida' ELSE 'pendiente' END AS new FROM events""",
+        CASE WHEN event_type = 'click' THEN 'group_id' WHEN event_type = 'view' THEN 'type_final' WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'number_start_final' WHEN event_type = 'signup' AND event_id % 3 = 1 THEN 'number_end_final' ELSE 'state' END AS field,
+        CASE WHEN event_type = 'click' THEN cast(event_id % 6 AS VARCHAR) WHEN event_type = 'view' THEN CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'en' END
+          WHEN event_type = 'signup' AND event_id % 3 < 2 THEN CASE WHEN event_id % 7 = 0 THEN ' ' ELSE cast(event_id % 900 AS VARCHAR) END
+          WHEN event_type = 'purchase' THEN 'incluida' WHEN event_type = 'error' THEN 'excluida' ELSE 'pendiente' END AS new FROM events""",
     "link_log": """SELECT event_id AS seq, concat('e', user_id % 5) AS case_id, user_id AS piece_id, event_id % 40 AS person_id,
         CASE WHEN event_type IN ('click', 'view') THEN 'introductor' ELSE 'mencionado' END AS function, CASE WHEN event_id % 9 = 0 THEN 'remove' ELSE 'add' END AS op FROM events""",
     "tag_log": "SELECT seq, case_id, piece_id, concat('t', person_id % 6) AS tag, op FROM link_log",
     "people": "SELECT DISTINCT case_id, person_id, concat('Persona ', person_id) AS name FROM link_log",
     "groups": "SELECT DISTINCT case_id, cast(new AS BIGINT) AS group_id, concat('Grupo ', new) AS name, 10 - cast(new AS INT) AS ord FROM log WHERE field = 'group_id' AND new <> '0'",
-    "raw_pieces": """SELECT concat('e', doc_id % 5) AS case_id, doc_id AS piece_id, doc_id // 5 + 1 AS page_start, doc_id // 5 + 1 + doc_id % 3 AS page_end, lang AS type,
-        left(split_part(text, chr(10), 1), 80) AS description, left(text, 1200) AS source_text, doc_id % 17 <> 3 AS active, CASE WHEN doc_id % 11 = 0 THEN 'manual' ELSE 'automatica' END AS origin,
-        CASE WHEN doc_id % 11 <> 0 THEN (n_chars % 100) / 100.0::DOUBLE END AS confidence, doc_id * 7919 % 10007 AS order_out, doc_id % 13 AS order_in_group,
-        CASE WHEN doc_id % 4 <> 0 THEN concat('2024-', lpad(cast(doc_id % 12 + 1 AS VARCHAR), 2, '0'), '-', lpad(cast(doc_id % 28 + 1 AS VARCHAR), 2, '0')) END AS date_detected FROM documents""",
+    "raw_pieces": """SELECT concat('e', documents.doc_id % 5) AS case_id, documents.doc_id AS piece_id, documents.doc_id % 3 AS doc_id, documents.doc_id // 5 + 1 AS page_start, CASE WHEN documents.doc_id % 23 <> 5 THEN documents.doc_id // 5 + 1 + documents.doc_id % 3 END AS page_end, lang AS type,
+        left(split_part(text, chr(10), 1), 80) AS description, left(text, 1200) AS source_text, documents.doc_id % 17 <> 3 AS active, CASE WHEN documents.doc_id % 11 = 0 THEN 'manual' ELSE 'automatica' END AS origin,
+        CASE WHEN documents.doc_id % 11 <> 0 THEN (n_chars % 100) / 100.0::DOUBLE END AS confidence, documents.doc_id * 7919 % 10007 AS order_out, documents.doc_id % 13 AS order_in_group,
+        CASE WHEN documents.doc_id % 4 <> 0 THEN concat('2024-', lpad(cast(documents.doc_id % 12 + 1 AS VARCHAR), 2, '0'), '-', lpad(cast(documents.doc_id % 28 + 1 AS VARCHAR), 2, '0')) END AS date_detected FROM documents""",
     "numbered_pages": """SELECT concat('e', doc_id % 5) AS case_id, doc_id // 5 + 1 AS global_no, CASE WHEN doc_id % 7 <> 0 THEN doc_id // 5 + 400 + CASE WHEN doc_id % 50 > 40 THEN 5 ELSE 0 END END AS num,
         CASE WHEN doc_id % 7 = 0 THEN 'desconocida' WHEN doc_id % 3 = 0 THEN 'confirmada' ELSE 'detectada' END AS origin,
-        CASE WHEN doc_id % 7 = 0 THEN 'desconocida' WHEN doc_id % 4 = 0 THEN 'interpolada' ELSE 'leida' END AS reading, text FROM documents""",
+        CASE WHEN doc_id % 7 = 0 THEN 'desconocida' WHEN doc_id % 4 = 0 THEN 'interpolada' ELSE 'leida' END AS reading, text FROM documents WHERE doc_id % 29 <> 11""",
     "edges": "SELECT 'l' AS case_id, o_orderkey // 2 AS parent, o_orderkey AS child FROM orders WHERE o_orderkey > 1",
     "order_pieces": "SELECT 'l' AS case_id, o_orderkey AS piece_id, CASE WHEN o_orderkey % 50 = 7 THEN 'excluida' WHEN o_orderkey % 2 = 0 THEN 'incluida' ELSE 'pendiente' END AS state, o_orderstatus <> 'F' AS active FROM orders",
     "piece_edges": "SELECT concat('e', doc_id % 5) AS case_id, doc_id - 5 AS parent, doc_id AS child FROM documents WHERE doc_id >= 5 AND doc_id % 3 = 0",
@@ -209,24 +210,28 @@ SQL = {
     # folds of the log, and the checklist's view
     "last_state": "SELECT case_id, piece_id, arg_max(new, seq) AS state FROM log WHERE field = 'state' GROUP BY ALL",
     "last_type": "SELECT case_id, piece_id, nullif(arg_max(new, seq), '') AS type_final FROM log WHERE field = 'type_final' GROUP BY ALL",
+    "last_start": "SELECT case_id, piece_id, nullif(trim(arg_max(new, seq)), '') AS number_start_final FROM log WHERE field = 'number_start_final' GROUP BY ALL",
+    "last_end": "SELECT case_id, piece_id, nullif(trim(arg_max(new, seq)), '') AS number_end_final FROM log WHERE field = 'number_end_final' GROUP BY ALL",
     "last_group": "SELECT case_id, piece_id, cast(arg_max(new, seq) AS BIGINT) AS g FROM log WHERE field = 'group_id' GROUP BY ALL",
     "intro": "SELECT case_id, piece_id, l.person_id, p.name FROM (SELECT case_id, piece_id, arg_max(person_id, seq) AS person_id, arg_max(op, seq) AS op FROM link_log WHERE function = 'introductor' GROUP BY case_id, piece_id) l JOIN people p USING (case_id, person_id) WHERE op = 'add'",
-    "pieces": """SELECT r.*, coalesce(s.state, 'pendiente') AS state, g.group_id, g.name AS group_name, g.ord AS group_ord, t.type_final
-        FROM raw_pieces r LEFT JOIN last_state s USING (case_id, piece_id) LEFT JOIN last_type t USING (case_id, piece_id) LEFT JOIN last_group lg USING (case_id, piece_id)
+    "pieces": """SELECT r.*, coalesce(s.state, 'pendiente') AS state, g.group_id, g.name AS group_name, g.ord AS group_ord, t.type_final, ns.number_start_final, ne.number_end_final
+        FROM raw_pieces r LEFT JOIN last_start ns USING (case_id, piece_id) LEFT JOIN last_end ne USING (case_id, piece_id) LEFT JOIN last_state s USING (case_id, piece_id) LEFT JOIN last_type t USING (case_id, piece_id) LEFT JOIN last_group lg USING (case_id, piece_id)
         LEFT JOIN groups g ON g.case_id = r.case_id AND g.group_id = lg.g""",
-    "view": """SELECT p.case_id, p.piece_id, page_start, page_end, active, state, p.origin, confidence, order_out, order_in_group, group_id, group_name, group_ord, coalesce(type_final, type) AS type, description,
-        date_detected AS date, source_text, cast(a.num AS VARCHAR) AS number_start, cast(b.num AS VARCHAR) AS number_end, a.origin AS origin_start, b.origin AS origin_end,
-        coalesce(a.origin IN ('confirmada', 'manual') AND b.origin IN ('confirmada', 'manual'), FALSE) AS firm,
-        coalesce(a.reading IN ('interpolada', 'desconocida'), FALSE) OR coalesce(b.reading IN ('interpolada', 'desconocida'), FALSE) AS interpolated,
-        type_final IS NOT NULL AS modified, i.person_id AS introducer_id, i.name AS introducer,
+    "view": """SELECT *, origin_start IN ('confirmada', 'manual') AND origin_end IN ('confirmada', 'manual') AS firm FROM (
+        SELECT p.case_id, p.piece_id, page_start, page_end, active, state, p.origin, confidence, order_out, order_in_group, group_id, group_name, group_ord, coalesce(type_final, type) AS type, description,
+        date_detected AS date, source_text, coalesce(number_start_final, cast(a.num AS VARCHAR)) AS number_start, coalesce(number_end_final, cast(b.num AS VARCHAR)) AS number_end,
+        CASE WHEN number_start_final IS NOT NULL THEN 'manual' ELSE coalesce(a.origin, 'desconocida') END AS origin_start,
+        CASE WHEN number_end_final IS NOT NULL THEN 'manual' WHEN page_end IS NULL THEN CASE WHEN number_start_final IS NOT NULL THEN 'manual' ELSE coalesce(a.origin, 'desconocida') END ELSE coalesce(b.origin, 'desconocida') END AS origin_end,
+        (number_start_final IS NULL AND coalesce(a.reading, '') IN ('interpolada', 'desconocida')) OR (number_end_final IS NULL AND coalesce(b.reading, '') IN ('interpolada', 'desconocida')) AS interpolated,
+        type_final IS NOT NULL OR number_start_final IS NOT NULL OR number_end_final IS NOT NULL AS modified, i.person_id AS introducer_id, i.name AS introducer,
         CASE WHEN confidence IS NULL THEN 'manual' WHEN confidence >= 0.75 THEN 'alta' WHEN confidence >= 0.55 THEN 'media' ELSE 'baja' END AS level
         FROM pieces p LEFT JOIN numbered_pages a ON a.case_id = p.case_id AND a.global_no = p.page_start LEFT JOIN numbered_pages b ON b.case_id = p.case_id AND b.global_no = p.page_end
-        LEFT JOIN intro i ON i.case_id = p.case_id AND i.piece_id = p.piece_id""",
+        LEFT JOIN intro i ON i.case_id = p.case_id AND i.piece_id = p.piece_id)""",
 }
 NEEDS = {
     "made_pieces": ["made_edges"], "made_log": ["made_pieces"], "made_last": ["made_log"],
-    "chat_documents": ["chat_pages"], "tag_log": ["link_log"], "people": ["link_log"], "groups": ["log"], "last_state": ["log"], "last_type": ["log"], "last_group": ["log"], "intro": ["link_log", "people"],
-    "pieces": ["raw_pieces", "last_state", "last_type", "last_group", "groups"], "view": ["pieces", "numbered_pages", "intro"],
+    "chat_documents": ["chat_pages"], "tag_log": ["link_log"], "people": ["link_log"], "groups": ["log"], "last_state": ["log"], "last_type": ["log"], "last_group": ["log"], "last_start": ["log"], "last_end": ["log"], "intro": ["link_log", "people"],
+    "pieces": ["raw_pieces", "last_state", "last_type", "last_start", "last_end", "last_group", "groups"], "view": ["pieces", "numbered_pages", "intro"],
 }
 
 

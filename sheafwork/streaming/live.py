@@ -1,15 +1,21 @@
-"""Streaming twins of batch operators. Each gives what its batch twin gives over all input seen so far."""
+"""Streaming twins of batch operators. Each gives what its batch twin gives over all input seen so far, with work in proportion to a batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..operators.checklist import counters
-from ..operators.segmentation import accept, propose
+from ..operators.checklist import COUNTERS, FIRM, LOW, counters
+from ..operators.decisions import FIELDS, PENDING
+from ..operators.lineage import SWITCHES
+from ..operators.segmentation import TEXT, Cutter, finished, mark_pages, titled
+
+#: The store that keyed state needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def intake(deliveries: DataFrame) -> DataFrame:
@@ -23,44 +29,197 @@ def live_states(log: DataFrame) -> DataFrame:
     return log.where("field = 'state'").groupBy("case_id", "piece_id").agg(F.max_by("new", "seq").alias("state"))
 
 
-def live_counters(log: DataFrame) -> DataFrame:
-    """Decisions of a stream by case and kind (update or complete mode)."""
-    return log.groupBy("case_id", "field", "new").agg(F.count("*").alias("n"))
-
-
-def _keep(batch: DataFrame, number: int, path: str) -> DataFrame:
-    """All rows of a stream so far, this batch included. A batch that is run again writes to its own place."""
-    batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-    return batch.sparkSession.read.schema(batch.schema).parquet(path)
-
+def live_fold(log: DataFrame) -> DataFrame:
+    """The fold of a stream of log rows: of each piece the last state, the last value of every field a person sets, its group, and the last event that switched it (update mode).
 
-def checklist_counters(log: DataFrame, view_of: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """A stream that keeps the checklist's counters of each case up to date: `view_of` makes the view from the log so far, and its counters are written to a folder for each batch."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        rows = view_of(_keep(batch, number, f"{checkpoint}-log"))
-        counters(rows.select("case_id").distinct(), rows).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    Spark keeps a value and its number for each of them, so a late row with a smaller number changes nothing,
+    and a batch costs what its own pieces cost.
+    """
+    value = lambda f: F.struct((F.nullif(F.trim("new"), F.lit("")) if f in FIELDS else F.col("new")).alias("v"))
+    of = lambda f: F.max_by(F.when(F.col("field") == f, value(f)), F.when(F.col("field") == f, F.col("seq")))
+    turn = F.col("field").isin(*SWITCHES)
+    names = ("state", "group_id", *FIELDS)
+    folded = log.groupBy("case_id", "piece_id").agg(*[of(f).alias(f"_{f}") for f in names], F.max_by(F.when(turn, F.col("field")), F.when(turn, F.col("seq"))).alias("switch"))
+    return folded.select("case_id", "piece_id", F.coalesce("_state.v", F.lit(PENDING)).alias("state"), *[F.col(f"_{f}.v").alias(f) for f in names[1:]], "switch")
 
-    return log.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def live_counters(log: DataFrame) -> DataFrame:
+    """Decisions of a stream by case and kind (update or complete mode)."""
+    return log.groupBy("case_id", "field", "new").agg(F.count("*").alias("n"))
 
-def proposals(pages: DataFrame, rules: list, covered: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """A stream that writes proposals for new pages which no piece covers; `covered` is read anew for each batch, and a batch that is run again writes to its own place.
 
-    A document whose pages come in several batches is proposed anew as a whole with each of them, from the
-    pages kept beside the checkpoint; `latest` reads its last proposals.
+# --- counters by deltas -----------------------------------------------------------------------------
+
+NAMES = ("detectadas", *COUNTERS)
+#: What the counters need to know of a piece before any decision.
+BASE = "active boolean, introduced boolean, numbered boolean, origin_start string, origin_end string, open_end boolean, guessed_start boolean, guessed_end boolean, confidence double"
+_FOLDED = ("state", "type_final", "description_final", "number_start_final", "number_end_final")
+
+
+def flags(base: tuple, values: dict) -> list[int]:
+    """Which counters a piece is in, as 0 and 1 in the order of `NAMES`."""
+    active, introduced, numbered, origin_start, origin_end, open_end, guessed_start, guessed_end, confidence = base
+    if not active:
+        return [0] * len(NAMES)
+    state = values.get("state") or PENDING
+    typed_start, typed_end = values.get("number_start_final") is not None, values.get("number_end_final") is not None
+    start = "manual" if typed_start else origin_start
+    end = "manual" if typed_end else start if open_end else origin_end
+    firm = start in FIRM and end in FIRM
+    bits = {
+        "detectadas": True, "incluidas": state == "incluida", "excluidas": state == "excluida", "pendientes": state == PENDING, "sin_testigo": not introduced,
+        "sin_foja": not (numbered or typed_start), "foja_sin_confirmar": not firm, "foja_interpolada": (guessed_start and not typed_start) or (guessed_end and not typed_end),
+        "baja_confianza": confidence is not None and confidence == confidence and confidence < LOW, "modificadas": any(values.get(f) is not None for f in _FOLDED[1:]),
+        "incluidas_sin_testigo": state == "incluida" and not introduced, "incluidas_sin_foja_firme": state == "incluida" and not firm,
+    }
+    return [int(bits[n]) for n in NAMES]
+
+
+class Deltas(StatefulProcessor):
+    """Keyed by piece: the last value of each field with its number, and what the piece is without decisions. A batch of a piece gives what it takes from and adds to the counters of its case."""
+
+    def init(self, handle) -> None:
+        self.base = handle.getValueState("base", BASE)
+        self.values = handle.getMapState("values", "field string", "value string, seq long")
+
+    def handleInitialState(self, key, rows, timers) -> None:
+        self.base.update(tuple(None if x is None or x != x else x for x in rows.iloc[0][2:]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        known = {k[0]: v for k, v in self.values.iterator()}
+        before = {f: v[0] for f, v in known.items()}
+        after, seen = dict(before), {f: v[1] for f, v in known.items()}
+        for table in rows:
+            for field, new, seq in zip(table["field"], table["new"], table["seq"], strict=True):
+                if field in _FOLDED and seq > seen.get(field, float("-inf")):
+                    value = None if new is None or new != new else str(new) if field == "state" else str(new).strip() or None
+                    after[field], seen[field] = value, int(seq)
+                    self.values.updateValue((field,), (value, int(seq)))
+        if self.base.exists():
+            base = self.base.get()
+            change = [b - a for a, b in zip(flags(base, before), flags(base, after), strict=True)]
+            if any(change):
+                yield pd.DataFrame([(key[0], *change)], columns=["case_id", *NAMES])
+
+    def close(self) -> None:
+        pass
+
+
+def checklist_counters(log: DataFrame, start: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream that keeps the checklist's twelve counters of each case up to date; `path` gets a row for each case and batch.
+
+    `start` is the view before any decision of the stream, of pieces without final values; it is counted and
+    loaded into the state once. A batch reads its own rows, the state of their pieces, and the counters of the
+    batch before. A batch that is run again writes to its own place. Decisions on pieces that are not in
+    `start` change nothing.
+    """
+    spark = log.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    seen = start.select(
+        "case_id", "piece_id", "active", F.col("introducer_id").isNotNull().alias("introduced"), F.col("number_start").isNotNull().alias("numbered"), "origin_start", "origin_end",
+        F.col("page_end").isNull().alias("open_end"), "guessed_start", "guessed_end", "confidence",
+    )
+    cases = start.select("case_id").distinct()
+
+    def run(deltas: DataFrame, number: int) -> None:
+        if number:
+            before = spark.read.parquet(f"{path}/batch={number - 1}")
+        else:
+            before = counters(cases, start)
+        added = deltas.groupBy("case_id").agg(*[F.sum(n).alias(f"_{n}") for n in NAMES])
+        now = before.join(added, "case_id", "left").select("case_id", *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in NAMES])
+        now.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    changed = log.select("case_id", "piece_id", "seq", "field", "new").groupBy("case_id", "piece_id").transformWithStateInPandas(
+        statefulProcessor=Deltas(), outputStructType="case_id string, " + ", ".join(f"{n} long" for n in NAMES), outputMode="Update", timeMode="None", initialState=seen.groupBy("case_id", "piece_id")
+    )
+    return changed.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# --- proposals --------------------------------------------------------------------------------------
+
+PAGE = "global_no long, text string, type string, score double, title string, continues boolean, n int, m int, conf double"
+OPEN = "next int, piece int, previous long, kind string, last_n int, last_m int, page_start long, page_end long, type string, score double, title string, read_conf double, source_text string"
+PIECE = "case_id string, doc_id long, page_start long, page_end long, type string, score double, title string, read_conf double, source_text string, closed boolean"
+
+
+class Documents(StatefulProcessor):
+    """Keyed by document: the open piece, the last sheet counter, and the pages that came before their turn. Pages are cut in order; a piece goes out when it grows and once more when it is closed."""
+
+    def init(self, handle) -> None:
+        self.open = handle.getValueState("open", OPEN)
+        self.early = handle.getMapState("early", "page_no int", PAGE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        nothing = lambda x: None if x is None or x != x else x
+        following, cutter, piece = 1, Cutter(), None
+        if self.open.exists():
+            following, cutter.piece, cutter.previous, cutter.kind, last_n, last_m, *piece = self.open.get()
+            cutter.last = None if last_n is None else (last_n, last_m)
+            piece = None if piece[0] is None else piece
+        came = {}
+        for table in rows:
+            for page_no, *page in zip(*[table[c] for c in ("page_no", "global_no", "text", "type", "score", "title", "continues", "n", "m", "conf")], strict=True):
+                if page_no >= following:
+                    came[int(page_no)] = tuple(nothing(x) for x in page)
+        out = []
+        while following in came or self.early.containsKey((following,)):
+            if following in came:
+                page = came.pop(following)
+            else:
+                page = tuple(nothing(x) for x in self.early.getValue((following,)))
+                self.early.removeKey((following,))
+            following += 1
+            global_no, text, kind, score, title, continues, n, m, conf = page
+            if text is None:  # a page that is not to be cut: what follows it begins anew
+                if piece:
+                    out.append((*key, *piece, True))
+                piece, cutter.previous = None, None
+                continue
+            number = cutter.piece
+            if cutter.step(int(global_no), kind, float(score), bool(continues), n, m) != number or piece is None:
+                if piece:
+                    out.append((*key, *piece, True))
+                piece = [int(global_no), int(global_no), kind, float(score), title, float(conf), text]
+            else:
+                piece[1], piece[5], piece[6] = int(global_no), min(piece[5], float(conf)), f"{piece[6]} {text}"[:TEXT]
+        for page_no, page in came.items():
+            number_ = lambda x, t: None if x is None else t(x)
+            self.early.updateValue((page_no,), (int(page[0]), page[1], page[2], number_(page[3], float), page[4], number_(page[5], bool), number_(page[6], int), number_(page[7], int), number_(page[8], float)))
+        if piece:
+            out.append((*key, *piece, False))
+        last = cutter.last or (None, None)
+        previous = None if cutter.previous is None else int(cutter.previous)
+        self.open.update((following, cutter.piece, previous, cutter.kind, *last, *(piece or [None] * 7)))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in PIECE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def proposals(pages: DataFrame, rules: list, covered: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream that writes proposals for pages (case_id, doc_id, page_no, global_no, text, conf) which no piece covers; `latest` reads what holds.
+
+    The pages of a document are cut in the order of `page_no`, from 1. A page that comes early waits in the
+    state of its document, so a batch reads its own pages and no others. A piece that grows is written again;
+    what was closed stays. Pages without text, or in `covered` (case_id, global_no), end a piece and are in
+    none. A page that comes twice counts once. A batch that is run again writes to its own place.
     """
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    marked = mark_pages(pages, rules, "page_no").withColumn("title", titled(F.col("text"), F.col("type"), rules))
+    done = covered.select("case_id", "global_no", F.lit(True).alias("_covered")).distinct()
+    rows = marked.join(done, ["case_id", "global_no"], "left").withColumn("text", F.when(F.col("_covered").isNull(), F.left("text", F.lit(TEXT))))
+    cut_up = rows.select("case_id", "doc_id", "page_no", "global_no", "text", "type", "score", "title", "continues", "n", "m", "conf").groupBy("case_id", "doc_id").transformWithStateInPandas(statefulProcessor=Documents(), outputStructType=PIECE, outputMode="Update", timeMode="None")
 
-    def run(batch: DataFrame, number: int) -> None:
-        done = covered()
-        touched = batch.select("case_id", "doc_id").distinct()
-        whole = _keep(batch, number, f"{checkpoint}-pages").join(touched, ["case_id", "doc_id"], "left_semi")
-        accept(propose(whole, rules, done), done).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    def run(pieces: DataFrame, number: int) -> None:
+        finished(pieces).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return cut_up.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(proposed: DataFrame) -> DataFrame:
-    """Of proposals by batch those of the last batch of each document."""
-    last = proposed.groupBy("case_id", "doc_id").agg(F.max("batch").alias("batch"))
-    return proposed.join(last, ["case_id", "doc_id", "batch"], "left_semi").drop("batch")
+    """Of proposals by batch the last of each piece, which its document and first page tell."""
+    keys = ["case_id", "doc_id", "page_start"]
+    rest = [c for c in proposed.columns if c not in (*keys, "batch")]
+    last = proposed.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", "page_end")).alias("_l"))
+    return last.select(*keys, "_l.*")

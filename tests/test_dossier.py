@@ -104,12 +104,12 @@ def test_images_and_readings(spark):
     got = {r.page_id: (r.share, r.needs_reading) for r in lines.images_to_read(images, words, pg).collect()}
     assert got == {1: (0.2, True), 2: (0.01, False), 3: (0.0, False)}
     schema = "case_id string, page_id long, text string, x0 double, y0 double, x1 double, y1 double, conf double"
-    native = spark.createDataFrame([("c", 1, "nativa", 0.0, 0.0, 10.0, 10.0, 1.0)], schema)
-    read = spark.createDataFrame([("c", 1, "doble", 1.0, 1.0, 9.0, 9.0, 0.9), ("c", 1, "nueva", 30.0, 0.0, 40.0, 9.0, 0.8)], schema)
-    ink = spark.createDataFrame([("c", 1, 0.0), ("c", 2, 0.0)], "case_id string, page_id long, unread_ink double")
+    native = spark.createDataFrame([("c", 1, "nativa", 0.0, 0.0, 10.0, 10.0, 1.0, 0), ("c", 3, "b", 9.0, 9.0, 10.0, 10.0, 1.0, 0), ("c", 3, "a", 0.0, 0.0, 1.0, 1.0, 1.0, 1)], schema + ", ord int")
+    read = spark.createDataFrame([("c", 1, "doble", 1.0, 1.0, 9.0, 9.0, 0.9, 0), ("c", 1, "nueva", 30.0, -0.04, 40.0, 9.0, 0.8, 1), ("c", 1, "arriba", 30.0, -20.0, 40.0, -11.0, 0.6, 2), ("c", 3, "b", 9.0, 9.0, 10.0, 10.0, 0.5, 0)], schema + ", ord int")
+    ink = spark.createDataFrame([("c", 1, 0.0), ("c", 2, 0.0), ("c", 3, 0.0)], "case_id string, page_id long, unread_ink double")
     merged, conf = lines.merge_readings(native, read, ink)
-    assert sorted(r.text for r in merged.collect()) == ["nativa", "nueva"]
-    assert {r.page_id: r.conf for r in conf.collect()} == {1: 0.8, 2: 0.0}
+    assert {(r.page_id, r.text): r.ord for r in merged.collect()} == {(1, "arriba"): 0, (1, "nativa"): 1, (1, "nueva"): 2, (3, "b"): 0, (3, "a"): 1}
+    assert {r.page_id: r.conf for r in conf.collect()} == {1: 0.7, 2: 0.0, 3: None}
     readings = spark.createDataFrame([("c", 1, 0, 0, 0.5), ("c", 1, 1, 90, 0.6), ("c", 1, 2, 180, 0.9), ("c", 2, 0, 0, 0.5)], "case_id string, page_id long, pref int, rotation int, conf double")
     assert {r.page_id: r.rotation for r in lines.choose_reading(readings).collect()} == {1: 180, 2: 0}
 
@@ -304,13 +304,106 @@ def test_settled_runs_equal_the_greedy_loop(spark):
 def test_report_lines_are_the_text(spark, tmp_path):
     rows = [("c", 1, "encabezado", "I.-", "UNO", None), ("c", 2, "pieza", "1.-", "a", "b"), ("c", 3, "pieza", None, "z", None), ("d", 1, "pieza", "1.-", None, None), ("e", 1, "pieza", "1.-", "x", None)]
     paragraphs = spark.createDataFrame(rows, "case_id string, ord int, kind string, number string, text string, edited string")
-    titles = spark.createDataFrame([("c", "C"), ("d", "D"), ("none", "N")], "case_id string, title string")
-    lines = report.lines_of(paragraphs, titles)
-    texts = {r.case_id: r.text for r in report.text_of(paragraphs, titles).collect()}
+    cases = spark.createDataFrame([("c", "N/1", "Causa C"), ("d", None, "D — "), ("none", "9", "N"), ("e", "7", None)], "case_id string, file_no string, title string")
+    lines = report.lines_of(paragraphs, cases)
+    texts = {r.case_id: r.text for r in report.text_of(paragraphs, cases).collect()}
     joined: dict = {}
     for r in sorted(lines.collect(), key=lambda r: (r.case_id, r.ord)):
         joined[r.case_id] = joined.get(r.case_id, "") + r.line + "\n"
-    assert joined == texts and texts["c"] == "C\n\n\nI.- UNO\n\n1.- b\nz\n" and set(texts) == {"c", "d"}
+    assert joined == texts and texts["c"] == "Legajo N/1 — Causa C\nPRUEBA OFRECIDA\n\n\nI.- UNO\n\n1.- b\nz\n" and set(texts) == {"c", "d", "e"}
+    assert texts["d"].startswith("Legajo  — D\n") and texts["e"].startswith("Legajo 7\n")
     files.write_lines(lines, str(tmp_path / "out"))
     for case, text in texts.items():
         assert "".join(f.read_text() for f in sorted((tmp_path / "out" / f"case_id={case}").glob("part-*"))) == text
+
+
+def test_needed_texts_and_many_patterns(spark):
+    assert headings.needed(r"^ACTA\b") == ("ACTA",) and headings.needed(r"\b(?:DER|DIE|DAS)\b") == ("ER", "IE", "AS")
+    assert headings.needed(r"\bINFORME\s+(?:DE\s+)?PERICIA\b") == ("INFORME",) and headings.needed(r"[A-Z]+\d*") == () and headings.needed("(?i)acta") == () and headings.needed("A|[0-9]") == ()
+    assert headings.needed("(?:AB){2,}C?") == ("AB",) and headings.needed("X{0,3}") == ()
+    rng = random.Random(1)
+    words = ["".join(rng.choices("ABCDEFGH", k=5)) for _ in range(100)]
+    rules = [Rule(w.lower(), w, "f", 0.5 + i / 1000, (rf"^{w}\b", rf"\b{w}\s+[A-H]+")) for i, w in enumerate(words)]
+    heads = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9))) + rng.choice(["", "\nACTA", " " * 95 + rng.choice(words) + " A"])) for i in range(300)]
+    table = spark.createDataFrame(heads, "id int, head string")
+    got = {r.id: tuple(r.f) for r in table.select("id", headings.recognise(F.col("head"), rules).alias("f")).collect()}
+    import re
+
+    for i, head in heads:
+        best = (0.0, 0, headings.UNKNOWN)
+        for order, rule in enumerate(rules):
+            at = next((m.start() + 1 for p in rule.patterns if (m := re.search(p, head, re.M))), None)
+            if at:
+                best = max(best, (rule.weight * (1 if at <= 90 else 0.6), -order, rule.key))
+        assert got[i] == (best[2], best[0])
+
+
+def test_decisions_are_refused_in_order(spark):
+    edges = spark.createDataFrame([("c", 1, 2)], "case_id string, parent long, child long")
+    pieces = spark.createDataFrame([("c", 1, "excluida", True), ("c", 2, "incluida", True), ("c", 3, "incluida", True), ("c", 4, "pendiente", False)], "case_id string, piece_id long, state string, active boolean")
+    asked = [(2, "incluida"), (3, "incluida"), (3, "bogus"), (4, "bogus"), (9, "incluida"), (3, None), (1, "excluida")]
+    got = [(r.piece_id, r.new, r.outcome) for r in decisions.validate(spark.createDataFrame([("c", *a) for a in asked], "case_id string, piece_id long, new string"), pieces, edges).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(2, "incluida", "procedencia_excluida"), (3, "incluida", "sin_cambio"), (3, "bogus", "estado_desconocido"), (4, "bogus", "estado_desconocido"), (9, "incluida", "inexistente"), (3, None, "estado_desconocido"), (1, "excluida", "sin_cambio")]))
+    log = spark.createDataFrame([(1, "c", 3, "type_final", "x"), (2, "c", 3, "type_final", " "), (3, "c", 4, "notes", "n"), (4, "c", 3, "type_final", "acta")], "seq long, case_id string, piece_id long, field string, new string")
+    assert {r.seq for r in decisions.editable(log, ("acta",), pieces).collect()} == {2, 4}
+
+
+PIECE = "case_id string, piece_id long, page_start long, page_end long, doc_id long, type string, type_final string, description string, notes string, warnings array<string>, group_id long, date string, confidence double, order_out long, active boolean, state string"
+
+
+def test_halves_and_merged_pieces_in_full(spark):
+    numbers = spark.createDataFrame([("c", p, 400 + p, "") for p in range(1, 20) if p != 5], "case_id string, global_no long, num long, suffix string")
+    row = lambda i, a, b, **kw: ("c", i, a, b, kw.get("doc", 7), kw.get("type", "acta"), kw.get("final"), kw.get("d", f"P{i}"), "n", ["w"], 3, kw.get("date"), kw.get("conf", 0.5), i, kw.get("on", True), kw.get("state", "pendiente"))
+    pieces = spark.createDataFrame([row(1, 1, 5, final="pericia", date="2024-01-02"), row(2, 6, 6), row(3, 7, None, conf=None), row(4, None, None), row(5, 8, 9, type="otra"), row(6, 10, 12, state="excluida"), row(7, 13, 15, on=False)], PIECE)
+    at = spark.createDataFrame([("c", 1, 3), ("c", 2, 6), ("c", 3, 8), ("c", 4, 1), ("c", 5, 9), ("c", 6, 11), ("c", 7, 14)], "case_id string, piece_id long, page long")
+    halves, links = decisions.split(pieces, at, numbers)
+    got = {(r.parent, r.half): r for r in halves.collect()}
+    assert set(got) == {(1, 1), (1, 2), (5, 1), (5, 2)} and links.count() == 4
+    r = got[(1, 2)]
+    assert (r.page_start, r.page_end, r.description, r.type, r.doc_id, r.warnings, r.number_start, r.number_end, r.state, r.origin, r.date) == (3, 5, "P1 (segunda parte)", "pericia", 7, ["w"], "403", None, "pendiente", "division", "2024-01-02")
+    parts = spark.createDataFrame([("c", 1, 2), ("c", 1, 1), ("c", 2, 2), ("c", 2, 4), ("c", 3, 3), ("c", 3, 2), ("c", 4, 5), ("c", 4, 99), ("c", 5, 5)], "case_id string, union_id long, piece_id long")
+    merged = {r.union_id: r for r in decisions.union(pieces, parts, numbers).collect()}
+    assert set(merged) == {1, 3}  # 2 has a part without pages, 4 one that is not there, 5 is alone
+    assert (merged[1].page_start, merged[1].page_end, merged[1].description, merged[1].type, merged[1].warnings, merged[1].number_start, merged[1].number_end) == (1, 6, "P1", "pericia", ["union_de_tipos_distintos"], "401", "406")
+    assert (merged[3].page_start, merged[3].page_end, merged[3].warnings, merged[3].confidence) == (6, 7, [], 0.5)
+
+
+def test_the_view_without_an_end_page(spark):
+    from sheafwork.operators import checklist
+
+    pieces = spark.createDataFrame([("c", 1, 2, None), ("c", 2, 2, None), ("c", 3, 9, 3), ("c", 4, 2, 3)], "case_id string, piece_id long, page_start long, page_end long")
+    for name, kind in (("active", "boolean"), ("state", "string"), ("origin", "string"), ("confidence", "double"), ("order_out", "long"), ("order_in_group", "long"), ("group_id", "long"), ("type", "string"), ("description", "string"), ("date_detected", "string"), ("source_text", "string")):
+        pieces = pieces.withColumn(name, F.lit(None).cast(kind))
+    pieces = pieces.withColumn("warnings", F.array().cast("array<string>")).withColumn("active", F.lit(True))
+    pages_ = spark.createDataFrame([("c", 2, 402, "", "detectada", "interpolada"), ("c", 3, 403, "", "confirmada", "leida")], "case_id string, global_no long, num long, suffix string, origin string, reading string")
+    log = spark.createDataFrame([(1, "c", 1, "number_start_final", "77")], "seq long, case_id string, piece_id long, field string, new string")
+    groups = spark.createDataFrame([], "case_id string, group_id long, name string, ord int")
+    links = spark.createDataFrame([], "case_id string, piece_id long, person_id long, function string")
+    people = spark.createDataFrame([], "case_id string, person_id long, name string")
+    out = {r.piece_id: r for r in checklist.effective(pieces, decisions.finals(log), pages_, groups, links, people).collect()}
+    say = lambda r: (r.number_start, r.number_end, r.origin_start, r.origin_end, r.firm, r.interpolated)
+    assert say(out[1]) == ("77", None, "manual", "manual", True, False)
+    assert say(out[2]) == ("402", None, "detectada", "detectada", False, True)
+    assert say(out[3]) == (None, "403", "desconocida", "confirmada", False, False)
+    assert say(out[4]) == ("402", "403", "detectada", "confirmada", False, True)
+    assert {r.piece_id for r in checklist.filtered(checklist.effective(pieces, decisions.finals(log), pages_, groups, links, people), "foja_sin_confirmar").collect()} == {2, 3, 4}
+
+
+def test_the_strip_shows_the_piece_listed_last(spark):
+    from sheafwork.operators import checklist
+
+    rows = [("c", 1, 1, 4, 1, "pendiente"), ("c", 2, 2, 3, 2, "excluida"), ("c", 3, 3, 3, 0, "incluida"), ("c", 4, 6, None, 5, "excluida"), ("c", 5, 6, 9, None, "pendiente")]
+    view = spark.createDataFrame(rows, "case_id string, piece_id long, page_start long, page_end long, order_out long, state string").withColumn("active", F.lit(True))
+    sheets = spark.range(1, 9).select(F.lit("c").alias("case_id"), F.col("id").alias("global_no"))
+    assert {r.mark: r.state for r in checklist.page_strip(view, sheets).collect()} == {0: "pendiente", 1: "excluida", 2: "incluida", 3: "pendiente", 5: "pendiente", 6: "pendiente", 7: "pendiente"}
+    assert {r.mark: r.state for r in checklist.page_strip(view, sheets, 4).collect()} == {0: "pendiente", 1: "incluida", 2: "pendiente", 3: "pendiente"}
+
+
+def test_saving_a_detection(spark):
+    offered = spark.createDataFrame([("c", 1, 2), ("c", 3, 3), ("c", 5, 6), ("d", 1, 1)], "case_id string, page_start long, page_end long")
+    covered = spark.createDataFrame([("c", 6), ("d", 1)], "case_id string, global_no long")
+    pieces = spark.createDataFrame([("c", 8, "automatica", True), ("c", 4, "manual", True), ("d", 1, "automatica", True), ("d", 2, "automatica", False)], "case_id string, order_out long, origin string, active boolean")
+    numbers = spark.createDataFrame([("c", 1, 401, ""), ("c", 3, 3, "bis")], "case_id string, global_no long, num long, suffix string")
+    made, said = segmentation.save(offered, covered, pieces, numbers)
+    assert sorted((r.page_start, r.order_out, r.number_start, r.number_end) for r in made.collect()) == [(1, 9, "401", None), (3, 10, "3 bis", "3 bis")]
+    assert {r.case_id: (r.created, r.existing, r.discarded, r.reason) for r in said.collect()} == {"c": (2, 1, 1, None), "d": (0, 1, 1, segmentation.COVERED)}

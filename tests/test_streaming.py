@@ -45,40 +45,64 @@ def test_live_states_and_counters(spark, sf, stream):
     assert counts.exceptAll(log.groupBy("case_id", "field", "new").agg(F.count("*").alias("n"))).isEmpty()
 
 
+def same(got, want):
+    assert got.count() == want.count() and got.select(want.columns).exceptAll(want).isEmpty()
+
+
+def test_the_fold_of_a_stream_equals_batch(spark, sf, stream):
+    switches = tables.made_log(spark, sf).select("seq", F.lit("e0").alias("case_id"), (F.col("piece_id") % 50).alias("piece_id"), "field", F.lit("1").alias("new"))
+    # one order of numbers for each piece
+    log = tables.log(spark, sf).unionByName(switches.withColumn("seq", F.xxhash64("seq", "piece_id", "field") % 10**9)).dropDuplicates(["case_id", "piece_id", "seq"])
+    got = drain(live.live_fold(stream(log.orderBy(F.rand(3)), "fold", parts=7)), "complete", "folded")
+    pieces = log.select("case_id", "piece_id").distinct()
+    from sheafwork.operators import lineage
+
+    want = decisions.states(pieces, log).join(decisions.finals(log), ["case_id", "piece_id"], "left").join(decisions.last(log, "group_id"), ["case_id", "piece_id"], "left").join(lineage.last_switch(log).withColumnRenamed("field", "switch"), ["case_id", "piece_id"], "left")
+    same(got, want)
+    assert got.where("switch IS NOT NULL").count() > 10 and got.where("number_start_final IS NOT NULL").count() > 10
+
+
 def test_streamed_proposals_equal_batch(spark, sf, stream, tmp_path):
     pages = queries.chat_numbered(spark, sf)
-    covered = pages.where("doc_id % 5 = 0").select("case_id", "global_no")
+    covered = pages.where("doc_id % 5 = 0 OR global_no % 17 = 3").select("case_id", "global_no")
     source = stream(pages.repartition(1, "doc_id"), "pages", parts=1)
-    live.proposals(source, tables.RULES, lambda: covered, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    want = segmentation.propose(pages, tables.RULES, covered)
-    assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+    live.proposals(source, tables.RULES, covered, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    same(live.latest(spark.read.parquet(str(tmp_path / "out"))), segmentation.propose(pages, tables.RULES, covered))
 
 
-def test_a_document_in_several_batches_is_proposed_as_a_whole(spark, sf, tmp_path):
-    pages = queries.chat_numbered(spark, sf)
-    for part in (0, 1, 2):
+def test_pages_of_a_document_come_split_late_and_twice(spark, sf, tmp_path):
+    pages = queries.chat_numbered(spark, sf).withColumn("text", F.when(F.col("global_no") % 11 != 4, F.col("text")))
+    for part in (2, 0, 1):
         pages.where(F.col("page_no") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    pages.where("page_no = 1").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
     source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
     none = pages.limit(0).select("case_id", "global_no")
-    live.proposals(source, tables.RULES, lambda: none, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got, want = live.latest(spark.read.parquet(str(tmp_path / "out"))), segmentation.propose(pages, tables.RULES, none)
-    assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+    q = live.proposals(source, tables.RULES, none, str(tmp_path / "out"), str(tmp_path / "check"))
+    q.awaitTermination()
+    same(live.latest(spark.read.parquet(str(tmp_path / "out"))), segmentation.propose(pages, tables.RULES, none))
 
 
-def test_streamed_counters_equal_batch(spark, sf, stream, tmp_path):
-    from sheafwork.operators import checklist
+def test_rows_of_a_batch_do_not_grow(spark, sf, tmp_path):
+    pages = queries.chat_numbered(spark, sf)
+    for part in range(6):
+        pages.where(F.col("doc_id") % 6 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
+    q = live.proposals(source, tables.RULES, pages.limit(0).select("case_id", "global_no"), str(tmp_path / "out"), str(tmp_path / "check"))
+    q.awaitTermination()
+    read = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(read) == 6 and max(read) <= 3 * pages.count() / 6 and sum(read) <= 2 * pages.count()
 
-    def view_of(log):
-        pieces = decisions.states(tables.raw_pieces(spark, sf), log)
-        grouped = pieces.join(decisions.groups_of(pieces, log, tables.groups(spark, sf)), ["case_id", "piece_id"])
-        return checklist.effective(grouped, decisions.finals(log), tables.numbered_pages(spark, sf), tables.groups(spark, sf), queries.links(spark, sf), tables.people(spark, sf))
 
-    live.checklist_counters(stream(tables.log(spark, sf), "log3"), view_of, str(tmp_path / "counts"), str(tmp_path / "mark")).awaitTermination()
+def test_streamed_counters_equal_batch(spark, sf, stream, tmp_path):
+    log, start = tables.log(spark, sf), queries.start_view(spark, sf)
+    q = live.checklist_counters(stream(log.orderBy(F.rand(5)), "log3", parts=5), start, str(tmp_path / "counts"), str(tmp_path / "mark"))
+    q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "counts"))
     last = got.where(F.col("batch") == got.agg(F.max("batch")).first()[0]).drop("batch")
-    want = queries.counters(spark, sf)
-    assert last.count() == want.count() and last.select(want.columns).exceptAll(want).isEmpty()
+    same(last, queries.counters(spark, sf))
+    assert got.select("batch").distinct().count() == 5
+    read = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert max(read) <= 2 * log.count() / 5
 
 
 def test_sinks_and_folder_load(spark, sf, tmp_path):
