@@ -95,7 +95,8 @@ def gradients(net: Network, data: np.ndarray, labels: np.ndarray, mask: np.ndarr
     down = np.matmul(net.output.T, p)
     grads = []
     for d in (0, 1):
-        table, weights, carry = np.zeros_like(net.inputs[d]), np.zeros_like(net.recurrent[d]), np.zeros((h, n), np.float32)
+        weights, carry = np.zeros_like(net.recurrent[d]), np.zeros((h, n), np.float32)
+        down_to = np.empty((steps, 3 * h, n), np.float32)
         for t, before, gates, new, candidate in reversed(kept[d]):
             z, r = gates[:h], gates[h:]
             g = (down[t, d * h : (d + 1) * h] + carry) * here[t]
@@ -103,10 +104,11 @@ def gradients(net: Network, data: np.ndarray, labels: np.ndarray, mask: np.ndarr
             dz, dr = g * (before - new) * z * (1 - z), dn * candidate * r * (1 - r)
             du = np.concatenate([dz, dr, dn * r])
             weights += du @ before.T
-            dx = np.concatenate([dz, dr, dn])
-            for k in range(3 * h):
-                table[k] += np.bincount(data[t], weights=dx[k], minlength=256)
+            down_to[t] = np.concatenate([dz, dr, dn])
             carry = g * z + net.recurrent[d].T @ du
+        # all bytes of a batch are summed by value at once
+        places = (np.arange(3 * h) * 256)[None, :, None] + data[:, None, :]
+        table = np.bincount(places.ravel(), weights=down_to.ravel(), minlength=3 * h * 256).reshape(3 * h, 256).astype(net.inputs[d].dtype)
         grads += [table, weights]
     return loss, [grads[0], grads[2], grads[1], grads[3], output, p.sum(axis=(0, 2))]
 
@@ -243,7 +245,7 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def spans(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id and the runs of equally labelled bytes of its text: start, stop (bytes), lang."""
+    """doc_id and the runs of equally labelled bytes of its text: start, stop (bytes), lang. A null or empty text has none; long texts are read whole; repeated rows and ids give theirs each. Other columns, whatever their names, are not looked at. No rows give none."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

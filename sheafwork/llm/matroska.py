@@ -186,9 +186,9 @@ def value(data: bytes, body: int, stop: int) -> int:
     return int.from_bytes(data[body:stop], "big")
 
 
-def parse(data: bytes) -> File:
-    """A file's tables. Elements that are not needed are skipped by their length."""
-    out = File()
+def parse(data: bytes, out: File | None = None) -> File:
+    """A file's tables. Elements that are not needed are skipped by their length. What is no Matroska file, or is cut off, raises; `out` then holds what came before."""
+    out = File() if out is None else out
     for name, _, body, stop in elements(data, 0, len(data)):
         if name != SEGMENT:
             continue
@@ -278,7 +278,7 @@ def stored_columns(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """doc_id and `media`, the text's payload as a Matroska file."""
+    """doc_id and `media`, the text's payload as a Matroska file. Null and empty texts are 64 zero bytes; long ones are written whole; repeated rows are written each; no rows give none."""
     from pyspark.sql.types import BinaryType
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -289,15 +289,38 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(run, BinaryType())("text").alias("media"))
 
 
+def readable(data: bytes | None) -> tuple[File, str | None]:
+    """A file's tables, and what is wrong with it: null, or why reading stopped. Bytes without a packet are wrong too."""
+    out = File()
+    if not data:
+        return out, None
+    try:
+        parse(data, out)
+    except (ValueError, IndexError, KeyError, struct.error, OverflowError) as x:
+        return out, f"{type(x).__name__}: {x}"
+    return out, None if out.packets else "no packets"
+
+
 def packets(files: DataFrame, key: str = "doc_id", content: str = "media") -> DataFrame:
-    """The packet table of a column of Matroska files: the key and the columns of PACKET. A null file has no packets."""
+    """The packet table of a column of Matroska files: the key, the columns of PACKET, and `error`.
+
+    A null or empty file has no packets. A damaged or foreign one has the packets before the damage, if
+    its segment is whole, and a row without packet that tells the `error`. Repeated keys are read each; no rows give none. Other columns,
+    whatever their names, are not looked at.
+    """
+    told = StructType([*PACKET.fields, StructField("error", StringType())])
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[dict(zip(PACKET.names, p, strict=True)) for p in parse(b).packets] if b else [] for b in batch])
+            rows = []
+            for data in batch:
+                found, error = readable(data)
+                held = [dict(zip(PACKET.names, p, strict=True)) | {"error": None} for p in found.packets]
+                rows.append(held + ([dict.fromkeys(PACKET.names) | {"error": error}] if error else []))
+            yield pd.Series(rows, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    table = F.pandas_udf(run, ArrayType(PACKET))(content)
+    table = F.pandas_udf(run, ArrayType(told))(content)
     return files.select(key, F.explode(table).alias("_packet")).select(key, "_packet.*")
 
 

@@ -298,7 +298,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, checked: bool = False)
 
 
 def token_ids(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and its ids (array of int)."""
+    """doc_id and its ids (array of int). A null or empty text has none but begin and end; long texts are read whole; repeated rows and ids give theirs each. Other columns, whatever their names, are not looked at. No rows give none."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = pieces(model_path(model))

@@ -228,7 +228,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
-    """The sentences that score `least` or more: doc_id, sentence_no (from 0), start, stop (code points), sentence, score."""
+    """The sentences that score `least` or more: doc_id, sentence_no (from 0), start, stop (code points), sentence, score. A null or empty text has none; long texts are read whole; repeated rows and ids give theirs each. Other columns, whatever their names, are not looked at. No rows give none."""
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -30,7 +30,7 @@ ARCHIVES = StructType([StructField("archive", StringType()), StructField("conten
 RECORDS = StructType([
     StructField("archive", StringType()), StructField("offset", LongType()), StructField("length", LongType()), StructField("record_type", StringType()),
     StructField("record_id", StringType()), StructField("url", StringType()), StructField("refers_to", StringType()), StructField("payload_digest", StringType()),
-    StructField("payload_bytes", LongType()), StructField("digest_ok", BooleanType()), StructField("payload", BinaryType()),
+    StructField("payload_bytes", LongType()), StructField("digest_ok", BooleanType()), StructField("payload", BinaryType()), StructField("error", StringType()),
 ])
 
 
@@ -91,10 +91,18 @@ def parse(archive: str, content: bytes) -> Iterator[dict]:
         yield {
             "archive": archive, "offset": offset, "length": length, "record_type": kind, "record_id": head["warc-record-id"].strip("<>"), "url": head.get("warc-target-uri"),
             "refers_to": head["warc-refers-to"].strip("<>") if kind == "revisit" else None, "payload_digest": digest,
-            "payload_bytes": int(fields_of(block[:http_end]).get("content-length", len(payload))), "digest_ok": good, "payload": payload if kind == "response" else None,
+            "payload_bytes": int(fields_of(block[:http_end]).get("content-length", len(payload))), "digest_ok": good, "payload": payload if kind == "response" else None, "error": None,
         }
 
 
+def records_of(archive: str, content: bytes) -> Iterator[dict]:
+    """The records of an archive up to the first damaged one, and then a row that tells the `error` and has nothing else but the archive. A null archive has no records."""
+    try:
+        yield from parse(archive, content or b"")
+    except (ValueError, KeyError, IndexError, zlib.error) as x:
+        yield dict.fromkeys(RECORDS.names) | {"archive": archive, "error": f"{type(x).__name__}: {x}", "payload_bytes": 0}
+
+
 def write_archives(rows: DataFrame) -> DataFrame:
     """(archive, content) from rows of record_type, record_id, url, refers_to, payload (binary, null for a revisit), payload_bytes, payload_digest."""
 
@@ -117,13 +125,13 @@ def write_archives(rows: DataFrame) -> DataFrame:
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of archives (archive, content), one archive at a time, some records to a batch."""
+    """The records of archives (archive, content), one archive at a time, some records to a batch. A damaged archive ends with a row that tells its `error` (`records_of`); no archives give no rows."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["archive"], batch["content"], strict=True):
                 held, size = [], 0
-                for r in parse(name, content):
+                for r in records_of(name, content):
                     size += r["payload_bytes"]
                     held.append(r if payloads else r | {"payload": None})
                     if len(held) >= 1000 or size > 8 << 20:
@@ -165,7 +173,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Pages written as archives, cut off in the shared folder, and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok. Odd rows are as in `page_records`."""
     number = lambda c: F.expr(f"try_cast(substr({c}, 10) AS BIGINT)")
     return read_archives(cut(write_archives(page_records(pages))), payloads=False).select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "digest_ok"
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), F.coalesce("digest_ok", F.lit(False)).alias("digest_ok")
     )
 
 

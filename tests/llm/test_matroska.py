@@ -61,3 +61,19 @@ def test_odd_rows_and_packet_table(spark, odd, docs):
     assert steps == {mk.FRAME * 10**9 // mk.RATE}
     found = mk.parse(content)
     assert [c[2] for c in found.cues] == found.clusters and len(found.clusters) > 3
+
+
+def test_damaged_files_become_error_rows(spark):
+    rng = random.Random(7)
+    good = mk.write(b"x" * 6400)
+    rows = [(0, good), (1, None), (2, b""), (3, good[: len(good) // 2]), (4, b"RIFF....WAVEfmt "), (5, rng.randbytes(500))]
+    rows += [(10 + i, bytes(b ^ (rng.random() < 0.01) * rng.randrange(1, 256) for b in good)) for i in range(40)]
+    out = mk.packets(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r)
+    assert all(r.error is None for r in by[0]) and 1 not in by and 2 not in by
+    assert by[3][-1].error and by[3][-1].offset is None and len(by[3]) == 1
+    assert by[4][-1].error and by[5][-1].error
+    assert all(sum(r.error is not None for r in v) <= 1 for v in by.values())
+    assert any(len(v) > 1 and v[-1].error for v in by.values())

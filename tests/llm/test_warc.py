@@ -38,3 +38,13 @@ def test_damage_is_found():
     assert [r["digest_ok"] for r in warc.parse("a", good + bad)] == [True, False]
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse("a", good[:-4]))
+
+
+def test_damaged_archives_become_error_rows(spark):
+    one = warc.record("response", "urn:page:1", b"payload", 7, hashlib.sha256(b"payload").hexdigest())
+    rows = [("good", one), ("cut", one + one[:-4]), ("foreign", b"not gzip at all"), ("plain", zlib.compress(b"no record", wbits=31)), ("empty", b""), ("none", None)]
+    got = warc.read_archives(spark.createDataFrame(rows, warc.ARCHIVES)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.archive, []).append((r.record_id, bool(r.error)))
+    assert by == {"good": [("urn:page:1", False)], "cut": [("urn:page:1", False), (None, True)], "foreign": [(None, True)], "plain": [(None, True)]}
