@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_text
+from ..plans.graph import cut, few_reached, reached
 from .lineage import active_descendants, last_switch, tainted
 
+#: Active descendants of a piece that are looked at before all are.
+WITNESSES = 4
+
 # The three states, the fields that a person may set, what halves and bulk changes are called, and the warning of a merge.
 INCLUDED, EXCLUDED, PENDING = "incluida", "excluida", "pendiente"
 STATES = (INCLUDED, EXCLUDED, PENDING)
@@ -183,13 +187,21 @@ def may_undo(edges: DataFrame, pieces: DataFrame, roots: DataFrame) -> DataFrame
     none but the halves.
     """
     made = roots.join(edges.select("case_id", F.col("child").alias("root"), F.col("parent").alias("source"), "kind"), ["case_id", "root"])
-    own = made.join(pieces.where("active").select("case_id", F.col("piece_id").alias("root")), ["case_id", "root"], "left_semi")
-    below = active_descendants(edges, pieces, own.select("case_id", F.col("source").alias("root")).distinct()).select("case_id", F.col("root").alias("source"), "node")
+    own = cut(made.join(pieces.where("active").select("case_id", F.col("piece_id").alias("root")), ["case_id", "root"], "left_semi"))
     halves = edges.where("kind = 'division'").select("case_id", F.col("parent").alias("source"), F.col("child").alias("node"))
     own_parts = own.where("kind = 'union'").select("case_id", "root", F.explode(F.array("root", "source")).alias("node"))
     exempt = own_parts.union(own.where("kind = 'division'").join(halves, ["case_id", "source"]).select("case_id", "root", "node")).distinct()
-    busy = own.select("case_id", "root", "source").join(below, ["case_id", "source"]).join(exempt, ["case_id", "root", "node"], "left_anti").select("case_id", "root").distinct()
-    free = own.select("case_id", "root").distinct().join(busy, ["case_id", "root"], "left_anti").withColumn("_free", F.lit(True))
+    # a few active descendants of each source tell, unless all of them are exempt and there may be more
+    on = pieces.where("active").select("case_id", F.col("piece_id").alias("node"))
+    below = few_reached(edges.select("case_id", F.col("parent").alias("a"), F.col("child").alias("b")), on, WITNESSES).select("case_id", F.col("node").alias("source"), F.col("found").alias("node"))
+    seen = cut(own.select("case_id", "root", "source").join(below, ["case_id", "source"]).join(exempt.withColumn("_exempt", F.lit(True)), ["case_id", "root", "node"], "left"))
+    told = seen.groupBy("case_id", "root", "source").agg(F.count("*").alias("_n"), F.count("_exempt").alias("_e"))
+    busy = told.where("_n > _e").select("case_id", "root")
+    unsure = cut(told.where((F.col("_n") == F.col("_e")) & (F.col("_n") == WITNESSES)).select("case_id", "root", "source"))
+    if not unsure.isEmpty():
+        every = active_descendants(edges, pieces, unsure.select("case_id", F.col("source").alias("root")).distinct()).select("case_id", F.col("root").alias("source"), "node")
+        busy = busy.union(unsure.join(every, ["case_id", "source"]).join(exempt, ["case_id", "root", "node"], "left_anti").select("case_id", "root"))
+    free = own.select("case_id", "root").distinct().join(busy.distinct(), ["case_id", "root"], "left_anti").withColumn("_free", F.lit(True))
     return roots.join(free, ["case_id", "root"], "left").select("case_id", "root", F.coalesce("_free", F.lit(False)).alias("allowed"))
 
 
@@ -214,7 +226,8 @@ def may_restore(edges: DataFrame, pieces: DataFrame, log: DataFrame) -> DataFram
     """Pieces that are off (case_id, piece_id) with whether they may be restored: a person discarded them last, and nothing that came from them is active."""
     off = pieces.where("NOT active").select("case_id", "piece_id")
     discarded = off.join(last_switch(log).where("field = 'descarte'").select("case_id", "piece_id"), ["case_id", "piece_id"], "left_semi")
-    busy = active_descendants(edges, pieces, discarded.select("case_id", F.col("piece_id").alias("root"))).select("case_id", F.col("root").alias("piece_id")).distinct()
+    on = pieces.where("active").select("case_id", F.col("piece_id").alias("node"))
+    busy = reached(edges.select("case_id", F.col("child").alias("a"), F.col("parent").alias("b")), on).select("case_id", F.col("node").alias("piece_id"))
     free = discarded.join(busy, ["case_id", "piece_id"], "left_anti").withColumn("_free", F.lit(True))
     return off.join(free, ["case_id", "piece_id"], "left").select("case_id", "piece_id", F.coalesce("_free", F.lit(False)).alias("allowed"))
 

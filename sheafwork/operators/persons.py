@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_key
 from ..plans.graph import smallest_reachable
+from ..plans.order import placed
 
 LEAST = 0.72
 
@@ -90,3 +91,10 @@ def by_introducer(people: DataFrame, links: DataFrame, pieces: DataFrame, includ
     listed = own.groupBy("case_id", "person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_start", "piece_id"))), lambda x: x["piece_id"]).alias("pieces"))
     named = people.select("case_id", "person_id", "name")
     return listed.join(named, ["case_id", "person_id"], "left")
+
+
+def introduced(people: DataFrame, links: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The same as rows, a row for each active piece, so that no person's pieces, nor those without one, are gathered: case_id, person_id, name, piece_id, place among the person's pieces by page."""
+    who = links.where("function = 'introductor'").select("case_id", "piece_id", "person_id").join(people.select("case_id", "person_id", "name"), ["case_id", "person_id"])
+    rows = pieces.where("active").select("case_id", "piece_id", "page_start").join(who, ["case_id", "piece_id"], "left")
+    return placed(rows, ["case_id", "person_id"], [F.col("page_start").asc_nulls_last(), F.col("piece_id")], "place").select("case_id", "person_id", "name", "piece_id", "place")

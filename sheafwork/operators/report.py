@@ -190,6 +190,14 @@ def staleness(saved: DataFrame, rebuilt: DataFrame, pieces: DataFrame, edges: Da
     return found.union(only_moved.select("case_id", "problem", "piece_id")).distinct()
 
 
+def export_gate(cases: DataFrame, saved: DataFrame, problems: DataFrame) -> DataFrame:
+    """Whether the saved report of each case may go out: case_id, pieces, problems, allowed. It may if there is one and nothing (rows of `staleness`) makes it stale."""
+    pieces = saved.where("kind = 'pieza'").groupBy("case_id").agg(F.count("*").alias("pieces"))
+    found = problems.groupBy("case_id").agg(F.count("*").alias("problems"))
+    rows = cases.select("case_id").join(pieces, "case_id", "left").join(found, "case_id", "left").fillna(0)
+    return rows.withColumn("allowed", (F.col("pieces") > 0) & (F.col("problems") == 0))
+
+
 def _up_to_date(refuse: DataFrame | None) -> None:
     if refuse is not None and (found := refuse.limit(3).collect()):
         raise Stale(f"out of date: {[(r.case_id, r.problem) for r in found]}")

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 200
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder: spark.checkpoint.dir, or a temporary one where none is set and the master is local."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set and the master is local."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sheafwork-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -59,6 +65,27 @@ def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return _doubled(links, first, ["case_id"])
 
 
+def few_reached(edges: DataFrame, marked: DataFrame, few: int) -> DataFrame:
+    """(case_id, node, found): for each node the `few` smallest marked nodes (case_id, node) that edges (case_id, a, b) lead to from it, itself excluded.
+
+    Holds no more than `few` rows of a node. In round k they are the smallest within 2**k steps, and meet
+    those at the ends of paths of just 2**k steps. A round that changes nothing is the last.
+    """
+    best = Window.partitionBy("case_id", "node").orderBy("found")
+    smallest = lambda df: df.where("node <> found").distinct().withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= few).drop("_n")
+    jumps, on = _links(edges), marked.select("case_id", F.col("node").alias("_next"), F.col("node").alias("found"))
+    ends = lambda known: known.select("case_id", F.col("node").alias("_next"), "found").unionByName(on)
+    meet = lambda known: jumps.join(ends(known), ["case_id", "_next"]).select("case_id", "node", "found")
+    now = cut(smallest(jumps.join(on, ["case_id", "_next"]).select("case_id", "node", "found")))
+    while True:
+        after = cut(smallest(now.unionByName(meet(now))))
+        if after.join(now, ["case_id", "node", "found"], "left_anti").isEmpty():
+            return now
+        now = after
+        onward = jumps.select("case_id", F.col("node").alias("_next"), F.col("_next").alias("_far"))
+        jumps = cut(jumps.join(onward, ["case_id", "_next"]).select("case_id", "node", F.col("_far").alias("_next")).distinct())
+
+
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(case_id, node, root): the smallest node of each connected group of edges (case_id, a, b). Labels fall to neighbours' and jump to their labels' labels."""
     both = cut(edges.where("a <> b").select("case_id", F.col("a").alias("node"), F.col("b").alias("_other")).union(edges.where("a <> b").select("case_id", F.col("b"), F.col("a"))).distinct())

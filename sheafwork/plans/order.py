@@ -20,9 +20,12 @@ def placed(rows: DataFrame, keys: list[str], order: list[Column], name: str = "p
     dealt = cut(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    before = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, "_part").orderBy(*order)
-    return dealt.withColumn("_at", F.row_number().over(within)).join(before, [*keys, "_part"]).withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+    # a key may be null
+    met = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_part") == F.col("_of")]
+    rows = dealt.withColumn("_at", F.row_number().over(within)).join(before, met)
+    return rows.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before", "_of", *[f"_key_{k}" for k in keys])
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], limit: int, start: int = 0, name: str = "place") -> DataFrame:

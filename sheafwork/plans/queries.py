@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import checklist, decisions, headings, lineage, lines, numbering, persons, registration, report, search, segmentation, similarity
+from ..streaming import live
 from . import tables as t
-from .graph import cut
+from .graph import cut, shared
 from .tables import RULES, sql
 
 QUERIES: dict = {}
@@ -812,6 +815,11 @@ def by_introducer(spark: SparkSession, d: str) -> DataFrame:
     return out.select("case_id", "person_id", F.size("pieces").cast("long").alias("n"), F.array_join(F.col("pieces").cast("array<string>"), ",").alias("pieces"))
 
 
+@query("g5_introduced_rows", sql("intro pieces", "SELECT p.case_id, i.person_id, i.name, p.piece_id, row_number() OVER (PARTITION BY p.case_id, i.person_id ORDER BY p.page_start, p.piece_id) AS place FROM pieces p LEFT JOIN intro i USING (case_id, piece_id) WHERE p.active"))
+def introduced_rows(spark: SparkSession, d: str) -> DataFrame:
+    return persons.introduced(t.people(spark, d), links(spark, d), decisions.states(t.raw_pieces(spark, d), t.log(spark, d)))
+
+
 @query("w13_page_strip", sql("view numbered_pages", """WITH e AS (SELECT case_id, max(global_no) AS n FROM numbered_pages GROUP BY 1), s AS (SELECT v.case_id, unnest(range(page_start, coalesce(page_end, page_start) + 1)) AS page, state, order_out, page_start, piece_id FROM view v WHERE active),
 p AS (SELECT case_id, page, CASE WHEN bool_or(state = 'incluida') THEN 'incluida' ELSE last(state ORDER BY order_out NULLS LAST, page_start NULLS LAST, piece_id) END AS state FROM s GROUP BY 1, 2),
 m AS (SELECT case_id, (page - 1) // greatest(1, cast(ceil(n / 40.0) AS BIGINT)) AS mark, max(CASE state WHEN 'incluida' THEN 3 WHEN 'pendiente' THEN 2 ELSE 1 END) AS r FROM p JOIN e USING (case_id) WHERE page <= n GROUP BY 1, 2)
@@ -1001,6 +1009,14 @@ def staleness(spark: SparkSession, d: str) -> DataFrame:
     return report.staleness(saved_report(spark, d), report.assemble(report_view(spark, d)), pieces, t.piece_edges(spark, d))
 
 
+@query("a11_export_gate", sql("view piece_edges", """WITH s AS (SELECT e.case_id, 'procedencia_excluida' AS problem, e.child AS piece_id FROM piece_edges e JOIN view x ON x.case_id = e.case_id AND x.piece_id = e.parent AND x.state = 'excluida' JOIN view v ON v.case_id = e.case_id AND v.piece_id = e.child WHERE v.state = 'incluida' AND v.active AND v.piece_id % 7 <> 0
+  UNION ALL SELECT case_id, 'falta', piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 = 0 UNION ALL SELECT case_id, 'cambio_texto', piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 <> 0 AND piece_id % 5 = 0),
+c AS (SELECT case_id, count(*) FILTER (state = 'incluida' AND active AND piece_id % 7 <> 0) AS pieces FROM view GROUP BY 1), k AS (SELECT case_id, count(*) AS problems FROM s GROUP BY 1)
+SELECT case_id, pieces, coalesce(problems, 0) AS problems, pieces > 0 AND coalesce(problems, 0) = 0 AS allowed FROM c LEFT JOIN k USING (case_id)"""))
+def export_gate(spark: SparkSession, d: str) -> DataFrame:
+    return report.export_gate(t.raw_pieces(spark, d).select("case_id").distinct(), saved_report(spark, d), staleness(spark, d))
+
+
 @query("a12_read_report", sql("view", "SELECT case_id, piece_id, piece_id % 3 = 0 AS is_edited, state FROM view WHERE state = 'incluida' AND active AND piece_id % 7 <> 0"))
 def read_report(spark: SparkSession, d: str) -> DataFrame:
     return report.read(saved_report(spark, d), decisions.states(t.raw_pieces(spark, d), t.log(spark, d))).select("case_id", "piece_id", "is_edited", "state")
@@ -1139,3 +1155,56 @@ def both_searches(spark: SparkSession, d: str) -> DataFrame:
     pages, pieces = search.search(search.index_of(text_pages(spark, d)), view(spark, d), "thes")
     row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), "case_id", F.col(key).alias("id"), F.col("place").cast("long").alias("place"))
     return row(pages, "page", "page_id").unionByName(row(pieces, "piece", "piece_id"))
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table, a file or a folder of files, as a stream. A single file is only taken by a pattern."""
+    return spark.readStream.schema(spark.read.parquet(f"{d}/{name}.parquet").schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def drained(frame: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives once all there is has been read, written to the shared folder."""
+    spark = frame.sparkSession
+    path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+
+    def run(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    frame.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", f"{path}/mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query("t1_live_intake", sql("deliveries", "SELECT DISTINCT case_id, sha256(content) AS sha256 FROM deliveries WHERE strlen(content) > 0"))
+def live_intake(spark: SparkSession, d: str) -> DataFrame:
+    rows = streamed(spark, d, "documents").select(F.col("source").alias("case_id"), F.col("text").alias("content"))
+    return drained(live.intake(rows), "append")
+
+
+@query("t2_live_fold", sql("log", """SELECT case_id, piece_id, coalesce(arg_max(new, seq) FILTER (field = 'state'), 'pendiente') AS state, arg_max(new, seq) FILTER (field = 'group_id') AS group_id, nullif(trim(arg_max(new, seq) FILTER (field = 'type_final')), '') AS type_final,
+  nullif(trim(arg_max(new, seq) FILTER (field = 'number_start_final')), '') AS number_start_final, nullif(trim(arg_max(new, seq) FILTER (field = 'number_end_final')), '') AS number_end_final FROM log GROUP BY ALL"""))
+def live_fold(spark: SparkSession, d: str) -> DataFrame:
+    log = t.log_of(streamed(spark, d, "events"))
+    return drained(live.live_fold(log), "complete").select("case_id", "piece_id", "state", "group_id", "type_final", "number_start_final", "number_end_final")
+
+
+@query("t3_live_proposals", ORACLES["c6_c8_pieces"])
+def live_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Chat pages as a stream, with the numbers that the whole gives them."""
+    offsets = chat_numbered(spark, d).groupBy("case_id", "doc_id").agg(F.min(F.col("global_no") - F.col("page_no")).alias("_before"))
+    pages = t.chat_pages_of(streamed(spark, d, "conversations")).join(offsets, ["case_id", "doc_id"]).withColumn("global_no", F.col("_before") + F.col("page_no"))
+    path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    live.proposals(pages, RULES, chat_numbered(spark, d).limit(0).select("case_id", "global_no"), f"{path}/out", f"{path}/mark").awaitTermination()
+    found = live.latest(spark.read.parquet(f"{path}/out"))
+    return found.select("case_id", "doc_id", "page_start", "page_end", "type", "source_text", "confidence", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("t4_live_counters", ORACLES["g1_counters"])
+def live_counters(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    live.checklist_counters(t.log_of(streamed(spark, d, "events")), cut(start_view(spark, d)), f"{path}/out", f"{path}/mark").awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    last = out.agg(F.max("batch")).first()[0]
+    return out.where(F.col("batch") == last).drop("batch")

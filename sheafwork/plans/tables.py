@@ -44,7 +44,11 @@ def deliveries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chat_pages(spark: SparkSession, d: str) -> DataFrame:
-    return conversations(spark, d).select(F.concat(F.lit("c"), F.col("conv_id") % 10).alias("case_id"), F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "text", (((F.col("conv_id") * 31 + F.col("turn") * 17) % 100) / 100.0).alias("conf"))
+    return chat_pages_of(conversations(spark, d))
+
+
+def chat_pages_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat(F.lit("c"), F.col("conv_id") % 10).alias("case_id"), F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "text", (((F.col("conv_id") * 31 + F.col("turn") * 17) % 100) / 100.0).alias("conf"))
 
 
 def chat_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +67,10 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
+    return log_of(events(spark, d))
+
+
+def log_of(rows: DataFrame) -> DataFrame:
     kind, e = F.col("event_type"), F.col("event_id")
     typed = (kind == "signup") & (e % 3 < 2)
     field = F.when(kind == "click", "group_id").when(kind == "view", "type_final").when(typed & (e % 3 == 0), "number_start_final").when(typed, "number_end_final").otherwise("state")
@@ -70,7 +78,7 @@ def log(spark: SparkSession, d: str) -> DataFrame:
         F.when(kind == "click", (e % 6).cast("string")).when(kind == "view", F.element_at(F.array(*map(F.lit, ("", "fr", "de", "en"))), (e % 4).cast("int") + 1)).when(typed & (e % 7 == 0), " ").when(typed, (e % 900).cast("string"))
         .when(kind == "purchase", "incluida").when(kind == "error", "excluida").otherwise("pendiente")
     )
-    return events(spark, d).select(e.alias("seq"), F.concat(F.lit("e"), F.col("user_id") % 5).alias("case_id"), F.col("user_id").alias("piece_id"), field.alias("field"), new.alias("new"))
+    return rows.select(e.alias("seq"), F.concat(F.lit("e"), F.col("user_id") % 5).alias("case_id"), F.col("user_id").alias("piece_id"), field.alias("field"), new.alias("new"))
 
 
 def link_log(spark: SparkSession, d: str) -> DataFrame:

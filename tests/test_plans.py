@@ -75,6 +75,10 @@ def test_closure_of_random_graphs(spark):
 
     want = {(r, x) for r in range(40) for x in below(r) if x != r}
     assert {(r.root, r.node) for r in graph.closure(edges, roots).collect()} == want
+    marks = set(range(0, 40, 3))
+    marked = spark.createDataFrame([("c", i) for i in marks], "case_id string, node long")
+    few = {(r.node, r.found) for r in graph.few_reached(edges, marked, 3).collect()}
+    assert few == {(i, x) for i in range(40) for x in sorted((below(i) - {i}) & marks)[:3]}
     some = spark.createDataFrame([("c", 3), ("c", 11)], "case_id string, node long")
     assert {r.node for r in graph.reached(edges, some).collect()} == below(3) | below(11)
 
@@ -107,3 +111,18 @@ def test_typed_and_confirmed_numbers(spark):
     assert got[2] == ("manual", 55, "bis", 1.0) and got[3] == ("desconocida", None, "", None) and got[8] == ("manual", 12, "", 1.0)
     assert got[1] == ("confirmada", 401, "", 1.0) and got[4] == ("desconocida", None, "", 0.8) and got[5] == ("confirmada", 405, "", 1.0) and got[10] == ("detectada", 410, "", 0.8)
     assert {r.seq for r in numbering.refused_numbers(log).collect()} == {2, 7}
+
+
+def test_undo_by_witnesses_equals_undo_by_pairs(spark, monkeypatch):
+    from sheafwork.operators import decisions
+
+    rng = random.Random(12)
+    rows = {("c", rng.randrange(60), rng.randrange(60, 120), rng.choice(["union", "division"])) for _ in range(70)} | {("c", rng.randrange(60, 120), rng.randrange(120, 150), rng.choice(["union", "division"])) for _ in range(40)}
+    edges = spark.createDataFrame(list({r[:3]: r for r in rows}.values()), "case_id string, parent long, child long, kind string")
+    pieces = spark.createDataFrame([("c", i, rng.random() < 0.6) for i in range(150)], "case_id string, piece_id long, active boolean")
+    roots = pieces.select("case_id", F.col("piece_id").alias("root"))
+    want = {tuple(r) for r in decisions.may_undo(edges, pieces, roots).collect()}
+    for n in (1, 2, 50):
+        monkeypatch.setattr(decisions, "WITNESSES", n)
+        assert {tuple(r) for r in decisions.may_undo(edges, pieces, roots).collect()} == want
+    assert 0 < sum(r[2] for r in want) < 100
