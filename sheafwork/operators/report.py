@@ -248,13 +248,13 @@ def backup_records(**parts: DataFrame) -> DataFrame:
     return out
 
 
-def backup(cases: DataFrame, documents: DataFrame, pieces: DataFrame, log: DataFrame) -> DataFrame:
-    """A JSON document for each case: the case, its documents, all active pieces whatever their state, and the log. Not held back by staleness. For cases that fit a row; `backup_records` has no such bound."""
-    listed = lambda df, name, *cs: df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*cs))).alias(name))
-    parts = [listed(documents, "documentos", "doc_id", "sha256"), listed(pieces.where("active"), "piezas", "piece_id", "state", "description"), listed(log, "revisiones", "seq", "piece_id", "field", "new")]
+def backup(cases: DataFrame, **parts: DataFrame) -> DataFrame:
+    """A JSON document for each case: the case, and of each table (with a case_id) its rows as a list, sorted; a table without rows of the case gives an empty list. Not held back by staleness. For cases that fit a row; `backup_records` has no such bound."""
     out = cases
-    for part in parts:
-        out = out.join(part, "case_id", "left")
+    for name, df in parts.items():
+        row = F.struct(*[c for c in df.columns if c != "case_id"])
+        listed = df.groupBy("case_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+        out = out.join(listed, "case_id", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
     return out.select("case_id", F.to_json(F.struct(*out.columns)).alias("json"))
 
 

@@ -11,7 +11,9 @@ from ..functions import text as tx
 from ..operators import checklist, decisions, headings, lineage, lines, numbering, persons, registration, report, search, segmentation, similarity
 from ..streaming import live
 from . import tables as t
+from . import snapshots
 from .graph import cut, shared
+from .ranges import inside
 from .tables import RULES, sql
 
 QUERIES: dict = {}
@@ -1054,11 +1056,28 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return report.lines_of(*grouped_report(spark, d))
 
 
+def backup_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables of a backup: documents, page numbers, groups, persons, all active pieces whatever their state, the log, and the last report."""
+    docs = t.documents(spark, d).select(F.concat(F.lit("e"), F.col("doc_id") % 5).alias("case_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    pages = t.numbered_pages(spark, d).select("case_id", "global_no", "num", "suffix", "origin")
+    pieces = full_pieces(spark, d).where("active").drop("doc_id")
+    return {"documentos": docs, "fojas": pages, "grupos": t.groups(spark, d), "personas": t.people(spark, d), "evidencias": pieces, "revisiones": t.log(spark, d), "informe": report.assemble(report_view(spark, d))}
+
+
 @query("s8_backups")
 def backups(spark: SparkSession, d: str) -> DataFrame:
-    pieces = decisions.states(t.raw_pieces(spark, d), t.log(spark, d))
-    docs = t.documents(spark, d).select(F.concat(F.lit("e"), F.col("doc_id") % 5).alias("case_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return report.backup(pieces.select("case_id").distinct(), docs, pieces, t.log(spark, d))
+    return report.backup(t.raw_pieces(spark, d).select("case_id").distinct(), **backup_parts(spark, d))
+
+
+@query("s8_backup_contents", sql("pieces log groups", """SELECT case_id, 'evidencias' AS part, piece_id AS id, concat(state, '|', description) AS value FROM pieces WHERE active UNION ALL SELECT case_id, 'revisiones', seq, concat(field, '|', new) FROM log UNION ALL SELECT case_id, 'grupos', group_id, concat(name, '|', ord) FROM groups"""))
+def backup_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces, log and groups read back from the JSON documents."""
+    rows, out = cut(backups(spark, d)), None
+    for part, key, a, b in (("evidencias", "piece_id", "state", "description"), ("revisiones", "seq", "field", "new"), ("grupos", "group_id", "name", "ord")):
+        held = F.explode(F.from_json(F.get_json_object("json", f"$.{part}"), f"array<struct<{key}: long, {a}: string, {b}: string>>")).alias("_x")
+        one = rows.select("case_id", held).select("case_id", F.lit(part).alias("part"), F.col(f"_x.{key}").alias("id"), F.concat(f"_x.{a}", F.lit("|"), f"_x.{b}").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("s8_backup_records", sql("pieces log numbered_pages groups people", """SELECT case_id, 'evidencias' AS part, piece_id AS id, concat(state, '|', description) AS value FROM pieces WHERE active UNION ALL SELECT case_id, 'revisiones', seq, concat(field, '|', new) FROM log
@@ -1066,10 +1085,7 @@ UNION ALL SELECT case_id, 'fojas', global_no, concat(origin, '|', coalesce(cast(
 UNION ALL SELECT concat('e', doc_id % 5), 'documentos', doc_id, sha256(text) FROM documents UNION ALL SELECT case_id, 'informe', piece_id, concat(row_number() OVER (PARTITION BY case_id ORDER BY order_out, page_start, piece_id), '.-') FROM pieces WHERE active AND state = 'incluida'"""))
 def backup_records(spark: SparkSession, d: str) -> DataFrame:
     """The records of a backup, read back from their JSON."""
-    docs = t.documents(spark, d).select(F.concat(F.lit("e"), F.col("doc_id") % 5).alias("case_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    pages = t.numbered_pages(spark, d).select("case_id", "global_no", "num", "suffix", "origin")
-    pieces = full_pieces(spark, d).where("active").drop("doc_id")
-    records = report.backup_records(documentos=docs, fojas=pages, grupos=t.groups(spark, d), personas=t.people(spark, d), evidencias=pieces, revisiones=t.log(spark, d), informe=report.assemble(report_view(spark, d)))
+    records = report.backup_records(**backup_parts(spark, d))
     of = lambda *names: F.coalesce(*[F.get_json_object("json", f"$.{n}") for n in names])
     two = lambda a, b: F.concat(of(a), F.lit("|"), F.coalesce(of(b), F.lit("")))
     ids = {"evidencias": ("piece_id", two("state", "description")), "revisiones": ("seq", two("field", "new")), "fojas": ("global_no", two("origin", "num")), "grupos": ("group_id", of("name")), "personas": ("person_id", of("name")), "documentos": ("doc_id", of("sha256")), "informe": ("piece_id", of("number"))}
@@ -1157,6 +1173,52 @@ def both_searches(spark: SparkSession, d: str) -> DataFrame:
     return row(pages, "page", "page_id").unionByName(row(pieces, "piece", "piece_id"))
 
 
+def stored_index(spark: SparkSession, d: str) -> search.Index:
+    """An index written in two parts, the second of which replaces some pages of the first."""
+    path, pages = f"{shared(spark)}/index-{uuid.uuid4().hex}", text_pages(spark, d)
+    search.write_index(pages.withColumn("text", F.when(F.col("page_id") % 10 == 3, F.lit("the other")).otherwise(F.col("text"))).where("page_id % 10 <> 4"), path)
+    search.write_index(pages.where("page_id % 10 IN (3, 4)"), path, 1)
+    return search.open_index(spark, path)
+
+
+@query("f3_stored_search", ORACLES["o6_best_pages"].partition("\ntop AS")[0].rstrip().rstrip(",") + " SELECT case_id, page_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, page_id) AS place FROM best QUALIFY place <= 30")
+def stored_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_pages(stored_index(spark, d), "the", 30).select("case_id", "page_id", F.col("place").cast("long").alias("place"))
+
+
+# --- shared plans -----------------------------------------------------------------------------------
+
+
+@query("e15_snapshot_fold", sql("log last_state last_type last_start last_end", """SELECT case_id, piece_id, coalesce(s.state, 'pendiente') AS state, y.type_final, a.number_start_final, b.number_end_final FROM (SELECT DISTINCT case_id, piece_id FROM log) k
+LEFT JOIN last_state s USING (case_id, piece_id) LEFT JOIN last_type y USING (case_id, piece_id) LEFT JOIN last_start a USING (case_id, piece_id) LEFT JOIN last_end b USING (case_id, piece_id)"""))
+def snapshot_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The fold from a second snapshot, made from the first, and the rows after it."""
+    log, path = t.log(spark, d), f"{shared(spark)}/snapshots-{uuid.uuid4().hex}"
+    top = log.agg(F.max("seq")).first()[0]
+    for at in (top // 3, 2 * top // 3):
+        snapshots.take(log, path, at)
+    rows = snapshots.since(log, path)
+    return decisions.states(log.select("case_id", "piece_id").distinct(), rows).join(decisions.finals(rows), ["case_id", "piece_id"], "left").select("case_id", "piece_id", "state", "type_final", "number_start_final", "number_end_final")
+
+
+@query("j5_interval_join", """WITH r AS (SELECT event_id AS id, event_id * 7 % 20000 AS a, event_id * 7 % 20000 + event_id % 3000 AS b FROM events WHERE event_id % 11 <> 0), p AS (SELECT o_orderkey AS k FROM orders)
+SELECT id, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM r JOIN p ON k BETWEEN a AND b GROUP BY id""")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    spans = t.events(spark, d).where(e % 11 != 0).select(F.lit("c").alias("case_id"), e.alias("id"), (e * 7 % 20000).alias("a"), (e * 7 % 20000 + e % 3000).alias("b"))
+    points = t.orders(spark, d).select(F.lit("c").alias("case_id"), F.col("o_orderkey").cast("long").alias("k"))
+    return inside(spans, points, ["case_id"], "a", "b", "k").groupBy("id").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
+@query("l2_tainted_chains", "SELECT o_orderkey AS piece_id FROM orders WHERE o_orderkey % 5000 > 2500 AND o_orderkey // 5000 * 5000 + 2500 IN (SELECT o_orderkey FROM orders)")
+def tainted_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Lineages of 5,000 levels: each order key came from the one before it."""
+    k = F.col("o_orderkey").cast("long")
+    links = t.orders(spark, d).where(k % 5000 != 0).select(F.lit("l").alias("case_id"), (k - 1).alias("parent"), k.alias("child"))
+    pieces = t.orders(spark, d).select(F.lit("l").alias("case_id"), k.alias("piece_id"), F.when(k % 5000 == 2500, "excluida").otherwise("incluida").alias("state"))
+    return lineage.tainted(links, pieces).select("piece_id")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 

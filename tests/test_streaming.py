@@ -122,7 +122,7 @@ def test_sinks_and_folder_load(spark, sf, tmp_path):
     files.write_texts(texts, str(tmp_path / "texts"))
     assert spark.read.text(str(tmp_path / "texts"), wholetext=True).count() == texts.count()
     files.write_backups(queries.backups(spark, sf), str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json")).where("size(piezas) > 0").count() == 5
+    assert spark.read.json(str(tmp_path / "json")).where("size(evidencias) > 0 AND size(fojas) > 0").count() == 5
     reading = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "case_id string, page_id long, text string")
     files.overwrite_readings(reading, str(tmp_path / "readings"))
     files.overwrite_readings(reading.where("case_id = 'a'").withColumn("text", F.lit("z")), str(tmp_path / "readings"))
