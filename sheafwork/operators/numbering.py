@@ -73,13 +73,17 @@ def settle(found: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
     alone = runs_.join(pairs.select("case_id", F.explode(F.array("_first", "_later")).alias("_p")).distinct(), ["case_id", "_p"], "left_anti")
     stays = [alone]
     open_ = cut(runs_.join(alone.select("case_id", "_p"), ["case_id", "_p"], "left_anti"))
-    while not open_.isEmpty():
+    left = not open_.isEmpty()
+    while left:
         best = cut(open_.join(pairs.select("case_id", F.col("_later").alias("_p")).distinct(), ["case_id", "_p"], "left_anti"))
         gone = best.select("case_id", F.col("_p").alias("_first")).join(pairs, ["case_id", "_first"]).select("case_id", F.col("_later").alias("_p"))
         done = gone.union(best.select("case_id", "_p")).distinct()
         open_ = cut(open_.join(done, ["case_id", "_p"], "left_anti"))
-        pairs = cut(pairs.join(done.withColumnRenamed("_p", "_first"), ["case_id", "_first"], "left_anti").join(done.withColumnRenamed("_p", "_later"), ["case_id", "_later"], "left_anti"))
         stays.append(best)
+        left = not open_.isEmpty()
+        if not left:
+            break
+        pairs = cut(pairs.join(done.withColumnRenamed("_p", "_first"), ["case_id", "_first"], "left_anti").join(done.withColumnRenamed("_p", "_later"), ["case_id", "_later"], "left_anti"))
     out = stays[0]
     for one in stays[1:]:
         out = out.unionByName(one)
