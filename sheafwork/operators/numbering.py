@@ -58,8 +58,9 @@ def settle(found: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
     """The runs that stay: by readings, then confidence, then zone and start; a run that overlaps a chosen one goes whole.
 
     Works on all cases at once: in each round every run that comes before all that it overlaps stays, and
-    those that it overlaps go, until none is left. A run that overlaps none stays without a round. Equal
-    rows are one run. Columns and rows are those of `found`; no runs give none.
+    those that it overlaps go, until no two are left that overlap. Rounds look at such pairs only, so a run
+    that overlaps none stays without one. Equal rows are one run. Columns and rows are those of `found`; no
+    runs give none.
     """
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, zones)), F.col("zone")), F.lit(0))
     place = F.when(rank == 0, len(zones) + 1).otherwise(rank)
@@ -70,23 +71,14 @@ def settle(found: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
     b = runs_.select("case_id", F.col("_p").alias("_b"), F.col("from_page").alias("_at"))
     held = inside(a, b, ["case_id"], "_from", "_to", "_at").where("_a <> _b")
     pairs = cut(held.select("case_id", F.least("_a", "_b").alias("_first"), F.greatest("_a", "_b").alias("_later")).distinct())
-    alone = runs_.join(pairs.select("case_id", F.explode(F.array("_first", "_later")).alias("_p")).distinct(), ["case_id", "_p"], "left_anti")
-    stays = [alone]
-    open_ = cut(runs_.join(alone.select("case_id", "_p"), ["case_id", "_p"], "left_anti"))
-    left = not open_.isEmpty()
-    while left:
-        best = cut(open_.join(pairs.select("case_id", F.col("_later").alias("_p")).distinct(), ["case_id", "_p"], "left_anti"))
-        gone = best.select("case_id", F.col("_p").alias("_first")).join(pairs, ["case_id", "_first"]).select("case_id", F.col("_later").alias("_p"))
-        done = gone.union(best.select("case_id", "_p")).distinct()
-        open_ = cut(open_.join(done, ["case_id", "_p"], "left_anti"))
-        stays.append(best)
-        left = not open_.isEmpty()
-        if not left:
-            break
-        pairs = cut(pairs.join(done.withColumnRenamed("_p", "_first"), ["case_id", "_first"], "left_anti").join(done.withColumnRenamed("_p", "_later"), ["case_id", "_later"], "left_anti"))
-    out = stays[0]
-    for one in stays[1:]:
-        out = out.unionByName(one)
+    out = runs_
+    while not pairs.isEmpty():
+        later = pairs.select("case_id", F.col("_later").alias("_first")).distinct()
+        best = pairs.join(later, ["case_id", "_first"], "left_anti")
+        gone = cut(best.select("case_id", F.col("_later").alias("_p")).distinct())
+        out = out.join(gone, ["case_id", "_p"], "left_anti")
+        # a pair of a run that stays ends in one that goes, so what is left has neither
+        pairs = cut(pairs.join(gone.withColumnRenamed("_p", "_first"), ["case_id", "_first"], "left_anti").join(gone.withColumnRenamed("_p", "_later"), ["case_id", "_later"], "left_anti"))
     return out.select(*found.columns)
 
 

@@ -988,27 +988,38 @@ def report_orders(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def saved_report(spark: SparkSession, d: str) -> DataFrame:
+def made_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report as it would be made now, written down once for all that looks at it."""
+    return cut(report.assemble(report_view(spark, d)))
+
+
+def saved_report(made: DataFrame) -> DataFrame:
     """A report as it might have been saved: every seventh piece is missing, every fifth reads otherwise."""
-    rows = report.assemble(report_view(spark, d)).where("piece_id % 7 <> 0")
+    rows = made.where("piece_id % 7 <> 0")
     return rows.withColumn("text", F.when(F.col("piece_id") % 5 == 0, F.concat("text", F.lit(" (antes)"))).otherwise(F.col("text"))).withColumn("edited", F.when(F.col("piece_id") % 3 == 0, F.lit("corregido")))
 
 
 @query("a9_carried_edits", sql("view", "SELECT case_id, piece_id, CASE WHEN piece_id % 3 = 0 AND piece_id % 5 <> 0 AND piece_id % 7 <> 0 THEN 'corregido' END AS edited FROM view WHERE state = 'incluida' AND active"))
 def carried(spark: SparkSession, d: str) -> DataFrame:
-    return report.carry_edits(saved_report(spark, d), report.assemble(report_view(spark, d))).select("case_id", "piece_id", "edited")
+    made = made_report(spark, d)
+    return report.carry_edits(saved_report(made), made).select("case_id", "piece_id", "edited")
 
 
 @query("a9_edit_counts", sql("view", "SELECT case_id, count(*) FILTER (piece_id % 5 <> 0) AS moved, count(*) FILTER (piece_id % 5 = 0) AS left_behind FROM view WHERE state = 'incluida' AND active AND piece_id % 3 = 0 AND piece_id % 7 <> 0 GROUP BY 1"))
 def edit_counts(spark: SparkSession, d: str) -> DataFrame:
-    old = saved_report(spark, d)
-    return report.edit_counts(old, report.carry_edits(old, report.assemble(report_view(spark, d))))
+    made = made_report(spark, d)
+    old = saved_report(made)
+    return report.edit_counts(old, report.carry_edits(old, made))
 
 
 @query("a10_staleness", sql("view piece_edges", "SELECT e.case_id, 'procedencia_excluida' AS problem, e.child AS piece_id FROM piece_edges e JOIN view x ON x.case_id = e.case_id AND x.piece_id = e.parent AND x.state = 'excluida' JOIN view v ON v.case_id = e.case_id AND v.piece_id = e.child WHERE v.state = 'incluida' AND v.active AND v.piece_id % 7 <> 0 UNION ALL SELECT case_id, 'falta' AS problem, piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 = 0 UNION ALL SELECT case_id, 'cambio_texto', piece_id FROM view WHERE state = 'incluida' AND active AND piece_id % 7 <> 0 AND piece_id % 5 = 0"))
 def staleness(spark: SparkSession, d: str) -> DataFrame:
+    return stale_rows(spark, d, made_report(spark, d))
+
+
+def stale_rows(spark: SparkSession, d: str, made: DataFrame) -> DataFrame:
     pieces = decisions.states(t.raw_pieces(spark, d), t.log(spark, d))
-    return report.staleness(saved_report(spark, d), report.assemble(report_view(spark, d)), pieces, t.piece_edges(spark, d))
+    return report.staleness(saved_report(made), made, pieces, t.piece_edges(spark, d))
 
 
 @query("a11_export_gate", sql("view piece_edges", """WITH s AS (SELECT e.case_id, 'procedencia_excluida' AS problem, e.child AS piece_id FROM piece_edges e JOIN view x ON x.case_id = e.case_id AND x.piece_id = e.parent AND x.state = 'excluida' JOIN view v ON v.case_id = e.case_id AND v.piece_id = e.child WHERE v.state = 'incluida' AND v.active AND v.piece_id % 7 <> 0
@@ -1016,12 +1027,13 @@ def staleness(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT case_id, count(*) FILTER (state = 'incluida' AND active AND piece_id % 7 <> 0) AS pieces FROM view GROUP BY 1), k AS (SELECT case_id, count(*) AS problems FROM s GROUP BY 1)
 SELECT case_id, pieces, coalesce(problems, 0) AS problems, pieces > 0 AND coalesce(problems, 0) = 0 AS allowed FROM c LEFT JOIN k USING (case_id)"""))
 def export_gate(spark: SparkSession, d: str) -> DataFrame:
-    return report.export_gate(t.raw_pieces(spark, d).select("case_id").distinct(), saved_report(spark, d), staleness(spark, d))
+    made = made_report(spark, d)
+    return report.export_gate(t.raw_pieces(spark, d).select("case_id").distinct(), saved_report(made), stale_rows(spark, d, made))
 
 
 @query("a12_read_report", sql("view", "SELECT case_id, piece_id, piece_id % 3 = 0 AS is_edited, state FROM view WHERE state = 'incluida' AND active AND piece_id % 7 <> 0"))
 def read_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.read(saved_report(spark, d), decisions.states(t.raw_pieces(spark, d), t.log(spark, d))).select("case_id", "piece_id", "is_edited", "state")
+    return report.read(saved_report(made_report(spark, d)), decisions.states(t.raw_pieces(spark, d), t.log(spark, d))).select("case_id", "piece_id", "is_edited", "state")
 
 
 @query("e12_paragraph_edits", sql("log", "SELECT case_id, piece_id AS ord, nullif(trim(arg_max(new, seq)), '') AS edited FROM log GROUP BY 1, 2"))
