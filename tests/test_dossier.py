@@ -407,3 +407,9 @@ def test_saving_a_detection(spark):
     made, said = segmentation.save(offered, covered, pieces, numbers)
     assert sorted((r.page_start, r.order_out, r.number_start, r.number_end) for r in made.collect()) == [(1, 9, "401", None), (3, 10, "3 bis", "3 bis")]
     assert {r.case_id: (r.created, r.existing, r.discarded, r.reason) for r in said.collect()} == {"c": (2, 1, 1, None), "d": (0, 1, 1, segmentation.COVERED)}
+
+
+def test_a_page_that_begins_at_the_limit_gives_its_space(spark):
+    rows = [("a", 1, "x" * 9), ("a", 2, "more"), ("b", 1, "x" * 10), ("b", 2, "more"), ("c", 1, None), ("c", 2, "y"), ("c", 3, None), ("c", 4, "z"), ("d", 1, None)]
+    got = segmentation.first_text(spark.createDataFrame(rows, "case_id string, global_no long, text string"), ["case_id"], 10)
+    assert {r.case_id: r.source_text for r in got.collect()} == {"a": "x" * 9 + " ", "b": "x" * 10, "c": "y z", "d": None}
