@@ -413,3 +413,9 @@ def test_a_page_that_begins_at_the_limit_gives_its_space(spark):
     rows = [("a", 1, "x" * 9), ("a", 2, "more"), ("b", 1, "x" * 10), ("b", 2, "more"), ("c", 1, None), ("c", 2, "y"), ("c", 3, None), ("c", 4, "z"), ("d", 1, None)]
     got = segmentation.first_text(spark.createDataFrame(rows, "case_id string, global_no long, text string"), ["case_id"], 10)
     assert {r.case_id: r.source_text for r in got.collect()} == {"a": "x" * 9 + " ", "b": "x" * 10, "c": "y z", "d": None}
+
+
+def test_confidence_is_rounded_by_its_own_value(spark):
+    # 0.36 and 0.69 make a number just below 0.5085
+    row = spark.range(1).select(segmentation.confidence(F.lit(0.6) * F.lit(0.6), F.lit(0.69), F.lit(1)).alias("a"), segmentation.confidence(F.lit(0.9), F.lit(1.0), F.lit(41)).alias("b")).first()
+    assert (row.a, row.b) == (round(0.55 * (0.6 * 0.6) + 0.45 * 0.69, 3), round((0.55 * 0.9 + 0.45) * 0.75, 3)) and row.a == 0.508
