@@ -17,8 +17,8 @@ LINE = StructType([
 
 
 def page_lines(words: list, limit: int | None) -> list[tuple]:
-    """The lines of one page. Words are taken by (y0 to a tenth, x0); one joins the open line if its y0 is within 0.7 of the height of the line's last word (4 at least) of the line's first."""
-    rows = sorted(words, key=lambda w: (round(w.y0, 1), w.x0, w.ord))
+    """The lines of one page. Words are taken by (y0 to a tenth, x0), equal ones by `ord` and text; one joins the open line if its y0 is within 0.7 of the height of the line's last word (4 at least) of the line's first."""
+    rows = sorted(words, key=lambda w: (round(w.y0, 1), w.x0, w.ord, w.text))
     out: list[tuple] = []
     held: list = []
 
@@ -85,8 +85,8 @@ def images_to_read(images: DataFrame, words: DataFrame, pages: DataFrame, covera
 def merge_readings(native: DataFrame, read: DataFrame, ink: DataFrame, margin: float = 2.0, unread: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Native words (with `ord`, their place) kept, with read words whose centre lies in no native box; and the confidence of each page's mixture.
 
-    Where words were added a page's words are placed anew by height, to a tenth, and then from the left, else
-    the native ones keep their places. Confidence is null where nothing was added, 0 where reading found
+    Where words were added a page's words are placed anew by height, to a tenth, and then from the left (equal ones by
+    origin, `ord` and text, so that reruns agree), else the native ones keep their places. Confidence is null where nothing was added, 0 where reading found
     nothing or left more than `unread` of the ink (column `unread_ink`), else the mean of the words added.
     """
     keys = ["case_id", "page_id"]
@@ -97,7 +97,7 @@ def merge_readings(native: DataFrame, read: DataFrame, ink: DataFrame, margin: f
     columns = [*keys, "text", "x0", "y0", "x1", "y1", "conf"]
     both = native.select(*columns, "ord", F.lit("nativa").alias("origin")).unionByName(extra.select(*columns, "ord", F.lit("leida").alias("origin")))
     added = F.max(F.col("origin") == "leida").over(Window.partitionBy(*keys))
-    order = Window.partitionBy(*keys).orderBy(F.round("y0", 1), "x0", F.desc("origin"), "ord")
+    order = Window.partitionBy(*keys).orderBy(F.round("y0", 1), "x0", F.desc("origin"), "ord", "text")
     words = both.withColumn("_added", added).withColumn("ord", F.when(F.col("_added"), F.row_number().over(order) - 1).otherwise(F.col("ord"))).drop("_added")
     found = read.groupBy(*keys).agg(F.count("*").alias("_read")).join(extra.groupBy(*keys).agg(F.avg("conf").alias("_mean")), keys, "left")
     pages = ink.join(found, keys, "left")

@@ -419,3 +419,14 @@ def test_confidence_is_rounded_by_its_own_value(spark):
     # 0.36 and 0.69 make a number just below 0.5085
     row = spark.range(1).select(segmentation.confidence(F.lit(0.6) * F.lit(0.6), F.lit(0.69), F.lit(1)).alias("a"), segmentation.confidence(F.lit(0.9), F.lit(1.0), F.lit(41)).alias("b")).first()
     assert (row.a, row.b) == (round(0.55 * (0.6 * 0.6) + 0.45 * 0.69, 3), round((0.55 * 0.9 + 0.45) * 0.75, 3)) and row.a == 0.508
+
+
+def test_words_that_only_differ_in_text_have_one_order(spark):
+    words = [("c", 1, 1, t, 5.0, 7.0, 9.0, 12.0, 0.5) for t in ("b", "a", "c")]
+    schema = "case_id string, page_id long, ord int, text string, x0 double, y0 double, x1 double, y1 double, conf double"
+    ink = spark.createDataFrame([("c", 1, 0.0)], "case_id string, page_id long, unread_ink double")
+    for rows in (words, words[::-1]):
+        table = spark.createDataFrame(rows, schema).coalesce(1)
+        assert [r.text for r in lines.rebuild(table).collect()] == ["a b c"]
+        merged = lines.merge_readings(table.limit(0), table, ink)[0]
+        assert {r.text: r.ord for r in merged.collect()} == {"a": 0, "b": 1, "c": 2}
