@@ -249,7 +249,7 @@ def backup_records(**parts: DataFrame) -> DataFrame:
 
 
 def backup(cases: DataFrame, **parts: DataFrame) -> DataFrame:
-    """A JSON document for each case: the case, and of each table (with a case_id) its rows as a list, sorted; a table without rows of the case gives an empty list. Not held back by staleness. For cases that fit a row; `backup_records` has no such bound."""
+    """A JSON document for each case: the case, and of each table (with a case_id) its rows as a list, sorted; a table without rows of the case gives an empty list. Not held back by staleness. For cases that fit a row; `backup_fragments` and `backup_records` have no such bound."""
     out = cases
     for name, df in parts.items():
         row = F.struct(*[c for c in df.columns if c != "case_id"])
@@ -258,6 +258,25 @@ def backup(cases: DataFrame, **parts: DataFrame) -> DataFrame:
     return out.select("case_id", F.to_json(F.struct(*out.columns)).alias("json"))
 
 
+def backup_fragments(cases: DataFrame, **parts: DataFrame) -> DataFrame:
+    """The documents of `backup` in fragments: case_id, part_no, place, part, text. The texts of a case in order of part_no and place, without anything between them, are its document.
+
+    Each row of a table is a fragment, after a comma but for the first, and what stands before a table is one
+    with place 0. Rows are placed over range partitions, so no case and no table is gathered anywhere.
+    """
+    names = list(parts)
+    head = F.to_json(F.struct(*cases.columns))
+    before = [F.concat(F.substring(head, F.lit(1), F.length(head) - 1) if i == 0 else F.lit("]"), F.lit(f',"{n}":[')) for i, n in enumerate(names)] + [F.lit("]}")]
+    ends = F.array(*[F.struct(F.lit(i).alias("part_no"), F.lit(0).cast("long").alias("place"), F.lit(n).alias("part"), x.alias("text")) for i, (n, x) in enumerate(zip([*names, None], before, strict=True))])
+    out = cases.select("case_id", F.inline(ends))
+    for i, (name, df) in enumerate(parts.items()):
+        rest = [c for c in df.columns if c != "case_id"]
+        rows = placed(df.join(cases.select("case_id"), "case_id", "left_semi"), ["case_id"], [F.col(c) for c in rest], "_n")
+        text = F.concat(F.when(F.col("_n") > 1, ",").otherwise(""), F.to_json(F.struct(*rest)))
+        out = out.unionByName(rows.select("case_id", F.lit(i).alias("part_no"), F.col("_n").alias("place"), F.lit(name).alias("part"), text.alias("text")))
+    return out
+
+
 def file_name(file_no: Column, extension: str, prefix: str = "listado") -> Column:
     """`<prefix>-<number>.<extension>`, slashes as hyphens and without spaces."""
     return F.concat(F.lit(f"{prefix}-"), F.replace(F.replace(file_no, F.lit("/"), F.lit("-")), F.lit(" "), F.lit("")), F.lit(f".{extension}"))

@@ -33,8 +33,12 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_backups(backups: DataFrame, path: str) -> None:
-    """JSON documents by case."""
-    backups.select("case_id", F.col("json").alias("value")).repartition("case_id").write.partitionBy("case_id").text(path)
+    """JSON documents by case, a line and a file each, from documents (case_id, json) or their fragments (case_id, part_no, place, text). Fragments are sorted, which spills, and written one after the other with a space between, so no document is held whole."""
+    if "json" in backups.columns:
+        backups.select("case_id", F.col("json").alias("value")).repartition("case_id").write.partitionBy("case_id").text(path)
+    else:
+        dealt = backups.repartition("case_id").sortWithinPartitions("case_id", "part_no", "place")
+        dealt.select("case_id", F.col("text").alias("value")).write.partitionBy("case_id").option("lineSep", " ").text(path)
 
 
 def overwrite_readings(readings: DataFrame, path: str) -> None:

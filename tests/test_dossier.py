@@ -430,3 +430,13 @@ def test_words_that_only_differ_in_text_have_one_order(spark):
         assert [r.text for r in lines.rebuild(table).collect()] == ["a b c"]
         merged = lines.merge_readings(table.limit(0), table, ink)[0]
         assert {r.text: r.ord for r in merged.collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_fragments_make_up_the_backup(spark):
+    cases = spark.createDataFrame([("a", 'N "1"'), ("b", None)], "case_id string, title string")
+    one = spark.createDataFrame([("a", 2, 'x,"y"'), ("a", 1, None), ("a", 10, "z"), ("b", 3, "w"), ("z", 4, "no case")], "case_id string, id long, text string")
+    two = spark.createDataFrame([("a", ["p", None])], "case_id string, warnings array<string>")
+    parts = {"one": one, "two": two, "none": one.limit(0)}
+    want = {r.case_id: r.json for r in report.backup(cases, **parts).collect()}
+    rows = sorted(report.backup_fragments(cases, **parts).collect(), key=lambda r: (r.case_id, r.part_no, r.place))
+    assert {c: "".join(r.text for r in rows if r.case_id == c) for c in ("a", "b")} == want and {r.case_id for r in rows} == set(want)
