@@ -49,3 +49,17 @@ def inside(ranges: DataFrame, points: DataFrame, keys: list[str], first: str, la
     if how == "left_semi":
         return many.join(dealt.select(*keys, "_level", "_block"), [*keys, "_level", "_block"], "left_semi").drop("_level", "_block").distinct()
     return many.join(dealt, [*keys, "_level", "_block"]).drop("_level", "_block")
+
+
+def totals(ranges: DataFrame, points: DataFrame, keys: list[str], first: str, last: str, point: str) -> DataFrame:
+    """Of the points in each range their number and sum: the ranges' columns, `n` and `total` (long). Ranges that hold no point have no row, and equal rows of ranges count as one.
+
+    Points are summed by block first, and a range takes the sums of its blocks, so there are some 2 log n rows
+    for a range of n numbers, however many points it holds.
+    """
+    dealt = spread(ranges, first, last)
+    used = sorted(r[0] for r in dealt.select("_level").distinct().collect())
+    level = F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>"))
+    many = points.select(*keys, F.col(point).alias("_p"), level.alias("_level")).withColumn("_block", F.floor(F.col("_p") / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    summed = many.groupBy(*keys, "_level", "_block").agg(F.count("*").alias("_n"), F.sum("_p").alias("_t"))
+    return dealt.join(summed, [*keys, "_level", "_block"]).groupBy(*ranges.columns).agg(F.sum("_n").alias("n"), F.sum("_t").alias("total"))

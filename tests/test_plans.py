@@ -126,3 +126,19 @@ def test_undo_by_witnesses_equals_undo_by_pairs(spark, monkeypatch):
         monkeypatch.setattr(decisions, "WITNESSES", n)
         assert {tuple(r) for r in decisions.may_undo(edges, pieces, roots).collect()} == want
     assert 0 < sum(r[2] for r in want) < 100
+
+
+def test_totals_of_ranges_make_no_pairs(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice("ab"), i, a := rng.randrange(300), a + rng.choice([0, 1, 5, 40, 900])) for i in range(120)] + [("a", 900, 7, 6), ("a", 901, None, 5), ("a", 902, 5000, 6000)]
+    points = [(c, p) for c in "ab" for p in range(0, 1500, 3)] + [("a", 3)]
+    table = spark.createDataFrame(spans, "case_id string, piece long, lo long, hi long")
+    asked = spark.createDataFrame(points, "case_id string, page long")
+    got = {r.piece: (r.n, r.total) for r in ranges.totals(table, asked, ["case_id"], "lo", "hi", "page").collect()}
+    held = {i: [p for k, p in points if k == c and a is not None and a <= p <= b] for c, i, a, b in spans}
+    assert got == {i: (len(ps), sum(ps)) for i, ps in held.items() if ps}
+    assert ranges.totals(table.limit(0), asked, ["case_id"], "lo", "hi", "page").isEmpty()
+    # a join of many long ranges with the points of all holds a few rows for a range
+    many = spark.range(2000).select(F.lit("c").alias("case_id"), F.col("id").alias("piece"), F.col("id").alias("lo"), (F.col("id") + 2000).alias("hi"))
+    dealt = ranges.spread(many, "lo", "hi").count()
+    assert dealt < 2000 * 22 and ranges.totals(many, spark.range(5000).select(F.lit("c").alias("case_id"), F.col("id").alias("page")), ["case_id"], "lo", "hi", "page").where("n = 2001").count() == 2000
