@@ -22,9 +22,10 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def excluded_ancestry(edges: DataFrame, pieces: DataFrame, roots: DataFrame) -> DataFrame:
-    """Each root's ancestors that are excluded."""
-    out = pieces.where("state = 'excluida'").select("case_id", F.col("piece_id").alias("node"))
-    return ancestors(edges, roots).join(out, ["case_id", "node"]).select("case_id", "root", "node")
+    """Each root's ancestors that are excluded. Found downwards from these, so that no other ancestor is held."""
+    out = pieces.where("state = 'excluida'").select("case_id", F.col("piece_id").alias("root")).distinct()
+    down = descendants(edges, out).select("case_id", F.col("node").alias("root"), F.col("root").alias("node"))
+    return down.join(roots.select("case_id", "root"), ["case_id", "root"], "left_semi").select("case_id", "root", "node")
 
 
 def tainted(edges: DataFrame, pieces: DataFrame) -> DataFrame:

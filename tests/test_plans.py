@@ -142,3 +142,15 @@ def test_totals_of_ranges_make_no_pairs(spark):
     many = spark.range(2000).select(F.lit("c").alias("case_id"), F.col("id").alias("piece"), F.col("id").alias("lo"), (F.col("id") + 2000).alias("hi"))
     dealt = ranges.spread(many, "lo", "hi").count()
     assert dealt < 2000 * 22 and ranges.totals(many, spark.range(5000).select(F.lit("c").alias("case_id"), F.col("id").alias("page")), ["case_id"], "lo", "hi", "page").where("n = 2001").count() == 2000
+
+
+def test_excluded_ancestry_holds_no_other_ancestors(spark, monkeypatch):
+    def held(*_):
+        raise AssertionError("all ancestors are held")
+
+    monkeypatch.setattr(lineage, "ancestors", held)
+    edges = spark.createDataFrame([("c", 1, 2), ("c", 2, 3), ("c", 3, 4), ("c", 9, 3), ("d", 1, 2)], "case_id string, parent long, child long")
+    pieces = spark.createDataFrame([("c", 1, "excluida"), ("c", 9, "excluida"), ("c", 2, "incluida"), ("d", 2, "excluida")], "case_id string, piece_id long, state string")
+    roots = spark.createDataFrame([("c", 2), ("c", 4), ("d", 2)], "case_id string, root long")
+    got = {tuple(r) for r in lineage.excluded_ancestry(edges, pieces, roots).collect()}
+    assert got == {("c", 2, 1), ("c", 4, 1), ("c", 4, 9)}
