@@ -75,31 +75,46 @@ def flags(base: tuple, values: dict) -> list[int]:
     return [int(bits[n]) for n in NAMES]
 
 
+#: Pieces whose ids differ only in this many low bits share a key, so that state is called for once for all of them.
+SHELF = 10
+_BASE_NAMES = [f.split()[0] for f in BASE.split(", ")]
+
+
 class Deltas(StatefulProcessor):
-    """Keyed by piece: the last value of each field with its number, and what the piece is without decisions. A batch of a piece gives what it takes from and adds to the counters of its case."""
+    """Keyed by case and shelf, which is 1,024 ids of pieces: of each piece what it is without decisions, and the last value of each field with its number. A batch of a shelf gives what it takes from and adds to the counters of its case."""
 
     def init(self, handle) -> None:
-        self.base = handle.getValueState("base", BASE)
-        self.values = handle.getMapState("values", "field string", "value string, seq long")
+        self.base = handle.getValueState("base", f"pieces array<struct<piece_id: bigint, {BASE.replace(' ', ': ')}>>".replace(",:", ","))
+        self.values = handle.getValueState("values", "last array<struct<piece_id: bigint, field: string, value: string, seq: bigint>>")
 
     def handleInitialState(self, key, rows, timers) -> None:
-        self.base.update(tuple(None if x is None or x != x else x for x in rows.iloc[0][2:]))
+        held = list(self.base.get()[0]) if self.base.exists() else []
+        columns = [rows[c].astype(object).where(rows[c].notna(), None) for c in _BASE_NAMES]
+        self.base.update(([*held, *((int(i), *rest) for i, *rest in zip(rows["piece_id"], *columns, strict=True))],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        known = {k[0]: v for k, v in self.values.iterator()}
-        before = {f: v[0] for f, v in known.items()}
-        after, seen = dict(before), {f: v[1] for f, v in known.items()}
+        known: dict[int, dict] = {}
+        for piece, field, value, seq in self.values.get()[0] if self.values.exists() else []:
+            known.setdefault(piece, {})[field] = (value, seq)
+        before: dict[int, dict] = {}
         for table in rows:
-            for field, new, seq in zip(table["field"], table["new"], table["seq"], strict=True):
-                if field in _FOLDED and seq > seen.get(field, float("-inf")):
-                    value = None if new is None or new != new else str(new) if field == "state" else str(new).strip() or None
-                    after[field], seen[field] = value, int(seq)
-                    self.values.updateValue((field,), (value, int(seq)))
-        if self.base.exists():
-            base = self.base.get()
-            change = [b - a for a, b in zip(flags(base, before), flags(base, after), strict=True)]
-            if any(change):
-                yield pd.DataFrame([(key[0], *change)], columns=["case_id", *NAMES])
+            # of each piece and field only the last row counts
+            own = table[table["field"].isin(_FOLDED)].sort_values("seq", ascending=False, kind="stable").drop_duplicates(["piece_id", "field"])
+            for piece, field, new, seq in zip(own["piece_id"], own["field"], own["new"], own["seq"], strict=True):
+                values = known.setdefault(int(piece), {})
+                before.setdefault(int(piece), dict(values))
+                if seq > values.get(field, (None, float("-inf")))[1]:
+                    values[field] = (None if new is None or new != new else str(new) if field == "state" else str(new).strip() or None, int(seq))
+        if not before:
+            return
+        self.values.update(([(p, f, *last) for p, values in known.items() for f, last in values.items()],))
+        plain = lambda values: {f: v for f, (v, _) in values.items()}
+        change = [0] * len(NAMES)
+        for piece, *base in self.base.get()[0] if self.base.exists() else []:
+            if piece in before:
+                change = [n + b - a for n, a, b in zip(change, flags(base, plain(before[piece])), flags(base, plain(known[piece])), strict=True)]
+        if any(change):
+            yield pd.DataFrame([(key[0], *change)], columns=["case_id", *NAMES])
 
     def close(self) -> None:
         pass
@@ -115,10 +130,11 @@ def checklist_counters(log: DataFrame, start: DataFrame, path: str, checkpoint:
     """
     spark = log.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    shelf = F.shiftright(F.col("piece_id").cast("long"), SHELF).alias("shelf")
     seen = start.select(
-        "case_id", "piece_id", "active", F.col("introducer_id").isNotNull().alias("introduced"), F.col("number_start").isNotNull().alias("numbered"), "origin_start", "origin_end",
+        "case_id", shelf, "piece_id", "active", F.col("introducer_id").isNotNull().alias("introduced"), F.col("number_start").isNotNull().alias("numbered"), "origin_start", "origin_end",
         F.col("page_end").isNull().alias("open_end"), "guessed_start", "guessed_end", "confidence",
-    )
+    ).where("piece_id IS NOT NULL")
     cases = start.select("case_id").distinct()
 
     def run(deltas: DataFrame, number: int) -> None:
@@ -130,8 +146,8 @@ def checklist_counters(log: DataFrame, start: DataFrame, path: str, checkpoint:
         now = before.join(added, "case_id", "left").select("case_id", *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in NAMES])
         now.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    changed = log.select("case_id", "piece_id", "seq", "field", "new").groupBy("case_id", "piece_id").transformWithStateInPandas(
-        statefulProcessor=Deltas(), outputStructType="case_id string, " + ", ".join(f"{n} long" for n in NAMES), outputMode="Update", timeMode="None", initialState=seen.groupBy("case_id", "piece_id")
+    changed = log.where("piece_id IS NOT NULL").select("case_id", shelf, "piece_id", "seq", "field", "new").groupBy("case_id", "shelf").transformWithStateInPandas(
+        statefulProcessor=Deltas(), outputStructType="case_id string, " + ", ".join(f"{n} long" for n in NAMES), outputMode="Update", timeMode="None", initialState=seen.groupBy("case_id", "shelf")
     )
     return changed.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -105,6 +105,15 @@ def test_streamed_counters_equal_batch(spark, sf, stream, tmp_path):
     assert max(read) <= 2 * log.count() / 5
 
 
+def test_counters_hold_state_by_shelves_of_pieces(spark, sf, stream, tmp_path):
+    log, start = tables.log(spark, sf), queries.start_view(spark, sf)
+    q = live.checklist_counters(stream(log.repartition(1), "log4", parts=1), start, str(tmp_path / "counts"), str(tmp_path / "mark"))
+    q.awaitTermination()
+    shelves = start.select("case_id", F.shiftright("piece_id", live.SHELF)).distinct().count()
+    held = max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+    assert start.count() > 100 and held <= 3 * shelves
+
+
 def test_sinks_and_folder_load(spark, sf, tmp_path):
     for case in ("a", "b"):
         (tmp_path / "in" / case).mkdir(parents=True)
