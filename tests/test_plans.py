@@ -154,3 +154,34 @@ def test_excluded_ancestry_holds_no_other_ancestors(spark, monkeypatch):
     roots = spark.createDataFrame([("c", 2), ("c", 4), ("d", 2)], "case_id string, root long")
     got = {tuple(r) for r in lineage.excluded_ancestry(edges, pieces, roots).collect()}
     assert got == {("c", 2, 1), ("c", 4, 1), ("c", 4, 9)}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("cycle", [False, True])
+def test_closure_of_forests_compares_no_pairs(spark, monkeypatch, turned, cycle):
+    rng = random.Random(8)
+    up = {("a", n): n - 1 for n in range(1, 150)} | {("b", n): rng.randrange(max(0, n - 4), n) for n in range(1, 120)}
+    if cycle:
+        up["c", 0], up["c", 1], up["c", 2], up["c", 3] = 1, 2, 0, 1
+    want = set()
+    for case, n in up:
+        seen, at = set(), n
+        while (case, at) in up and up[case, at] not in seen:
+            at = up[case, at]
+            seen.add(at)
+        want |= {(case, n, a) for a in seen - {n}}
+    if turned:
+        want = {(c, a, n) for c, n, a in want}
+    edges = [(c, p, n) if turned else (c, n, p) for (c, n), p in up.items()] + [("a", 5, None), ("b", None, 7)]
+    nodes = sorted({(c, x) for c, *two in edges for x in two if x is not None})
+    ends = [x for x in nodes if x[1] % 3]
+    rows, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := cut(df), rows.append(out.count()))[0])
+    table = lambda x, names: spark.createDataFrame(x, f"case_id string, {names}")
+    roots = table(nodes, "root long")
+    got = graph.closure(table(edges, "a long, b long"), roots).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert cycle or sum(rows) < len(want) / 2
+    got = graph.closure(table(edges, "a long, b long"), roots.where("root % 4 <> 1"), table(ends, "node long")).collect()
+    some = {w for w in want if w[1] % 4 != 1 and w[2] % 3}
+    assert len(got) == len(some) and {tuple(r) for r in got} == some
