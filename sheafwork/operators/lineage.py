@@ -16,9 +16,9 @@ def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return closure(edges.select("case_id", F.col("child").alias("a"), F.col("parent").alias("b")), roots)
 
 
-def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(case_id, root, node): the pieces that came from each root."""
-    return closure(edges.select("case_id", F.col("parent").alias("a"), F.col("child").alias("b")), roots)
+def descendants(edges: DataFrame, roots: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(case_id, root, node): the pieces that came from each root, of `ends` (case_id, node) where it is given."""
+    return closure(edges.select("case_id", F.col("parent").alias("a"), F.col("child").alias("b")), roots, ends)
 
 
 def excluded_ancestry(edges: DataFrame, pieces: DataFrame, roots: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def tainted_sql(spark, edges: DataFrame, pieces: DataFrame, depth: int = 90) ->
 def active_descendants(edges: DataFrame, pieces: DataFrame, roots: DataFrame, but: DataFrame | None = None) -> DataFrame:
     """Each root's descendants that are active, without those in `but` (case_id, node)."""
     on = pieces.where("active").select("case_id", F.col("piece_id").alias("node"))
-    found = descendants(edges, roots).join(on, ["case_id", "node"])
+    found = descendants(edges, roots, on)
     found = found if but is None else found.join(but, ["case_id", "node"], "left_anti")
     return found.select("case_id", "root", "node")
 
