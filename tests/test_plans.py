@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sheafwork.operators import lineage, numbering
+from sheafwork.operators import lineage, numbering, similarity
 from sheafwork.plans import graph, order, ranges
 
 
@@ -185,3 +185,18 @@ def test_closure_of_forests_compares_no_pairs(spark, monkeypatch, turned, cycle)
     got = graph.closure(table(edges, "a long, b long"), roots.where("root % 4 <> 1"), table(ends, "node long")).collect()
     some = {w for w in want if w[1] % 4 != 1 and w[2] % 3}
     assert len(got) == len(some) and {tuple(r) for r in got} == some
+
+
+def test_texts_of_hopeless_pairs_are_not_compared(spark, monkeypatch):
+    rows = [("c", i, "x" if i % 2 else "y", f"one two three four w{i} v{i} u{i}" if i < 6 else "one two three four same", "a b c d" if i % 3 else "e f g h", i) for i in range(12)]
+    pieces = spark.createDataFrame(rows, "case_id string, piece_id long, type string, description string, source_text string, page_start int")
+    want, plain, seen = similarity.near_duplicates(pieces).collect(), similarity.jaccard, []
+
+    def counted(a, b):
+        seen.append(spark.sparkContext.accumulator(0))
+        n = seen[-1]
+        return F.udf(lambda x: (n.add(1), x)[1], "double").asNondeterministic()(plain(a, b))
+
+    monkeypatch.setattr(similarity, "jaccard", counted)
+    assert sorted(similarity.near_duplicates(pieces).collect()) == sorted(want) and len(want) > 14
+    assert 0 < seen[1].value < seen[0].value
