@@ -53,6 +53,38 @@ def test_a_stored_index_grows_by_parts(spark, sf, tmp_path):
     assert "StringStartsWith(term,tion)" in plan and "text" not in plan.split("ReadSchema")[-1]
 
 
+def test_postings_shuffle_no_words_and_join_rows_of_a_page(spark, sf):
+    pages = spark.createDataFrame([("a", 1, "b a b"), ("a", 1, "a c d"), ("a", 1, "b"), ("a", 2, "Ä, a?"), ("b", 2, None), ("b", 3, " - ")], "case_id string, page_id long, text string")
+    got = sorted((r.case_id, r.page_id, r.length, r.term, r.positions, r.tf) for r in search.postings(pages).collect())
+    assert got == [("a", 1, 1, "b", [0], 1), ("a", 1, 3, "a", [0, 1], 2), ("a", 1, 3, "b", [0, 2], 2), ("a", 1, 3, "c", [1], 1), ("a", 1, 3, "d", [2], 1), ("a", 2, 2, "a", [0, 1], 2)]
+    assert "Exchange hashpartitioning" not in search.postings(tables.documents(spark, sf).select(F.col("source").alias("case_id"), F.col("doc_id").alias("page_id"), "text"))._jdf.queryExecution().toString()
+
+
+def counted(spark, sf):
+    """Pages, and a counter of how often a text of them is read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    pages = tables.documents(spark, sf).select(F.col("source").alias("case_id"), F.col("doc_id").alias("page_id"), F.udf(read)("text").alias("text"))
+    return pages, seen
+
+
+def test_an_index_is_written_from_one_reading_of_the_texts(spark, sf, tmp_path):
+    pages, seen = counted(spark, sf)
+    search.write_index(pages, str(tmp_path / "index"))
+    assert seen.value == pages.count()
+    assert search.open_index(spark, str(tmp_path / "index")).postings.where("term = ''").isEmpty()
+
+
+def test_a_search_reads_the_texts_once(spark, sf):
+    pages, seen = counted(spark, sf)
+    assert search.search_pages(search.index_of(pages), '"of the" tion').collect()
+    assert seen.value == pages.count()
+
+
 def test_a_snapshot_and_the_rest_fold_like_the_log(spark, sf, tmp_path):
     log = tables.log(spark, sf).unionByName(tables.made_log(spark, sf).select((F.col("seq") + F.col("piece_id") % 900).alias("seq"), F.lit("e0").alias("case_id"), "piece_id", "field", F.lit("1").alias("new"))).dropDuplicates(["case_id", "piece_id", "field", "seq"])
     path, rng = str(tmp_path / "snapshots"), random.Random(1)
