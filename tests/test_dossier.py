@@ -244,6 +244,13 @@ def test_an_empty_report_is_not_published(spark, sf, tmp_path):
         report.publish(report.assemble(view.withColumn("state", F.lit("pendiente"))), view, spark.createDataFrame([], "case_id string, parent long, child long"), str(tmp_path / "none"))
 
 
+def test_a_report_is_made_of_included_pieces_without_their_source_texts(spark, sf):
+    view, whole = queries.report_view(spark, sf), queries.view(spark, sf)
+    assert "source_text" not in view.columns
+    keys = lambda rows: sorted((r.case_id, r.piece_id, r.description) for r in rows.collect())
+    assert keys(view) == keys(whole.where("state = 'incluida' AND active")) and view.count() < whole.count()
+
+
 def test_nothing_excluded_is_published(spark, sf, tmp_path):
     view = queries.report_view(spark, sf)
     pieces = decisions.states(tables.raw_pieces(spark, sf), tables.log(spark, sf))
