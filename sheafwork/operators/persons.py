@@ -25,9 +25,9 @@ def common_words(a: Column, b: Column) -> Column:
     return F.array_union(F.array_union(F.array_intersect(a, b), initials(a, b)), initials(b, a))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """How alike two arrays of distinct words of names are: their Jaccard, or more if one name is contained in the other by two words at least."""
-    n = F.size(common_words(a, b))
+def likeness(a: Column, b: Column, n: Column | None = None) -> Column:
+    """How alike two arrays of distinct words of names are: their Jaccard, or more if one name is contained in the other by two words at least. `n` is the number of their common words, where that is known."""
+    n = F.size(common_words(a, b)) if n is None else n
     share = n / F.size(F.array_union(a, b))
     contained = (n >= F.least(F.size(a), F.size(b))) & (n >= 2)
     return F.when(n == 0, 0.0).when(contained, F.greatest(share, 0.75 + 0.25 * share)).otherwise(share)
@@ -38,7 +38,9 @@ def merge_proposals(people: DataFrame, decided: DataFrame | None = None) -> Data
 
     The threshold needs a shared document, one equal word as the whole of both names, or two matches of
     words or initials, so only persons that share one of these meet; a common word alone brings nobody
-    together. Decided pairs are left out.
+    together. Decided pairs are left out. What persons meet on is a 64-bit hash: two that clash only bring
+    a pair more to be scored. Rows with a row for each pair of words are never broadcast, as plans estimate
+    them by the names they come from.
     """
     rows = people.select("case_id", "person_id", "document", F.array_distinct(F.filter(F.split(name_key(F.col("name")), " "), lambda w: w != "")).alias("w"))
     # a word may match as it is, or as an initial (s) with a longer word of that initial (l)
@@ -50,20 +52,26 @@ def merge_proposals(people: DataFrame, decided: DataFrame | None = None) -> Data
         pairs = F.flatten(F.transform("w", lambda u, i: F.flatten(F.transform(later(i), lambda v: F.flatten(both(forms(u, turned), forms(v, turned)))))))
         return F.when(F.size("w") == 1, F.transform("w", lambda u: F.concat(F.lit("only "), u))).otherwise(pairs)
 
-    side_of = lambda turned, name: rows.select("case_id", F.col("person_id").alias(name), F.explode(F.array_distinct(two(turned))).alias("block"))
-    by_words = side_of(False, "p").join(side_of(True, "q"), ["case_id", "block"]).where("p < q").select("case_id", "p", "q")
+    dealt = lambda turned, name: rows.select("case_id", F.col("person_id").alias(name), F.explode(F.array_distinct(two(turned))).alias("_b"))
+    side_of = lambda turned, name: dealt(turned, name).select(F.xxhash64("case_id", "_b").alias("block"), "case_id", name)
+    by_words = side_of(False, "p").hint("merge").join(side_of(True, "q"), ["block", "case_id"]).where("p < q").select("case_id", "p", "q")
     papers = rows.where("document IS NOT NULL AND document <> ''").select("case_id", "document", "person_id")
-    by_paper = papers.withColumnRenamed("person_id", "p").join(papers.withColumnRenamed("person_id", "q"), ["case_id", "document"]).where("p < q").select("case_id", "p", "q")
+    by_paper = papers.withColumnRenamed("person_id", "p").hint("merge").join(papers.withColumnRenamed("person_id", "q"), ["case_id", "document"]).where("p < q").select("case_id", "p", "q")
     met = by_words.union(by_paper).select("case_id", F.col("p").alias("a"), F.col("q").alias("b")).distinct()
     if decided is not None:
         met = met.join(decided.select("case_id", "a", "b"), ["case_id", "a", "b"], "left_anti")
     side = lambda x: rows.select("case_id", F.col("person_id").alias(x), F.col("w").alias(f"w_{x}"), F.col("document").alias(f"document_{x}"))
-    full = met.join(side("a"), ["case_id", "a"]).join(side("b"), ["case_id", "b"])
+    full = met.join(side("a").hint("merge"), ["case_id", "a"]).join(side("b").hint("merge"), ["case_id", "b"])
     paper = F.coalesce((F.col("document_a") == F.col("document_b")) & (F.col("document_a") != ""), F.lit(False))
-    alike = full.withColumn("_s", likeness(F.col("w_a"), F.col("w_b"))).withColumn("_n", F.size(common_words(F.col("w_a"), F.col("w_b"))))
-    contained = (F.col("_n") >= F.least(F.size("w_a"), F.size("w_b"))) & (F.col("_n") >= 2)
-    reason = F.when(paper, "mismo_documento").when(contained, "nombre_incompleto").otherwise("nombres_parecidos")
-    return alike.select("case_id", "a", "b", F.when(paper, 1.0).otherwise(F.round("_s", 3)).alias("score"), reason.alias("reason")).where(F.col("score") >= LEAST)
+
+    def judged(n: Column) -> Column:
+        contained = (n >= F.least(F.size("w_a"), F.size("w_b"))) & (n >= 2)
+        reason = F.when(paper, "mismo_documento").when(contained, "nombre_incompleto").otherwise("nombres_parecidos")
+        return F.struct(F.when(paper, 1.0).otherwise(F.round(likeness(F.col("w_a"), F.col("w_b"), n), 3)).alias("score"), reason.alias("reason"))
+
+    # an array of one holds the number of common words, so that it is counted once for a pair
+    found = F.transform(F.array(F.size(common_words(F.col("w_a"), F.col("w_b")))), judged)
+    return full.select("case_id", "a", "b", F.inline(F.filter(found, lambda x: x["score"] >= LEAST)))
 
 
 def merged(people: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -233,6 +233,13 @@ def test_names_meet_as_all_pairs_do(spark):
     assert {(r.a, r.b) for r in persons.merge_proposals(people).collect()} == want and len(want) > 100
 
 
+def test_rows_for_pairs_of_words_are_not_broadcast(spark, sf):
+    from sheafwork.operators import persons
+
+    found = persons.merge_proposals(tables.names(spark, sf))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 100
+
+
 def test_keys_and_numerals_beyond_the_usual(spark):
     row = spark.range(1).select(tx.slug(F.lit("9" * 60), F.lit(None).cast("string")).alias("a"), tx.slug(F.lit("--"), F.lit("")).alias("b"), tx.roman(F.lit(4004)).alias("c"), tx.fold(F.lit("άй Ấ")).alias("d"), tx.slug(F.lit(""), F.lit("x" * 90)).alias("e")).first()
     assert tuple(row) == ("9" * 60, "caso", "MMMMIV", "αи A", "x" * 40)
