@@ -155,58 +155,82 @@ def checklist_counters(log: DataFrame, start: DataFrame, path: str, checkpoint:
 # --- proposals --------------------------------------------------------------------------------------
 
 PAGE = "global_no long, text string, type string, score double, title string, continues boolean, n int, m int, conf double"
-OPEN = "next int, piece int, previous long, kind string, last_n int, last_m int, page_start long, page_end long, type string, score double, title string, read_conf double, source_text string"
+OPEN = "doc_id long, next int, waiting int, piece int, previous long, kind string, last_n int, last_m int, page_start long, page_end long, type string, score double, title string, read_conf double, source_text string"
 PIECE = "case_id string, doc_id long, page_start long, page_end long, type string, score double, title string, read_conf double, source_text string, closed boolean"
+#: Documents whose ids differ only in this many low bits share a key. A batch with a page of one of them writes the open pieces of all anew, so they are fewer than pieces on a shelf.
+DOCUMENTS = 8
+_PAGE_NAMES = [f.split()[0] for f in PAGE.split(", ")]
+
+
+class Document:
+    """A document while pages of it come: the next page to be cut, how many wait in the state, the open piece, the last sheet counter, and pages of this batch that came before their turn."""
+
+    def __init__(self, case_id, doc_id, following=1, waiting=0, number=-1, previous=None, kind=None, last_n=None, last_m=None, *piece):
+        self.key, self.following, self.waiting, self.early, self.cutter = (case_id, doc_id), following, waiting, {}, Cutter()
+        self.cutter.piece, self.cutter.previous, self.cutter.kind = number, previous, kind
+        self.cutter.last = None if last_n is None else (last_n, last_m)
+        self.piece = list(piece) if piece and piece[0] is not None else None
+
+    def take(self, page: tuple) -> list[tuple]:
+        """Cuts the next page; the piece that it closes, if any."""
+        self.following += 1
+        global_no, text, kind, score, title, continues, n, m, conf = page
+        if text is None:  # a page that is not to be cut: what follows it begins anew
+            closed, self.piece, self.cutter.previous = self.piece, None, None
+            return [(*self.key, *closed, True)] if closed else []
+        number = self.cutter.piece
+        if self.cutter.step(int(global_no), kind, float(score), bool(continues), n, m) != number or self.piece is None:
+            closed, self.piece = self.piece, [int(global_no), int(global_no), kind, float(score), title, float(conf), text]
+            return [(*self.key, *closed, True)] if closed else []
+        self.piece[1], self.piece[5], self.piece[6] = int(global_no), min(self.piece[5], float(conf)), f"{self.piece[6]} {text}"[:TEXT]
+        return []
+
+    def held(self) -> tuple:
+        last, previous = self.cutter.last or (None, None), self.cutter.previous
+        return (self.key[1], self.following, self.waiting, self.cutter.piece, None if previous is None else int(previous), self.cutter.kind, *last, *(self.piece or [None] * 7))
 
 
 class Documents(StatefulProcessor):
-    """Keyed by document: the open piece, the last sheet counter, and the pages that came before their turn. Pages are cut in order; a piece goes out when it grows and once more when it is closed."""
+    """Keyed by case and shelf, which is 256 ids of documents: of each document what `Document` holds, and the pages that came before their turn. Pages are cut in order; a piece goes out when it grows and once more when it is closed."""
 
     def init(self, handle) -> None:
-        self.open = handle.getValueState("open", OPEN)
-        self.early = handle.getMapState("early", "page_no int", PAGE)
+        self.open = handle.getValueState("open", f"documents array<struct<{OPEN.replace(' ', ': ').replace(',:', ',')}>>")
+        self.early = handle.getMapState("early", "doc_id long, page_no int", PAGE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         nothing = lambda x: None if x is None or x != x else x
-        following, cutter, piece = 1, Cutter(), None
-        if self.open.exists():
-            following, cutter.piece, cutter.previous, cutter.kind, last_n, last_m, *piece = self.open.get()
-            cutter.last = None if last_n is None else (last_n, last_m)
-            piece = None if piece[0] is None else piece
-        came = {}
-        for table in rows:
-            for page_no, *page in zip(*[table[c] for c in ("page_no", "global_no", "text", "type", "score", "title", "continues", "n", "m", "conf")], strict=True):
-                if page_no >= following:
-                    came[int(page_no)] = tuple(nothing(x) for x in page)
+        number = lambda x, t: None if x is None else t(x)
+        known = {d[0]: tuple(d) for d in self.open.get()[0]} if self.open.exists() else {}
+        came: dict[int | None, Document] = {}
         out = []
-        while following in came or self.early.containsKey((following,)):
-            if following in came:
-                page = came.pop(following)
-            else:
-                page = tuple(nothing(x) for x in self.early.getValue((following,)))
-                self.early.removeKey((following,))
-            following += 1
-            global_no, text, kind, score, title, continues, n, m, conf = page
-            if text is None:  # a page that is not to be cut: what follows it begins anew
-                if piece:
-                    out.append((*key, *piece, True))
-                piece, cutter.previous = None, None
-                continue
-            number = cutter.piece
-            if cutter.step(int(global_no), kind, float(score), bool(continues), n, m) != number or piece is None:
-                if piece:
-                    out.append((*key, *piece, True))
-                piece = [int(global_no), int(global_no), kind, float(score), title, float(conf), text]
-            else:
-                piece[1], piece[5], piece[6] = int(global_no), min(piece[5], float(conf)), f"{piece[6]} {text}"[:TEXT]
-        for page_no, page in came.items():
-            number_ = lambda x, t: None if x is None else t(x)
-            self.early.updateValue((page_no,), (int(page[0]), page[1], page[2], number_(page[3], float), page[4], number_(page[5], bool), number_(page[6], int), number_(page[7], int), number_(page[8], float)))
-        if piece:
-            out.append((*key, *piece, False))
-        last = cutter.last or (None, None)
-        previous = None if cutter.previous is None else int(cutter.previous)
-        self.open.update((following, cutter.piece, previous, cutter.kind, *last, *(piece or [None] * 7)))
+        for table in rows:
+            for doc, page_no, *page in zip(*[table[c] for c in ("doc_id", "page_no", *_PAGE_NAMES)], strict=True):
+                doc = number(nothing(doc), int)
+                if doc not in came:
+                    came[doc] = Document(key[0], doc, *known.get(doc, ())[1:])
+                document = came[doc]
+                if page_no >= document.following:
+                    document.early[int(page_no)] = tuple(nothing(x) for x in page)
+                # a page in its turn is cut at once, so that only those before their turn are held
+                while not document.waiting and document.following in document.early:
+                    out += document.take(document.early.pop(document.following))
+        for doc, document in came.items():
+            while document.waiting or document.following in document.early:
+                at, page = (doc, document.following), document.early.pop(document.following, None)
+                if document.waiting and self.early.containsKey(at):
+                    page = page or tuple(nothing(x) for x in self.early.getValue(at))
+                    self.early.removeKey(at)
+                    document.waiting -= 1
+                if page is None:
+                    break
+                out += document.take(page)
+            stored = document.waiting
+            for page_no, page in document.early.items():
+                document.waiting += not (stored and self.early.containsKey((doc, page_no)))
+                self.early.updateValue((doc, page_no), (int(page[0]), page[1], page[2], number(page[3], float), page[4], number(page[5], bool), number(page[6], int), number(page[7], int), number(page[8], float)))
+            if document.piece:
+                out.append((*document.key, *document.piece, False))
+        self.open.update(([*(d for doc, d in known.items() if doc not in came), *(document.held() for document in came.values())],))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in PIECE.split(", ")])
 
     def close(self) -> None:
@@ -217,7 +241,7 @@ def proposals(pages: DataFrame, rules: list, covered: DataFrame, path: str, chec
     """A stream that writes proposals for pages (case_id, doc_id, page_no, global_no, text, conf) which no piece covers; `latest` reads what holds.
 
     The pages of a document are cut in the order of `page_no`, from 1. A page that comes early waits in the
-    state of its document, so a batch reads its own pages and no others. A piece that grows is written again;
+    state of its shelf of documents, so a batch reads its own pages and no others. A piece that grows is written again;
     what was closed stays. Pages without text, or in `covered` (case_id, global_no), end a piece and are in
     none. A page that comes twice counts once. A batch that is run again writes to its own place.
     """
@@ -225,7 +249,8 @@ def proposals(pages: DataFrame, rules: list, covered: DataFrame, path: str, chec
     marked = mark_pages(pages, rules, "page_no").withColumn("title", titled(F.col("text"), F.col("type"), rules))
     done = covered.select("case_id", "global_no", F.lit(True).alias("_covered")).distinct()
     rows = marked.join(done, ["case_id", "global_no"], "left").withColumn("text", F.when(F.col("_covered").isNull(), F.left("text", F.lit(TEXT))))
-    cut_up = rows.select("case_id", "doc_id", "page_no", "global_no", "text", "type", "score", "title", "continues", "n", "m", "conf").groupBy("case_id", "doc_id").transformWithStateInPandas(statefulProcessor=Documents(), outputStructType=PIECE, outputMode="Update", timeMode="None")
+    shelf = F.shiftright(F.col("doc_id").cast("long"), DOCUMENTS).alias("shelf")
+    cut_up = rows.select("case_id", shelf, "doc_id", "page_no", *_PAGE_NAMES).groupBy("case_id", "shelf").transformWithStateInPandas(statefulProcessor=Documents(), outputStructType=PIECE, outputMode="Update", timeMode="None")
 
     def run(pieces: DataFrame, number: int) -> None:
         finished(pieces).write.mode("overwrite").parquet(f"{path}/batch={number}")

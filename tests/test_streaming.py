@@ -93,6 +93,31 @@ def test_rows_of_a_batch_do_not_grow(spark, sf, tmp_path):
     assert len(read) == 6 and max(read) <= 3 * pages.count() / 6 and sum(read) <= 2 * pages.count()
 
 
+def test_proposals_hold_state_by_shelves_of_documents(spark, sf, stream, tmp_path):
+    pages = queries.chat_numbered(spark, sf).withColumn("case_id", F.lit("c"))
+    source = stream(pages.repartition(1), "pages2", parts=1)
+    q = live.proposals(source, tables.RULES, pages.limit(0).select("case_id", "global_no"), str(tmp_path / "out"), str(tmp_path / "check"))
+    q.awaitTermination()
+    shelves = pages.select("case_id", F.shiftright("doc_id", 8)).distinct().count()
+    held = max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+    assert pages.select("case_id", "doc_id").distinct().count() > 10 * shelves and held <= 2 * shelves
+
+
+def test_a_page_that_waits_and_comes_again_counts_once(spark, tmp_path):
+    page = lambda doc, n, text: ("a", doc, n, 100 * doc + n, text, 0.9)
+    schema = "case_id string, doc_id long, page_no int, global_no long, text string, conf double"
+    batches = [[page(1, 3, "x3"), page(2, 2, "y2")], [page(1, 3, "x3"), page(1, 4, "x4")], [page(2, 1, "y1")], [page(1, 1, "x1"), page(1, 2, "x2"), page(1, 3, "x3")], [page(1, 5, "x5"), page(300, 1, "z1")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    pages = spark.createDataFrame([r for rows in batches for r in rows], schema).distinct()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
+    none = pages.limit(0).select("case_id", "global_no")
+    live.proposals(source, tables.RULES, none, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = live.latest(spark.read.parquet(str(tmp_path / "out")))
+    same(got, segmentation.propose(pages, tables.RULES, none))
+    assert {r.source_text for r in got.collect()} == {"x1 x2 x3 x4 x5", "y1 y2", "z1"}
+
+
 def test_streamed_counters_equal_batch(spark, sf, stream, tmp_path):
     log, start = tables.log(spark, sf), queries.start_view(spark, sf)
     q = live.checklist_counters(stream(log.orderBy(F.rand(5)), "log3", parts=5), start, str(tmp_path / "counts"), str(tmp_path / "mark"))
