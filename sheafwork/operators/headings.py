@@ -64,16 +64,18 @@ def needed(pattern: str) -> tuple[str, ...]:
     return () if tree.state.flags & parser.SRE_FLAG_IGNORECASE else of(tree)
 
 
-def _place(head: Column, pattern: str) -> Column:
-    """Where a pattern first matches, 0 where it does not. It is only run where a text that it needs is there, so that of some hundred patterns few are."""
-    at = F.regexp_instr(head, F.lit(f"(?m){pattern}"))
+def _there(head: Column, pattern: str) -> Column:
+    """Whether a text that the pattern needs is there; true where it is not known to need one."""
     texts = needed(pattern)
-    if not texts:
-        return at
-    there = F.contains(head, F.lit(texts[0]))
+    there = F.contains(head, F.lit(texts[0])) if texts else F.lit(True)
     for text in texts[1:]:
         there = there | F.contains(head, F.lit(text))
-    return F.when(there, at).otherwise(0)
+    return there
+
+
+def _place(head: Column, pattern: str) -> Column:
+    """Where a pattern first matches, 0 where it does not. It is only run where a text that it needs is there, so that of some hundred patterns few are."""
+    return F.when(_there(head, pattern), F.regexp_instr(head, F.lit(f"(?m){pattern}"))).otherwise(0)
 
 
 def recognise(head: Column, rules: list[Rule]) -> Column:
@@ -100,8 +102,11 @@ def recognise(head: Column, rules: list[Rule]) -> Column:
 
 def continuation(head: Column) -> Column:
     """Whether a heading goes on from another page, as a struct (continues, n, m). A counter decides by itself: only from sheet 2 on."""
-    n, m = (F.regexp_extract(head, COUNTER, i).try_cast("int") for i in (1, 2))
-    return F.struct(F.when(n.isNotNull(), n >= 2).otherwise(head.rlike("|".join(GOES_ON))).alias("continues"), n.alias("n"), m.alias("m"))
+    n, m = (F.when(_there(head, COUNTER), F.regexp_extract(head, COUNTER, i)).try_cast("int") for i in (1, 2))
+    goes_on = F.lit(False)
+    for pattern in GOES_ON:
+        goes_on = goes_on | (_there(head, pattern) & head.rlike(pattern))
+    return F.struct(F.when(n.isNotNull(), n >= 2).otherwise(goes_on).alias("continues"), n.alias("n"), m.alias("m"))
 
 
 def title_line(text: Column, kind: Column, rules: list[Rule], lines: int = 6) -> Column:

@@ -240,6 +240,20 @@ def test_rows_for_pairs_of_words_are_not_broadcast(spark, sf):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 100
 
 
+def test_marks_and_dates_are_found_as_plain_patterns_find_them(spark):
+    import re
+
+    rng, bits = random.Random(8), ["HOJA", "PAG.", "CONTINUACION", "CONTINUA", "EN", "VIENE", "DE", "LA", "VUELTA", "FS", "SIGUE", "AL", "DORSO", "(", "/", " ", " ", " ", "2", "10"]
+    heads = ["".join(rng.choices(bits, k=rng.randrange(12))) for _ in range(3000)] + ["HOJA 2 DE 5", "SIGUE AL DORSO", "VIENE DE LA VUELTA", "( CONTINUACION"]
+    dates = ["7 de mayo de 2023", "x 31/12/99", "1-2-2024 o 3 de ágosto de 2020", "mayo de", "3 de mayo de 1800, 4.5.2001", "٣ de mayo de 2020"]
+    table = spark.createDataFrame([(h,) for h in heads + dates], "h string")
+    rows = table.select("h", headings.continuation(F.col("h")).alias("c"), tx.find_date(F.col("h")).alias("d")).collect()
+    for r in rows[: len(heads)]:
+        n = re.search(headings.COUNTER, r.h, re.ASCII)
+        assert (r.c.continues, r.c.n) == ((int(n[1]) >= 2, int(n[1])) if n else (bool(re.search("|".join(headings.GOES_ON), r.h, re.ASCII)), None)), r.h
+    assert [r.d for r in rows[len(heads) :]] == ["2023-05-07", "1999-12-31", "2020-08-03", None, "2001-05-04", None]
+
+
 def test_keys_and_numerals_beyond_the_usual(spark):
     row = spark.range(1).select(tx.slug(F.lit("9" * 60), F.lit(None).cast("string")).alias("a"), tx.slug(F.lit("--"), F.lit("")).alias("b"), tx.roman(F.lit(4004)).alias("c"), tx.fold(F.lit("άй Ấ")).alias("d"), tx.slug(F.lit(""), F.lit("x" * 90)).alias("e")).first()
     assert tuple(row) == ("9" * 60, "caso", "MMMMIV", "αи A", "x" * 40)
