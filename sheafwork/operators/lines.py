@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-HEADER_LINES = 6
 LINE = StructType([
     StructField("case_id", StringType()), StructField("page_id", LongType()), StructField("line_no", IntegerType()), StructField("text", StringType()),
     StructField("x0", DoubleType()), StructField("y0", DoubleType()), StructField("x1", DoubleType()), StructField("y1", DoubleType()),
@@ -38,8 +37,8 @@ def page_lines(words: list, limit: int | None) -> list[tuple]:
     return out
 
 
-def rebuild(words: DataFrame, limit: int | None = HEADER_LINES) -> DataFrame:
-    """Lines of each page from words (case_id, page_id, ord, text, x0, y0, x1, y1).
+def rebuild(words: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lines of each page from words (case_id, page_id, ord, text, x0, y0, x1, y1): all of them, or the first `limit` (a heading takes few).
 
     Pages are dealt over partitions and read in one pass that holds the words of one page.
     """

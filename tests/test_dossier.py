@@ -97,6 +97,14 @@ def test_lines_from_words(spark):
     assert [r.text for r in lines.rebuild(words, limit=1).orderBy("page_id").collect()] == ["hola mundo", "otra"]
 
 
+def test_lines_hold_every_word_of_a_page(spark, sf):
+    rows = [("c", 1, n, f"w{n}", 10.0, 20.0 * n, 40.0, 20.0 * n + 10) for n in range(9)]
+    words = spark.createDataFrame(rows, "case_id string, page_id long, ord int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.line_no, r.text) for r in lines.rebuild(words).orderBy("line_no").collect()] == [(n, f"w{n}") for n in range(9)]
+    held = queries.QUERIES["w3_lines"](spark, sf).agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    assert held == tables.lineitem(spark, sf).count() and "line_no <" not in queries.ORACLES["w3_lines"]
+
+
 def test_images_and_readings(spark):
     pg = spark.createDataFrame([("c", 1, 100.0, 100.0), ("c", 2, 100.0, 100.0), ("c", 3, 100.0, 100.0)], "case_id string, page_id long, width_pt double, height_pt double")
     images = spark.createDataFrame([("c", 1, 0, 0.0, 0.0, 50.0, 40.0), ("c", 2, 0, -10.0, 0.0, 10.0, 10.0)], "case_id string, page_id long, image_no int, x0 double, y0 double, x1 double, y1 double")
